@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from partita.llm.bpe import bpe_round_trip
 from partita.llm.common import table
 from partita.llm.line_dedup import dedup_lines
+from partita.llm.near_dedup import near_duplicates
 from partita.llm.packing import pack_documents
+from partita.llm.quality import Settings, score_quality
+from partita.llm.repair import token_files
 from partita.llm.sharding import shard_records
 
 
@@ -22,6 +25,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
+
+
 def pack(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -53,9 +60,28 @@ FROM keyed GROUP BY doc_id
 """
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    score = F.col("quality_score")
+    return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= Settings().threshold, 1).otherwise(0).alias("predicted"))
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4, similarity=80)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"), weights=[1.0] * 8)
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op6_packing": op6_packing, "op7_line_dedup": op7_line_dedup, "op10_sharding": op10_sharding}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_token_files": op3_token_files,
+    "op6_packing": op6_packing,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_quality": op8_quality,
+    "op9_near_dedup": op9_near_dedup,
+    "op10_sharding": op10_sharding,
+}
 ORACLES = {"op7_line_dedup": OP7_SQL}
