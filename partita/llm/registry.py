@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partita.llm.ann import nearest
 from partita.llm.bpe import bpe_round_trip
 from partita.llm.common import table
+from partita.llm.licenses import scan_licenses
 from partita.llm.line_dedup import dedup_lines
+from partita.llm.mips import top_products
 from partita.llm.near_dedup import near_duplicates
 from partita.llm.packing import pack_documents
 from partita.llm.quality import Settings, score_quality
@@ -21,6 +24,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0, k=5)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -29,6 +36,28 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_products(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 100 == 0, k=10)
+
+
+OP5_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS d FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_transform(list_zip(q.d, c.d), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+
 def pack(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
@@ -76,12 +105,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
     "op3_token_files": op3_token_files,
+    "op4_licenses": op4_licenses,
+    "op5_topk": op5_topk,
     "op6_packing": op6_packing,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
 }
-ORACLES = {"op7_line_dedup": OP7_SQL}
+ORACLES = {"op5_topk": OP5_SQL, "op7_line_dedup": OP7_SQL}
