@@ -70,113 +70,151 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
                 out.append((ids[a:b][row], ids[a:b][near[row, col]], got[row, col]))
             if out:
                 x, y, s = (np.concatenate(z) for z in zip(*out))
+                # once per pair, and no more than per_member for each node of the batch
+                order = np.lexsort((y, -s, x))
+                x, y, s = x[order], y[order], s[order]
+                once = np.concatenate([[True], (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
+                x, y, s = x[once], y[once], s[once]
+                first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                keep = np.arange(len(x)) - np.repeat(first, np.diff(np.append(first, len(x)))) < per_member
+                x, y, s = x[keep], y[keep], s[keep]
                 yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pa.array(s.astype(np.float32))], ["id", "nbr", "sim"])
 
     return groups.select("members").mapInArrow(run, "id long, nbr long, sim float")
 
 
-def nn_descent(nodes: DataFrame, k: int = 16, sample: int = 12, rounds: int = 4, block: int = 64, starts: int = 3) -> DataFrame:
-    """The neighbour graph (id, nbr, sim) of `nodes` (id, vec): about the k nearest of each.
+def _vectors(column: pa.Array) -> np.ndarray:
+    unit = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
 
-    Start: nodes are keyed by their nearest of at most 512 pivots (the nodes of least hash) and dealt into blocks of about
-    `block`, `starts` times over; each block is compared in full. Then every round joins each node's neighbours and reverse
-    neighbours with each other (at most `sample` fresh and `sample` known ones of each node, drawn by hash), which compares
-    neighbours of neighbours, and keeps the best k. The graph is approximate; searches on it are measured for recall.
+
+def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2, block: int = 1024, starts: int = 6) -> DataFrame:
+    """The neighbour graph (id, nbr, sim) of `packed` (id, unit): about the k nearest of each.
+
+    Start: each of `starts` times, nodes are keyed by their nearest of at most 512 pivots (the nodes of least hash) and cut by
+    hash into blocks of about `block`, which are compared in full. Then every round joins each node's neighbours and
+    reverse neighbours with each other (of either kind at most `sample` that are fresh and `sample` known ones, drawn by hash),
+    which compares neighbours of neighbours, and keeps the best k. The graph is approximate; searches on it are measured for recall.
     """
-    spark = nodes.sparkSession
-    packed = written(_packed(nodes), "units")
-    pivots = packed.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(512).collect()
-    if not pivots:
+    spark = packed.sparkSession
+    n = packed.count()
+    if not n:
         return spark.createDataFrame([], "id long, nbr long, sim float")
-    frame = np.stack([np.frombuffer(p["unit"], np.int8).astype(np.float32) for p in pivots])
-    frame /= np.sqrt((frame * frame).sum(axis=1, keepdims=True))
+    pivots = min(512, -(-4 * n // (3 * block)))
+    frames = []
+    for start in range(starts):
+        rows = packed.orderBy(F.xxhash64("id", F.lit(start)), "id").limit(pivots)
+        frames.append(_vectors(pa.array([r["unit"] for r in rows.select("unit").collect()], pa.binary())))
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                unit = np.frombuffer(b"".join(batch.column("unit").to_pylist()), np.int8).reshape(batch.num_rows, -1).astype(np.float32)
-                sims = unit @ frame.T
-                near = np.argsort(-sims, axis=1)[:, : min(2, len(frame))]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(near.tolist(), pa.list_(pa.int32()))], ["id", "unit", "cells"])
-
-    placed = packed.mapInArrow(cell, "id long, unit binary, cells array<int>")
-    turns = placed.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(starts - 1)))).withColumn("cell", F.get("cells", F.pmod("turn", F.size("cells"))))
-    turns = written(turns.drop("cells"), "cells")
-    count = turns.groupBy("turn", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most starts x 512 rows
-    blocks = turns.join(F.broadcast(count), ["turn", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", "turn"), F.col("blocks")))
+                unit = _vectors(batch.column("unit"))
+                for start, frame in enumerate(frames):
+                    near = (unit @ frame.T).argmax(axis=1).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(np.full(len(near), start, np.int32)), pa.array(near)], ["id", "unit", "start", "cell"])
+
+    cells = written(packed.mapInArrow(cell, "id long, unit binary, start int, cell int"), "cells")
+    count = cells.groupBy("start", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most starts x 512 rows
+    blocks = cells.join(F.broadcast(count), ["start", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", "start"), F.col("blocks")))
     member = F.struct("id", F.lit(True).alias("fresh"), F.lit(-2.0).cast("float").alias("floor"), "unit")
-    first = _compare(blocks.groupBy("turn", "cell", "block").agg(F.collect_list(member).alias("members")), k)
+    first = _compare(blocks.groupBy("start", "cell", "block").agg(F.collect_list(member).alias("members")), min(k, 16))
     graph = written(_top(first.withColumn("fresh", F.lit(True)), k), "graph")
     for turn in range(rounds):
-        both = graph.select("id", "nbr", "fresh").union(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "fresh"))
-        both = both.groupBy("id", "nbr").agg(F.max("fresh").alias("fresh"))
-        draw = F.row_number().over(Window.partitionBy("id", "fresh").orderBy(F.xxhash64("id", "nbr", F.lit(turn)), "nbr"))
-        joined = both.withColumn("draw", draw).where(F.col("draw") <= sample).select(F.col("id").alias("at"), F.col("nbr").alias("id"), "fresh")
+        drawn = F.row_number().over(Window.partitionBy("id", "fresh").orderBy(F.xxhash64("id", "nbr", F.lit(turn)), "nbr")) <= sample
+        graph = graph.withColumn("drawn", drawn)
+        back = F.row_number().over(Window.partitionBy("nbr", "fresh").orderBy(F.xxhash64("nbr", "id", F.lit(turn)), "id"))
+        reverse = graph.where("drawn").withColumn("back", back).where(F.col("back") <= sample).select(F.col("nbr").alias("at"), "id", "fresh")
+        joined = graph.where("drawn").select(F.col("id").alias("at"), F.col("nbr").alias("id"), "fresh").union(reverse).groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
         floor = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
         lit = packed.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0).cast("float")))
         groups = joined.join(lit, "id").groupBy("at").agg(F.collect_list(F.struct("id", "fresh", "floor", "unit")).alias("members"))
-        found = _compare(groups, 6).select("id", "nbr", "sim", F.lit(True).alias("fresh"))
-        graph = written(_top(graph.select("id", "nbr", "sim", F.lit(False).alias("fresh")).union(found), k), "graph")
+        found = _compare(groups, k).select("id", "nbr", "sim", F.lit(True).alias("fresh"))
+        graph = written(_top(graph.select("id", "nbr", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh")).union(found), k), "graph")
     return graph.select("id", "nbr", "sim")
 
 
-def search(nodes: DataFrame, graph: DataFrame, queries: DataFrame, ef: int = 32, expand: int = 8, degree: int = 24, steps: int = 12, entries: int = 512) -> DataFrame:
-    """(query_id, node, sim): the beam of `ef` nodes that greedy search ends with, for `queries` (query_id, vec).
+def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, steps: int = 12, entries: int = 1024, block: int = 256, part: int = 4096) -> DataFrame:
+    """(query_id, node, sim): the beam of `ef` nodes that greedy search ends with, for `asked` (query_id, unit).
 
-    Each query starts from the best of at most `entries` nodes (those of least hash). A step takes the best nodes of the beam that
-    aren't expanded yet, joins them with their neighbours both ways, and keeps the best ef; it ends when no beam has a node
-    left to expand, or after `steps`.
+    Each query starts from the best of at most `entries` nodes (those of least hash). A step takes the best half beam of nodes not
+    expanded yet, joins them with their neighbours both ways (the `degree` nearest), measures those and keeps the best ef; it
+    ends when no beam has a node left to expand, or after `steps`. Queries go in blocks of `block`, so that a node that many
+    queries of a block meet is sent to it once; a block's nodes are cut into parts of about `part`.
     """
-    units = written(nodes.mapInArrow(_units("id"), "id long, unit binary"), "vectors")
-    asked = written(queries.select(F.col("query_id").alias("id"), "vec").mapInArrow(_units("id"), "id long, unit binary").withColumnsRenamed({"id": "query_id", "unit": "asked"}), "queries")
     both = graph.select("id", "nbr", "sim").union(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
     links = written(both.withColumn("rank", rank).where(F.col("rank") <= degree).groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "links")
-    rows = units.orderBy(F.xxhash64("id", F.lit("entry")), "id").limit(entries).collect()
-    if not rows:
-        return units.select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(0.0).alias("sim"))
-    ids, frame = np.array([r["id"] for r in rows]), np.stack([np.frombuffer(r["unit"], np.float32) for r in rows])
+    n = asked.count()
+    blocks = -(-max(1, n) // block)
+    asked = written(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
+    parts = -(-packed.count() // part) or 1
+    entry = packed.orderBy(F.xxhash64("id", F.lit("entry")), "id").limit(entries).collect()
+    if not entry or not n:
+        return packed.select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(0.0).alias("sim")).limit(0)
+    ids, frame = np.array([r["id"] for r in entry]), _vectors(pa.array([r["unit"] for r in entry], pa.binary()))
 
     def enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                q = np.frombuffer(b"".join(batch.column("asked").to_pylist()), np.float32).reshape(batch.num_rows, -1)
-                sims = q @ frame.T
+                sims = _vectors(batch.column("unit")) @ frame.T
                 k = min(ef, len(ids))
                 near = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("query_id").to_numpy(), k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(sims, near, axis=1).ravel().astype(np.float64))], ["query_id", "node", "sim"])
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.float32).reshape(batch.num_rows, -1) for c in ("asked", "unit"))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array((x * y).sum(axis=1).astype(np.float64))], ["query_id", "node", "sim"])
-
-    by = Window.partitionBy("query_id")
-    beam = written(asked.mapInArrow(enter, "query_id long, node long, sim double").withColumn("done", F.lit(False)), "beam")
+                queries, of = (np.repeat(batch.column(c).to_numpy(), k) for c in ("query_id", "block"))
+                yield pa.RecordBatch.from_arrays([pa.array(queries), pa.array(of), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(sims, near, axis=1).ravel())], ["query_id", "block", "node", "sim"])
+
+    def meet(found: pa.Table) -> pa.Table:
+        """The distinct (node, query) pairs of a block, by node."""
+        lists = found.column("nbrs").combine_chunks()
+        queries = np.repeat(found.column("query_id").to_numpy(), np.diff(np.asarray(lists.offsets)))
+        nodes = lists.flatten().to_numpy()
+        order = np.lexsort((queries, nodes))
+        nodes, queries = nodes[order], queries[order]
+        once = np.concatenate([[True], (nodes[1:] != nodes[:-1]) | (queries[1:] != queries[:-1])])
+        nodes, queries = nodes[once], queries[once]
+        first = np.flatnonzero(np.concatenate([[True], nodes[1:] != nodes[:-1]]))
+        met = pa.ListArray.from_arrays(pa.array(np.append(first, len(nodes)), pa.int32()), pa.array(queries))
+        return pa.table({"block": pa.array(np.full(len(first), found.column("block")[0].as_py(), np.int32)), "node": pa.array(nodes[first]), "queries": met})
+
+    def measure(nodes: pa.Table, queries: pa.Table) -> pa.Table:
+        """Similarities of a block's queries to one part of the nodes it met: those over a query's floor, ef at most."""
+        out = []
+        if nodes.num_rows and queries.num_rows:
+            q = queries.column("query_id").to_numpy()
+            order = np.argsort(q)
+            sims = _vectors(queries.column("unit").combine_chunks()) @ _vectors(nodes.column("unit").combine_chunks()).T
+            lists = nodes.column("queries").combine_chunks()
+            col = np.repeat(np.arange(nodes.num_rows), np.diff(np.asarray(lists.offsets)))
+            row = order[np.searchsorted(q[order], lists.flatten().to_numpy())]
+            wanted = np.full(sims.shape, -9, np.float32)
+            wanted[row, col] = sims[row, col]
+            wanted[wanted <= queries.column("floor").to_numpy()[:, None]] = -9
+            k = min(ef, wanted.shape[1])
+            near = np.argpartition(-wanted, k - 1, axis=1)[:, :k]
+            got = np.take_along_axis(wanted, near, axis=1)
+            r, c = np.nonzero(got > -9)
+            out = [q[r], nodes.column("node").to_numpy()[near[r, c]], got[r, c]]
+        of = queries.column("block")[0].as_py() if queries.num_rows else 0
+        x, y, s = out or (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.float32))
+        return pa.table({"query_id": x, "block": np.full(len(x), of, np.int32), "node": y, "sim": s})
+
+    by = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
+    beam = written(asked.mapInArrow(enter, "query_id long, block int, node long, sim float").withColumn("done", F.lit(False)), "beam")
     for _ in range(steps):
-        todo = beam.where("NOT done").withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node"))).where(F.col("k") <= expand).select("query_id", "node")
-        met = todo.join(links, todo["node"] == links["id"]).select("query_id", F.explode("nbrs").alias("node")).distinct()
-        met = met.join(beam.select("query_id", "node"), ["query_id", "node"], "left_anti")
-        new = met.join(units, met["node"] == units["id"]).join(asked, "query_id").select("query_id", "node", "asked", "unit").mapInArrow(measure, "query_id long, node long, sim double")
-        now = beam.join(todo.withColumn("now", F.lit(True)), ["query_id", "node"], "left").select("query_id", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        every = now.union(new.withColumn("done", F.lit(False))).withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node")))
-        beam = written(every.where(F.col("k") <= ef).drop("k"), "beam")
-        if not beam.where("NOT done").limit(1).count():
+        todo = beam.where("NOT done").withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef // 2).select("query_id", "block", "node")
+        met = todo.join(links, todo["node"] == links["id"]).groupBy("block").applyInArrow(meet, "block int, node long, queries array<long>")
+        met = met.join(packed, met["node"] == packed["id"]).select("block", "node", "queries", "unit", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+        floor = beam.groupBy("query_id").agg(F.when(F.count("*") >= ef, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
+        lit = asked.join(floor, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        new = met.groupBy("block", "part").cogroup(lit.groupBy("block", "part")).applyInArrow(measure, "query_id long, block int, node long, sim float")
+        now = beam.join(todo.select("query_id", "node", F.lit(True).alias("now")), ["query_id", "node"], "left").select("query_id", "block", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
+        every = now.union(new.withColumn("done", F.lit(False))).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
+        beam = written(every.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k"), "beam")
+        if beam.where("NOT done").isEmpty():
             break
     return beam.select("query_id", "node", "sim")
 
 
-def _units(name: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                u = _unit(matrix(batch.column("vec"))).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([batch.column(name), pa.array([r.tobytes() for r in u], pa.binary())], [name, "unit"])
-
-    return run
-
-
 def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
     """query_id, rank, vec_id and score (cosine in double precision) of about the k nearest rows of each query row of `table`.
 
@@ -188,9 +226,11 @@ def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
     nodes, members = nodes_and_members(vectors, k + 1)
     nodes, members = written(nodes, "nodes"), written(members, "members")
     queries = vectors.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec")
-    beam = search(nodes, nn_descent(nodes), queries)
+    packed = written(_packed(nodes), "units")
+    asked = _packed(queries.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
+    beam = search(packed, nn_descent(packed), asked)
     by = Window.partitionBy("query_id")
-    best = beam.withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node"))).where(F.col("k") <= 2 * (k + 1)).select("query_id", "node")
+    best = beam.withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node"))).where(F.col("k") <= 4 * (k + 1)).select("query_id", "node")
     both = best.join(nodes, best["node"] == nodes["id"]).select("query_id", "node", F.col("vec").alias("y")).join(queries.withColumnRenamed("vec", "x"), "query_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
