@@ -134,7 +134,7 @@ def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2
     return graph.select("id", "nbr", "sim")
 
 
-def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, steps: int = 12, entries: int = 1024, block: int = 256, part: int = 4096) -> DataFrame:
+def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, steps: int = 12, entries: int = 1024, block: int = 512, part: int = 4096) -> DataFrame:
     """(query_id, node, sim): the beam of `ef` nodes that greedy search ends with, for `asked` (query_id, unit).
 
     Each query starts from the best of at most `entries` nodes (those of least hash). A step takes the best half beam of nodes not
