@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from partita.plans import harmony  # noqa: F401
+from partita.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
