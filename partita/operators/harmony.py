@@ -66,7 +66,7 @@ def candidates(extended: bool = False) -> dict[str, list[Column]]:
     for hi, lo in ("sa", "at", "tb"):
         H, L = hi.upper(), lo.upper()
         detail = F.format_string(f"prev {H}=%d, {L}=%d; next {H}=%d, {L}=%d", before[hi], before[lo], now[hi], now[lo])
-        out["V1"].append(_row(now[lo] > before[hi], "V1", "overlap", "warning", f"{L}/{H}", detail))
+        out["V1"].append(_row((now[lo] > before[hi]) & now[hi].isNotNull() & before[lo].isNotNull(), "V1", "overlap", "warning", f"{L}/{H}", detail))
     for x, y in combinations(VOICES, 2):
         one, two = before[x] - before[y], now[x] - now[y]
         dx, dy = F.signum(now[x] - before[x]), F.signum(now[y] - before[y])
