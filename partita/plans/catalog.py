@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partita.plans import audit, detection, harmony  # noqa: F401
+from partita.plans import audit, dataset, detection, harmony  # noqa: F401
 from partita.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
