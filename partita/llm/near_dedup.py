@@ -77,15 +77,32 @@ def _close(pairs: DataFrame, reps: DataFrame, distance: int) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links (a, b): pairs whose full sets reach the similarity, in percent."""
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents in `ids`, made from their texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+
+    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    return texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
+
+
+def _measured(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(a, b, na, nb, common) of pairs (a, b, na, nb): the exact overlap of their sets.
+
+    The sets are made again from the texts of the rows that take part, which are few.
+    """
+    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-    both = F.size(F.array_intersect("xa", "xb"))
-    return pairs.join(x, "a").join(y, "b").where(100 * both >= similarity * (F.col("na") + F.col("nb") - both)).select("a", "b")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("common"))
+    return written(both, "measured")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 4, errors: int = 1, distance: int = 19) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 60, chunk: int = 6, errors: int = 1, distance: int = 29, crowd: int = 64, classes: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`.
 
     Documents are linked if their sets of word shingles reach the Jaccard similarity (percent); component_id is the smallest
@@ -93,61 +110,85 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
 
     1. Every row gets a minhash signature of `length` positions of 16 bits. Rows of one set share a representative.
     2. Signatures are cut into chunks of `chunk` positions; a row per chunk and choice of `errors` positions left out makes
-       every pair within `distance` meet in some bucket. At similarity 0.8 a pair differs in more than 19 of 40 positions
-       once in 10^5.
-    3. Each bucket links its members to its least one; links are confirmed on the full sets, which are made again from the
-       texts of the few rows that take part. Components follow.
-    4. Pairs of a bucket that are still in different components are compared too, so nothing is lost; pairs inside a
-       component can't change it. Thousands of copies thus cost one link each, not all pairs.
+       every pair within chunks x (errors + 1) - 1 positions (19 of 60) meet in some bucket; other pairs meet if one chunk has no
+       more errors, which at similarity 0.8 fails once in 40,000.
+    3. Each bucket links its members to two leaders, its least one and one drawn by hash, after their full sets are compared.
+       Thousands of copies thus cost a few links each, not all pairs. Components follow.
+    4. Pairs of a bucket that are still in different components are compared too, so no link is lost; pairs inside a component
+       can't change it. Pairs that can't reach the similarity are left out by exact bounds: sizes, distances to common leaders
+       (the triangle inequality of the Jaccard distance), and, in buckets of `crowd` members or more, the shingles that others
+       have at all. What remains within `distance` positions (at 0.8, more is seen once in 10^7) is confirmed on full sets.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id). Rows that share a doc_id
     are one document with several sets. Rows with a null doc_id are left alone: null component_id, kept. Other columns are
     ignored; an empty table gives no rows.
     """
-    if distance >= (length // chunk) * (errors + 1):
-        raise ValueError("the chunks don't guarantee this distance")
+    if length % chunk or not 0 <= errors < chunk:
+        raise ValueError("chunks have to divide the signature and hold more positions than errors")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(signatures(docs, words, length), "signatures")
     known = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
     reps = written(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "sets")
 
     keys = chunk_keys(reps, length, chunk, errors)
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
+    # two leaders: the least member, and one by a hash that differs among buckets
+    drawn = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(4))))
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), drawn.alias("other")).where("leader < last").select("key", "leader", "other")
     buckets = written(keys.join(shared, "key"), "buckets")
-    links = _links(docs, reps, buckets.where("id <> leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), words, distance, similarity)
+    stars = buckets.select(F.col("id").alias("x"), F.explode(F.array("leader", "other")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    sizes = reps.select("id", "n")
+    stars = stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
+    stars = _measured(docs, stars, words)
+    linked = 100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
+    links = stars.where(linked).select("a", "b")
 
     again = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     several = known.join(again, "doc_id").join(reps.select("set_id", "id"), "set_id").select("doc_id", "id")
     several = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
     first = connected_components(links.union(several))
 
-    # what a bucket's leader did not bring together
-    placed = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    # what a bucket's leaders did not bring together
+    placed = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "leader", "other", F.coalesce("component", "id").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    apart = written(placed.join(mixed, "key"), "apart")
-    # the largest component of each bucket needs no pairs of its own members
-    x, y = apart.select("key", F.col("id").alias("a"), F.col("component").alias("ca")), apart.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-    rest = x.join(y, "key").where("a < b AND ca <> cb").select("a", "b").distinct()
-    more = _links(docs, reps, rest, words, distance, similarity)
-    merged = more.select("a", "b").union(first.select(F.col("node").alias("a"), F.col("component").alias("b")))
-    found = connected_components(merged)
+    far = stars.groupBy("a", "b").agg(F.max(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
+    far = far.union(far.select("b", "a", "far"))
+    apart = placed.join(mixed, "key").join(reps.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1")), "id")
+    for pivot in ("leader", "other"):
+        away = F.when(F.col("id") == F.col(pivot), 0.0).otherwise(F.col("far")).alias(f"from_{pivot}")
+        apart = apart.join(far.toDF("id", pivot, "far"), ["id", pivot], "left").select(*[c for c in apart.columns if c not in ("id", pivot)], "id", pivot, away)
+    apart = written(apart, "apart")
+    # In large buckets, shingles that no other of their documents has can't be common; the others are counted in classes by hash,
+    # and two documents have no more in common than the smaller count of each class allows.
+    stats = apart.groupBy("key").agg(F.count("*").alias("members"), F.mode("component").alias("main"))
+    apart = written(apart.join(stats, "key"), "members")
+    large = apart.where(F.col("members") >= crowd).select("id").distinct()
+    tokens = _sets(docs, large, words).select("id", F.explode("shingles").alias("token"))
+    part = F.pmod("token", F.lit(classes)).cast("int").alias("part")
+    alone = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id", part).agg((-F.count("*")).alias("c"))
+    counts = tokens.groupBy("id", part).agg(F.count("*").alias("c")).union(alone).groupBy("id", "part").agg(F.sum("c").alias("c"))
+    counts = counts.groupBy("id").agg(F.sum("c").alias("most"), F.map_from_entries(F.collect_list(F.struct("part", F.col("c").cast("int")))).alias("c"))
+    able = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.col("c")[k], F.lit(0)))
+    apart = apart.join(counts.select("id", "most", able.alias("able")), "id", "left")
+    apart = apart.withColumns({"most": F.when(F.col("members") >= crowd, F.col("most")).otherwise(F.col("n1")), "able": F.when(F.col("members") >= crowd, F.col("able"))})
+    apart = written(apart.where(100 * F.col("most") >= similarity * F.col("n0")).drop("members"), "able")
+    x, y = (apart.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "main", "id", "component", "n0", "n1", "most", "able", "from_leader", "from_other")]) for side in "xy")
+    room = 1 - similarity / 100 + 1e-9
+    can = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_id") < F.col("y_id")))
+    can &= (100 * F.col("x_n1") >= similarity * F.col("y_n0")) & (100 * F.col("y_n1") >= similarity * F.col("x_n0"))
+    common = F.least("x_most", "y_most")
+    can &= 100 * common >= similarity * (F.col("x_n0") + F.col("y_n0") - common)
+    for pivot in ("leader", "other"):
+        can &= F.coalesce(F.abs(F.col(f"x_from_{pivot}") - F.col(f"y_from_{pivot}")) <= room, F.lit(True))
+    shared = F.aggregate(F.zip_with("x_able", "y_able", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
+    can &= F.coalesce(100 * shared >= similarity * (F.col("x_n0") + F.col("y_n0") - shared), F.lit(True))
+    # pairs inside a component need no test, so its largest component stands on one side only
+    x = x.where("x_component <> x_main")
+    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & can).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
+    rest = rest.join(far.select("a", "b"), ["a", "b"], "left_anti")
+    more = _measured(docs, written(_close(rest, reps, distance), "near"), words).where(linked)
+    found = connected_components(more.select("a", "b").union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     whole = reps.select("set_id", "id").join(found, F.col("id") == F.col("node"), "left").select("set_id", F.coalesce("component", "id").alias("component"))
     out = rows.join(whole, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
-
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, distance: int, similarity: int) -> DataFrame:
-    """The links among candidate pairs (a, b) of representatives."""
-    near = written(_close(pairs, reps, distance), "near")
-    ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in slices(whole, "text"):
-                found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
-
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    sets = texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
-    return written(_confirmed(near, sets, similarity), "links")
