@@ -99,7 +99,7 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, keep_ids: bool = False) ->
 
     keep_ids adds the ids and the decoded text. A null text counts as empty: no ids, digests of nothing. Repeated rows give
     repeated results, a null doc_id stays null, other columns of `docs` are ignored. No shuffle; memory is bounded by
-    slices of 16 MB of text (or one document) and a cache of 500,000 chunks.
+    slices of 8 MB of text (or one document) and a cache of 250,000 chunks.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if keep_ids else "")
 

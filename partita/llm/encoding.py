@@ -29,7 +29,7 @@ class ChunkEncoder:
     otherwise white space is dropped and texts are lower-cased. limit: cached chunks, after which the cache starts anew.
     """
 
-    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 500_000):
+    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 250_000):
         self.encode_many, self.spaced, self.limit = encode_many, spaced, limit
         self._clear()
 
@@ -129,7 +129,7 @@ def _place(into: np.ndarray, at: np.ndarray, source: np.ndarray, starts: np.ndar
     into[_spread(at, lengths)] = source[_spread(starts, lengths)]
 
 
-def library_encoder(path: str, spaced: bool, limit: int = 500_000) -> ChunkEncoder:
+def library_encoder(path: str, spaced: bool, limit: int = 250_000) -> ChunkEncoder:
     """A ChunkEncoder on the tokenizers library; one thread, for Spark runs a task a core."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer

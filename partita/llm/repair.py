@@ -93,7 +93,7 @@ class Shard:
         return self.expand(self.symbols), ends[self.starts]
 
 
-def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 8, least: int = 24, symbols: int = 1 << 16) -> Shard:
+def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 6, least: int = 24, symbols: int = 1 << 16) -> Shard:
     """Re-Pair over one shard: every round replaces its most frequent pairs by new symbols.
 
     Pairs of a round are taken from the most frequent down, so that no symbol is a left side twice or on both sides; their
