@@ -56,8 +56,8 @@ def recognised_notes(scores: DataFrame, key: str = "score_id", column: str = "js
     return m.withColumn("chord_index", index).select(key, "measure", "chord_index", F.col("c.beat").alias("beat"), F.explode("c.notes").alias("n")).select(key, "measure", "chord_index", "beat", "n.*")
 
 
-COCO_LISTS = T.StructType.fromDDL("images array<struct<id:string,file_name:string,width:double,height:double>>, annotations array<struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
-COCO_MAPS = T.StructType.fromDDL("images map<string,struct<id:string,file_name:string,width:double,height:double>>, annotations map<string,struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
+COCO_LISTS = ("images array<struct<id:string,file_name:string,width:double,height:double>>, annotations array<struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
+COCO_MAPS = ("images map<string,struct<id:string,file_name:string,width:double,height:double>>, annotations map<string,struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
 
 
 def coco_boxes(raw: DataFrame, categories: DataFrame) -> DataFrame:
