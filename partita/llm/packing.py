@@ -17,16 +17,20 @@ from partita.llm.encoding import ChunkEncoder
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
+#: Fixed value: the special token of the byte-level vocabulary, which texts may spell out.
+SPECIAL = {"<|endoftext|>": 50256}
+
+
 def ranks_encoder(path: str, pattern: str) -> ChunkEncoder:
-    """Byte-level BPE from a rank file; the ids are those of the tokenizer file of the same vocabulary."""
+    """Byte-level BPE from a rank file; the ids are those of the tokenizer file of the same vocabulary, special strings included."""
     import base64
 
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return ChunkEncoder(lambda texts: [coding.encode_ordinary(t) for t in texts], spaced=True)
+    coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
+    return ChunkEncoder(lambda texts: [coding.encode(t, allowed_special="all") if "<|" in t else coding.encode_ordinary(t) for t in texts], spaced=True)
 
 
 class Packer:
