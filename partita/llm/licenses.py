@@ -92,7 +92,8 @@ class Scanner:
                     cell = max(cell, hit, key=lambda c: (c[0], c[1]))
                 row[i] = cell
             best.append(row)
-        m, first, last = max(best[-1].values(), key=lambda c: (c[0], c[1]), default=none)
+        # of equal matches the shortest span, then the one nearest to the diagonal
+        m, first, last = max(best[-1].values(), key=lambda c: (c[0], c[1] - c[2], -abs(c[1] + low - diagonal)), default=none)
         return m, first + low, last + low
 
     def scan(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
