@@ -32,6 +32,14 @@ def _packed(vectors: DataFrame) -> DataFrame:
     return vectors.mapInArrow(run, "id long, unit binary")
 
 
+def _vectors(column: pa.Array) -> np.ndarray:
+    """Unit vectors as floats from packed ones, read from Arrow's buffer as it is."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
+    unit = np.frombuffer(data, np.int8)[at[0] : at[-1]].reshape(len(column), -1).astype(np.float32)
+    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+
+
 def _top(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct neighbours of each node; `fresh` marks those not yet joined."""
     best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
@@ -46,15 +54,14 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
             column = batch.column("members")
             flat = column.flatten()
             if not len(flat):
                 continue
             ids, fresh, floor = (flat.field(n).to_numpy(zero_copy_only=False) for n in range(3))
-            unit = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.int8).reshape(len(ids), -1).astype(np.float32)
-            unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+            unit = _vectors(flat.field(3))
             sizes = np.diff(np.asarray(column.offsets))
             ends = np.cumsum(sizes)
             for a, b in zip(ends - sizes, ends):
@@ -70,6 +77,8 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
                 out.append((ids[a:b][row], ids[a:b][near[row, col]], got[row, col]))
             if out:
                 x, y, s = (np.concatenate(z) for z in zip(*out))
+                if not len(x):
+                    continue
                 # once per pair, and no more than per_member for each node of the batch
                 order = np.lexsort((y, -s, x))
                 x, y, s = x[order], y[order], s[order]
@@ -83,11 +92,6 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
     return groups.select("members").mapInArrow(run, "id long, nbr long, sim float")
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    unit = np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(len(column), -1).astype(np.float32)
-    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-
-
 def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2, block: int = 1024, starts: int = 6) -> DataFrame:
     """The neighbour graph (id, nbr, sim) of `packed` (id, unit): about the k nearest of each.
 
@@ -230,7 +234,7 @@ def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
     asked = _packed(queries.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
     beam = search(packed, nn_descent(packed), asked)
     by = Window.partitionBy("query_id")
-    best = beam.withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node"))).where(F.col("k") <= 4 * (k + 1)).select("query_id", "node")
+    best = beam.withColumn("k", F.row_number().over(by.orderBy(F.desc("sim"), "node"))).where(F.col("k") <= 64).select("query_id", "node")  # packed vectors are too coarse to settle the order of near copies
     both = best.join(nodes, best["node"] == nodes["id"]).select("query_id", "node", F.col("vec").alias("y")).join(queries.withColumnRenamed("vec", "x"), "query_id")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
