@@ -49,20 +49,24 @@ class ChunkEncoder:
         self.start = np.concatenate([self.start, used + np.cumsum(n)])
         self.known.update(zip(chunks, range(first, first + len(chunks))))
 
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        """A chunk as a word and the marks behind it, which every vocabulary here keeps apart."""
-        core = chunk.rstrip(_MARKS)
-        return (core, chunk[len(core) :]) if core != chunk and core[-1:].isalpha() else (chunk,)
-
     def _codes(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cache numbers of the two parts of each chunk; -1 where there is no second part."""
+        """Cache numbers of a chunk's word and of the marks behind it, which every vocabulary here keeps apart; -1 without marks."""
         if len(self.known) > self.limit:
             self._clear()
-        parts = [self._parts(c) for c in chunks]
-        if new := [p for p in dict.fromkeys(p for x in parts for p in x) if p not in self.known]:
+        first, second = [], []
+        for chunk in chunks:
+            core = chunk.rstrip(_MARKS)
+            if core != chunk and core[-1:].isalpha():
+                first.append(core)
+                second.append(chunk[len(core) :])
+            else:
+                first.append(chunk)
+                second.append(None)
+        marks = set(second) - {None}
+        if new := sorted((set(first) | marks).difference(self.known)):
             self._add(new)
-        get, n = self.known.__getitem__, len(parts)
-        return np.fromiter((get(x[0]) for x in parts), np.int64, n), np.fromiter((get(x[1]) if len(x) > 1 else -1 for x in parts), np.int64, n)
+        tail = {m: self.known[m] for m in marks} | {None: -1}
+        return np.fromiter(map(self.known.__getitem__, first), np.int64, len(first)), np.fromiter(map(tail.__getitem__, second), np.int64, len(second))
 
     def _plain(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """Texts made ready to be cut at spaces, and the numbers of those that have to be encoded whole."""
@@ -143,8 +147,8 @@ def library_encoder(path: str, spaced: bool, limit: int = 250_000) -> ChunkEncod
 _kept: dict[tuple, ChunkEncoder] = {}
 
 
-def kept_encoder(path: str, spaced: bool) -> ChunkEncoder:
+def kept_encoder(path: str, spaced: bool, limit: int) -> ChunkEncoder:
     """The worker's encoder for a vocabulary; its cache lives as long as the Python worker."""
     if (path, spaced) not in _kept:
-        _kept[path, spaced] = library_encoder(path, spaced)
+        _kept[path, spaced] = library_encoder(path, spaced, limit)
     return _kept[path, spaced]

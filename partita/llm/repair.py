@@ -160,7 +160,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, b
     rows = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, shard = kept_encoder(vocabulary, False), TaskContext.get().partitionId(), 0
+        encoder, part, shard = kept_encoder(vocabulary, False, 750_000), TaskContext.get().partitionId(), 0
         ids: list[np.ndarray] = []
         names: list = []
         sizes: list[int] = []
@@ -171,7 +171,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, b
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(starts[-1])], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["part", "shard", "n_tokens", "n_docs", "payload"])
 
         for whole in batches:
-            for batch in slices(whole, "text", 4 << 20):
+            for batch in slices(whole, "text"):
                 flat, bounds = encoder.encode(batch.column("text").to_pylist())
                 n = np.diff(bounds)
                 ends = np.insert(flat, bounds[1:], end_id)  # after each document
