@@ -63,22 +63,22 @@ def chunk_keys(reps: DataFrame, length: int, chunk: int, errors: int) -> DataFra
 
 
 def _close(pairs: DataFrame, reps: DataFrame, distance: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `distance` positions, with both set sizes."""
+    """The pairs (a, b) whose signatures differ in at most `distance` positions."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
                 batch = batch.filter(pa.array((x != y).sum(axis=1) <= distance))
-            yield batch.select(["a", "b", "na", "nb"])
+            yield batch.select(["a", "b"])
 
-    left = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"), F.col("n").alias("na"))
-    right = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("n").alias("nb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long, na long, nb long")
+    left = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+    right = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").distinct().mapInArrow(run, "a long, b long")
 
 
-def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in `ids`, made from their texts."""
+def _sets(docs: DataFrame, again: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the documents in `ids`, made from their texts; equal rows of the repeated doc_ids `again` give one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,23 +86,25 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
                 yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
 
-    texts = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    own = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
+    several = own.join(again, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
+    texts = own.join(again, "doc_id", "left_anti").select("doc_id", "text").union(several.select("doc_id", "text"))
     return texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
 
 
-def _measured(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(a, b, na, nb, common) of pairs (a, b, na, nb): the exact overlap of their sets.
+def _measured(docs: DataFrame, again: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(a, b, na, nb, common) of pairs (a, b): the sizes and the exact overlap of their sets.
 
     The sets are made again from the texts of the rows that take part, which are few.
     """
-    sets = _sets(docs, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
+    sets = _sets(docs, again, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
     x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
     y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", F.size(F.array_intersect("xa", "xb")).alias("common"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("common"))
     return written(both, "measured")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 60, chunk: int = 6, errors: int = 1, distance: int = 29, crowd: int = 64, classes: int = 128) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 5, errors: int = 1, distance: int = 22, crowd: int = 64, classes: int = 128) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`.
 
     Documents are linked if their sets of word shingles reach the Jaccard similarity (percent); component_id is the smallest
@@ -110,14 +112,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
 
     1. Every row gets a minhash signature of `length` positions of 16 bits. Rows of one set share a representative.
     2. Signatures are cut into chunks of `chunk` positions; a row per chunk and choice of `errors` positions left out makes
-       every pair within chunks x (errors + 1) - 1 positions (19 of 60) meet in some bucket; other pairs meet if one chunk has no
+       every pair within chunks x (errors + 1) - 1 positions (15 of 40) meet in some bucket; other pairs meet if one chunk has no
        more errors, which at similarity 0.8 fails once in 40,000.
     3. Each bucket links its members to two leaders, its least one and one drawn by hash, after their full sets are compared.
        Thousands of copies thus cost a few links each, not all pairs. Components follow.
     4. Pairs of a bucket that are still in different components are compared too, so no link is lost; pairs inside a component
        can't change it. Pairs that can't reach the similarity are left out by exact bounds: sizes, distances to common leaders
        (the triangle inequality of the Jaccard distance), and, in buckets of `crowd` members or more, the shingles that others
-       have at all. What remains within `distance` positions (at 0.8, more is seen once in 10^7) is confirmed on full sets.
+       have at all. What remains within `distance` positions (at 0.8, more is seen once in 10^6) is confirmed on full sets.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id). Rows that share a doc_id
     are one document with several sets. Rows with a null doc_id are left alone: null component_id, kept. Other columns are
@@ -132,17 +134,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
 
     keys = chunk_keys(reps, length, chunk, errors)
     # two leaders: the least member, and one by a hash that differs among buckets
-    drawn = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(4))))
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last"), drawn.alias("other")).where("leader < last").select("key", "leader", "other")
-    buckets = written(keys.join(shared, "key"), "buckets")
+    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
+    buckets = written(keys.join(shared, "key"), "shared")
+    drawn = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(2))))
+    buckets = written(buckets.join(buckets.groupBy("key").agg(drawn.alias("other")), "key"), "buckets")
     stars = buckets.select(F.col("id").alias("x"), F.explode(F.array("leader", "other")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    sizes = reps.select("id", "n")
-    stars = stars.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b")
-    stars = _measured(docs, stars, words)
+    again = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
+    stars = _measured(docs, again, stars, words)
     linked = 100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
     links = stars.where(linked).select("a", "b")
 
-    again = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
     several = known.join(again, "doc_id").join(reps.select("set_id", "id"), "set_id").select("doc_id", "id")
     several = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
     first = connected_components(links.union(several))
@@ -162,7 +163,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     stats = apart.groupBy("key").agg(F.count("*").alias("members"), F.mode("component").alias("main"))
     apart = written(apart.join(stats, "key"), "members")
     large = apart.where(F.col("members") >= crowd).select("id").distinct()
-    tokens = _sets(docs, large, words).select("id", F.explode("shingles").alias("token"))
+    tokens = _sets(docs, again, large, words).select("id", F.explode("shingles").alias("token"))
     part = F.pmod("token", F.lit(classes)).cast("int").alias("part")
     alone = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id", part).agg((-F.count("*")).alias("c"))
     counts = tokens.groupBy("id", part).agg(F.count("*").alias("c")).union(alone).groupBy("id", "part").agg(F.sum("c").alias("c"))
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     x = x.where("x_component <> x_main")
     rest = x.join(y, (F.col("x_key") == F.col("y_key")) & can).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
     rest = rest.join(far.select("a", "b"), ["a", "b"], "left_anti")
-    more = _measured(docs, written(_close(rest, reps, distance), "near"), words).where(linked)
+    more = _measured(docs, again, written(_close(rest, reps, distance), "near"), words).where(linked)
     found = connected_components(more.select("a", "b").union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     whole = reps.select("set_id", "id").join(found, F.col("id") == F.col("node"), "left").select("set_id", F.coalesce("component", "id").alias("component"))
