@@ -114,7 +114,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     2. Signatures are cut into chunks of `chunk` positions; a row per chunk and choice of `errors` positions left out makes
        every pair within chunks x (errors + 1) - 1 positions (15 of 40) meet in some bucket; other pairs meet if one chunk has no
        more errors, which at similarity 0.8 fails once in 40,000.
-    3. Each bucket links its members to two leaders, its least one and one drawn by hash, after their full sets are compared.
+    3. Each bucket links its members to its least one, and if it is large to one drawn by hash, after full sets are compared.
        Thousands of copies thus cost a few links each, not all pairs. Components follow.
     4. Pairs of a bucket that are still in different components are compared too, so no link is lost; pairs inside a component
        can't change it. Pairs that can't reach the similarity are left out by exact bounds: sizes, distances to common leaders
@@ -133,12 +133,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     reps = written(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "sets")
 
     keys = chunk_keys(reps, length, chunk, errors)
-    # two leaders: the least member, and one by a hash that differs among buckets
+    # leaders: the least member and, in large buckets, one by a hash that differs among buckets
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
     buckets = written(keys.join(shared, "key"), "shared")
     drawn = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(2))))
-    buckets = written(buckets.join(buckets.groupBy("key").agg(drawn.alias("other")), "key"), "buckets")
-    stars = buckets.select(F.col("id").alias("x"), F.explode(F.array("leader", "other")).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    large = buckets.groupBy("key").agg(F.count("*").alias("members"), drawn.alias("other")).where(F.col("members") >= crowd).select("key", "other")
+    buckets = written(buckets.join(large, "key", "left").withColumn("other", F.coalesce("other", "leader")), "buckets")
+    stars = buckets.select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("leader", "other"))).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     again = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     stars = _measured(docs, again, stars, words)
     linked = 100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
