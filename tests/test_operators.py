@@ -191,6 +191,23 @@ def test_rare_classes_reach_validation(spark):
     assert s[0] == "val" and sum(v == "val" for v in s.values()) == 40
 
 
+def test_d6_splits_every_image(spark, tmp_path):
+    from partita.plans.dataset import d6_stratified_split
+
+    # suppliers 9 and 10 give classes 27 and 30: images 1 to 40 hold only the first (rare), every image over 40 class 0, some also class 30 (rare)
+    own = {i: {27} if i <= 40 else {0, 30} if i % 7 == 0 else {0} for i in range(1, 401)}
+    rows = [(i * 100 + c, i, {0: 11, 27: 9, 30: 10}[c], 1, 1.0, 1.0, "1995-01-01") for i, cs in own.items() for c in cs]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    u = {r.i: r.u for r in spark.range(1, 401).select(F.col("id").alias("i"), dataset.draw(F.col("id")).alias("u")).collect()}
+    val = set()
+    for c in (0, 27, 30):
+        has = sorted((i for i in own if c in own[i]), key=lambda i: (u[i], i))
+        val |= set(has[: max(1, len(has) // 10)]) if len(has) < 100 else set()
+    val |= set(sorted(own.keys() - val, key=lambda i: (u[i], i))[: 80 - len(val)])
+    got = {r.image_id: r.split for r in d6_stratified_split(spark, str(tmp_path)).collect()}
+    assert got == {i: "val" if i in val else "train" for i in own}
+
+
 def test_weighted_sample_with_replacement(spark):
     w = spark.createDataFrame([(1, 1.0), (2, 0.0001), (3, 3.0)], "k long, weight double")
     n = {r.k: r["count"] for r in dataset.weighted_sample(w, "k", 400, replacement=True).groupBy("k").count().collect()}
