@@ -93,54 +93,75 @@ class Shard:
         return self.expand(self.symbols), ends[self.starts]
 
 
-def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, rounds: int = 6, least: int = 24, symbols: int = 1 << 16) -> Shard:
-    """Re-Pair over one shard: every round replaces its most frequent pairs by new symbols.
-
-    Pairs of a round are taken from the most frequent down, so that no symbol is a left side twice or on both sides; their
-    occurrences then can't overlap and are replaced at once. Pairs never reach over the end of a document. It ends after
-    `rounds`, when no pair occurs `least` times, or when `symbols` numbers are used up.
+def _apart(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where a pair may begin: not at the end of a document, and in a run of one symbol only at every second place from its left."""
+    free = np.ones(len(seq) - 1, bool)
+    ends = starts[1:-1]
+    free[ends[(ends > 0) & (ends < len(seq))] - 1] = False
+    same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+    if len(same):
+        first = np.flatnonzero(np.concatenate([[True], np.diff(same) != 1]))
+        free[same[(np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))) % 2 == 1]] = False
+    return free
+
+
+def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, least: int = 24, symbols: int = 1 << 16) -> Shard:
+    """Re-Pair over one shard: rounds replace the most frequent pairs by new symbols until no pair occurs `least` times.
+
+    A round takes pairs from the most frequent down to a bound, so that no symbol is a left side and a right side; their
+    occurrences then can't overlap and are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced
+    left to right. The bound falls to an eighth when no pair reaches it. Pairs never reach over the end of a document. It ends early
+    only when `symbols` numbers are used up.
     """
     seq = ids.astype(np.uint32)
     starts = np.asarray(starts, np.int64)
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     size = lambda s: 1 if s < base else lengths[s - base]
-    for _ in range(rounds):
-        room = symbols - base - len(rules)
-        if room <= 0 or len(seq) < 2:
-            break
-        last = np.zeros(len(seq), bool)
-        last[starts[1:][starts[1:] > 0] - 1] = True
-        inside = ~last[:-1]
-        pairs = np.sort(((seq[:-1] << np.uint32(16)) | seq[1:])[inside]) if symbols <= 1 << 16 else np.sort((seq[:-1].astype(np.uint64) << np.uint64(32) | seq[1:])[inside])
-        if not len(pairs):
-            break
-        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+    bound = max(least, len(seq))
+    while len(rules) < symbols - base and len(seq) > 1:
+        n = np.bincount(seq, minlength=base + len(rules))
+        bound = max(least, min(bound, int(n.max())))
+        many = (n >= bound)[seq]
+        at = np.flatnonzero(_apart(seq, starts) & many[:-1] & many[1:])
+        x, y = seq[at], seq[at + 1]
+        codes = (x.astype(kind) << kind(shift)) | y
+        pairs = np.sort(codes)
+        edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
         count = np.diff(np.append(edge, len(pairs)))
-        often = np.flatnonzero(count >= least)
-        order = often[np.argsort(-count[often], kind="stable")]
-        shift = 16 if symbols <= 1 << 16 else 32
-        partner = np.full(base + len(rules), -1, np.int64)
-        made = np.zeros(base + len(rules), np.int64)
-        right: set[int] = set()
-        fresh = 0
-        for pair in pairs[edge[order]].tolist():
-            x, y = pair >> shift, pair & ((1 << shift) - 1)
-            if x == y or partner[x] >= 0 or x in right or partner[y] >= 0:
+        often = np.flatnonzero(count >= bound)
+        if not len(often):
+            if bound == least:
+                break
+            bound = max(least, bound // 8)
+            continue
+        taken: dict[int, int] = {}
+        side: dict[int, str] = {}
+        for pair in pairs[edge[often[np.argsort(-count[often], kind="stable")]]].tolist():
+            a, b = pair >> shift, pair & ((1 << shift) - 1)
+            if a == b:
+                if a in side:
+                    continue
+                side[a] = "both"
+            elif side.get(a, "left") != "left" or side.get(b, "right") != "right":
                 continue
-            partner[x], made[x] = y, base + len(rules)
-            right.add(y)
-            n = size(x) + size(y)
-            rules.append((x, y))
-            lengths.append(n)
-            fresh += 1
-            if fresh >= room:
+            else:
+                side[a], side[b] = "left", "right"
+            taken[pair] = base + len(rules)
+            rules.append((a, b))
+            lengths.append(size(a) + size(b))
+            if len(rules) == symbols - base:
                 break
-        if not fresh:
-            break
-        hit = (partner[seq[:-1]] == seq[1:]) & inside
-        at = np.flatnonzero(hit)
-        seq[at] = made[seq[at]]
+        keys = np.array(sorted(taken), kind)
+        made = np.array([taken[k] for k in keys.tolist()], np.uint32)
+        left, right = np.zeros((2, base + len(rules)), bool)
+        left[keys >> kind(shift)] = right[keys & kind((1 << shift) - 1)] = True
+        some = np.flatnonzero(left[x] & right[y])
+        place = np.minimum(np.searchsorted(keys, codes[some]), len(keys) - 1)
+        hit = keys[place] == codes[some]
+        at = at[some[hit]]
+        seq[at] = made[place[hit]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         kept = np.concatenate([[0], np.cumsum(keep)])

@@ -89,6 +89,25 @@ def test_grammar_gives_every_document_back():
     assert (flat == np.concatenate(parts)).all() and (found == starts).all()
 
 
+def test_grammar_leaves_no_frequent_pair():
+    rng = np.random.default_rng(2)
+    text = rng.integers(0, 40, 300)
+    parts = [text] * 200 + [np.concatenate([np.full(n, 3), rng.integers(0, 40, 7)]) for n in range(400)] + [np.empty(0, int)]
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    shard = repair.compress(list(range(len(parts))), np.concatenate(parts), starts, 50)
+    seen = Counter()
+    for a, b in zip(shard.starts[:-1], shard.starts[1:]):
+        row, last = shard.symbols[a:b].tolist(), None
+        for k, pair in enumerate(zip(row, row[1:])):
+            if pair[0] != pair[1] or last != k - 1:  # pairs of one symbol from the left, without overlap
+                seen[pair] += 1
+                last = k if pair[0] == pair[1] else None
+            else:
+                last = None
+    assert max(seen.values()) < 24 and len(shard.rules) + 50 < 1 << 16
+    assert shard.lengths.max() >= 300 and all((shard.document(k) == p).all() for k, p in enumerate(parts))
+
+
 def test_op6_pieces_cover_every_id_once(docs):
     t = tok(BYTE)
     rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
