@@ -20,16 +20,17 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
-    """(id, unit) with the unit vector as 8-bit integers: enough to build the graph."""
+    """(id, unit, err) with the unit vector as 8-bit integers, and how far it lies from the exact one: a cosine of two is off by the sum of their err at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 u = _unit(matrix(batch.column("vec")))
                 q = np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in q], pa.binary())], ["id", "unit"])
+                near = q / np.sqrt((q.astype(float) ** 2).sum(axis=1, keepdims=True))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(np.sqrt(((near - u) ** 2).sum(axis=1)))], ["id", "unit", "err"])
 
-    return vectors.mapInArrow(run, "id long, unit binary")
+    return vectors.mapInArrow(run, "id long, unit binary, err double")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
@@ -41,9 +42,12 @@ def _vectors(column: pa.Array) -> np.ndarray:
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
-    """The k nearest distinct neighbours of each node; `fresh` marks those not yet joined."""
-    best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
+    """The k nearest distinct neighbours of each node; `fresh` marks those not yet joined, `added` those not there before.
+
+    Ties go by hash, so that nodes equal in 8 bits don't all choose the same few.
+    """
+    best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.min("added").alias("added"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.xxhash64("id", "nbr"), "nbr"))
     return best.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
@@ -63,6 +67,7 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
             ids, fresh, floor = (flat.field(n).to_numpy(zero_copy_only=False) for n in range(3))
             unit = _vectors(flat.field(3))
             sizes = np.diff(np.asarray(column.offsets))
+            chance = np.random.default_rng(int(ids[0]) & 0xFFFF).random(2 * int(sizes.max()), np.float32) * np.float32(1e-6)
             ends = np.cumsum(sizes)
             for a, b in zip(ends - sizes, ends):
                 if b - a < 2:
@@ -71,7 +76,8 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
                 ok = (fresh[a:b, None] | fresh[None, a:b]) & (ids[a:b, None] != ids[None, a:b]) & (sim > floor[a:b, None])
                 sim[~ok] = -2
                 k = min(per_member, b - a - 1)
-                near = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+                # equal nodes choose by chance, each row by its own
+                near = np.argpartition(np.lib.stride_tricks.sliding_window_view(chance[: 2 * (b - a) - 1], b - a) - sim, k - 1, axis=1)[:, :k]
                 got = np.take_along_axis(sim, near, axis=1)
                 row, col = np.nonzero(got > -2)
                 out.append((ids[a:b][row], ids[a:b][near[row, col]], got[row, col]))
@@ -92,22 +98,15 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
     return groups.select("members").mapInArrow(run, "id long, nbr long, sim float")
 
 
-def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2, block: int = 1024, starts: int = 6) -> DataFrame:
-    """The neighbour graph (id, nbr, sim) of `packed` (id, unit): about the k nearest of each.
+def _cells(packed: DataFrame, n: int, block: int, starts: int, pivots: int = 512) -> DataFrame:
+    """(id, unit, start, cell): nodes keyed by their nearest pivot, `starts` times, and again inside every cell that is large.
 
-    Start: each of `starts` times, nodes are keyed by their nearest of at most 512 pivots (the nodes of least hash) and cut by
-    hash into blocks of about `block`, which are compared in full. Then every round joins each node's neighbours and
-    reverse neighbours with each other (of either kind at most `sample` that are fresh and `sample` known ones, drawn by hash),
-    which compares neighbours of neighbours, and keeps the best k. The graph is approximate; searches on it are measured for recall.
+    A level gives a cell of m nodes 4 m / (3 block) pivots, `pivots` at most, so levels grow with n and no table of pivots does. Cells
+    over four blocks are divided further, unless nine tenths of the cell above fell into them: pivots can't tell those apart.
     """
-    spark = packed.sparkSession
-    n = packed.count()
-    if not n:
-        return spark.createDataFrame([], "id long, nbr long, sim float")
-    pivots = min(512, -(-4 * n // (3 * block)))
     frames = []
     for start in range(starts):
-        rows = packed.orderBy(F.xxhash64("id", F.lit(start)), "id").limit(pivots)
+        rows = packed.orderBy(F.xxhash64("id", F.lit(start)), "id").limit(min(pivots, -(-4 * n // (3 * block))))
         frames.append(_vectors(pa.array([r["unit"] for r in rows.select("unit").collect()], pa.binary())))
 
     def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +114,53 @@ def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2
             if batch.num_rows:
                 unit = _vectors(batch.column("unit"))
                 for start, frame in enumerate(frames):
-                    near = (unit @ frame.T).argmax(axis=1).astype(np.int32)
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(np.full(len(near), start, np.int32)), pa.array(near)], ["id", "unit", "start", "cell"])
+                    near = (unit @ frame.T).argmax(axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("unit"), pa.array(np.full(len(near), start, np.int32)), pa.array(near), pa.array(np.full(len(near), n))], ["id", "unit", "start", "cell", "above"])
+
+    def divide(rows: pa.Table, frame: pa.Table) -> pa.Table:
+        near = np.empty(0, np.int64)
+        if rows.num_rows and frame.num_rows:
+            frame = frame.sort_by("id")
+            near = (_vectors(rows.column("unit").combine_chunks()) @ _vectors(frame.column("unit").combine_chunks()).T).argmax(axis=1)
+        return rows.select(["id", "unit", "start", "cell", "m"]).append_column("near", pa.array(near))
+
+    cells, done, level = written(packed.mapInArrow(cell, "id long, unit binary, start int, cell long, above long"), "cells"), None, 0
+    while True:
+        large = written(cells.groupBy("start", "cell").agg(F.count("*").alias("m"), F.max("above").alias("above")).where((F.col("m") > 4 * block) & (10 * F.col("m") < 9 * F.col("above"))).select("start", "cell", "m"), "large")
+        small = cells.join(large, ["start", "cell"], "left_anti").select("id", "unit", "start", "cell")
+        done = small if done is None else done.union(small)
+        if large.isEmpty():
+            return done
+        level += 1
+        rows = cells.join(large, ["start", "cell"]).select("id", "unit", "start", "cell", "m", F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / 4096)).alias("part"))
+        turn = F.row_number().over(Window.partitionBy("start", "cell").orderBy(F.xxhash64("id", "start", F.lit(level)), "id"))
+        frame = rows.withColumn("turn", turn).where((F.col("turn") <= pivots) & (F.col("turn") <= F.ceil(4 * F.col("m") / (3 * block))))
+        frame = written(frame.select("id", "unit", "start", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("m") / 4096) - 1)).alias("part")), "pivots")
+        found = rows.groupBy("start", "cell", "part").cogroup(frame.groupBy("start", "cell", "part")).applyInArrow(divide, "id long, unit binary, start int, cell long, m long, near long")
+        cells = written(found.select("id", "unit", "start", F.xxhash64("cell", "near", F.lit(level)).alias("cell"), F.col("m").alias("above")), "cells")
+
+
+def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, changes: float = 0.001, block: int = 1024, starts: int = 6) -> DataFrame:
+    """The neighbour graph (id, nbr, sim) of `packed` (id, unit): about the k nearest of each.
 
-    cells = written(packed.mapInArrow(cell, "id long, unit binary, start int, cell int"), "cells")
-    count = cells.groupBy("start", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))  # at most starts x 512 rows
-    blocks = cells.join(F.broadcast(count), ["start", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", "start"), F.col("blocks")))
+    Start: each of `starts` times, nodes are keyed by their nearest pivot (see _cells) and cut by hash into blocks of about
+    `block`, which are compared in full. Then every round joins each node's neighbours and reverse neighbours with each other
+    (of either kind at most `sample` that are fresh and `sample` known ones, drawn by hash), which compares neighbours of
+    neighbours, and keeps the best k. Rounds end when at most the share `changes` of the edges is new. The graph is approximate;
+    searches on it are measured for recall.
+    """
+    spark = packed.sparkSession
+    n = packed.count()
+    if not n:
+        return spark.createDataFrame([], "id long, nbr long, sim float")
+    cells = _cells(packed, n, block, starts)
+    count = cells.groupBy("start", "cell").agg(F.ceil(F.count("*") / block).alias("blocks"))
+    blocks = cells.join(count, ["start", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", "start"), F.col("blocks")))
     member = F.struct("id", F.lit(True).alias("fresh"), F.lit(-2.0).cast("float").alias("floor"), "unit")
     first = _compare(blocks.groupBy("start", "cell", "block").agg(F.collect_list(member).alias("members")), min(k, 16))
-    graph = written(_top(first.withColumn("fresh", F.lit(True)), k), "graph")
-    for turn in range(rounds):
+    graph = written(_top(first.withColumns({"fresh": F.lit(True), "added": F.lit(True)}), k), "graph")
+    turn = 0
+    while not graph.isEmpty():
         drawn = F.row_number().over(Window.partitionBy("id", "fresh").orderBy(F.xxhash64("id", "nbr", F.lit(turn)), "nbr")) <= sample
         graph = graph.withColumn("drawn", drawn)
         back = F.row_number().over(Window.partitionBy("nbr", "fresh").orderBy(F.xxhash64("nbr", "id", F.lit(turn)), "id"))
@@ -133,21 +169,25 @@ def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, rounds: int = 2
         floor = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
         lit = packed.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0).cast("float")))
         groups = joined.join(lit, "id").groupBy("at").agg(F.collect_list(F.struct("id", "fresh", "floor", "unit")).alias("members"))
-        found = _compare(groups, k).select("id", "nbr", "sim", F.lit(True).alias("fresh"))
-        graph = written(_top(graph.select("id", "nbr", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh")).union(found), k), "graph")
+        found = _compare(groups, k).select("id", "nbr", "sim", F.lit(True).alias("fresh"), F.lit(True).alias("added"))
+        graph = written(_top(graph.select("id", "nbr", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(False).alias("added")).union(found), k), "graph")
+        turn += 1
+        total, added = graph.agg(F.count("*"), F.count_if("added")).first()
+        if added <= changes * total:
+            break
     return graph.select("id", "nbr", "sim")
 
 
-def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, steps: int = 12, entries: int = 1024, block: int = 512, part: int = 4096) -> DataFrame:
+def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, entries: int = 1024, block: int = 512, part: int = 4096) -> DataFrame:
     """(query_id, node, sim): the beam of `ef` nodes that greedy search ends with, for `asked` (query_id, unit).
 
     Each query starts from the best of at most `entries` nodes (those of least hash). A step takes the best half beam of nodes not
     expanded yet, joins them with their neighbours both ways (the `degree` nearest), measures those and keeps the best ef; it
-    ends when no beam has a node left to expand, or after `steps`. Queries go in blocks of `block`, so that a node that many
+    ends when no beam has a node left to expand. Queries go in blocks of `block`, so that a node that many
     queries of a block meet is sent to it once; a block's nodes are cut into parts of about `part`.
     """
     both = graph.select("id", "nbr", "sim").union(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "nbr"))
+    rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.xxhash64("id", "nbr"), "nbr"))
     links = written(both.withColumn("rank", rank).where(F.col("rank") <= degree).groupBy("id").agg(F.collect_list("nbr").alias("nbrs")), "links")
     n = asked.count()
     blocks = -(-max(1, n) // block)
@@ -204,7 +244,7 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
 
     by = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
     beam = written(asked.mapInArrow(enter, "query_id long, block int, node long, sim float").withColumn("done", F.lit(False)), "beam")
-    for _ in range(steps):
+    while not beam.where("NOT done").isEmpty():
         todo = beam.where("NOT done").withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef // 2).select("query_id", "block", "node")
         met = todo.join(links, todo["node"] == links["id"]).groupBy("block").applyInArrow(meet, "block int, node long, queries array<long>")
         met = met.join(packed, met["node"] == packed["id"]).select("block", "node", "queries", "unit", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
@@ -214,8 +254,6 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
         now = beam.join(todo.select("query_id", "node", F.lit(True).alias("now")), ["query_id", "node"], "left").select("query_id", "block", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         every = now.union(new.withColumn("done", F.lit(False))).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
         beam = written(every.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k"), "beam")
-        if beam.where("NOT done").isEmpty():
-            break
     return beam.select("query_id", "node", "sim")
 
 

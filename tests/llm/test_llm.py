@@ -288,6 +288,31 @@ def test_op1_recall(spark):
     assert ann.nearest(spark.createDataFrame(rows[:3], VECTORS), lambda v: v == 0).count() == 2
 
 
+def test_op1_graph_converges_from_a_poor_start(spark):
+    x = np.random.default_rng(5).normal(size=(3000, 12))
+    packed = ann._packed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).localCheckpoint()
+    cells = ann._cells(packed, 3000, 16, 1, pivots=4)
+    assert cells.count() == 3000 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 64
+    found = defaultdict(set)
+    for r in ann.nn_descent(packed, block=16, starts=2).collect():
+        found[r.id].add(r.nbr)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = u @ u.T
+    np.fill_diagonal(sims, -2)
+    want = np.argsort(-sims, axis=1)[:, :10]
+    assert np.mean([len(found[i] & set(want[i].tolist())) / 10 for i in range(3000)]) > 0.95
+
+
+def test_op1_recall_with_more_nodes_than_entries(spark):
+    x = np.random.default_rng(6).normal(size=(3000, 12)).astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist(), "s") for i, v in enumerate(x)], VECTORS).repartition(4)
+    got = defaultdict(set)
+    for r in ann.nearest(table, lambda v: v % 50 == 0, 5).collect():
+        got[r.query_id].add(r.vec_id)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert np.mean([len(got[q] & {int(i) for i in np.argsort(-(u @ u[q]))[:6]}) / 5 for q in range(0, 3000, 50)]) >= 0.9
+
+
 def test_op5_is_exact(spark):
     rows = vector_rows() + [(2300, [0.0] * 12, None)]
     got = [tuple(r) for r in mips.top_products(spark.createDataFrame(rows, VECTORS).repartition(4), lambda v: v % 100 == 0, 10, block=50).orderBy("query_id", "rank").collect()]
