@@ -313,6 +313,18 @@ def test_op1_recall_with_more_nodes_than_entries(spark):
     assert np.mean([len(got[q] & {int(i) for i in np.argsort(-(u @ u[q]))[:6]}) / 5 for q in range(0, 3000, 50)]) >= 0.9
 
 
+def test_op1_settles_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(size=(200, 12)), rng.normal(size=12) + 1e-4 * rng.normal(size=(500, 12))]).astype(np.float32)
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame([(i, v.tolist(), "s") for i, v in enumerate(x)], VECTORS).repartition(4), lambda v: v % 50 == 0, 5).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    u = x.astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    for q in range(200, 700, 50):
+        assert got[q] == [i for i in np.argsort(((u - u[q]) ** 2).sum(axis=1)) if i != q][:5]
+
+
 def test_op5_is_exact(spark):
     rows = vector_rows() + [(2300, [0.0] * 12, None)]
     got = [tuple(r) for r in mips.top_products(spark.createDataFrame(rows, VECTORS).repartition(4), lambda v: v % 100 == 0, 10, block=50).orderBy("query_id", "rank").collect()]
