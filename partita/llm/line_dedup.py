@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from partita.llm.common import ASCII_SPACE, fresh
+from partita.llm.common import ASCII_SPACE, fresh, written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -23,16 +23,16 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts:
     Rows that repeat a doc_id count as one document and are each cut; null ids count as one document together. Columns of
     `docs` named n_lines or n_dropped are replaced. An empty table gives no rows.
 
-    Keys travel as MD5 values beside (row, position); texts are shuffled once, to meet the list of dropped positions. The
-    count is combined before it is shuffled, and a key's lines are spread over `salts` parts, so a line that a third of the
-    documents share is no hot spot.
+    Lines are cut and hashed once, into a table of (row, position, MD5 of the key) in the shared folder; texts are shuffled
+    once, to meet the list of dropped positions. The count is combined before it is shuffled, and a key's lines are spread
+    over `salts` parts, so a line that a third of the documents share is no hot spot.
     """
     row, lines, pos, key, salt, drop = (fresh(docs, n) for n in ("__row", "__lines", "__pos", "__key", "__salt", "__drop"))
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.withColumn("text", text).withColumn(row, F.struct(F.col("doc_id").alias("id"), F.xxhash64("text").alias("h")))
 
     each = base.select(row, F.posexplode(F.split("text", "\n", -1)).alias(pos, lines)).select(row, pos, line_key(F.col(lines)).alias(lines))
-    each = each.where(F.char_length(lines) >= min_chars).select(row, pos, F.unhex(F.md5(lines)).alias(key))
+    each = written(each.where(F.char_length(lines) >= min_chars).select(row, pos, F.unhex(F.md5(lines)).alias(key)), "lines")
     frequent = each.groupBy(key).agg(F.count_distinct(F.struct(f"{row}.id")).alias(drop)).where(F.col(drop) >= min_docs).select(key)
     frequent = frequent.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = each.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
