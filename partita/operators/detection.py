@@ -62,38 +62,63 @@ def assign(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...
     return all_.withColumn("tp", F.when(F.col("hit") & (turn == 1), 1).otherwise(0)).select("threshold", "image_id", "det_id", "class_id", "conf", "tp")
 
 
-def curve(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("threshold",)) -> DataFrame:
+def _points(assigned: DataFrame, by: tuple[str, ...], slices: int) -> DataFrame:
+    """`assigned` with slice, tp_sum and k: the place of each detection in its class by (conf desc, image_id, det_id), and the true ones up to it.
+
+    Counted in two passes, inside slices of confidence and over the slices before, so that a class spreads over as many tasks as it has slices.
+    """
+    keys = [*by, "class_id", "slice"]
+    cut = F.floor((1 - F.least(F.greatest("conf", F.lit(0.0)), F.lit(1.0))) * slices)
+    w = Window.partitionBy(*keys).orderBy(F.desc("conf"), "image_id", "det_id")
+    here = assigned.withColumn("slice", F.coalesce(cut, F.lit(slices))).withColumns({"tp_sum": F.sum("tp").over(w), "k": F.row_number().over(w).cast("long")})
+    sums = here.groupBy(*keys).agg(F.max("tp_sum").alias("tp_here"), F.max("k").alias("k_here"))  # at most a row a slice and class
+    upto = Window.partitionBy(*by, "class_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    before = sums.select(*keys, *[F.coalesce(F.sum(f"{c}_here").over(upto), F.lit(0)).alias(f"{c}_before") for c in ("tp", "k")])
+    out = here.join(before, keys)
+    return out.withColumns({"tp_sum": F.col("tp_sum") + F.col("tp_before"), "k": F.col("k") + F.col("k_before")}).drop("tp_before", "k_before")
+
+
+def curve(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("threshold",), slices: int = 1024) -> DataFrame:
     """Precision and recall after each detection of a class, by confidence: cumulative counts over (conf desc, image_id, det_id)."""
-    w = Window.partitionBy(*by, "class_id").orderBy(F.desc("conf"), "image_id", "det_id")
     n = truth.groupBy("class_id").agg(F.count("*").alias("n_truth"))
-    out = assigned.withColumn("tp_sum", F.sum("tp").over(w)).withColumn("k", F.row_number().over(w)).join(F.broadcast(n), "class_id")
+    out = _points(assigned, by, slices).join(F.broadcast(n), "class_id")
     return out.withColumn("recall", F.col("tp_sum") / F.col("n_truth")).withColumn("precision", F.col("tp_sum") / F.col("k"))
 
 
-def average_precision(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("threshold",), groups: DataFrame | None = None) -> DataFrame:
-    """ap of every class that has truth boxes, by `by`: the area under the monotone envelope of precision; 0 without detections.
+def class_report(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("threshold",), groups: DataFrame | None = None, slices: int = 1024) -> DataFrame:
+    """n_truth, n, tp and ap of every class of truth boxes or detections, by `by`. groups: the values of `by`, if some have no detections.
 
-    A class is one window group; the cumulative sums don't spread beyond the classes (times thresholds).
+    ap is the area under the monotone envelope of precision: 0 without detections, NULL without truth boxes. Recall grows at true
+    detections only, and precision has its maxima there, so the envelope is taken over those, in two passes as the counts are.
     """
-    points = curve(assigned, truth, by)
-    down = Window.partitionBy(*by, "class_id").orderBy("k").rowsBetween(0, Window.unboundedFollowing)
-    before = Window.partitionBy(*by, "class_id").orderBy("k")
-    points = points.withColumn("envelope", F.max("precision").over(down)).withColumn("gain", F.col("recall") - F.coalesce(F.lag("recall").over(before), F.lit(0.0)))
-    ap = points.groupBy(*by, "class_id").agg(F.sum(F.col("gain") * F.col("envelope")).alias("ap"))
-    classes = truth.select("class_id").distinct()
-    levels = groups if groups is not None else assigned.select(*by).distinct()
-    return classes.crossJoin(F.broadcast(levels)).join(ap, [*by, "class_id"], "left").fillna(0.0, ["ap"]).select(*by, "class_id", "ap")
+    keys = [*by, "class_id"]
+    points = _points(assigned, by, slices).withColumn("precision", F.col("tp_sum") / F.col("k"))
+    down = Window.partitionBy(*keys, "slice").orderBy(F.desc("k")).rowsBetween(Window.unboundedPreceding, 0)
+    points = points.withColumn("envelope", F.max("precision").over(down))
+    best = points.groupBy(*keys, "slice").agg(F.max("envelope").alias("best"), F.count("*").alias("n_here"), F.sum("tp").alias("tp_here"))
+    after = best.select(*keys, "slice", F.max("best").over(Window.partitionBy(*keys).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)).alias("after"))
+    area = points.where("tp = 1").join(after, [*keys, "slice"]).groupBy(*keys).agg(F.sum(F.greatest("envelope", "after")).alias("area"))
+    seen = best.groupBy(*keys).agg(F.sum("n_here").alias("n"), F.sum("tp_here").alias("tp")).join(area, keys, "left")
+    levels = groups if groups is not None else seen.select(*by).distinct()
+    n = truth.groupBy("class_id").agg(F.count("*").alias("n_truth")).crossJoin(F.broadcast(levels))
+    out = n.join(seen, keys, "full").fillna(0, ["n_truth", "n", "tp"])
+    return out.select(*keys, "n_truth", "n", "tp", F.when(F.col("n_truth") > 0, F.coalesce(F.col("area") / F.col("n_truth"), F.lit(0.0))).alias("ap"))
 
 
-def mean_average_precision(ap: DataFrame, by: tuple[str, ...] = ("threshold",)) -> DataFrame:
-    return ap.groupBy(*by).agg(F.avg("ap").alias("map"))
+def average_precision(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...] = ("threshold",), groups: DataFrame | None = None) -> DataFrame:
+    """ap of every class that has truth boxes, by `by`; see class_report."""
+    return class_report(assigned, truth, by, groups).where("ap IS NOT NULL").select(*by, "class_id", "ap")
+
+
+def summarised(report: DataFrame, by: tuple[str, ...]) -> DataFrame:
+    """map (the mean ap of classes with truth boxes), detections, true_positives, precision and recall of a class_report, by `by`."""
+    out = report.groupBy(*by).agg(F.avg("ap").alias("map"), F.sum("n").alias("detections"), F.sum("tp").alias("true_positives"), F.sum("n_truth").alias("n_truth"))
+    share = lambda n: F.col("true_positives") / F.when(F.col(n) > 0, F.col(n))
+    return out.select(*by, "map", "detections", "true_positives", share("detections").alias("precision"), share("n_truth").alias("recall"))
 
 
-def totals(assigned: DataFrame, truth: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Detections, true positives, precision and recall by `by`."""
-    n = truth.agg(F.count("*").alias("n_truth"))
-    out = assigned.groupBy(*by).agg(F.count("*").alias("n"), F.sum("tp").alias("tp")).crossJoin(F.broadcast(n))
-    return out.select(*by, "n", "tp", (F.col("tp") / F.col("n")).alias("precision"), (F.col("tp") / F.col("n_truth")).alias("recall"))
+def mean_average_precision(ap: DataFrame, by: tuple[str, ...] = ("threshold",)) -> DataFrame:
+    return ap.groupBy(*by).agg(F.avg("ap").alias("map"))
 
 
 # Ordered folds: boxes of a group in a given order, state in one JVM aggregate. The cost is boxes times kept boxes of a group.
@@ -221,8 +246,8 @@ def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> Data
     all_ = all_.withColumn("hit", F.coalesce(F.col("iou") >= threshold, F.lit(False)))
     turn = F.row_number().over(Window.partitionBy("name", "image_id", "class_id", "line_no", "hit").orderBy(F.desc("conf"), "det_id"))
     assigned = all_.withColumn("tp", F.when(F.col("hit") & (turn == 1), 1).otherwise(0))
-    ap = average_precision(assigned, truth, ("name",), named.select("name").distinct())
-    return mean_average_precision(ap, ("name",)).withColumnRenamed("map", "map50").join(totals(assigned, truth, ("name",)).select("name", "precision", "recall"), "name")
+    report = class_report(assigned, truth, ("name",), named.select("name").distinct())
+    return summarised(report, ("name",)).select("name", F.col("map").alias("map50"), "precision", "recall")
 
 
 def error_classes(truth: DataFrame, detections: DataFrame, foreground: float = 0.5, background: float = 0.1) -> DataFrame:

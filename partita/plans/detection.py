@@ -70,9 +70,8 @@ def e3_average_precision(spark, sf_dir):
 @query("map_eval", f"{ap_sql()} SELECT round(avg(ap),6) AS map50, (SELECT count(*) FROM a) AS detections, (SELECT sum(tp) FROM a) AS true_positives FROM ap")
 def map_eval(spark, sf_dir):
     t = boxes(spark, sf_dir)
-    a = D.assign(t, detections(spark, sf_dir))
-    m = D.mean_average_precision(D.average_precision(a, t))
-    return m.select(F.round("map", 6).alias("map50")).crossJoin(a.agg(F.count("*").alias("detections"), F.sum("tp").alias("true_positives")))
+    m = D.summarised(D.class_report(D.assign(t, detections(spark, sf_dir)), t), ("threshold",))
+    return m.select(F.round("map", 6).alias("map50"), "detections", "true_positives")
 
 
 LEVELS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
