@@ -7,16 +7,25 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.llm.common import slices, written
 from partita.llm.components import connected_components
 from partita.llm.shingles import MinHash, shingle_sets
 
+#: Bits of a sketch: the set of the shingle hashes modulo this number.
+SKETCH = 2048
+
+
+def sketch(hashes: np.ndarray) -> bytes:
+    bits = np.zeros(SKETCH, np.uint8)
+    bits[hashes & np.uint64(SKETCH - 1)] = 1
+    return np.packbits(bits).tobytes()
+
 
 def signatures(docs: DataFrame, words: int, length: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) of every row; set_id is a 128-bit digest of the shingle set."""
+    """(doc_id, n_shingles, set_id, signature, sketch) of every row; set_id is a 128-bit digest of the shingle set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -24,173 +33,263 @@ def signatures(docs: DataFrame, words: int, length: int) -> DataFrame:
         sign = MinHash(length)
         for whole in batches:
             for batch in slices(whole, "text"):
-                n, ids, signs = [], [], []
+                n, ids, signs, bits = [], [], [], []
                 for s in shingle_sets(batch.column("text"), words):
                     n.append(len(s))
                     ids.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                     signs.append(sign(s).tobytes() if len(s) else None)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(signs, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
+                    bits.append(sketch(s) if len(s) else None)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), *(pa.array(x, pa.binary()) for x in (ids, signs, bits))], ["doc_id", "n_shingles", "set_id", "signature", "sketch"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary, sketch binary")
 
 
-def chunk_keys(reps: DataFrame, length: int, chunk: int, errors: int) -> DataFrame:
-    """(key, id): one key for each chunk of the signature and each choice of `errors` positions left out of it.
+class Chunks:
+    """A signature cut into chunks, of which every choice of `errors` positions is left out in turn: one key each.
 
-    Two signatures that differ in at most (chunks x (errors + 1) - 1) positions have a chunk with at most `errors`
-    differences (pigeonhole), so they share a key. With up to three positions left in a chunk, keys hold the values themselves.
+    Two signatures that differ in at most `guaranteed` positions have a chunk with at most `errors` differences (pigeonhole),
+    so they share a key; others may. With up to three positions left in a chunk, keys hold the values themselves.
     """
-    chunks = length // chunk
-    masks = [[p for p in range(chunk) if p not in left] for left in combinations(range(chunk), errors)]
+
+    def __init__(self, length: int, chunk: int, errors: int):
+        if length % chunk or not 0 <= errors < chunk:
+            raise ValueError("chunks have to divide the signature and hold more positions than errors")
+        self.chunk, self.errors, self.count = chunk, errors, length // chunk
+        self.left = list(combinations(range(chunk), errors))
+        self.guaranteed = self.count * (errors + 1) - 1
+        # which choice covers the differences of a chunk, as bits; -1: too many
+        self.cover = np.array([next((m for m, left in enumerate(self.left) if all(p in left for p in range(chunk) if code >> p & 1)), -1) for code in range(1 << chunk)])
+
+    def keys(self, signs: np.ndarray) -> np.ndarray:
+        """A column for each chunk and choice."""
+        sig = signs.reshape(-1, self.count, self.chunk).astype(np.uint64)
+        out = np.empty((len(sig), self.count * len(self.left)), np.int64)
+        for slot in range(out.shape[1]):
+            c, left = slot // len(self.left), self.left[slot % len(self.left)]
+            mask = [p for p in range(self.chunk) if p not in left]
+            key = np.full(len(sig), slot, np.uint64)
+            with np.errstate(over="ignore"):
+                for p in mask:
+                    key = (key << np.uint64(16)) | sig[:, c, p] if len(mask) <= 3 else (key * np.uint64(0x9E3779B97F4A7C15)) ^ sig[:, c, p]
+            out[:, slot] = key.view(np.int64)
+        return out
+
+    def first_slot(self, differ: np.ndarray) -> np.ndarray:
+        """The first column in which two signatures meet, from where they differ (a row a pair); -1: none."""
+        code = differ.reshape(-1, self.count, self.chunk) @ (1 << np.arange(self.chunk))
+        cover = self.cover[code]
+        c = (cover >= 0).argmax(axis=1)
+        m = cover[np.arange(len(c)), c]
+        return np.where(m >= 0, c * len(self.left) + m, -1)
+
+
+def _signs(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+
+
+def _bits(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(len(column), -1)
+
+
+def _possible(na: np.ndarray, nb: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: int) -> np.ndarray:
+    """Whether two sets may be similar: each bit that one sketch lacks is an element that its set lacks. Never wrong about a similar pair."""
+    common = np.minimum(na - np.bitwise_count(a & ~b).sum(axis=1, dtype=np.int64), nb - np.bitwise_count(b & ~a).sum(axis=1, dtype=np.int64))
+    return 100 * common >= similarity * (na + nb - common)
+
+
+def bucket_rows(reps: DataFrame, chunks: Chunks) -> DataFrame:
+    """(key, id): a row for each key of each signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), np.uint16).reshape(-1, chunks, chunk).astype(np.uint64)
-            keys = []
-            for c in range(chunks):
-                for m, mask in enumerate(masks):
-                    key = np.full(len(sig), c * len(masks) + m, np.uint64)
-                    with np.errstate(over="ignore"):
-                        for p in mask:
-                            key = (key << np.uint64(16)) | sig[:, c, p] if len(mask) <= 3 else (key * np.uint64(0x9E3779B97F4A7C15)) ^ sig[:, c, p]
-                    keys.append(key.view(np.int64))
-            ids = batch.column("id")
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.concat_arrays([ids] * len(keys))], ["key", "id"])
+            if batch.num_rows:
+                keys = chunks.keys(_signs(batch.column("signature")))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), batch.column("id").take(pa.array(np.repeat(np.arange(len(keys)), keys.shape[1])))], ["key", "id"])
 
     return reps.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def _close(pairs: DataFrame, reps: DataFrame, distance: int) -> DataFrame:
-    """The pairs (a, b) whose signatures differ in at most `distance` positions."""
+def _near_leaders(stars: DataFrame, reps: DataFrame, distance: int, similarity: int) -> DataFrame:
+    """(a, b, d): the pairs whose signatures differ in at most `distance` positions and whose sets may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-                batch = batch.filter(pa.array((x != y).sum(axis=1) <= distance))
-            yield batch.select(["a", "b"])
+                d = (_signs(batch.column("xsignature")) != _signs(batch.column("ysignature"))).sum(axis=1).astype(np.int32)
+                nx, ny = batch.column("xn").to_numpy(), batch.column("yn").to_numpy()
+                ok = (d <= distance) & _possible(nx, ny, _bits(batch.column("xsketch")), _bits(batch.column("ysketch")), similarity)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(pa.array(ok)) for c in "ab"), pa.array(d[ok])], ["a", "b", "d"])
 
-    left = reps.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-    right = reps.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").distinct().mapInArrow(run, "a long, b long")
+    x, y = (reps.select(F.col("id").alias(side), *[F.col(c).alias(f"{name}{c}") for c in ("n", "signature", "sketch")]) for side, name in (("a", "x"), ("b", "y")))
+    return stars.join(x, "a").join(y, "b").mapInArrow(run, "a long, b long, d int")
 
 
-def _sets(docs: DataFrame, again: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the documents in `ids`, made from their texts; equal rows of the repeated doc_ids `again` give one."""
+def _cross_pairs(rows: DataFrame, chunks: Chunks, distance: int, similarity: int, few: int | None) -> DataFrame:
+    """(a, b, d, ca, cb): pairs of different components that a block's rows allow; each pair comes from the first bucket in which it meets.
+
+    rows: key, i, j (a block), role (x, y or both), id, component, main, n, signature, sketch. An x row meets the y rows of its
+    block. few: at most so many pairs of two components from a batch, the nearest ones.
+    """
+    names = ["a", "b", "d", "ca", "cb"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, i, j, role, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "role", "id", "component", "n"))
+        main = t.column("main").to_numpy(zero_copy_only=False)
+        signs, bits = _signs(t.column("signature")), _bits(t.column("sketch"))
+        edge = np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+        group = np.cumsum(edge) - 1
+        xs, ys = np.flatnonzero(((role == 0) & ~main) | (role == 1)), np.flatnonzero(role != 1)
+        ny = np.bincount(group[ys], minlength=group[-1] + 1)
+        first = np.cumsum(ny) - ny
+        takes = ny[group[xs]]
+        upto = np.cumsum(takes)
+        slots, found, at = chunks.keys(signs), [], 0
+        while at < len(xs):
+            end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + (1 << 18), side="right")))
+            own, k = xs[at:end], takes[at:end]
+            ends = np.cumsum(k)
+            x = np.repeat(own, k)
+            y = ys[np.repeat(first[group[own]] - (ends - k), k) + np.arange(int(ends[-1]))]
+            ok = (comp[x] != comp[y]) & (main[y] | (ids[x] < ids[y])) & (100 * np.minimum(n[x], n[y]) >= similarity * np.maximum(n[x], n[y]))
+            x, y = x[ok], y[ok]
+            differ = signs[x] != signs[y]
+            d = differ.sum(axis=1)
+            ok = d <= distance
+            x, y, d, differ = x[ok], y[ok], d[ok], differ[ok]
+            ok = slots[x, chunks.first_slot(differ)] == key[x]
+            x, y, d = x[ok], y[ok], d[ok]
+            ok = _possible(n[x], n[y], bits[x], bits[y], similarity)
+            found.append(np.stack([x[ok], y[ok], d[ok]]))
+            at = end
+        x, y, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
+        lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        if few is not None and len(x):
+            order = np.lexsort((d, hi, lo))
+            x, y, d, lo, hi = (v[order] for v in (x, y, d, lo, hi))
+            start = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
+            keep = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < few
+            x, y, d, lo, hi = (v[keep] for v in (x, y, d, lo, hi))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(d.astype(np.int32)), pa.array(lo), pa.array(hi)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, batch]).combine_chunks()
+            last = [t.column(c)[-1].as_py() for c in ("key", "i", "j")]
+            same = np.logical_and.reduce([t.column(c).to_numpy() == v for c, v in zip(("key", "i", "j"), last)])
+            cut = t.num_rows - int(same.sum())  # the last block may go on
+            if cut:
+                yield pairs(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut).to_batches()
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
+
+    return rows.mapInArrow(run, "a long, b long, d int, ca long, cb long")
+
+
+def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
+    """The rows of _cross_pairs for the buckets that hold more than one component.
+
+    Inside a bucket's largest component nothing has to be compared, so it stands on one side only; either side is cut into
+    blocks of about `block` rows.
+    """
+    placed = buckets.join(found, buckets["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
+    sizes = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("main")).where("components > 1")
+    sizes = sizes.select("key", F.col("main.component").alias("chief"), F.ceil((F.col("m") - F.col("main.m")) / block).alias("nx"), F.ceil(F.col("m") / block).alias("ny"))
+    rows = placed.join(sizes, "key").withColumn("main", F.col("component") == F.col("chief"))
+    small = F.col("nx") * F.col("ny") == 1
+    to = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
+    part = lambda n: F.array(F.pmod(F.xxhash64("id"), F.col(n)))
+    places = lambda role, i, j: F.transform(i, lambda p: F.transform(j, lambda q: F.struct(F.lit(role).alias("role"), p.alias("i"), q.alias("j"))))
+    x, y = places(1, part("nx"), to("ny")), places(2, to("nx"), part("ny"))
+    every = F.when(small, places(0, part("nx"), part("ny"))).otherwise(F.concat(F.when(F.col("main"), F.slice(x, 1, 0)).otherwise(x), y))
+    rows = rows.select("key", "id", "component", "main", F.explode(F.flatten(every)).alias("p")).select("key", "p.i", "p.j", "p.role", "id", "component", "main")
+    return rows.join(reps.select("id", "n", "signature", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """(id, shingles) of the sets `ids`, made again from the texts of their documents."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = [s.view(np.int64) for s in shingle_sets(batch.column("text"), words)]
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], ["id", "shingles"])
+                found = list(shingle_sets(batch.column("text"), words))
+                yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    own = docs.join(ids, docs["doc_id"] == ids["id"], "left_semi")
-    several = own.join(again, "doc_id", "left_semi").groupBy("doc_id", F.xxhash64("text")).agg(F.first("text").alias("text"))
-    texts = own.join(again, "doc_id", "left_anti").select("doc_id", "text").union(several.select("doc_id", "text"))
-    return texts.select(F.col("doc_id").alias("id"), "text").mapInArrow(run, "id long, shingles array<long>")
+    wanted = reps.join(ids, "id", "left_semi")
+    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    made = texts.mapInArrow(run, "set_id binary, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+    return written(made.join(wanted.select("set_id", "id"), "set_id").select("id", "shingles"), "shingles")
 
 
-def _measured(docs: DataFrame, again: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(a, b, na, nb, common) of pairs (a, b): the sizes and the exact overlap of their sets.
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity."""
+    x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
+    both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
+    return written(both.where(100 * F.col("common") >= similarity * (F.col("sum") - F.col("common"))).select("a", "b"), "links")
 
-    The sets are made again from the texts of the rows that take part, which are few.
-    """
-    sets = _sets(docs, again, pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), words)
-    x = sets.select(F.col("id").alias("a"), F.col("shingles").alias("xa"))
-    y = sets.select(F.col("id").alias("b"), F.col("shingles").alias("xb"))
-    both = pairs.join(x, "a").join(y, "b").select("a", "b", F.size("xa").alias("na"), F.size("xb").alias("nb"), F.size(F.array_intersect("xa", "xb")).alias("common"))
-    return written(both, "measured")
 
+def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
+    """Components `found` (node, component), joined by further links."""
+    return connected_components(links.union(found.select("node", "component")))
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 5, errors: int = 1, distance: int = 22, crowd: int = 64, classes: int = 128) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 4, errors: int = 1, distance: int = 19, leaders: int = 3, few: int = 4, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`.
 
     Documents are linked if their sets of word shingles reach the Jaccard similarity (percent); component_id is the smallest
     doc_id that links reach, kept marks the row whose doc_id that is. A text of fewer words than a shingle is one shingle.
 
     1. Every row gets a minhash signature of `length` positions of 16 bits. Rows of one set share a representative.
-    2. Signatures are cut into chunks of `chunk` positions; a row per chunk and choice of `errors` positions left out makes
-       every pair within chunks x (errors + 1) - 1 positions (15 of 40) meet in some bucket; other pairs meet if one chunk has no
-       more errors, which at similarity 0.8 fails once in 40,000.
-    3. Each bucket links its members to its least one, and if it is large to one drawn by hash, after full sets are compared.
-       Thousands of copies thus cost a few links each, not all pairs. Components follow.
-    4. Pairs of a bucket that are still in different components are compared too, so no link is lost; pairs inside a component
-       can't change it. Pairs that can't reach the similarity are left out by exact bounds: sizes, distances to common leaders
-       (the triangle inequality of the Jaccard distance), and, in buckets of `crowd` members or more, the shingles that others
-       have at all. What remains within `distance` positions (at 0.8, more is seen once in 10^6) is confirmed on full sets.
+    2. Signatures are cut into chunks of `chunk` positions, with a key for each choice of `errors` positions left out: all pairs
+       within `distance` positions meet in a bucket (chunks x (errors + 1) - 1 has to be at least that, or this raises). At
+       similarity 0.8, sets differ in more than 19 of 40 positions once in 30,000.
+    3. Members meet their buckets' least ones; for each member the `leaders` nearest are confirmed on full sets. Thousands of
+       copies thus cost a few links each, not all pairs. Components follow.
+    4. Pairs of a bucket within `distance` that lie in different components are compared too, first the `few` nearest pairs of
+       each two components, then, over what is still apart, every pair: no link is lost, for pairs inside a component can't
+       change it. Sizes and sketches (bits that one set has and the other lacks) rule out pairs that can't reach the
+       similarity; the rest is confirmed on full sets.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id). Rows that share a doc_id
     are one document with several sets. Rows with a null doc_id are left alone: null component_id, kept. Other columns are
     ignored; an empty table gives no rows.
     """
-    if length % chunk or not 0 <= errors < chunk:
-        raise ValueError("chunks have to divide the signature and hold more positions than errors")
+    chunks = Chunks(length, chunk, errors)
+    if distance > chunks.guaranteed:
+        raise ValueError("the chunks don't guarantee this distance")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = written(signatures(docs, words, length), "signatures")
     known = rows.where("set_id IS NOT NULL AND doc_id IS NOT NULL")
-    reps = written(known.groupBy("set_id").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n")), "sets")
+    one = known.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("signature", "sketch")], F.first("n_shingles").alias("n"))
+    reps = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
 
-    keys = chunk_keys(reps, length, chunk, errors)
-    # leaders: the least member and, in large buckets, one by a hash that differs among buckets
+    keys = bucket_rows(reps, chunks)
     shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    buckets = written(keys.join(shared, "key"), "shared")
-    drawn = F.min_by("id", F.xxhash64("id", F.pmod("key", F.lit(2))))
-    large = buckets.groupBy("key").agg(F.count("*").alias("members"), drawn.alias("other")).where(F.col("members") >= crowd).select("key", "other")
-    buckets = written(buckets.join(large, "key", "left").withColumn("other", F.coalesce("other", "leader")), "buckets")
-    stars = buckets.select(F.col("id").alias("x"), F.explode(F.array_distinct(F.array("leader", "other"))).alias("y")).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    again = written(known.groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
-    stars = _measured(docs, again, stars, words)
-    linked = 100 * F.col("common") >= similarity * (F.col("na") + F.col("nb") - F.col("common"))
-    links = stars.where(linked).select("a", "b")
-
-    several = known.join(again, "doc_id").join(reps.select("set_id", "id"), "set_id").select("doc_id", "id")
+    buckets = written(keys.join(shared, "key"), "buckets")
+    near = _near_leaders(buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, distance, similarity)
+    turn = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))
+    near = written(near.withColumn("turn", turn).where(F.col("turn") <= leaders).select("a", "b"), "near")
+    sets = _sets(docs, reps, buckets.select("id").distinct(), words)
+
+    again = known.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id")
+    several = known.join(again, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(reps.select("set_id", "id"), "set_id")
     several = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
-    first = connected_components(links.union(several))
-
-    # what a bucket's leaders did not bring together
-    placed = buckets.join(first.withColumnRenamed("node", "id"), "id", "left").select("key", "id", "leader", "other", F.coalesce("component", "id").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    far = stars.groupBy("a", "b").agg(F.max(1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("far"))
-    far = far.union(far.select("b", "a", "far"))
-    apart = placed.join(mixed, "key").join(reps.groupBy("id").agg(F.min("n").alias("n0"), F.max("n").alias("n1")), "id")
-    for pivot in ("leader", "other"):
-        away = F.when(F.col("id") == F.col(pivot), 0.0).otherwise(F.col("far")).alias(f"from_{pivot}")
-        apart = apart.join(far.toDF("id", pivot, "far"), ["id", pivot], "left").select(*[c for c in apart.columns if c not in ("id", pivot)], "id", pivot, away)
-    apart = written(apart, "apart")
-    # In large buckets, shingles that no other of their documents has can't be common; the others are counted in classes by hash,
-    # and two documents have no more in common than the smaller count of each class allows.
-    stats = apart.groupBy("key").agg(F.count("*").alias("members"), F.mode("component").alias("main"))
-    apart = written(apart.join(stats, "key"), "members")
-    large = apart.where(F.col("members") >= crowd).select("id").distinct()
-    tokens = _sets(docs, again, large, words).select("id", F.explode("shingles").alias("token"))
-    part = F.pmod("token", F.lit(classes)).cast("int").alias("part")
-    alone = tokens.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id", part).agg((-F.count("*")).alias("c"))
-    counts = tokens.groupBy("id", part).agg(F.count("*").alias("c")).union(alone).groupBy("id", "part").agg(F.sum("c").alias("c"))
-    counts = counts.groupBy("id").agg(F.sum("c").alias("most"), F.map_from_entries(F.collect_list(F.struct("part", F.col("c").cast("int")))).alias("c"))
-    able = F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: F.coalesce(F.col("c")[k], F.lit(0)))
-    apart = apart.join(counts.select("id", "most", able.alias("able")), "id", "left")
-    apart = apart.withColumns({"most": F.when(F.col("members") >= crowd, F.col("most")).otherwise(F.col("n1")), "able": F.when(F.col("members") >= crowd, F.col("able"))})
-    apart = written(apart.where(100 * F.col("most") >= similarity * F.col("n0")).drop("members"), "able")
-    x, y = (apart.select(*[F.col(c).alias(f"{side}_{c}") for c in ("key", "main", "id", "component", "n0", "n1", "most", "able", "from_leader", "from_other")]) for side in "xy")
-    room = 1 - similarity / 100 + 1e-9
-    can = (F.col("x_component") != F.col("y_component")) & ((F.col("y_component") == F.col("y_main")) | (F.col("x_id") < F.col("y_id")))
-    can &= (100 * F.col("x_n1") >= similarity * F.col("y_n0")) & (100 * F.col("y_n1") >= similarity * F.col("x_n0"))
-    common = F.least("x_most", "y_most")
-    can &= 100 * common >= similarity * (F.col("x_n0") + F.col("y_n0") - common)
-    for pivot in ("leader", "other"):
-        can &= F.coalesce(F.abs(F.col(f"x_from_{pivot}") - F.col(f"y_from_{pivot}")) <= room, F.lit(True))
-    shared = F.aggregate(F.zip_with("x_able", "y_able", lambda i, j: F.least(i, j)), F.lit(0), lambda i, j: i + j)
-    can &= F.coalesce(100 * shared >= similarity * (F.col("x_n0") + F.col("y_n0") - shared), F.lit(True))
-    # pairs inside a component need no test, so its largest component stands on one side only
-    x = x.where("x_component <> x_main")
-    rest = x.join(y, (F.col("x_key") == F.col("y_key")) & can).select(F.least("x_id", "y_id").alias("a"), F.greatest("x_id", "y_id").alias("b")).distinct()
-    rest = rest.join(far.select("a", "b"), ["a", "b"], "left_anti")
-    more = _measured(docs, again, written(_close(rest, reps, distance), "near"), words).where(linked)
-    found = connected_components(more.select("a", "b").union(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-
-    whole = reps.select("set_id", "id").join(found, F.col("id") == F.col("node"), "left").select("set_id", F.coalesce("component", "id").alias("component"))
-    out = rows.join(whole, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    found = connected_components(_confirmed(near, sets, similarity).union(several))
+    for most in (few, None):
+        apart = _cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, most)
+        if most is not None:
+            turn = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("d", "a", "b"))
+            apart = apart.withColumn("turn", turn).where(F.col("turn") <= most)
+        found = _merged(found, _confirmed(written(apart.select("a", "b"), "apart"), sets, similarity))
+
+    whole = reps.join(found, F.col("id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "id").alias("component"))
+    least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    whole = whole.join(least, "component").select("set_id", "component_id")
+    out = rows.join(whole, "set_id", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-

@@ -215,12 +215,72 @@ def test_op9_against_all_pairs(spark):
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, component_id string").repartition(5)
     for words in (4, 5):
         n, want = components_of(texts, words, 80)
-        got = by_id(near_dedup.near_duplicates(docs, words=words, crowd=16))
+        got = by_id(near_dedup.near_duplicates(docs, words=words, leaders=1, few=1, block=16))
         assert [got[i].n_shingles for i in range(len(texts))] == n
         assert [got[i].component_id for i in range(len(texts))] == want
         assert all(got[i].kept == (got[i].component_id == i) for i in range(len(texts)))
 
 
+def planted(rng, length, distance, spread):
+    """Two signatures that differ in `distance` positions: spread evenly over the chunks (the worst case), or anywhere."""
+    a = rng.integers(0, 1 << 16, length, dtype=np.uint16)
+    order = np.arange(length).reshape(-1, 4).T.ravel() if spread else rng.permutation(length)
+    b = a.copy()
+    b[order[:distance]] ^= np.uint16(1)
+    return a, b
+
+
+def test_op9_guarantee(spark):
+    """Every pair within the distance shares a key, and the first shared one is told right; a farther pair may share none."""
+    rng, chunks = np.random.default_rng(3), near_dedup.Chunks(40, 4, 1)
+    assert chunks.guaranteed == 19
+    for distance in range(20):
+        for spread in (True, False, False, False):
+            a, b = planted(rng, 40, distance, spread)
+            x, y = chunks.keys(np.stack([a, b]))
+            assert (x == y).any() and chunks.first_slot((a != b)[None])[0] == (x == y).argmax()
+    a, b = planted(rng, 40, 20, True)
+    assert not np.equal(*chunks.keys(np.stack([a, b]))).any() and chunks.first_slot((a != b)[None])[0] == -1
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(spark.createDataFrame([], "doc_id long, text string"), distance=20)
+
+
+def test_op9_cross_pairs_are_all_pairs_within_the_distance(spark):
+    """Pairs at every distance, in components of their own and in blocks of a few rows: those within 19 come out, once each."""
+    rng, rows, want, n = np.random.default_rng(4), [], set(), 0
+    full = np.packbits(np.ones(near_dedup.SKETCH, np.uint8)).tobytes()
+    for distance in range(24):
+        for spread in (True, False):
+            for sign in planted(rng, 40, distance, spread):
+                rows.append((n, 10, sign.tobytes(), full))
+                n += 1
+            if distance <= 19:
+                want.add((n - 2, n - 1))
+    crowd = rng.integers(0, 1 << 16, 40, dtype=np.uint16)
+    for k in range(30):  # thirty in one bucket, all within the distance
+        sign = crowd.copy()
+        sign[k % 8] ^= np.uint16(k + 1)
+        rows.append((n + k, 10, sign.tobytes(), full))
+    want |= {(n + i, n + j) for i in range(30) for j in range(i + 1, 30)} - {(n, n + 1)}
+    reps, chunks = spark.createDataFrame(rows, "id long, n long, signature binary, sketch binary").repartition(3), near_dedup.Chunks(40, 4, 1)
+    found = spark.createDataFrame([(n, n), (n + 1, n)], "node long, component long")
+    blocks = near_dedup._blocks(near_dedup.bucket_rows(reps, chunks), found, reps, 7)
+    got = [(r.a, r.b) for r in near_dedup._cross_pairs(blocks, chunks, 19, 80, None).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_op9_sketch_bound_never_excludes_a_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 50, 3000):
+        for _ in range(40):
+            a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
+            b = np.union1d(rng.permutation(a)[: max(1, int(len(a) * rng.uniform(0.6, 1)))], rng.integers(0, 1 << 62, int(n * rng.uniform(0, 0.2)), dtype=np.uint64))
+            common = len(np.intersect1d(a, b))
+            x, y = (np.frombuffer(near_dedup.sketch(s), np.uint64)[None] for s in (a, b))
+            possible = near_dedup._possible(np.array([len(a)]), np.array([len(b)]), x, y, 80)[0]
+            assert possible or 100 * common < 80 * (len(a) + len(b) - common)
+
+
 def test_op9_edges(spark):
     schema = "doc_id long, text string"
     assert near_dedup.near_duplicates(spark.createDataFrame([], schema)).count() == 0
