@@ -71,7 +71,7 @@ class WordBpe:
 
     def encode(self, text: str) -> list[int]:
         ids: list[int] = []
-        for part in self._cut.split(text) if self._cut and "<|" in text else (text,):
+        for part in self._cut.split(text) if any(x in text for x in self.special) else (text,):
             if part in self.special:
                 ids.append(self.special[part])
             elif part:
@@ -90,7 +90,7 @@ _kept: dict[str, tuple[WordBpe, ChunkEncoder]] = {}
 def _kept_bpe(path: str) -> tuple[WordBpe, ChunkEncoder]:
     if path not in _kept:
         bpe = WordBpe(path)
-        _kept[path] = bpe, ChunkEncoder(lambda chunks: [bpe.encode(c) for c in chunks], spaced=False)
+        _kept[path] = bpe, ChunkEncoder(lambda chunks: [bpe.encode(c) for c in chunks], spaced=False, special=bpe.special)
     return _kept[path]
 
 

@@ -8,8 +8,9 @@ which the cut is not that simple (special-token strings, rare white space, runs
 from __future__ import annotations
 
 import os
+import re
 import unicodedata
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ import pyarrow.compute as pc
 
 #: ASCII marks that end a chunk; the apostrophe is left out, for it starts contractions.
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-#: White space beyond ASCII, the ASCII separators on which the libraries differ, and the start of special-token strings (RE2).
-_RARE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|<\|"
+#: White space beyond ASCII, and the ASCII separators on which the libraries differ (RE2).
+_RARE = r"[\x1c-\x1f\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 _UNEVEN = r"[ \n][ \n]|^[ \n]|[ \n]$|[\t\v\f\r]|^$|" + _RARE
 
 
@@ -27,10 +28,12 @@ class ChunkEncoder:
 
     encode_many: chunks or whole texts to lists of ids. spaced: chunks carry their leading space (byte-level vocabularies);
     otherwise white space is dropped and texts are lower-cased. limit: cached chunks, after which the cache starts anew.
+    special: the special-token strings of the vocabulary; texts that spell one out are encoded whole. size: of the vocabulary.
     """
 
-    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 250_000):
-        self.encode_many, self.spaced, self.limit = encode_many, spaced, limit
+    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 250_000, special: Iterable[str] = (), size: int | None = None):
+        self.encode_many, self.spaced, self.limit, self.size = encode_many, spaced, limit, size
+        self.whole = "|".join([_UNEVEN if spaced else _RARE, *map(re.escape, sorted(special))])
         self._clear()
 
     def _clear(self) -> None:
@@ -70,7 +73,7 @@ class ChunkEncoder:
 
     def _plain(self, texts: list[str]) -> tuple[list[str], list[int]]:
         """Texts made ready to be cut at spaces, and the numbers of those that have to be encoded whole."""
-        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), _UNEVEN if self.spaced else _RARE)
+        odd = pc.match_substring_regex(pa.array(texts, pa.large_string()), self.whole)
         whole = np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist()
         if self.spaced:
             ready = [("\n" + t).replace("\n", " \n")[1:] for t in texts]
@@ -141,7 +144,8 @@ def library_encoder(path: str, spaced: bool, limit: int = 250_000) -> ChunkEncod
     tok = Tokenizer.from_file(path)
     tok.no_truncation()
     tok.no_padding()
-    return ChunkEncoder(lambda x: [e.ids for e in tok.encode_batch_fast(list(x), add_special_tokens=False)], spaced, limit)
+    special = [t.content for t in tok.get_added_tokens_decoder().values()]
+    return ChunkEncoder(lambda x: [e.ids for e in tok.encode_batch_fast(list(x), add_special_tokens=False)], spaced, limit, special, tok.get_vocab_size(with_added_tokens=True))
 
 
 _kept: dict[tuple, ChunkEncoder] = {}

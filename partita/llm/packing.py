@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 SPECIAL = {"<|endoftext|>": 50256}
 
 
-def ranks_encoder(path: str, pattern: str) -> ChunkEncoder:
+def ranks_encoder(path: str, pattern: str, special: Mapping[str, int] = SPECIAL) -> ChunkEncoder:
     """Byte-level BPE from a rank file; the ids are those of the tokenizer file of the same vocabulary, special strings included."""
     import base64
 
@@ -29,8 +29,8 @@ def ranks_encoder(path: str, pattern: str) -> ChunkEncoder:
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-    coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=SPECIAL)
-    return ChunkEncoder(lambda texts: [coding.encode(t, allowed_special="all") if "<|" in t else coding.encode_ordinary(t) for t in texts], spaced=True)
+    coding = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(special))
+    return ChunkEncoder(lambda texts: [coding.encode(t, allowed_special="all") if any(x in t for x in special) else coding.encode_ordinary(t) for t in texts], spaced=True, special=special)
 
 
 class Packer:
