@@ -93,40 +93,63 @@ class Shard:
         return self.expand(self.symbols), ends[self.starts]
 
 
-def _apart(seq: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where a pair may begin: not at the end of a document, and in a run of one symbol only at every second place from its left."""
-    free = np.ones(len(seq) - 1, bool)
-    ends = starts[1:-1]
-    free[ends[(ends > 0) & (ends < len(seq))] - 1] = False
-    same = np.flatnonzero((seq[:-1] == seq[1:]) & free)
+def _apart(at: np.ndarray, equal: np.ndarray) -> np.ndarray:
+    """Which of the places `at` of pairs may be replaced: in a run of one symbol only every second from its left."""
+    same = np.flatnonzero(equal)
+    free = np.ones(len(at), bool)
     if len(same):
-        first = np.flatnonzero(np.concatenate([[True], np.diff(same) != 1]))
+        place = at[same]
+        first = np.flatnonzero(np.concatenate([[True], np.diff(place) != 1]))
         free[same[(np.arange(len(same)) - np.repeat(first, np.diff(np.append(first, len(same))))) % 2 == 1]] = False
     return free
 
 
-def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, least: int = 24, symbols: int = 1 << 16) -> Shard:
+def _short(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """A 19-bit hash of pairs."""
+    return ((x * np.uint32(0x9E3779B1) ^ y * np.uint32(0x85EBCA77)) >> np.uint32(13)).astype(np.intp)
+
+
+def _beside(right: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
+    """The places right and left of ascending places, those inside 0 to n - 1, each once."""
+    first = np.ones(len(left), bool)
+    first[1:] = left[1:] != right[:-1]
+    return np.concatenate([right[right < n], left[first & (left >= 0)]])
+
+
+def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, least: int = 9, symbols: int | None = None) -> Shard:
     """Re-Pair over one shard: rounds replace the most frequent pairs by new symbols until no pair occurs `least` times.
 
-    A round takes pairs from the most frequent down to a bound, so that no symbol is a left side and a right side; their
-    occurrences then can't overlap and are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced
-    left to right. The bound falls to an eighth when no pair reaches it. Pairs never reach over the end of a document. It ends early
-    only when `symbols` numbers are used up.
+    With symbols of two bytes, a rule (16 bytes) for a pair that occurs under nine times saves nothing. A round takes pairs from the
+    most frequent down to a bound, so that no symbol is a left side and a right side; their occurrences then can't overlap and
+    are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced left to right. The bound falls to a
+    quarter when no pair reaches it. Pairs are first counted by a short hash, and exactly only where that count reaches the bound.
+    Pairs never reach over the end of a document. It ends early only when `symbols` numbers are used up: 65,536, or for larger vocabularies so many more than `base`. Ids from
+    `base` on raise.
     """
+    symbols = symbols or (1 << 16 if base < 60_000 else base + (1 << 16))
     seq = ids.astype(np.uint32)
+    if len(seq) and int(seq.max()) >= base:
+        raise ValueError("the vocabulary has ids from the base of the rules on")
     starts = np.asarray(starts, np.int64)
     rules: list[tuple[int, int]] = []
     lengths: list[int] = []
     size = lambda s: 1 if s < base else lengths[s - base]
     kind, shift = (np.uint32, 16) if symbols <= 1 << 16 else (np.uint64, 32)
+    # n: pairs by short hash, kept up to date; the last number stands for pairs over the end of a document, which never count
+    hashes = 1 << 19
+    short = _short(seq[:-1], seq[1:])
+    ends = starts[(starts > 0) & (starts < len(seq))] - 1
+    short[ends] = hashes
+    n = np.bincount(short, minlength=hashes + 1)
     bound = max(least, len(seq))
-    while len(rules) < symbols - base and len(seq) > 1:
-        n = np.bincount(seq, minlength=base + len(rules))
-        bound = max(least, min(bound, int(n.max())))
-        many = (n >= bound)[seq]
-        at = np.flatnonzero(_apart(seq, starts) & many[:-1] & many[1:])
-        x, y = seq[at], seq[at + 1]
-        codes = (x.astype(kind) << kind(shift)) | y
+    while len(rules) < symbols - base:
+        n[hashes] = 0
+        if (top := int(n.max())) < least:
+            break
+        bound = max(least, min(bound, top))
+        at = np.flatnonzero((n >= bound)[short])
+        at = at[_apart(at, seq[at] == seq[at + 1])]
+        codes = (seq[at].astype(kind) << kind(shift)) | seq[at + 1]
         pairs = np.sort(codes)
         edge = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
         count = np.diff(np.append(edge, len(pairs)))
@@ -134,7 +157,7 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
         if not len(often):
             if bound == least:
                 break
-            bound = max(least, bound // 8)
+            bound = max(least, bound // 4)
             continue
         taken: dict[int, int] = {}
         side: dict[int, str] = {}
@@ -155,24 +178,30 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
                 break
         keys = np.array(sorted(taken), kind)
         made = np.array([taken[k] for k in keys.tolist()], np.uint32)
-        left, right = np.zeros((2, base + len(rules)), bool)
-        left[keys >> kind(shift)] = right[keys & kind((1 << shift) - 1)] = True
-        some = np.flatnonzero(left[x] & right[y])
-        place = np.minimum(np.searchsorted(keys, codes[some]), len(keys) - 1)
-        hit = keys[place] == codes[some]
-        at = at[some[hit]]
+        place = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
+        hit = keys[place] == codes
+        at = at[hit]
+        # the pairs that go: each replaced one and its neighbours, of which two replaced pairs side by side share one
+        n -= np.bincount(np.concatenate([short[at], short[_beside(at + 1, at - 1, len(short))]]), minlength=hashes + 1)
         seq[at] = made[place[hit]]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        kept = np.concatenate([[0], np.cumsum(keep)])
-        seq, starts = seq[keep], kept[starts]
+        seq, starts = seq[keep], starts - np.searchsorted(at + 1, starts)
+        keep = np.ones(len(short), bool)
+        keep[at] = False
+        short = short[keep]
+        now = at - np.arange(len(at))
+        new = _beside(now, now - 1, len(short))
+        new = new[short[new] < hashes]
+        short[new] = _short(seq[new], seq[new + 1])
+        n += np.bincount(short[new], minlength=hashes + 1)
     return Shard(doc_ids, starts, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), seq, base)
 
 
-def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, base: int = 49_408, shard_tokens: int = 1 << 20) -> None:
+def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, shard_tokens: int = 1 << 20) -> None:
     """Writes the ids of all documents, in ascending doc_id order, as shards under `path` (part, shard, n_tokens, n_docs, payload).
 
-    base: the first number free for rules (the size of the vocabulary). A null text counts as empty: its end id alone. Null
+    Rules are numbered from the size of the vocabulary on. A null text counts as empty: its end id alone. Null
     doc_ids come first, rows of one doc_id in the order of their text's hash. Rows are range-partitioned by doc_id; a task
     writes shards of about `shard_tokens` ids as it goes, so memory is bounded by a shard, or by one longer document.
     """
@@ -188,7 +217,7 @@ def write_shards(docs: DataFrame, vocabulary: str, path: str, end_id: int = 1, b
 
         def flush() -> pa.RecordBatch:
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            made = compress(names, np.concatenate(ids), starts, base)
+            made = compress(names, np.concatenate(ids), starts, encoder.size)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([int(starts[-1])], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([made.to_bytes()], pa.binary())], ["part", "shard", "n_tokens", "n_docs", "payload"])
 
         for whole in batches:

@@ -104,10 +104,33 @@ def test_grammar_leaves_no_frequent_pair():
                 last = k if pair[0] == pair[1] else None
             else:
                 last = None
-    assert max(seen.values()) < 24 and len(shard.rules) + 50 < 1 << 16
+    assert max(seen.values()) < 9 and len(shard.rules) + 50 < 1 << 16
     assert shard.lengths.max() >= 300 and all((shard.document(k) == p).all() for k, p in enumerate(parts))
 
 
+def test_grammar_of_runs_and_periods():
+    """One id a hundred thousand times, and a period of 64, shrink to a few symbols; ids beyond the vocabulary raise."""
+    for ids in (np.full(100_000, 7), np.tile(np.arange(64), 2_000)):
+        shard = repair.Shard.from_bytes(repair.compress([1], ids, np.array([0, len(ids)]), 100).to_bytes())
+        assert len(shard.symbols) < 40 and (shard.document(0) == ids).all()
+    with pytest.raises(ValueError):
+        repair.compress([1], np.array([5, 100]), np.array([0, 2]), 100)
+
+
+def test_special_strings_of_any_vocabulary(tmp_path):
+    """Special-token strings that start otherwise than usual are found as well."""
+    t = Tokenizer.from_file(WORD)
+    t.add_special_tokens(["[MASK]"])
+    t.save(str(tmp_path / "t.json"))
+    texts = ["plain words", "one [MASK] two", "[MASK]", "x[MASK]y <|endoftext|>"]
+    want = [e.ids for e in tok(str(tmp_path / "t.json")).encode_batch(texts, add_special_tokens=False)]
+    ids, bounds = encoding.library_encoder(str(tmp_path / "t.json"), False).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+    _, own = bpe._kept_bpe(str(tmp_path / "t.json"))
+    ids, bounds = own.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == want
+
+
 def test_op6_pieces_cover_every_id_once(docs):
     t = tok(BYTE)
     rows = packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
