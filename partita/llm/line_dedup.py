@@ -15,13 +15,13 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(ASCII_SPACE)), UPPER, LOWER)
 
 
-def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 16) -> DataFrame:
-    """All columns of `docs`, with `text` less its frequent lines, and n_lines (before) and n_dropped.
+def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts: int = 16, counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of `docs`, with `text` less its frequent lines, and the `counts` n_lines (before) and n_dropped.
 
     A line goes, in every document, if its key has at least `min_chars` code points and stands in at least `min_docs`
     different doc_ids. Null and empty texts are one empty line, which is never dropped; the text comes back empty, not null.
     Rows that repeat a doc_id count as one document and are each cut; null ids count as one document together. Columns of
-    `docs` named n_lines or n_dropped are replaced. An empty table gives no rows.
+    `docs` named as the counts are replaced. An empty table gives no rows.
 
     Lines are cut and hashed once, into a table of (row, position, MD5 of the key) in the shared folder; texts are shuffled
     once, to meet the list of dropped positions. The count is combined before it is shuffled, and a key's lines are spread
@@ -42,7 +42,7 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts:
     out = base.join(right, F.col(row).eqNullSafe(F.col(row + "r")), "left")
     cut = F.split("text", "\n", -1)
     kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(drop)), lambda i: F.get(cut, i))
-    out = out.withColumn("n_lines", F.size(cut).cast("long")).withColumn("n_dropped", F.coalesce(F.size(drop), F.lit(0)).cast("long"))
+    out = out.withColumn(counts[0], F.size(cut).cast("long")).withColumn(counts[1], F.coalesce(F.size(drop), F.lit(0)).cast("long"))
     out = out.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
-    names = list(docs.columns) + [c for c in ("n_lines", "n_dropped") if c not in {x.lower() for x in docs.columns}]
+    names = list(docs.columns) + [c for c in counts if c.lower() not in {x.lower() for x in docs.columns}]
     return out.select(*names)

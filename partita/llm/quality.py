@@ -102,14 +102,17 @@ class Ftrl:
 def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> np.ndarray:
     """The weights, the last of them the bias.
 
-    Learns from at most `settings.sample` labelled documents, those of the least hash, whose crc32(doc_id) mod 5 is not 0.
+    Learns from at most `settings.sample` labelled documents, those of the least hash, whose crc32(doc_id) mod 5 is not 0; of
+    rows that repeat a doc_id it takes the text of the least hash.
     The sample is split by hash into shards; each learns on its own and the weights are averaged. Only the weights
     (2^bits doubles a shard) reach the driver. Without any usable label all weights are 0 (every score 0.5).
     """
     order = F.xxhash64("doc_id", F.lit("sample"))
     usable = labels.where("doc_id IS NOT NULL AND quality IN (0, 1)").where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
     chosen = usable.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(order, "doc_id").limit(settings.sample)
-    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(settings.shards)))
+    # a text a document, so that the sample bounds the rows too
+    own = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("quality").alias("quality"))
+    sample = own.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(settings.shards)))
 
     def learn(shard: pa.Table) -> pa.Table:
         shard = shard.sort_by("doc_id")
@@ -127,17 +130,17 @@ def train(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     return np.average([np.frombuffer(p["weights"]) for p in parts], axis=0, weights=[p["n"] for p in parts])
 
 
-def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """All columns of `docs` and quality_score (0 to 1, higher: label 1 likelier); a column of that name is replaced.
+def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Settings(), column: str = "quality_score") -> DataFrame:
+    """All columns of `docs` and the score in `column` (0 to 1, higher: label 1 likelier); a column of that name is replaced.
 
     The score is the logistic function of a sparse dot product, taken over the whole text; null and empty texts get the
     bias alone. Repeated rows score alike; labels of unknown documents and null labels are skipped; of several labels of a
     document the largest counts. An empty table gives no rows.
     """
     weights = docs.sparkSession.sparkContext.broadcast(train(docs, labels, settings).astype(np.float32))
-    kept = [c for c in docs.columns if c.lower() != "quality_score"]
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
     base = docs.select(*kept)
-    schema = T.StructType([*base.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*base.schema.fields, T.StructField(column, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
@@ -148,6 +151,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, settings: Settings = Setti
                 n = np.diff(bounds)
                 dot = w[-1] + (sums[bounds[1:]] - sums[bounds[:-1]]) * settings.scale / np.maximum(n, 1)
                 score = 1 / (1 + np.exp(-np.clip(dot, -35, 35)))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "quality_score"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, column])
 
     return base.mapInArrow(run, schema)

@@ -91,7 +91,7 @@ FROM keyed GROUP BY doc_id
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
-    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     score = F.col("quality_score")
     return scored.select("doc_id", held_out.alias("held_out"), score.alias("score"), F.when(score >= Settings().threshold, 1).otherwise(0).alias("predicted"))
 
