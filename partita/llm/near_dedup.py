@@ -125,12 +125,12 @@ def _near_leaders(stars: DataFrame, reps: DataFrame, distance: int, similarity:
 
 
 def _cross_pairs(rows: DataFrame, chunks: Chunks, distance: int, similarity: int, few: int | None) -> DataFrame:
-    """(a, b, d, ca, cb): pairs of different components that a block's rows allow; each pair comes from the first bucket in which it meets.
+    """(a, b, d, ca, cb, more): pairs of different components that a block's rows allow; each pair comes from the first bucket in which it meets.
 
     rows: key, i, j (a block), role (x, y or both), id, component, main, n, signature, sketch. An x row meets the y rows of its
-    block. few: at most so many pairs of two components from a batch, the nearest ones.
+    block. few: at most so many pairs of two components from a batch, the nearest ones; `more` tells that there were others.
     """
-    names = ["a", "b", "d", "ca", "cb"]
+    names = ["a", "b", "d", "ca", "cb", "more"]
 
     def pairs(t: pa.Table) -> pa.RecordBatch:
         key, i, j, role, ids, comp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "role", "id", "component", "n"))
@@ -163,13 +163,15 @@ def _cross_pairs(rows: DataFrame, chunks: Chunks, distance: int, similarity: int
             at = end
         x, y, d = np.concatenate(found, axis=1) if found else np.empty((3, 0), np.int64)
         lo, hi = np.minimum(comp[x], comp[y]), np.maximum(comp[x], comp[y])
+        more = np.zeros(len(x), bool)
         if few is not None and len(x):
             order = np.lexsort((d, hi, lo))
             x, y, d, lo, hi = (v[order] for v in (x, y, d, lo, hi))
             start = np.flatnonzero(np.concatenate([[True], (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])]))
-            keep = np.arange(len(x)) - np.repeat(start, np.diff(np.append(start, len(x)))) < few
-            x, y, d, lo, hi = (v[keep] for v in (x, y, d, lo, hi))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(d.astype(np.int32)), pa.array(lo), pa.array(hi)], names)
+            count = np.diff(np.append(start, len(x)))
+            keep = np.arange(len(x)) - np.repeat(start, count) < few
+            x, y, d, lo, hi, more = (v[keep] for v in (x, y, d, lo, hi, np.repeat(count > few, count)))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(ids[x], ids[y])), pa.array(np.maximum(ids[x], ids[y])), pa.array(d.astype(np.int32)), pa.array(lo), pa.array(hi), pa.array(more)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -186,7 +188,7 @@ def _cross_pairs(rows: DataFrame, chunks: Chunks, distance: int, similarity: int
         if held:
             yield pairs(pa.Table.from_batches(held).combine_chunks())
 
-    return rows.mapInArrow(run, "a long, b long, d int, ca long, cb long")
+    return rows.mapInArrow(run, "a long, b long, d int, ca long, cb long, more boolean")
 
 
 def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
@@ -239,7 +241,7 @@ def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     return connected_components(links.union(found.select("node", "component")))
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 4, errors: int = 1, distance: int = 19, leaders: int = 3, few: int = 4, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, length: int = 40, chunk: int = 4, errors: int = 1, distance: int = 19, leaders: int = 3, few: int = 256, block: int = 1024) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of `docs`.
 
     Documents are linked if their sets of word shingles reach the Jaccard similarity (percent); component_id is the smallest
@@ -252,8 +254,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     3. Members meet their buckets' least ones; for each member the `leaders` nearest are confirmed on full sets. Thousands of
        copies thus cost a few links each, not all pairs. Components follow.
     4. Pairs of a bucket within `distance` that lie in different components are compared too, first the `few` nearest pairs of
-       each two components, then, over what is still apart, every pair: no link is lost, for pairs inside a component can't
-       change it. Sizes and sketches (bits that one set has and the other lacks) rule out pairs that can't reach the
+       each two components; if two that have more pairs are still apart then, every pair of what is still apart: no link is
+       lost, for pairs inside a component can't change it. Sizes and sketches (bits that one set has and the other lacks) rule out pairs that can't reach the
        similarity; the rest is confirmed on full sets.
 
     Null and empty texts have no shingles and link with nothing (component_id is the own doc_id). Rows that share a doc_id
@@ -277,16 +279,22 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     near = written(near.withColumn("turn", turn).where(F.col("turn") <= leaders).select("a", "b"), "near")
     sets = _sets(docs, reps, buckets.select("id").distinct(), words)
 
-    again = known.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id")
-    several = known.join(again, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(reps.select("set_id", "id"), "set_id")
-    several = several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b")
-    found = connected_components(_confirmed(near, sets, similarity).union(several))
-    for most in (few, None):
-        apart = _cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, most)
-        if most is not None:
-            turn = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("d", "a", "b"))
-            apart = apart.withColumn("turn", turn).where(F.col("turn") <= most)
-        found = _merged(found, _confirmed(written(apart.select("a", "b"), "apart"), sets, similarity))
+    links = _confirmed(near, sets, similarity)
+    again = written(known.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id"), "again")
+    if not again.isEmpty():
+        several = known.join(again, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(reps.select("set_id", "id"), "set_id")
+        links = links.union(several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
+    found = connected_components(links)
+    turn = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("d", "a", "b"))
+    apart = written(_cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, few).withColumn("turn", turn).where(F.col("turn") <= few + 1), "apart")
+    found = _merged(found, _confirmed(apart.where(F.col("turn") <= few), sets, similarity))
+    # two components of which pairs were left out: are they one by now?
+    doubtful = apart.where((F.col("turn") > few) | F.col("more")).select("a", "b").distinct()
+    here = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    doubtful = doubtful.join(here("a"), "a", "left").join(here("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    if not doubtful.isEmpty():
+        apart = written(_cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, None), "apart")
+        found = _merged(found, _confirmed(apart, sets, similarity))
 
     whole = reps.join(found, F.col("id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))

@@ -236,9 +236,9 @@ def near_texts():
 def test_op9_against_all_pairs(spark):
     texts = near_texts()
     docs = spark.createDataFrame([(i, t, "c") for i, t in enumerate(texts)], "doc_id long, text string, component_id string").repartition(5)
-    for words in (4, 5):
+    for words, few in ((4, 1), (5, 16)):
         n, want = components_of(texts, words, 80)
-        got = by_id(near_dedup.near_duplicates(docs, words=words, leaders=1, few=1, block=16))
+        got = by_id(near_dedup.near_duplicates(docs, words=words, leaders=1, few=few, block=16))
         assert [got[i].n_shingles for i in range(len(texts))] == n
         assert [got[i].component_id for i in range(len(texts))] == want
         assert all(got[i].kept == (got[i].component_id == i) for i in range(len(texts)))
