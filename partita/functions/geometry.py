@@ -7,6 +7,8 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from partita.functions.draws import hashed
+
 
 class Box(NamedTuple):
     """Four columns: corners x1, y1, x2, y2, or centre and size cx, cy, w, h."""
@@ -137,7 +139,7 @@ def shrunk_to_size(b: Box, width: Column, height: Column, bias: Column, key: Col
 
     bias 'top' or 'bottom' moves the centre a quarter of the old height; centres stay inside the image.
     """
-    draw = lambda n: 1 + jitter * (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(n)), F.lit(20001)) / 10000 - 1)
+    draw = lambda n: 1 + jitter * (hashed(key, F.lit(seed), F.lit(n)) % 20001 / 10000 - 1)
     w, h = width * draw(1), height * draw(2)
     cy = b.b + F.when(bias == "top", -0.25 * b.d).when(bias == "bottom", 0.25 * b.d).otherwise(0.0)
     return Box(clamp(b.a, w / 2, 1 - w / 2), clamp(cy, h / 2, 1 - h / 2), w, h)

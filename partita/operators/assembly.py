@@ -173,30 +173,61 @@ def counters(symbols: DataFrame, chords: DataFrame, violations: DataFrame, heads
 
 
 #: Dynamics that letters may spell.
-DYNAMICS = ("p", "pp", "ppp", "f", "ff", "fff", "mp", "mf", "sf", "sfz", "fp", "fz")
+DYNAMICS = ("p", "pp", "ppp", "pppp", "mp", "f", "ff", "fff", "ffff", "mf", "sf", "sfz", "sfp", "fp", "fz", "rf", "rfz")
 
 
 def dynamics(letters: DataFrame, dx: float = 50, dy: float = 20) -> DataFrame:
-    """Letters (image_id, sym_id, letter, x1, y1, x2, y2) to words: a letter joins the one before (in order of y, x) within dx to the right and dy; unknown words are dropped; s before f is kept as sf."""
-    order = Window.partitionBy("image_id").orderBy("y1", "x1", "sym_id")
-    px, py = F.lag("x1").over(order), F.lag("y1").over(order)
-    step = F.col("x1") - px
-    joins = F.coalesce((F.abs(F.col("y1") - py) <= dy) & (step >= 0) & (step <= dx), F.lit(False))
-    w = letters.withColumn("word", F.sum(F.when(joins, 0).otherwise(1)).over(order)).withColumn("k", F.row_number().over(order))
+    """Letters (image_id, sym_id, letter, x1, y1, x2, y2) to words: image_id, dynamic, x1, y1, x2, y2.
+
+    In order of their centres' y and x, a letter joins the one before if its centre lies within dx to the right of that one's and within dy.
+    An unknown word that starts with sf is read as sfz, if it has a z, or as sfp, if it has a p; other unknown words are dropped.
+    """
+    cx, cy = (F.col("x1") + F.col("x2")) / 2, (F.col("y1") + F.col("y2")) / 2
+    order = Window.partitionBy("image_id").orderBy(cy, cx, "sym_id")
+    step = cx - F.lag(cx).over(order)
+    joins = F.coalesce((F.abs(cy - F.lag(cy).over(order)) <= dy) & (step >= 0) & (step <= dx), F.lit(False))
+    w = letters.withColumn("word", joins).withColumn("k", F.row_number().over(order))
+    w = w.withColumn("word", F.sum(F.when(F.col("word"), 0).otherwise(1)).over(Window.partitionBy("image_id").orderBy("k")))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "letter"))), lambda x: x["letter"]), "")
     out = w.groupBy("image_id", "word").agg(text.alias("dynamic"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
-    return out.where(F.col("dynamic").isin(*DYNAMICS)).drop("word")
+    odd = F.col("dynamic").startswith("sf") & ~F.col("dynamic").isin(*DYNAMICS)
+    read = F.when(odd & F.col("dynamic").contains("z"), "sfz").when(odd & F.col("dynamic").contains("p"), "sfp").otherwise(F.col("dynamic"))
+    return out.withColumn("dynamic", read).where(F.col("dynamic").isin(*DYNAMICS)).drop("word")
 
 
 def barlines_of_measures(measures_: DataFrame) -> DataFrame:
-    """Measure boxes (image_id, x, y, w, h) to barlines: left edges, and right edges, which are final where a system ends (next box lower by over half its height, or none)."""
-    w = Window.partitionBy("image_id").orderBy("y", "x")
+    """Measure boxes (image_id, x, y, w, h) to barlines: left edges, and right edges, which are final where a system ends.
+
+    In order of x, as measures are read, a system ends where the next box lies lower or higher by over half its height, or where none is left.
+    """
+    w = Window.partitionBy("image_id").orderBy("x", "y")
     measures_ = measures_.withColumn("__next", F.lead("y").over(w))
     last = F.col("__next").isNull() | (F.abs(F.col("__next") - F.col("y")) > F.col("h") / 2)
     both = F.array(F.struct(F.col("x").alias("bx"), F.lit("plain").alias("kind")), F.struct((F.col("x") + F.col("w")).alias("bx"), F.when(last, "final").otherwise("plain").alias("kind")))
     return measures_.withColumn("b", F.explode(both)).select("image_id", F.col("b.bx").alias("x"), "y", "h", F.col("b.kind").alias("kind"))
 
 
+def edge_barlines(boxes: DataFrame, classes: tuple[int, ...] = (3, 4), width: float = 0.005) -> DataFrame:
+    """Boxes of measure classes (centre form) to plain barlines at both edges: image_id, line_no, side, cx, cy, w, h."""
+    edges = F.array(F.struct(F.lit("left").alias("side"), (F.col("cx") - F.col("w") / 2).alias("x")), F.struct(F.lit("right").alias("side"), (F.col("cx") + F.col("w") / 2).alias("x")))
+    both = boxes.where(F.col("class_id").isin(*classes)).withColumn("e", F.explode(edges))
+    return both.select("image_id", "line_no", "e.side", F.col("e.x").alias("cx"), "cy", F.lit(width).alias("w"), "h")
+
+
+def measures_by_count(notes: DataFrame, barlines: DataFrame) -> DataFrame:
+    """Notes (image_id, sym_id, x) with measure: 1 and the barlines (image_id, x) left of them, from one running sum over both."""
+    sym = notes.schema["sym_id"].dataType
+    both = notes.select("image_id", "x", "sym_id", F.lit(0).alias("bar")).union(barlines.select("image_id", "x", F.lit(None).cast(sym), F.lit(1)))
+    upto = Window.partitionBy("image_id").orderBy("x", "bar").rowsBetween(Window.unboundedPreceding, 0)  # at one x the notes come first
+    return both.withColumn("measure", (F.sum("bar").over(upto) + 1).cast("int")).where("sym_id IS NOT NULL").select("image_id", "sym_id", "measure")
+
+
+def piece_recall(expected: DataFrame, detected: DataFrame) -> DataFrame:
+    """Pieces (piece, expected) with what was found (piece, found): the ratio, 0 where nothing was expected or found."""
+    both = expected.join(detected, "piece", "left").fillna(0, ["found"])
+    return both.select("piece", "expected", "found", F.when(F.col("expected") > 0, F.col("found") / F.when(F.col("expected") > 0, F.col("expected"))).otherwise(0.0).alias("recall"))
+
+
 def match_pitches(truth: DataFrame, predicted: DataFrame, reach: float = 30) -> DataFrame:
     """Truth notes (image_id, idx, x, y, midi) with the nearest prediction within `reach` pixels (several may share one): pred_midi, distance."""
     p = predicted.select("image_id", F.col("x").alias("px"), F.col("y").alias("py"), F.col("midi").alias("pm"), F.col("sym_id").alias("pid"))

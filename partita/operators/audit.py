@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.geometry import aspect
-from partita.operators.detection import box_pairs, greedy_match, self_pairs
+from partita.operators.detection import box_pairs, greedy_match, nms_truth, self_pairs
 
 METRICS = ("w", "h", "area", "aspect")
 
@@ -120,11 +120,11 @@ def confusion_examples(truth: DataFrame, detections: DataFrame, k: int = 3, thre
 def hard_examples(truth: DataFrame, detections: DataFrame, classes: tuple[int, ...], threshold: float = 0.5, low: float = 0.3) -> DataFrame:
     """image_id, kind (FN, low_conf, misclass), class_id, line_no, difficulty, for truth boxes of `classes`.
 
-    Detections, in their own order, take free truth boxes of any class; a wrong class counts 1.5, a right one under `low` confidence
-    1 + (low - confidence), a truth box that nothing takes 2.
+    Detections of `classes`, in their own order, take free truth boxes of any of these classes; a wrong class counts 1.5, a right one
+    under `low` confidence 1 + (low - confidence), a truth box that nothing takes 2. Detections of other classes take no part.
     """
     target = truth.where(F.col("class_id").isin(*classes))
-    some = detections.join(target.select("image_id").distinct(), "image_id", "left_semi")
+    some = detections.where(F.col("class_id").isin(*classes)).join(target.select("image_id").distinct(), "image_id", "left_semi")
     found = greedy_match(target, some, threshold, by_conf=False, keys=("image_id",))
     rows = found.join(target.select("image_id", "line_no", "class_id"), ["image_id", "line_no"]).join(some.select("image_id", "det_id", F.col("class_id").alias("pred"), "conf"), ["image_id", "det_id"])
     kind = F.when(F.col("pred") != F.col("class_id"), "misclass").when(F.col("conf") < low, "low_conf")
@@ -159,13 +159,76 @@ def label_quality(truth: DataFrame, detections: DataFrame, issue: float = 0.5) -
     return out.select("image_id", score.alias("score"), (score < issue).alias("issue"))
 
 
-def co_location(boxes: DataFrame, anchors: tuple[int, ...], threshold: float = 0.85) -> DataFrame:
-    """Per class: the share of its boxes that coincide (IoU >= threshold) with a box of `anchors`, with another class at all, and a strategy."""
-    p = self_pairs(boxes).where(F.col("iou") >= threshold)
-    ends = p.select("image_id", F.col("t_line_no").alias("line_no"), F.col("t_class_id").alias("class_id"), F.col("d_class_id").alias("other")).union(p.select("image_id", "d_line_no", "d_class_id", "t_class_id"))
-    near = ends.where("class_id <> other").groupBy("image_id", "line_no").agg(F.max(F.col("other").isin(*anchors).cast("int")).alias("anchor"), F.lit(1).alias("any"))
-    share = boxes.join(near, ["image_id", "line_no"], "left").groupBy("class_id").agg(F.count("*").alias("n"), F.avg(F.coalesce("anchor", F.lit(0))).alias("anchor_share"), F.avg(F.coalesce("any", F.lit(0))).alias("any_share"))
-    return share.withColumn("strategy", F.when(F.col("anchor_share") >= 0.7, "relative_to_anchor").when(F.col("anchor_share") >= 0.3, "mixed").otherwise("independent"))
+def co_location(boxes: DataFrame, anchors: tuple[int, ...], oversized: tuple[int, ...], threshold: float = 0.85) -> DataFrame:
+    """Per oversized class: n, with_anchor, with_oversized, larger, share and strategy.
+
+    with_anchor counts boxes that coincide (IoU >= threshold) with an anchor box of their image (a class that is an anchor itself meets
+    itself), with_oversized those that coincide with a box of another oversized class, larger those not smaller than the first anchor
+    they meet. From a share of 70 % on the strategy is top_edge (if over half of them are larger) or centre, from 30 % per_image, else manual.
+    """
+    area = lambda side: F.col(f"{side}w") * F.col(f"{side}h")
+    own = boxes.where(F.col("class_id").isin(*oversized)).select("image_id", "line_no", "class_id", "w", "h", "x1", "y1", "x2", "y2")
+    met = boxes.where(F.col("class_id").isin(*anchors, *oversized)).select("image_id", F.col("line_no").alias("det_id"), "class_id", "w", "h", "x1", "y1", "x2", "y2")
+    p = box_pairs(own, met).where(F.col("iou") >= threshold)
+    anchor, other = F.col("d_class_id").isin(*anchors), F.col("d_class_id").isin(*oversized) & (F.col("d_class_id") != F.col("t_class_id"))
+    first = F.min(F.when(anchor, F.struct("d_det_id", (area("t_") >= area("d_")).alias("larger"))))
+    near = p.groupBy("image_id", F.col("t_line_no").alias("line_no")).agg(first.alias("a"), F.max(other.cast("int")).alias("o"))
+    near = near.select("image_id", "line_no", F.col("a").isNotNull().alias("a"), F.coalesce("a.larger", F.lit(False)).alias("l"), (F.col("o") == 1).alias("o"))
+    out = own.join(near, ["image_id", "line_no"], "left").groupBy("class_id").agg(F.count("*").alias("n"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(name) for c, name in (("a", "with_anchor"), ("o", "with_oversized"), ("l", "larger"))])
+    share = F.col("with_anchor") / F.col("n")
+    strategy = F.when((share >= 0.7) & (F.col("larger") > F.col("with_anchor") * 0.5), "top_edge").when(share >= 0.7, "centre").when(share >= 0.3, "per_image").otherwise("manual")
+    return out.select("class_id", "n", "with_anchor", "with_oversized", "larger", share.alias("share"), strategy.alias("strategy"))
+
+
+def relative_position(boxes: DataFrame, anchors: tuple[int, ...], threshold: float = 0.3) -> DataFrame:
+    """Boxes of other classes with their place beside the first anchor box (IoU >= threshold): image_id, line_no, class_id, dx, dy in sides of the anchor."""
+    a, b = boxes.where(F.col("class_id").isin(*anchors)), boxes.where(~F.col("class_id").isin(*anchors))
+    p = box_pairs(a, b).where(F.col("iou") >= threshold)
+    away = F.struct(((F.col("d_cx") - F.col("t_cx")) / F.col("t_w")).alias("dx"), ((F.col("d_cy") - F.col("t_cy")) / F.col("t_h")).alias("dy"))
+    first = p.groupBy("image_id", F.col("d_line_no").alias("line_no"), F.col("d_class_id").alias("class_id")).agg(F.min_by(away, "t_line_no").alias("v"))
+    return first.select("image_id", "line_no", "class_id", "v.dx", "v.dy")
+
+
+def nearest_shares(near: DataFrame, coincide: float = 0.9, close: float = 0.05) -> DataFrame:
+    """Of the rows of `nearest`: n, the share with an overlap over `coincide`, and the share nearer than `close`."""
+    share = lambda c: F.avg(c.cast("int"))
+    return near.agg(F.count("*").alias("n"), share(F.col("overlap") > coincide).alias("coincide"), share(F.col("distance") < close).alias("close"))
+
+
+def sizes_by_source(boxes: DataFrame, small: float = 0.05) -> DataFrame:
+    """Per source and class: n, boxes narrower than `small`, and the median area."""
+    return boxes.groupBy("source", "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("w") < small).alias("small"), F.percentile(F.col("w") * F.col("h"), F.lit(0.5)).alias("median_area"))
+
+
+def oversampling(boxes: DataFrame, copied: Column) -> DataFrame:
+    """Per class: boxes of originals and of copies (`copied`), the images of each, and how many boxes stand for one original."""
+    on = lambda c, x: F.when(c, x)
+    out = boxes.groupBy("class_id").agg(F.count_if(~copied).alias("originals"), F.count_if(copied).alias("copies"), F.count_distinct(on(~copied, F.col("image_id"))).alias("original_images"), F.count_distinct(on(copied, F.col("image_id"))).alias("copied_images"))
+    return out.withColumn("factor", (F.col("originals") + F.col("copies")) / F.when(F.col("originals") > 0, F.col("originals")))
+
+
+def suppressed_images(boxes: DataFrame, threshold: float = 0.7, levels: tuple[int, ...] = (1, 2, 5)) -> DataFrame:
+    """at_least, images: in how many images suppression of truth boxes costs at least so many."""
+    n, k = (df.groupBy("image_id").agg(F.count("*").alias(c)) for df, c in ((boxes, "n"), (nms_truth(boxes, threshold), "k")))
+    lost = n.join(k, "image_id").select((F.col("n") - F.col("k")).alias("lost"))
+    counts = lost.agg(*[F.count_if(F.col("lost") >= level).alias(str(level)) for level in levels])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(level).alias("at_least"), F.col(str(level)).alias("images")) for level in levels])).alias("x")).select("x.*")
+
+
+def quality_summary(scores: DataFrame) -> DataFrame:
+    """Of the rows of label_quality: images, issues, and the mean, median and least score."""
+    return scores.agg(F.count("*").alias("images"), F.count_if("issue").alias("issues"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("least"))
+
+
+def worst_images(scores: DataFrame, n: int = 100) -> DataFrame:
+    """The n images of the lowest score: image_id, score, place."""
+    low = scores.orderBy("score", "image_id").limit(n)
+    return low.select("image_id", "score", F.row_number().over(Window.orderBy("score", "image_id")).alias("place"))
+
+
+def worst_classes(scores: DataFrame, boxes: DataFrame, n: int = 100) -> DataFrame:
+    """Boxes of each class in the n worst images."""
+    return boxes.join(worst_images(scores, n).select("image_id"), "image_id", "left_semi").groupBy("class_id").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))
 
 
 def class_matrix(boxes: DataFrame, threshold: float = 0.85) -> DataFrame:

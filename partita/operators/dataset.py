@@ -11,17 +11,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from partita.functions.draws import draw, hashed
 from partita.functions.geometry import Box, box, iou, to_corners
 from partita.operators.detection import keep_apart, ordered
+from partita.sources.storage import written
 
 CENTRE = ("cx", "cy", "w", "h")
 
 
-def draw(key: Column, seed: int = 42) -> Column:
-    """A number in [0, 1) from a key."""
-    return F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-
-
 def merge_images(sources: dict[str, tuple[DataFrame, DataFrame]], prefix: bool = True) -> DataFrame:
     """Images (stem) that have labels, of several sources by name: source, stem, name.
 
@@ -53,6 +50,31 @@ def remap_coverage(boxes: DataFrame, table: DataFrame) -> DataFrame:
     return both.groupBy(fate.alias("fate"), F.when(F.col("new_id") >= 0, F.col("new_id")).alias("new_id")).agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("old_classes"))
 
 
+def single_class(boxes: DataFrame, images: DataFrame, class_id: int, prefix: str, start: int = 0) -> DataFrame:
+    """All boxes under one class, and their images (image_id, stem) numbered anew in order of stem: image_id, name, line_no, class_id, cx, cy, w, h.
+
+    Images without boxes are skipped and take no number; names are the prefix and six digits from `start` on.
+    """
+    named = global_rank(images.join(boxes.select("image_id").distinct(), "image_id", "left_semi"), [F.col("stem"), F.col("image_id")])
+    named = named.select("image_id", F.concat(F.lit(prefix), F.lpad((F.col("rank") - 1 + start).cast("string"), 6, "0")).alias("name"))
+    return boxes.join(named, "image_id").select("image_id", "name", "line_no", F.lit(class_id).alias("class_id"), *CENTRE)
+
+
+def change_counts(before: DataFrame, after: DataFrame, by: tuple[str, ...] = ("class_id",)) -> DataFrame:
+    """What a step took out or changed, by `by`: boxes before, after, removed, and changed (same image_id and line_no, another place or size)."""
+    cols = ["image_id", "line_no", *CENTRE]
+    old = before.select(*cols, *by)
+    new = after.select(*[F.col(c).alias(c if c in ("image_id", "line_no") else f"n_{c}") for c in cols], F.lit(True).alias("there"))
+    both = old.join(new, ["image_id", "line_no"], "left")
+    moved = F.coalesce(F.col("there"), F.lit(False)) & ~(F.col("cx").eqNullSafe(F.col("n_cx")) & F.col("cy").eqNullSafe(F.col("n_cy")) & F.col("w").eqNullSafe(F.col("n_w")) & F.col("h").eqNullSafe(F.col("n_h")))
+    return both.groupBy(*by).agg(F.count("*").alias("before"), F.count("there").alias("after"), F.count_if(F.col("there").isNull()).alias("removed"), F.count_if(moved).alias("changed"))
+
+
+def merge_totals(boxes: DataFrame) -> DataFrame:
+    """Boxes and images of merged sources, by source and class, by source, and in all (NULL for what is summed over)."""
+    return boxes.groupingSets([["source", "class_id"], ["source"], []], "source", "class_id").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"))
+
+
 def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     """Lines (file_id, line_no, line) less those equal to the line before them; later repeats stay."""
     before = F.lag("line").over(Window.partitionBy("file_id").orderBy("line_no"))
@@ -60,11 +82,19 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
     return lines.withColumn("__same", ~first & F.col("line").eqNullSafe(before)).where("NOT __same").drop("__same")
 
 
-def repeated_report(lines: DataFrame) -> DataFrame:
-    """Lines and repeated lines by prefix and in all (prefix NULL)."""
+def _marked(lines: DataFrame) -> DataFrame:
     before = F.lag("line").over(Window.partitionBy("file_id").orderBy("line_no"))
-    marked = lines.withColumn("same", F.coalesce(F.col("line") == before, F.lit(False)))
-    return marked.rollup("prefix").agg(F.count("*").alias("n"), F.count_if("same").alias("repeated"), F.count_distinct("file_id").alias("files"))
+    return lines.withColumn("same", F.coalesce(F.col("line") == before, F.lit(False)))
+
+
+def repeated_report(lines: DataFrame, by: tuple[str, ...] = ("prefix",)) -> DataFrame:
+    """Lines, repeated lines and files by each of `by` (a prefix, a split), by their combinations and in all (NULL for what is summed over)."""
+    return _marked(lines).cube(*by).agg(F.count("*").alias("n"), F.count_if("same").alias("repeated"), F.count_distinct("file_id").alias("files"))
+
+
+def most_repeated(lines: DataFrame, n: int = 10) -> DataFrame:
+    """The n files with most repeated lines: file_id, repeated, lines."""
+    return _marked(lines).groupBy("file_id").agg(F.count_if("same").alias("repeated"), F.count("*").alias("lines")).where("repeated > 0").orderBy(F.desc("repeated"), "file_id").limit(n)
 
 
 def near_duplicate_boxes(boxes: DataFrame, threshold: float = 0.7) -> DataFrame:
@@ -105,6 +135,12 @@ def keep_largest(boxes: DataFrame, near: float = 0.05) -> DataFrame:
     return groups.select("image_id", "class_id", F.explode(keep_apart(F.col("xs"), clash)).alias("x")).select("image_id", "class_id", *[f"x.{c}" for c in ("line_no", *CENTRE)])
 
 
+def size_split(images: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
+    """split: exactly n keys (all, if fewer) go to val, those of the least draws; ranks come from two passes over ranges."""
+    ranked = global_rank(images.withColumn("__u", draw(F.col(key), seed)), [F.col("__u"), F.col(key)])
+    return ranked.withColumn("split", F.when(F.col("rank") <= n, "val").otherwise("train")).drop("rank", "__u")
+
+
 def hash_split(images: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """split: val for about `share` of the keys, train for the others; rows of one key stay together."""
     return images.withColumn("split", F.when(draw(F.col(key), seed) < share, "val").otherwise("train"))
@@ -117,17 +153,23 @@ def every_nth(images: DataFrame, key: str, n: int = 10) -> DataFrame:
 
 
 def global_rank(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
-    """rank from 1 over a total order, in two passes: ranks inside range partitions, and the counts of the partitions before."""
-    placed = df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
+    """rank from 1 over a total order, in two passes: ranks inside range partitions, and the counts of the partitions before.
+
+    The ranges come from a sample, so the ranked rows are written: counting them again would draw other ranges.
+    """
+    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
     local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = placed.withColumn("__local", local)
+    placed = written(placed.withColumn("__local", local), "ranks")
     sizes = placed.groupBy("__part").agg(F.max("__local").alias("__n"))  # one row a partition
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__local") + F.col("__before")).cast("long")).drop("__part", "__local", "__before")
 
 
 def stratified_split(boxes: DataFrame, share: float = 0.2, few: int = 100, seed: int = 42) -> DataFrame:
-    """image_id, split. Classes of under `few` images put max(1, a tenth) of theirs into val; then val is filled by hash to its share of all images."""
+    """image_id, split. Classes of under `few` images put max(1, a tenth) of theirs into val; then val is filled by hash to its share of all images.
+
+    The places of the others in the order of the draw come from two passes over ranges, so no task holds the part to be filled.
+    """
     pairs = boxes.select("image_id", "class_id").distinct().withColumn("u", draw(F.col("image_id"), seed))
     n = pairs.groupBy("class_id").agg(F.count("*").alias("n"))
     rare = pairs.join(F.broadcast(n), "class_id").where(F.col("n") < few)
@@ -135,11 +177,10 @@ def stratified_split(boxes: DataFrame, share: float = 0.2, few: int = 100, seed:
     turn = F.row_number().over(Window.partitionBy("class_id").orderBy("u", "image_id"))
     first = rare.withColumn("k", turn).where(F.col("k") <= quota).select("image_id").distinct()
     images = pairs.select("image_id", "u").distinct()
-    total, taken = images.count(), first.count()
-    fill = max(0, int(total * share) - taken)
-    rest = images.join(first, "image_id", "left_anti").orderBy("u", "image_id").limit(fill).select("image_id")
-    val = first.union(rest).withColumn("split", F.lit("val"))
-    return images.select("image_id").join(val, "image_id", "left").fillna("train", ["split"])
+    marked = images.join(first.withColumn("first", F.lit(True)), "image_id", "left").withColumn("first", F.coalesce("first", F.lit(False)))
+    ranked = global_rank(marked, [F.desc("first"), F.col("u"), F.col("image_id")])
+    sums = marked.agg(F.floor(F.count("*") * share).alias("fill"), F.count_if("first").alias("taken"))
+    return ranked.crossJoin(F.broadcast(sums)).select("image_id", F.when(F.col("rank") <= F.greatest("fill", "taken"), "val").otherwise("train").alias("split"))
 
 
 def class_counts(boxes: DataFrame) -> DataFrame:
@@ -202,7 +243,8 @@ def weighted_sample(weights: DataFrame, key: str, n: int, replacement: bool = Fa
     """n keys by weight. Without replacement the n largest ln(u) / w; with it, n draws meet the running sum of weights in a range join."""
     u = draw(F.col(key), seed)
     if not replacement:
-        return weights.withColumn("__s", F.log(F.greatest(u, F.lit(1e-12))) / F.col("weight")).orderBy(F.desc("__s"), key).limit(n).drop("__s")
+        scored = weights.withColumn("__s", F.log(F.greatest(u, F.lit(1e-12))) / F.col("weight"))
+        return global_rank(scored, [F.desc("__s"), F.col(key)]).where(F.col("rank") <= n).drop("__s", "rank")
     spark = weights.sparkSession
     ranked = global_rank(weights, [F.col(key)])
     parts = ranked.withColumn("part", F.floor(F.col("rank") / 4096))
@@ -234,6 +276,7 @@ def paste_plan(boxes: DataFrame, tails: DataFrame, target: int, per_image: int =
 
     A class lacks target - n boxes. Its crops (both sides at least `least`) are offered to images by hash, `tries` places each, until the lack
     is filled, at most per_image an image; places that overlap a box there by more than IoU 0.1 are left out. Nothing is drawn in pixels.
+    The first offers of a class are told by ranks in two passes over ranges, so a class may have any number of them.
     """
     lack = tails.select("class_id", F.greatest(F.lit(0), F.lit(target) - F.col("n")).alias("lack")).where("lack > 0")
     crops = boxes.where((F.col("w") >= least) & (F.col("h") >= least)).join(F.broadcast(lack), "class_id")
@@ -246,15 +289,18 @@ def paste_plan(boxes: DataFrame, tails: DataFrame, target: int, per_image: int =
     there = boxes.select(F.col("image_id").alias("ti"), *[F.col(c).alias(f"t{c}") for c in CENTRE])
     hit = (F.col("image_id") == F.col("ti")) & (iou(to_corners(box("", CENTRE)), to_corners(box("t", CENTRE))) > 0.1)
     free = offers.join(there, hit, "left_anti")
-    a = F.row_number().over(Window.partitionBy("image_id").orderBy(F.xxhash64("source_image", "source_line", "try"), "class_id"))
-    b = F.row_number().over(Window.partitionBy("class_id").orderBy(F.xxhash64("source_image", "source_line", "try"), "image_id"))
-    return free.withColumn("a", a).where(F.col("a") <= per_image).withColumn("b", b).where("b <= lack").select("class_id", "source_image", "source_line", "image_id", *CENTRE)
+    free = free.withColumn("turn", hashed(key))
+    a = F.row_number().over(Window.partitionBy("image_id").orderBy("turn", "class_id", "source_image", "source_line"))
+    ranked = global_rank(free.withColumn("a", a).where(F.col("a") <= per_image), [F.col("class_id"), F.col("turn"), F.col("source_image"), F.col("source_line")])
+    before = ranked.groupBy("class_id").agg(F.min("rank").alias("before"))  # a row a class
+    return ranked.join(F.broadcast(before), "class_id").where("rank - before < lack").select("class_id", "source_image", "source_line", "image_id", *CENTRE)
 
 
 def quality_subset(boxes: DataFrame, priority: tuple[int, ...], n: int) -> DataFrame:
     """The n images of the highest score: ten for each box of the priority classes, one for each box."""
     score = F.sum(F.when(F.col("class_id").isin(*priority), 10).otherwise(0)) + F.count("*")
-    return boxes.groupBy("image_id").agg(score.alias("score")).orderBy(F.desc("score"), "image_id").limit(n)
+    scored = boxes.groupBy("image_id").agg(score.alias("score"))
+    return global_rank(scored, [F.desc("score"), F.col("image_id")]).where(F.col("rank") <= n).drop("rank")
 
 
 def clean(boxes: DataFrame, images: DataFrame, prefixes: tuple[str, ...], sparse_prefix: str, few: int = 2, tiny: float = 0.003) -> DataFrame:
@@ -299,9 +345,9 @@ def concentration(boxes: DataFrame, k: int = 4, small: float = 0.05) -> DataFram
     return top.crossJoin(every).select(share.alias("top_share"), F.when(share > 0.8, "high").when(share > 0.6, "medium").otherwise("low").alias("concentration"), "small_share")
 
 
-def size_variety(boxes: DataFrame, digits: int = 2) -> DataFrame:
-    """Per class: different sizes after rounding, and the coefficients of variation of both sides."""
-    return boxes.groupBy("class_id").agg(F.count_distinct(F.struct(F.round("w", digits), F.round("h", digits))).alias("sizes"), (F.stddev_pop("w") / F.avg("w")).alias("cv_w"), (F.stddev_pop("h") / F.avg("h")).alias("cv_h"))
+def size_variety(boxes: DataFrame, digits: int = 3) -> DataFrame:
+    """Per class: different sizes after rounding (halves to even), and the coefficients of variation of both sides."""
+    return boxes.groupBy("class_id").agg(F.count_distinct(F.struct(F.bround("w", digits), F.bround("h", digits))).alias("sizes"), (F.stddev_pop("w") / F.avg("w")).alias("cv_w"), (F.stddev_pop("h") / F.avg("h")).alias("cv_h"))
 
 
 def repair_statistics(stages: dict[str, DataFrame], thin: float = 0.04) -> DataFrame:

@@ -8,7 +8,7 @@ from partita.functions import pitch
 from partita.operators import assembly as M
 from partita.operators import harmony
 from partita.plans.registry import query
-from partita.plans.views import CORNERS, boxes
+from partita.plans.views import CORNERS, DET_CORNERS, boxes, detections
 
 #: Symbols in pixels; four staves a page at fixed heights.
 S = f"WITH sy AS (SELECT image_id, line_no AS sym_id, class_id, cx*1280 AS x, cy*1280 AS y FROM ({CORNERS}) t), st AS (SELECT image_id, k AS staff_idx, CAST(100+300*k AS DOUBLE) AS top, CAST(20 AS DOUBLE) AS spacing FROM (SELECT DISTINCT image_id FROM sy), (SELECT unnest([0,1,2,3]) AS k))"
@@ -111,25 +111,45 @@ def a14_counters(spark, sf_dir):
     return M.counters(sy, chords, harmony.violations(chords), HEADS)
 
 
-@query("a15_dynamics", f"""{S}, l AS (SELECT image_id, sym_id, CASE class_id WHEN 0 THEN 'p' WHEN 3 THEN 'f' ELSE 'm' END AS letter, x AS x1, floor(y/40)*40 AS y1 FROM sy WHERE class_id IN (0,3,6)),
- o AS (SELECT *, x1-lag(x1) OVER w AS dx, abs(y1-lag(y1) OVER w) AS dy, row_number() OVER w AS k FROM l WINDOW w AS (PARTITION BY image_id ORDER BY y1, x1, sym_id)),
- g AS (SELECT *, sum(CASE WHEN dy<=20 AND dx>=0 AND dx<=100 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY k) AS word FROM o)
- SELECT image_id, string_agg(letter, '' ORDER BY k) AS dynamic, min(x1) AS x1, min(y1) AS y1, max(x1)+10 AS x2 FROM g GROUP BY image_id, word HAVING string_agg(letter, '' ORDER BY k) IN {M.DYNAMICS}""")
+@query("a15_dynamics", f"""{S}, l AS (SELECT image_id, sym_id, CASE class_id WHEN 0 THEN 'p' WHEN 3 THEN 'f' WHEN 9 THEN 'z' ELSE CASE WHEN sym_id%2=0 THEN 'm' ELSE 's' END END AS letter, x AS x1, floor(y/40)*40 AS y1, x+10 AS x2, floor(y/40)*40+10+sym_id%3*4 AS y2 FROM sy WHERE class_id IN (0,3,6,9)),
+ o AS (SELECT *, (x1+x2)/2-lag((x1+x2)/2) OVER w AS dx, abs((y1+y2)/2-lag((y1+y2)/2) OVER w) AS dy, row_number() OVER w AS k FROM l WINDOW w AS (PARTITION BY image_id ORDER BY (y1+y2)/2, (x1+x2)/2, sym_id)),
+ g AS (SELECT *, sum(CASE WHEN dy<=20 AND dx>=0 AND dx<=100 THEN 0 ELSE 1 END) OVER (PARTITION BY image_id ORDER BY k) AS word FROM o),
+ v AS (SELECT image_id, string_agg(letter, '' ORDER BY k) AS d, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM g GROUP BY image_id, word),
+ r AS (SELECT image_id, CASE WHEN d NOT IN {M.DYNAMICS} AND starts_with(d,'sf') AND contains(d,'z') THEN 'sfz' WHEN d NOT IN {M.DYNAMICS} AND starts_with(d,'sf') AND contains(d,'p') THEN 'sfp' ELSE d END AS dynamic, x1, y1, x2, y2 FROM v)
+ SELECT * FROM r WHERE dynamic IN {M.DYNAMICS}""")
 def a15_dynamics(spark, sf_dir):
-    sy = symbols(spark, sf_dir).where(F.col("class_id").isin(0, 3, 6))
-    letter = F.when(F.col("class_id") == 0, "p").when(F.col("class_id") == 3, "f").otherwise("m")
+    sy = symbols(spark, sf_dir).where(F.col("class_id").isin(0, 3, 6, 9))
+    letter = F.when(F.col("class_id") == 0, "p").when(F.col("class_id") == 3, "f").when(F.col("class_id") == 9, "z").when(F.col("sym_id") % 2 == 0, "m").otherwise("s")
     y = (F.floor(F.col("y") / 40) * 40).cast("double")
-    l = sy.select("image_id", "sym_id", letter.alias("letter"), F.col("x").alias("x1"), y.alias("y1"), (F.col("x") + 10).alias("x2"), (y + 10).alias("y2"))
-    return M.dynamics(l, dx=100).select("image_id", "dynamic", "x1", "y1", "x2")
+    l = sy.select("image_id", "sym_id", letter.alias("letter"), F.col("x").alias("x1"), y.alias("y1"), (F.col("x") + 10).alias("x2"), (y + 10 + F.col("sym_id") % 3 * 4).alias("y2"))
+    return M.dynamics(l, dx=100).select("image_id", "dynamic", "x1", "y1", "x2", "y2")
 
 
-@query("a17_barlines", f"""{S}, m AS (SELECT image_id, x, y, CAST(50 AS DOUBLE) AS w, CAST(60 AS DOUBLE) AS h FROM sy WHERE class_id IN (21,24)), l AS (SELECT *, lead(y) OVER (PARTITION BY image_id ORDER BY y, x) AS ny FROM m)
+@query("a17_barlines", f"""{S}, m AS (SELECT image_id, x, y, CAST(50 AS DOUBLE) AS w, CAST(60 AS DOUBLE) AS h FROM sy WHERE class_id IN (21,24)), l AS (SELECT *, lead(y) OVER (PARTITION BY image_id ORDER BY x, y) AS ny FROM m)
  SELECT image_id, x, y, h, 'plain' AS kind FROM l UNION ALL SELECT image_id, x+w, y, h, CASE WHEN ny IS NULL OR abs(ny-y)>h/2 THEN 'final' ELSE 'plain' END FROM l""")
 def a17_barlines(spark, sf_dir):
     m = symbols(spark, sf_dir).where(F.col("class_id").isin(21, 24)).select("image_id", "x", "y", F.lit(50.0).alias("w"), F.lit(60.0).alias("h"))
     return M.barlines_of_measures(m)
 
 
+@query("a17b_edge_barlines", f"SELECT image_id, line_no, unnest(['left', 'right']) AS side, unnest([x1, x2]) AS cx, cy, CAST(0.005 AS DOUBLE) AS w, h FROM ({CORNERS}) t WHERE class_id IN (3, 6)")
+def a17b_edge_barlines(spark, sf_dir):
+    return M.edge_barlines(boxes(spark, sf_dir), (3, 6))
+
+
+@query("a4b_measures_by_count", f"{S} SELECT n.image_id, n.sym_id, CAST(1+(SELECT count(*) FROM sy b WHERE b.image_id=n.image_id AND b.class_id IN {BARS} AND b.x<n.x) AS INT) AS measure FROM sy n WHERE n.class_id IN {HEADS}")
+def a4b_measures_by_count(spark, sf_dir):
+    sy = symbols(spark, sf_dir)
+    return M.measures_by_count(sy.where(F.col("class_id").isin(*HEADS)).select("image_id", "sym_id", "x"), sy.where(F.col("class_id").isin(*BARS)).select("image_id", "x"))
+
+
+@query("a20_piece_recall", f"WITH e AS (SELECT image_id AS piece, count(*) FILTER (WHERE class_id=0) AS expected FROM ({CORNERS}) t GROUP BY 1), f AS (SELECT image_id AS piece, count(*) AS found FROM ({DET_CORNERS}) d WHERE class_id=0 GROUP BY 1) SELECT piece, expected, coalesce(found,0) AS found, CASE WHEN expected>0 THEN round(coalesce(found,0)/expected,9) ELSE 0 END AS recall FROM e LEFT JOIN f USING (piece)")
+def a20_piece_recall(spark, sf_dir):
+    e = boxes(spark, sf_dir).groupBy(F.col("image_id").alias("piece")).agg(F.count_if(F.col("class_id") == 0).alias("expected"))
+    d = detections(spark, sf_dir).where("class_id = 0").groupBy(F.col("image_id").alias("piece")).agg(F.count("*").alias("found"))
+    return M.piece_recall(e, d).withColumn("recall", F.round("recall", 9))
+
+
 _A18 = f"{S}, tr AS (SELECT image_id, sym_id AS idx, x, y, 60+sym_id%12 AS midi FROM sy WHERE class_id=0), pr AS (SELECT image_id, sym_id, x+(sym_id%5)*6 AS x, y, 60+(sym_id%12)+CASE WHEN sym_id%4=0 THEN 12 ELSE 0 END AS midi FROM sy WHERE class_id IN (0,3)), mt AS (SELECT tr.image_id, tr.idx, tr.midi, b.midi AS pred_midi FROM tr LEFT JOIN (SELECT tr.image_id, idx, pr.midi, row_number() OVER (PARTITION BY tr.image_id, idx ORDER BY sqrt((tr.x-pr.x)*(tr.x-pr.x)+(tr.y-pr.y)*(tr.y-pr.y)), sym_id) AS k FROM tr JOIN pr ON tr.image_id=pr.image_id AND sqrt((tr.x-pr.x)*(tr.x-pr.x)+(tr.y-pr.y)*(tr.y-pr.y))<=30) b ON b.image_id=tr.image_id AND b.idx=tr.idx AND k=1)"
 
 

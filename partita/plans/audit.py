@@ -83,7 +83,7 @@ def e12c_confusion_examples(spark, sf_dir):
     return A.confusion_examples(boxes(spark, sf_dir), detections(spark, sf_dir))
 
 
-_HARD = f"""WITH t0 AS (SELECT * FROM ({BASE} SELECT * FROM t) WHERE class_id IN (0, 9, 21)), {PAIRS[5:].replace('FROM t JOIN d', 'FROM t0 t JOIN d')},
+_HARD = f"""WITH t0 AS (SELECT * FROM ({BASE} SELECT * FROM t) WHERE class_id IN (0, 9, 21)), {PAIRS[5:].replace('FROM t JOIN d', 'FROM t0 t JOIN (SELECT * FROM d WHERE class_id IN (0, 9, 21)) d')},
  g AS (SELECT image_id, v.det_id AS det_id, v.line_no AS line_no FROM ({greedy_sql('det_id', False)})),
  r AS (SELECT g.image_id, g.line_no, t0.class_id, d.class_id AS pred, d.conf FROM g JOIN t0 ON t0.image_id=g.image_id AND t0.line_no=g.line_no JOIN d ON d.image_id=g.image_id AND d.det_id=g.det_id),
  hx AS (SELECT image_id, CASE WHEN pred<>class_id THEN 'misclass' ELSE 'low_conf' END AS kind, class_id, line_no, CASE WHEN pred<>class_id THEN 1.5 ELSE 1+(CAST(0.3 AS DOUBLE)-conf) END AS difficulty FROM r WHERE pred<>class_id OR conf<0.3
@@ -96,31 +96,54 @@ def e13_hard_examples(spark, sf_dir):
 
 
 @query("e13b_hard_summary", f"""{_HARD} SELECT class_id, count(*) FILTER (WHERE kind='FN') AS fn, count(*) FILTER (WHERE kind='low_conf') AS low_conf, count(*) FILTER (WHERE kind='misclass') AS misclass, count(DISTINCT image_id) AS images,
- count(DISTINCT CASE WHEN difficulty>=1.5 THEN image_id END) AS hard_images, round(avg(difficulty),6) AS mean_difficulty, round(max(difficulty),6) AS most FROM hx GROUP BY 1""")
+ count(DISTINCT CASE WHEN difficulty>=1.5 THEN image_id END) AS hard_images, round(avg(difficulty),9) AS mean_difficulty, round(max(difficulty),9) AS most FROM hx GROUP BY 1""")
 def e13b_hard_summary(spark, sf_dir):
     s = A.hard_summary(A.hard_examples(boxes(spark, sf_dir), detections(spark, sf_dir), (0, 9, 21)))
-    return s.withColumns({c: F.round(c, 6) for c in ("mean_difficulty", "most")})
+    return s.withColumns({c: F.round(c, 9) for c in ("mean_difficulty", "most")})
 
 
-@query("e10_label_quality", f"""{PAIRS}, gt AS (SELECT image_id, line_no, coalesce(max(iou) FILTER (WHERE tc=dc),0) AS own, coalesce(max(iou*conf) FILTER (WHERE tc<>dc),0) AS other FROM p GROUP BY 1,2),
+_QUALITY = f"""{PAIRS}, gt AS (SELECT image_id, line_no, coalesce(max(iou) FILTER (WHERE tc=dc),0) AS own, coalesce(max(iou*conf) FILTER (WHERE tc<>dc),0) AS other FROM p GROUP BY 1,2),
  g AS (SELECT t.image_id, avg(coalesce(own,0)) AS located, avg(1-coalesce(other,0)) AS swapped FROM t LEFT JOIN gt USING (image_id, line_no) GROUP BY 1),
  o AS (SELECT d.image_id, avg(1-CASE WHEN coalesce(b,0)<0.1 THEN conf ELSE 0 END) AS overlooked FROM d LEFT JOIN (SELECT image_id, det_id, max(iou) AS b FROM p GROUP BY 1,2) USING (image_id, det_id) GROUP BY 1),
  s AS (SELECT image_id, power(coalesce(located,1)*coalesce(swapped,1)*coalesce(overlooked,1), 1.0::DOUBLE/3) AS score FROM g FULL JOIN o USING (image_id))
- SELECT image_id, round(score,6) AS score, score<0.5 AS issue FROM s""")
+"""
+
+
+@query("e10_label_quality", f"{_QUALITY} SELECT image_id, round(score,6) AS score, score<0.5 AS issue FROM s")
 def e10_label_quality(spark, sf_dir):
     return A.label_quality(boxes(spark, sf_dir), detections(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
+@query("e10_quality_summary", f"{_QUALITY} SELECT count(*) AS images, count(*) FILTER (WHERE score<0.5) AS issues, round(avg(score),9) AS mean, round(median(score),9) AS median, round(min(score),9) AS least FROM s")
+def e10_quality_summary(spark, sf_dir):
+    q = A.quality_summary(A.label_quality(boxes(spark, sf_dir), detections(spark, sf_dir)))
+    return q.withColumns({c: F.round(c, 9) for c in ("mean", "median", "least")})
+
+
+@query("e10_worst_images", f"{_QUALITY} SELECT image_id, round(score,6) AS score, CAST(row_number() OVER (ORDER BY score, image_id) AS INT) AS place FROM s QUALIFY place<=100")
+def e10_worst_images(spark, sf_dir):
+    return A.worst_images(A.label_quality(boxes(spark, sf_dir), detections(spark, sf_dir))).withColumn("score", F.round("score", 6))
+
+
+@query("e10_worst_classes", f"{_QUALITY} SELECT class_id, count(*) AS n, count(DISTINCT image_id) AS images FROM t WHERE image_id IN (SELECT image_id FROM s ORDER BY score, image_id LIMIT 100) GROUP BY 1")
+def e10_worst_classes(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return A.worst_classes(A.label_quality(b, detections(spark, sf_dir)), b)
+
+
 _SELF = f"""{BASE}, sp AS (SELECT a.image_id, a.line_no AS la, a.class_id AS ca, b.line_no AS lb, b.class_id AS cb, {iou_sql('a.', 'b.')} AS iou FROM t a JOIN t b ON a.image_id=b.image_id AND a.line_no<b.line_no AND a.x1<b.x2 AND b.x1<a.x2 AND a.y1<b.y2 AND b.y1<a.y2)"""
 
 
-@query("e15_co_location", f"""{_SELF}, en AS (SELECT image_id, la AS line_no, ca AS class_id, cb AS other FROM sp WHERE iou>=0.5 UNION ALL SELECT image_id, lb, cb, ca FROM sp WHERE iou>=0.5),
- nr AS (SELECT image_id, line_no, max(CASE WHEN other IN (0,3) THEN 1 ELSE 0 END) AS anchor, 1 AS any_ FROM en WHERE class_id<>other GROUP BY 1,2),
- sh AS (SELECT class_id, count(*) AS n, avg(coalesce(anchor,0)) AS a, avg(coalesce(any_,0)) AS b FROM t LEFT JOIN nr USING (image_id, line_no) GROUP BY 1)
- SELECT class_id, n, round(a,9) AS anchor_share, round(b,9) AS any_share, CASE WHEN a>=0.7 THEN 'relative_to_anchor' WHEN a>=0.3 THEN 'mixed' ELSE 'independent' END AS strategy FROM sh""")
+_ANCHORS, _OVERSIZED = (0, 3), (6, 9, 12, 15)
+
+
+@query("e15_co_location", f"""{BASE}, x AS (SELECT o.image_id, o.line_no, o.class_id, o.w*o.h AS ao, m.line_no AS ml, m.class_id AS mc, m.w*m.h AS am FROM t o JOIN t m ON o.image_id=m.image_id AND o.x1<m.x2 AND m.x1<o.x2 AND o.y1<m.y2 AND m.y1<o.y2 AND {iou_sql('o.', 'm.')}>=0.5 WHERE o.class_id IN {_OVERSIZED} AND m.class_id IN {_ANCHORS + _OVERSIZED}),
+ y AS (SELECT image_id, line_no, count(*) FILTER (WHERE mc IN {_ANCHORS})>0 AS a, bool_or(mc IN {_OVERSIZED} AND mc<>class_id) AS o, coalesce(arg_min(ao>=am, ml) FILTER (WHERE mc IN {_ANCHORS}), false) AS l FROM x GROUP BY 1,2),
+ z AS (SELECT class_id, count(*) AS n, count(*) FILTER (WHERE a) AS with_anchor, count(*) FILTER (WHERE o) AS with_oversized, count(*) FILTER (WHERE l) AS larger FROM t LEFT JOIN y USING (image_id, line_no) WHERE class_id IN {_OVERSIZED} GROUP BY 1)
+ SELECT *, round(with_anchor/n,9) AS share, CASE WHEN with_anchor/n>=0.7 THEN CASE WHEN larger>with_anchor*0.5 THEN 'top_edge' ELSE 'centre' END WHEN with_anchor/n>=0.3 THEN 'per_image' ELSE 'manual' END AS strategy FROM z""")
 def e15_co_location(spark, sf_dir):
-    c = A.co_location(boxes(spark, sf_dir), (0, 3), 0.5)
-    return c.withColumns({x: F.round(x, 9) for x in ("anchor_share", "any_share")})
+    """At IoU 0.5, for boxes drawn at random hardly ever reach 0.85."""
+    return A.co_location(boxes(spark, sf_dir), _ANCHORS, _OVERSIZED, 0.5).withColumn("share", F.round("share", 9))
 
 
 @query("e15c_class_matrix", f"{_SELF} SELECT least(ca,cb) AS class_a, greatest(ca,cb) AS class_b, count(DISTINCT image_id) AS images FROM sp WHERE iou>=0.5 AND ca<>cb GROUP BY 1,2")
@@ -148,22 +171,16 @@ def e17_distance_percentiles(spark, sf_dir):
 
 @query("e15e_nearest_shares", f"{_NEAR} SELECT count(*) AS n, round(avg(CASE WHEN overlap>0.9 THEN 1 ELSE 0 END),9) AS coincide, round(avg(CASE WHEN distance<0.05 THEN 1 ELSE 0 END),9) AS close FROM nn")
 def e15e_nearest_shares(spark, sf_dir):
-    n = A.nearest(boxes(spark, sf_dir), (0, 3))
-    share = lambda c: F.round(F.avg(c.cast("int")), 9)
-    return n.agg(F.count("*").alias("n"), share(F.col("overlap") > 0.9).alias("coincide"), share(F.col("distance") < 0.05).alias("close"))
+    n = A.nearest_shares(A.nearest(boxes(spark, sf_dir), (0, 3)))
+    return n.withColumns({c: F.round(c, 9) for c in ("coincide", "close")})
 
 
 @query("e15b_relative_position", f"""{_SELF}, r AS (SELECT t.image_id, t.line_no, t.class_id, arg_min((t.cx-a.cx)/a.w, a.line_no) AS dx FROM t JOIN t a ON t.image_id=a.image_id AND a.class_id IN (0,3) AND t.class_id NOT IN (0,3) AND {iou_sql('t.', 'a.')}>=0.3 GROUP BY 1,2,3)
  SELECT class_id, count(*) AS n, round(quantile_cont(dx,0.05),9) AS p5, round(quantile_cont(dx,0.5),9) AS p50, round(quantile_cont(dx,0.95),9) AS p95 FROM r GROUP BY 1""")
 def e15b_relative_position(spark, sf_dir):
-    from partita.operators.detection import box_pairs
-
-    b = boxes(spark, sf_dir)
-    anchors = b.where(F.col("class_id").isin(0, 3))
-    p = box_pairs(anchors, b.where(~F.col("class_id").isin(0, 3))).where("iou >= 0.3")
-    first = p.groupBy("image_id", "d_line_no", "d_class_id").agg(F.min_by((F.col("d_cx") - F.col("t_cx")) / F.col("t_w"), "t_line_no").alias("dx"))
+    r = A.relative_position(boxes(spark, sf_dir), (0, 3))
     q = lambda s: F.round(F.percentile("dx", F.lit(s)), 9)
-    return first.groupBy(F.col("d_class_id").alias("class_id")).agg(F.count("*").alias("n"), q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"))
+    return r.groupBy("class_id").agg(F.count("*").alias("n"), q(0.05).alias("p5"), q(0.5).alias("p50"), q(0.95).alias("p95"))
 
 
 @query("e16_oversize", f"""{BASE}, m AS (SELECT class_id, median(w) FILTER (WHERE image_id%2=0) AS wa, median(h) FILTER (WHERE image_id%2=0) AS ha, median(w) FILTER (WHERE image_id%2=1) AS wb, median(h) FILTER (WHERE image_id%2=1) AS hb FROM t GROUP BY 1)
@@ -181,7 +198,12 @@ def e17b_densest(spark, sf_dir):
 @query("e18_sizes_by_source", f"{BASE} SELECT CASE WHEN image_id%5=0 THEN 'a' ELSE 'b' END AS source, class_id, count(*) AS n, count(*) FILTER (WHERE w<0.05) AS small, round(quantile_cont(w*h,0.5),9) AS median_area FROM t GROUP BY 1,2")
 def e18_sizes_by_source(spark, sf_dir):
     b = boxes(spark, sf_dir).withColumn("source", F.when(F.col("image_id") % 5 == 0, "a").otherwise("b"))
-    return b.groupBy("source", "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("w") < 0.05).alias("small"), F.round(F.percentile(F.col("w") * F.col("h"), F.lit(0.5)), 9).alias("median_area"))
+    return A.sizes_by_source(b).withColumn("median_area", F.round("median_area", 9))
+
+
+@query("e18_oversampling", f"{BASE} SELECT class_id, count(*) FILTER (WHERE image_id%4<>0) AS originals, count(*) FILTER (WHERE image_id%4=0) AS copies, count(DISTINCT CASE WHEN image_id%4<>0 THEN image_id END) AS original_images, count(DISTINCT CASE WHEN image_id%4=0 THEN image_id END) AS copied_images, round(count(*)/nullif(count(*) FILTER (WHERE image_id%4<>0),0),9) AS factor FROM t GROUP BY 1")
+def e18_oversampling(spark, sf_dir):
+    return A.oversampling(boxes(spark, sf_dir), F.col("image_id") % 4 == 0).withColumn("factor", F.round("factor", 9))
 
 
 @query("e18b_sample_sizes", f"{BASE} SELECT class_id, count(*) AS n, list({{'w': w, 'h': h}} ORDER BY line_no)[1:3] AS sizes FROM t WHERE image_id=(SELECT min(image_id) FROM t) GROUP BY 1")
@@ -194,12 +216,7 @@ def e18b_sample_sizes(spark, sf_dir):
  s AS (SELECT image_id, n-k AS lost FROM (SELECT image_id, count(*) AS n FROM t GROUP BY 1) JOIN (SELECT image_id, count(*) AS k FROM z GROUP BY 1) USING (image_id))
  SELECT unnest([1,2,5]) AS at_least, unnest([count(*) FILTER (WHERE lost>=1), count(*) FILTER (WHERE lost>=2), count(*) FILTER (WHERE lost>=5)]) AS images FROM s""")
 def e18c_suppressed_images(spark, sf_dir):
-    from partita.operators.detection import nms_truth
-
-    b = boxes(spark, sf_dir)
-    lost = b.groupBy("image_id").agg(F.count("*").alias("n")).join(nms_truth(b, 0.3).groupBy("image_id").agg(F.count("*").alias("k")), "image_id")
-    counts = lost.select((F.col("n") - F.col("k")).alias("lost")).agg(*[F.count_if(F.col("lost") >= k).alias(str(k)) for k in (1, 2, 5)])
-    return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("at_least"), F.col(str(k)).alias("images")) for k in (1, 2, 5)])).alias("x")).select("x.*")
+    return A.suppressed_images(boxes(spark, sf_dir), 0.3)
 
 
 @query("e19_size_kinds", f"{BASE} SELECT class_id, CASE WHEN least(w,h)<=0 THEN 'degenerate' WHEN least(w,h)<0.03 THEN 'tiny' WHEN greatest(w,h)>0.15 THEN 'large' ELSE 'ordinary' END AS kind, count(*) AS n FROM t GROUP BY 1,2")

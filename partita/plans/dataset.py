@@ -9,9 +9,19 @@ from partita.operators import dataset as S
 from partita.operators import reports as R
 from partita.plans.detection import BASE, ap_sql, fold_sql, iou_sql
 from partita.plans.registry import query
-from partita.plans.views import CORNERS, EPOCHS, LABEL_LINES, boxes, detections, epochs, label_lines
+from partita.plans.views import CORNERS, DET_CORNERS_2, EPOCHS, LABEL_LINES, boxes, detections, epochs, label_lines, view
 
 B = f"WITH t AS ({CORNERS})"
+
+
+def hashed_sql(key: str) -> str:
+    return f"('0x'||substr(md5({key}),1,10))::BIGINT"
+
+
+def draw_sql(key: str, seed: int = 42) -> str:
+    return f"({hashed_sql(f"{key}||'/{seed}'")}/1099511627776::DOUBLE)"
+
+
 C = ("cx", "cy", "w", "h")
 CENTRE_IOU = iou_sql("k.", "x[1].")
 
@@ -44,25 +54,41 @@ def f26_shrunk_oversize(spark, sf_dir):
     return b.select("image_id", "line_no", F.round(s.c, 6).alias("w"), F.round(s.d, 6).alias("h"))
 
 
-@query("f22_f23_sizes")
+_JITTER = lambda n: f"(0.045::DOUBLE*(1+0.3::DOUBLE*({hashed_sql(f"image_id||'/'||line_no||'/42/{n}'")}%20001/10000-1)))"
+
+
+@query("f22_f23_sizes", f"""{B}, j AS (SELECT *, {_JITTER(1)} AS jw, {_JITTER(2)} AS jh, cy+CASE WHEN class_id=0 THEN -0.25*h ELSE 0.0 END AS moved FROM t)
+ SELECT image_id, line_no, round(cx,9) AS rcx, round(CASE WHEN class_id=0 THEN greatest(0.03::DOUBLE/2, least(1-0.03::DOUBLE/2, cy-h/2+0.03::DOUBLE/2)) ELSE cy END,9) AS rcy, CASE class_id WHEN 0 THEN 0.02::DOUBLE WHEN 3 THEN 0.05::DOUBLE ELSE w END AS rw, CASE class_id WHEN 0 THEN 0.03::DOUBLE ELSE h END AS rh,
+ round(greatest(jw/2, least(1-jw/2, cx)),9) AS jcx, round(greatest(jh/2, least(1-jh/2, moved)),9) AS jcy, round(jw,9) AS jw, round(jh,9) AS jh FROM j""")
 def f22_f23_sizes(spark, sf_dir):
-    """Jittered target sizes (hash-drawn, so without SQL) and reference sizes by rule."""
+    """Jittered target sizes and reference sizes by rule."""
     b = boxes(spark, sf_dir)
     rules = spark.createDataFrame([(0, "top", 0.02, 0.03), (3, "center", 0.05, None), (6, "skip", 0.1, 0.1)], "class_id int, rule string, tw double, th double")
     j = b.join(F.broadcast(rules), "class_id", "left")
     ref = G.reference_size(G.box("", C), F.col("rule"), F.col("tw"), F.col("th"))
     jit = G.shrunk_to_size(G.box("", C), F.lit(0.045), F.lit(0.045), F.coalesce("rule", F.lit("center")), F.concat_ws("/", "image_id", "line_no"))
-    return j.select("image_id", "line_no", *ref.named("rcx", "rcy", "rw", "rh"), *jit.named("jcx", "jcy", "jw", "jh"))
+    out = j.select("image_id", "line_no", *ref.named("rcx", "rcy", "rw", "rh"), *jit.named("jcx", "jcy", "jw", "jh"))
+    return out.withColumns({c: F.round(c, 9) for c in ("rcx", "rcy", "jcx", "jcy", "jw", "jh")})
 
 
 @query("d1_merge", """WITH b AS (SELECT rank, source, stem FROM (
-  SELECT 0 AS rank, 'a' AS source, CAST(doc_id%400 AS VARCHAR) AS stem FROM documents WHERE CAST(doc_id%400 AS VARCHAR) IN (SELECT CAST(doc_id%400 AS VARCHAR) FROM labels)
-  UNION SELECT 1, 'b', CAST(doc_id%300 AS VARCHAR) FROM labels WHERE CAST(doc_id%300 AS VARCHAR) IN (SELECT CAST(doc_id%300 AS VARCHAR) FROM documents)))
+  SELECT 0 AS rank, 'a' AS source, CAST(doc_id AS VARCHAR) AS stem FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)
+  UNION SELECT 1, 'b', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id IN (SELECT doc_id FROM documents)))
  SELECT source, stem, CASE WHEN row_number() OVER w=1 THEN stem ELSE stem||'_'||(row_number() OVER w-1) END AS name FROM b WINDOW w AS (PARTITION BY stem ORDER BY rank)""")
 def d1_merge(spark, sf_dir):
-    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
-    stem = lambda df, k: df.select((F.col("doc_id") % k).cast("string").alias("stem"))
-    return S.merge_images({"a": (stem(docs, 400), stem(labels, 400)), "b": (stem(labels, 300), stem(docs, 300))}, prefix=False)
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet").select(F.col("doc_id").cast("string").alias("stem")) for n in ("documents", "labels"))
+    return S.merge_images({"a": (docs, labels), "b": (labels, docs)}, prefix=False)
+
+
+@query("d1d_merge_totals", f"{B} SELECT CASE WHEN image_id%3=0 THEN 'a' ELSE 'b' END AS source, class_id, count(*) AS n, count(DISTINCT image_id) AS images FROM t GROUP BY GROUPING SETS ((source, class_id), (source), ())")
+def d1d_merge_totals(spark, sf_dir):
+    return S.merge_totals(boxes(spark, sf_dir).withColumn("source", F.when(F.col("image_id") % 3 == 0, "a").otherwise("b")))
+
+
+@query("d2b_single_class", f"{B}, i AS (SELECT image_id, 'one_'||lpad(CAST(row_number() OVER (ORDER BY stem, image_id)+99 AS VARCHAR), 6, '0') AS name FROM (SELECT DISTINCT image_id, CASE WHEN image_id%7=0 THEN 'quartets_x' ELSE 'page' END||'-'||image_id AS stem FROM t)) SELECT image_id, name, line_no, 17 AS class_id FROM t JOIN i USING (image_id)")
+def d2b_single_class(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    return S.single_class(b, _images(b), 17, "one_", 100).select("image_id", "name", "line_no", "class_id")
 
 
 #: The taxonomy map of the remap queries: 3 joins 0, 30 is dropped, 27 is unknown.
@@ -119,17 +145,28 @@ def d4c_keep_largest(spark, sf_dir):
     return S.keep_largest(boxes(spark, sf_dir), 0.1).select("image_id", "class_id", "line_no")
 
 
-@query("d5_hash_split")
+STEMS = f"{B}, i AS (SELECT DISTINCT image_id, CASE WHEN image_id%7=0 THEN 'quartets_x' ELSE 'page' END||'-'||image_id AS stem FROM t)"
+
+
+@query("d5_hash_split", f"{STEMS} SELECT image_id, stem, CASE WHEN {draw_sql('stem')}<0.2::DOUBLE THEN 'val' ELSE 'train' END AS split FROM i")
 def d5_hash_split(spark, sf_dir):
     return S.hash_split(_images(boxes(spark, sf_dir)), "stem", 0.2)
 
 
+@query("d5_size_split", f"{STEMS} SELECT image_id, stem, CASE WHEN row_number() OVER (ORDER BY {draw_sql('stem')}, stem)<=150 THEN 'val' ELSE 'train' END AS split FROM i")
+def d5_size_split(spark, sf_dir):
+    return S.size_split(_images(boxes(spark, sf_dir)), "stem", 150)
+
+
 @query("d5b_every_tenth", f"{B}, i AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS k FROM (SELECT DISTINCT image_id FROM t)) SELECT image_id, CASE WHEN k%10=0 THEN 'val' ELSE 'train' END AS split FROM i")
 def d5b_every_tenth(spark, sf_dir):
     return S.every_nth(boxes(spark, sf_dir).select("image_id").distinct(), "image_id")
 
 
-@query("d6_stratified_split")
+@query("d6_stratified_split", f"""{B}, p AS (SELECT DISTINCT image_id, class_id, {draw_sql('image_id::VARCHAR')} AS u FROM t), n AS (SELECT class_id, count(*) AS n FROM p GROUP BY 1),
+ f AS (SELECT DISTINCT image_id FROM (SELECT image_id, n, row_number() OVER (PARTITION BY class_id ORDER BY u, image_id) AS k FROM p JOIN n USING (class_id) WHERE n<100) WHERE k<=greatest(1, n//10)),
+ i AS (SELECT DISTINCT image_id, u, image_id IN (SELECT image_id FROM f) AS first FROM p)
+ SELECT image_id, CASE WHEN row_number() OVER (ORDER BY first DESC, u, image_id)<=greatest((SELECT floor(count(*)*0.2::DOUBLE) FROM i), (SELECT count(*) FROM f)) THEN 'val' ELSE 'train' END AS split FROM i""")
 def d6_stratified_split(spark, sf_dir):
     return S.stratified_split(boxes(spark, sf_dir))
 
@@ -164,7 +201,11 @@ def d8_image_weights(spark, sf_dir):
     return S.ramped(w, 5, 10).withColumn("weight", F.round("weight", 9))
 
 
-@query("d8b_weighted_sample")
+@query("d8b_weighted_sample", f"""{B}, c AS (SELECT class_id, 1/count(*) AS raw FROM t GROUP BY 1), cw AS (SELECT class_id, raw/(SELECT min(raw) FROM c) AS w FROM c),
+ iw AS (SELECT image_id, greatest(1.0::DOUBLE, max(cw.w)) AS weight FROM t JOIN cw USING (class_id) GROUP BY 1), sp AS (SELECT image_id, weight, sum(weight) OVER (ORDER BY image_id) AS hi FROM iw),
+ dr AS (SELECT i AS draw, {draw_sql('i::VARCHAR')}*(SELECT sum(weight) FROM iw) AS spot FROM (SELECT unnest(range(0, (SELECT count(*) FROM iw))) AS i))
+ SELECT 'without' AS kind, CAST(NULL AS BIGINT) AS draw, image_id FROM (SELECT image_id, row_number() OVER (ORDER BY ln(greatest({draw_sql('image_id::VARCHAR')}, 1e-12))/weight DESC, image_id) AS k FROM iw) WHERE k<=(SELECT count(*) FROM iw)//2
+ UNION ALL SELECT 'with', draw, image_id FROM dr JOIN sp ON spot>=hi-weight AND spot<hi""")
 def d8b_weighted_sample(spark, sf_dir):
     b = boxes(spark, sf_dir)
     w = S.image_weights(b, b, S.class_weights(S.class_counts(b), "inverse"))
@@ -203,11 +244,22 @@ def d10b_background(spark, sf_dir):
     return S.background_preference(boxes(spark, sf_dir), (0, 3)).withColumn("share", F.round("share", 9))
 
 
-@query("d10c_paste_plan")
+_PASTE_KEY = "source_image||'/'||source_line||'/'||try"
+
+
+@query("d10c_paste_plan", f"""{B}, n AS (SELECT class_id, count(*) AS n FROM t GROUP BY 1), la AS (SELECT class_id, (SELECT max(n) FROM n)-n AS lack FROM n QUALIFY row_number() OVER (ORDER BY n, class_id)<=3),
+ im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS rank FROM (SELECT DISTINCT image_id FROM t)),
+ ofr AS (SELECT class_id, lack, image_id AS source_image, line_no AS source_line, w, h, unnest(range(0, 8)) AS try FROM t JOIN la USING (class_id) WHERE lack>0 AND w>=0.03 AND h>=0.03),
+ pl AS (SELECT ofr.*, im.image_id, w/2+{draw_sql(_PASTE_KEY, 43)}*(1-w) AS cx, h/2+{draw_sql(_PASTE_KEY, 44)}*(1-h) AS cy, {hashed_sql(_PASTE_KEY)} AS turn FROM ofr JOIN im ON im.rank=floor({draw_sql(_PASTE_KEY)}*(SELECT count(*) FROM im))+1),
+ bx AS (SELECT *, cx-w/2 AS x1, cy-h/2 AS y1, cx+w/2 AS x2, cy+h/2 AS y2 FROM pl),
+ fr AS (SELECT * FROM bx WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.image_id=bx.image_id AND {iou_sql('bx.', 't.')}>0.1)),
+ a AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY turn, class_id, source_image, source_line)<=5)
+ SELECT class_id, source_image, source_line, image_id, round(cx,9) AS cx, round(cy,9) AS cy, w, h FROM a QUALIFY row_number() OVER (PARTITION BY class_id ORDER BY turn, source_image, source_line)<=lack""")
 def d10c_paste_plan(spark, sf_dir):
     b = boxes(spark, sf_dir)
     n = S.class_counts(b)
-    return S.paste_plan(b, S.tail_classes(n, n.select("class_id"), 3), int(n.agg(F.max("n")).first()[0]))
+    plan = S.paste_plan(b, S.tail_classes(n, n.select("class_id"), 3), int(n.agg(F.max("n")).first()[0]))
+    return plan.withColumns({c: F.round(c, 9) for c in ("cx", "cy")})
 
 
 @query("d11_quality_subset", f"{B} SELECT image_id, CAST(sum(CASE WHEN class_id IN (9,21) THEN 10 ELSE 0 END)+count(*) AS BIGINT) AS score FROM t GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50")
@@ -215,13 +267,33 @@ def d11_quality_subset(spark, sf_dir):
     return S.quality_subset(boxes(spark, sf_dir), (9, 21), 50)
 
 
-@query("d12_pseudo_labels", f"""{BASE} SELECT image_id, class_id, round(cx,9) AS cx, round(cy,9) AS cy, 'trusted' AS origin FROM t WHERE image_id%3<>0 UNION ALL SELECT image_id, class_id, round(cx,9), round(cy,9), 'anchor' FROM t WHERE image_id%3=0 AND class_id=0
- UNION ALL SELECT image_id, class_id, round(cx,9), round(cy,9), 'predicted' FROM d WHERE image_id%3=0 AND class_id<>0""")
+SIZES = [(3, 0.045, 0.045, "top"), (6, 0.03, 0.05, None)]
+
+
+def _pseudo_side(n: int, side: str) -> str:
+    return f"(CASE class_id WHEN 3 THEN 0.045::DOUBLE ELSE {'0.03' if side == 'w' else '0.05'}::DOUBLE END*(1+0.3::DOUBLE*({hashed_sql(f"image_id||'/'||det_id||'/42/{n}'")}%20001/10000-1)))"
+
+
+@query("d12_pseudo_labels", f"""{BASE}, d2 AS ({DET_CORNERS_2}), o AS (SELECT *, {_pseudo_side(1, 'w')} AS jw, {_pseudo_side(2, 'h')} AS jh, cy+CASE WHEN class_id=3 THEN -0.25*h ELSE 0.0 END AS moved FROM d WHERE image_id%3=0 AND class_id<>0),
+ a AS (SELECT image_id, class_id, cx, cy, w, h, 'trusted' AS origin FROM t WHERE image_id%3<>0 UNION ALL SELECT image_id, class_id, cx, cy, w, h, 'notehead' FROM d2 WHERE image_id%3=0 AND class_id=0
+ UNION ALL SELECT image_id, class_id, CASE WHEN class_id IN (3,6) THEN greatest(jw/2, least(1-jw/2, cx)) ELSE cx END, CASE WHEN class_id IN (3,6) THEN greatest(jh/2, least(1-jh/2, moved)) ELSE cy END, CASE WHEN class_id IN (3,6) THEN jw ELSE w END, CASE WHEN class_id IN (3,6) THEN jh ELSE h END, 'predicted' FROM o)
+ SELECT image_id, class_id, round(cx,9) AS cx, round(cy,9) AS cy, round(w,9) AS w, round(h,9) AS h, origin FROM a""")
 def d12_pseudo_labels(spark, sf_dir):
+    """The second model's class 0 stands for the notehead detector."""
     from partita.operators.curation import pseudo_labels
 
-    p = pseudo_labels(boxes(spark, sf_dir), detections(spark, sf_dir), F.col("image_id") % 3 != 0, (0,))
-    return p.select("image_id", "class_id", F.round("cx", 9).alias("cx"), F.round("cy", 9).alias("cy"), "origin")
+    sizes = spark.createDataFrame(SIZES, "class_id int, width double, height double, bias string")
+    noteheads = view(spark, sf_dir, DET_CORNERS_2).where("class_id = 0")
+    p = pseudo_labels(boxes(spark, sf_dir), detections(spark, sf_dir), noteheads, F.col("image_id") % 3 != 0, (0,), sizes)
+    return p.withColumns({c: F.round(c, 9) for c in C})
+
+
+@query("d13_change_counts", f"""{B}, s AS (SELECT image_id, line_no, class_id, w FROM t), n AS (SELECT image_id, line_no, CASE WHEN class_id=0 THEN w+0.01 ELSE w END AS w FROM s WHERE (image_id+line_no)%4<>0)
+ SELECT s.class_id, count(*) AS before, count(n.w) AS after, count(*)-count(n.w) AS removed, count(*) FILTER (WHERE n.w IS NOT NULL AND n.w<>s.w) AS changed FROM s LEFT JOIN n USING (image_id, line_no) GROUP BY 1""")
+def d13_change_counts(spark, sf_dir):
+    b = boxes(spark, sf_dir)
+    after = b.where((F.col("image_id") + F.col("line_no")) % 4 != 0).withColumn("w", F.when(F.col("class_id") == 0, F.col("w") + 0.01).otherwise(F.col("w")))
+    return S.change_counts(b, after)
 
 
 @query("d13_repair", f"""{B}, r AS (SELECT image_id, line_no, class_id, cx, CASE WHEN image_id%2=0 AND class_id=0 THEN greatest(0.01,least(0.99,cy-h/2+0.01)) ELSE cy END AS cy, CASE WHEN image_id%2=0 AND class_id=0 THEN 0.02 ELSE w END AS w, CASE WHEN image_id%2=0 AND class_id=0 THEN 0.02 ELSE h END AS h FROM t),
@@ -268,7 +340,7 @@ def n4_concentration(spark, sf_dir):
     return S.concentration(boxes(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("top_share", "small_share")})
 
 
-@query("n6_size_variety", f"{B} SELECT class_id, count(DISTINCT (round(w,2), round(h,2))) AS sizes, round(stddev_pop(w)/avg(w),6) AS cv_w, round(stddev_pop(h)/avg(h),6) AS cv_h FROM t GROUP BY 1")
+@query("n6_size_variety", f"{B} SELECT class_id, count(DISTINCT (round_even(w,3), round_even(h,3))) AS sizes, round(stddev_pop(w)/avg(w),6) AS cv_w, round(stddev_pop(h)/avg(h),6) AS cv_h FROM t GROUP BY 1")
 def n6_size_variety(spark, sf_dir):
     return S.size_variety(boxes(spark, sf_dir)).withColumns({c: F.round(c, 6) for c in ("cv_w", "cv_h")})
 
