@@ -250,6 +250,22 @@ def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> Data
     return summarised(report, ("name",)).select("name", F.col("map").alias("map50"), "precision", "recall")
 
 
+def staged_sweep(truth: DataFrame, detections: DataFrame, confidences: tuple[float, ...], first: float, ious: tuple[float, ...], least: float = 0.5, keep: int = 3) -> DataFrame:
+    """name, map50, precision, recall and place of the second stage of a sweep.
+
+    Stage 1 ranks the confidences at the suppression IoU `first`, those of a precision of `least` or more before others; stage 2 crosses
+    the best `keep` with `ious`.
+    """
+    from partita.operators.reports import constrained_best
+
+    spark, schema = truth.sparkSession, "name string, min_conf double, nms_iou double"
+    one = spark.createDataFrame([(f"{c}", c, first) for c in confidences], schema)
+    ranked = constrained_best(evaluate(truth, with_protocol(detections, one)), "precision", least, "map50").where(F.col("place") <= keep).join(one, "name")
+    two = ranked.select("min_conf").crossJoin(spark.createDataFrame([(i,) for i in ious], "nms_iou double")).dropDuplicates(["min_conf", "nms_iou"])
+    two = two.select(F.concat_ws("/", "min_conf", "nms_iou").alias("name"), "min_conf", "nms_iou")
+    return constrained_best(evaluate(truth, with_protocol(detections, two)), "precision", least, "map50")
+
+
 def error_classes(truth: DataFrame, detections: DataFrame, foreground: float = 0.5, background: float = 0.1) -> DataFrame:
     """Every detection's error class (Match, Dupe, Loc, Cls, Both, Bkg) and every missed truth box (Miss): image_id, kind, id, error.
 

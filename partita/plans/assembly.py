@@ -7,12 +7,32 @@ from pyspark.sql import functions as F
 from partita.functions import pitch
 from partita.operators import assembly as M
 from partita.operators import harmony
+from partita.plans.detection import fold_sql
+from partita.plans.harmony import violations_sql
 from partita.plans.registry import query
 from partita.plans.views import CORNERS, DET_CORNERS, boxes, detections
 
 #: Symbols in pixels; four staves a page at fixed heights.
 S = f"WITH sy AS (SELECT image_id, line_no AS sym_id, class_id, cx*1280 AS x, cy*1280 AS y FROM ({CORNERS}) t), st AS (SELECT image_id, k AS staff_idx, CAST(100+300*k AS DOUBLE) AS top, CAST(20 AS DOUBLE) AS spacing FROM (SELECT DISTINCT image_id FROM sy), (SELECT unnest([0,1,2,3]) AS k))"
 HEADS, BARS, CLEFS = (0, 3, 6, 18, 27), (21, 24), {9: "treble", 30: "bass"}
+RS = S.replace("WITH sy", "WITH RECURSIVE sy", 1)
+
+
+def clusters_sql(rows: str, keys: str, name: str = "cl") -> str:
+    """CTEs: rows (keys, sym_id, x) from left to right, each beside the running mean of the cluster at hand, or in a new one."""
+    on = " AND ".join(f"b.{k}=a.{k}" for k in keys.split(", "))
+    out = ", ".join(f"b.{k}" for k in keys.split(", "))
+    near = "abs(b.x-a.s/a.n)<=20"
+    return f"""{name}_o AS (SELECT {keys}, sym_id, x, row_number() OVER (PARTITION BY {keys} ORDER BY x, sym_id) AS k FROM {rows}),
+ {name} AS (SELECT {keys}, sym_id, k, x AS s, 1 AS n, 0 AS cluster FROM {name}_o WHERE k=1
+  UNION ALL SELECT {out}, b.sym_id, b.k, CASE WHEN {near} THEN a.s+b.x ELSE b.x END, CASE WHEN {near} THEN a.n+1 ELSE 1 END, CASE WHEN {near} THEN a.cluster ELSE a.cluster+1 END FROM {name} a JOIN {name}_o b ON {on} AND b.k=a.k+1)"""
+
+
+def clefs_sql(staves_: str, symbols_: str) -> str:
+    """CTEs: the clef of each staff, from the left seventh of the page."""
+    rows = f"(SELECT sy.image_id, sym_id AS clef_id, CASE class_id WHEN 9 THEN 'treble' ELSE 'bass' END AS kind, staff_idx, abs(y-top-2*spacing) AS d FROM {symbols_} sy JOIN {staves_} st USING (image_id) WHERE class_id IN (9, 30) AND x<=192 AND y>=top-100 AND y<=top+180)"
+    won = fold_sql(rows, "image_id", "d, clef_id, staff_idx", ["clef_id", "staff_idx", "kind"], "k.clef_id=x[1].clef_id OR k.staff_idx=x[1].staff_idx")
+    return f"won AS (SELECT image_id, v.staff_idx AS staff_idx, v.kind AS clef FROM ({won})), clefs AS (SELECT st.image_id, st.staff_idx, coalesce(clef, 'treble') AS clef FROM {staves_} st LEFT JOIN won USING (image_id, staff_idx))"
 
 
 def symbols(spark, sf_dir):
@@ -56,7 +76,7 @@ def a4_measures(spark, sf_dir):
     return M.measures(sy.where(F.col("class_id").isin(*HEADS)).select("image_id", "sym_id", "x"), sy.where(F.col("class_id").isin(*BARS)).select("image_id", "x"))
 
 
-@query("a5_clusters")
+@query("a5_clusters", f"{RS}, h AS (SELECT image_id, sym_id, x FROM sy WHERE class_id IN {HEADS}), {clusters_sql('h', 'image_id')} SELECT image_id, sym_id, cluster FROM cl")
 def a5_clusters(spark, sf_dir):
     sy = symbols(spark, sf_dir)
     return M.clusters(sy.where(F.col("class_id").isin(*HEADS)).select("image_id", "sym_id", "x"))
@@ -86,28 +106,53 @@ def a10_accidentals(spark, sf_dir):
     return M.resolve_accidentals(a).select("image_id", "sym_id", "accidental", "resolved")
 
 
-@query("a12_clefs")
+@query("a12_clefs", f"{S}, {clefs_sql('st', 'sy')} SELECT * FROM clefs")
 def a12_clefs(spark, sf_dir):
     sy = symbols(spark, sf_dir)
     k = sy.where(F.col("class_id").isin(*CLEFS)).select("image_id", F.col("sym_id").alias("clef_id"), pitch.lookup(CLEFS, F.col("class_id")).alias("kind"), "x", "y")
     return M.assign_clefs(k, staves(sy))
 
 
-def _chords(spark, sf_dir):
+def _chords(spark, sf_dir, lines: int):
     sy = symbols(spark, sf_dir)
     # clusters are per page: a quarter of the page is one column of notes here
     wide = sy.withColumn("x", F.when(F.col("class_id").isin(*HEADS), F.floor(F.col("x") / 160) * 160 + F.col("sym_id") % 7).otherwise(F.col("x")))
-    return sy, M.assemble(wide, staves(sy, 2), HEADS, (24,), CLEFS)
+    return sy, M.assemble(wide, staves(sy, lines), HEADS, (24,), CLEFS)
+
+
+def assembly_sql(lines: int) -> str:
+    """CTEs up to ch: the whole assembly on pages of two or four staves."""
+    side = "CASE WHEN y<290 THEN 0 ELSE 1 END" if lines == 2 else "staff_idx"  # 290: the middle between the two staves
+    voice = "CASE WHEN k<=2 THEN side*2+k-1 END" if lines == 2 else "CASE WHEN k=1 THEN side END"
+    return f"""{RS}, s2 AS (SELECT image_id, k AS staff_idx, CAST(100+300*k AS DOUBLE) AS top, CAST(20 AS DOUBLE) AS spacing FROM (SELECT DISTINCT image_id FROM sy), (SELECT unnest(range(0, {lines})) AS k)),
+ wide AS (SELECT image_id, sym_id, class_id, CASE WHEN class_id IN {HEADS} THEN floor(x/160)*160+sym_id%7 ELSE x END AS x, y FROM sy), nh AS (SELECT * FROM wide WHERE class_id IN {HEADS}), {clefs_sql('s2', 'wide')},
+ en AS (SELECT image_id, min(x)-10 AS lo, max(x)+10 AS hi FROM nh GROUP BY 1), ed AS (SELECT image_id, lo AS x FROM en UNION SELECT w.image_id, x FROM wide w JOIN en ON w.image_id=en.image_id AND x>lo AND x<hi WHERE class_id=24),
+ iv AS (SELECT n.image_id, n.sym_id, (SELECT count(*) FROM ed WHERE ed.image_id=n.image_id AND ed.x<=n.x) AS k FROM nh n), ms AS (SELECT image_id, sym_id, CAST(dense_rank() OVER (PARTITION BY image_id ORDER BY k)+(min(k) OVER (PARTITION BY image_id)>1)::INT AS INT) AS measure FROM iv),
+ ns AS (SELECT image_id, sym_id, staff_idx, CAST(round_even((y-top)/(spacing/2),0) AS INT) AS step FROM nh n JOIN s2 USING (image_id) QUALIFY row_number() OVER (PARTITION BY image_id, sym_id ORDER BY abs(y-(top+2*spacing)), staff_idx)=1),
+ ac AS (SELECT n.image_id, n.sym_id, CASE a.class_id WHEN 12 THEN 1 ELSE 2 END AS shift FROM nh n JOIN wide a ON a.image_id=n.image_id AND a.class_id IN (12,15) AND n.x-a.x>0 AND n.x-a.x<40 AND abs(n.y-a.y)<15 QUALIFY row_number() OVER (PARTITION BY n.image_id, n.sym_id ORDER BY n.x-a.x, a.y, CASE a.class_id WHEN 12 THEN 'sharp' ELSE 'double_sharp' END)=1),
+ al AS (SELECT n.image_id, n.sym_id, n.x, n.y, measure, staff_idx, step, last_value(shift IGNORE NULLS) OVER (PARTITION BY n.image_id, measure, staff_idx, step ORDER BY n.x, n.sym_id ROWS UNBOUNDED PRECEDING) AS shift FROM nh n LEFT JOIN ac USING (image_id, sym_id) JOIN ns USING (image_id, sym_id) JOIN ms USING (image_id, sym_id)),
+ pl AS (SELECT al.*, CASE clef WHEN 'bass' THEN 26 ELSE 38 END-step AS place FROM al JOIN clefs USING (image_id, staff_idx)),
+ mi AS (SELECT *, CAST(greatest(21, least(108, floor(place/7)*12+12+[0,2,4,5,7,9,11][1+(place%7+7)%7]+coalesce(shift,0))) AS INT) AS midi FROM pl), {clusters_sql('al', 'image_id, measure')},
+ vo AS (SELECT image_id, cluster, midi, side, row_number() OVER (PARTITION BY image_id, cluster, side ORDER BY y, sym_id) AS k FROM (SELECT mi.image_id, cl.measure*100000+cl.cluster AS cluster, midi, y, mi.sym_id, {side} AS side FROM mi JOIN cl ON cl.image_id=mi.image_id AND cl.sym_id=mi.sym_id)),
+ fo AS (SELECT image_id, cluster, {', '.join(f"max(midi) FILTER (WHERE {voice}={k}) AS {v}" for k, v in enumerate('satb'))} FROM vo GROUP BY 1,2),
+ ch AS (SELECT image_id AS score_id, CAST(row_number() OVER (PARTITION BY image_id ORDER BY cluster)-1 AS INT) AS chord_index, CAST(cluster//100000 AS INT) AS measure, CAST(cluster%100000 AS DOUBLE) AS beat, s, a, t, b, CAST(NULL AS INT) AS tonic_midi, CAST(NULL AS VARCHAR) AS mode FROM fo WHERE s IS NOT NULL AND a IS NOT NULL AND t IS NOT NULL AND b IS NOT NULL)"""
+
+
+@query("a13_assembly", f"{assembly_sql(2)} SELECT * FROM ch")
+def a13_assembly(spark, sf_dir):
+    return _chords(spark, sf_dir, 2)[1]
 
 
-@query("a13_assembly")
-def a13_assembly(spark, sf_dir):
-    return _chords(spark, sf_dir)[1]
+@query("a13_assembly_four", f"{assembly_sql(4)} SELECT * FROM ch")
+def a13_assembly_four(spark, sf_dir):
+    return _chords(spark, sf_dir, 4)[1]
 
 
-@query("a14_counters")
+@query("a14_counters", f"""{assembly_sql(2)}, {violations_sql('ch')}
+ SELECT image_id, count(*) AS symbols, count(*) FILTER (WHERE class_id IN {HEADS}) AS noteheads, coalesce(any_value(chords), 0) AS chords, coalesce(any_value(violations), 0) AS violations FROM sy
+ LEFT JOIN (SELECT score_id AS image_id, count(*) AS chords FROM ch GROUP BY 1) USING (image_id) LEFT JOIN (SELECT score_id AS image_id, count(*) AS violations FROM vio GROUP BY 1) USING (image_id) GROUP BY 1""")
 def a14_counters(spark, sf_dir):
-    sy, chords = _chords(spark, sf_dir)
+    sy, chords = _chords(spark, sf_dir, 2)
     return M.counters(sy, chords, harmony.violations(chords), HEADS)
 
 

@@ -135,9 +135,16 @@ def d4_near_duplicates(spark, sf_dir):
     return S.near_duplicate_boxes(boxes(spark, sf_dir), 0.3).select("image_id", "class_id", "line_no")
 
 
-@query("d4b_merge_overlapping")
+_JOINS = "greatest(0.0, least(r.cx+r.w/2, o.cx+o.w/2)-greatest(r.cx-r.w/2, o.cx-o.w/2))"
+_JOINS = f"(CASE WHEN r.w+o.w-{_JOINS}>0 THEN {_JOINS}/(r.w+o.w-{_JOINS}) ELSE 0 END>0.5)"
+
+
+@query("d4b_merge_overlapping", f"""WITH RECURSIVE t AS ({CORNERS}), o AS (SELECT * EXCLUDE (k), row_number() OVER (PARTITION BY image_id, class_id ORDER BY cx, line_no) AS k FROM t),
+ r AS (SELECT image_id, class_id, k, 0 AS g, cx, cy, w, h, 1 AS n FROM o WHERE k=1 UNION ALL SELECT o.image_id, o.class_id, o.k, CASE WHEN {_JOINS} THEN g ELSE g+1 END, CASE WHEN {_JOINS} THEN (r.cx*n+o.cx)/(n+1) ELSE o.cx END, CASE WHEN {_JOINS} THEN (r.cy*n+o.cy)/(n+1) ELSE o.cy END,
+  CASE WHEN {_JOINS} THEN greatest(r.w,o.w) ELSE o.w END, CASE WHEN {_JOINS} THEN greatest(r.h,o.h) ELSE o.h END, CASE WHEN {_JOINS} THEN n+1 ELSE 1 END FROM r JOIN o ON o.image_id=r.image_id AND o.class_id=r.class_id AND o.k=r.k+1)
+ SELECT image_id, class_id, round(cx,9) AS cx, round(cy,9) AS cy, w, h, n FROM (SELECT *, lead(g) OVER (PARTITION BY image_id, class_id ORDER BY k) AS next FROM r) WHERE next IS NULL OR next<>g""")
 def d4b_merge_overlapping(spark, sf_dir):
-    return S.merge_overlapping(boxes(spark, sf_dir))
+    return S.merge_overlapping(boxes(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("cx", "cy")})
 
 
 @query("d4c_keep_largest", f"{B} SELECT image_id, class_id, v.line_no AS line_no FROM ({fold_sql('t', 'image_id, class_id', 'w*h DESC, line_no', ['line_no', *C], 'abs(k.cx-x[1].cx)<0.1 AND abs(k.cy-x[1].cy)<0.1')})")

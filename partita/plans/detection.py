@@ -122,16 +122,31 @@ def e1b_greedy_match(spark, sf_dir):
     return D.greedy_match(boxes(spark, sf_dir), detections(spark, sf_dir), 0.5)
 
 
-@query("e8_fusion")
+def fusion_sql(weights: tuple[float, float]) -> str:
+    """CTEs up to fu: boxes of two models by weighted confidence, each merged into the fused box it overlaps most, or a new one."""
+    total = sum(weights)
+    box_of = "{'x1': o.x1, 'y1': o.y1, 'x2': o.x2, 'y2': o.y2, 'conf': o.conf, 'n': 1}"
+    merged = ", ".join(f"'{p}': (c.{p}*c.conf+o.{p}*o.conf)/(c.conf+o.conf)" for p in BOX_FIELDS)
+    return f"""WITH RECURSIVE m1 AS ({DET_CORNERS}), m2 AS ({DET_CORNERS_2}),
+ al AS (SELECT image_id, class_id, 0 AS model, det_id, conf*{weights[0]}::DOUBLE AS conf, x1, y1, x2, y2 FROM m1 WHERE conf>=0.01 UNION ALL SELECT image_id, class_id, 1, det_id, conf*{weights[1]}::DOUBLE, x1, y1, x2, y2 FROM m2 WHERE conf>=0.01),
+ o AS (SELECT *, row_number() OVER (PARTITION BY image_id, class_id ORDER BY conf DESC, model, det_id) AS k FROM al),
+ r AS (SELECT image_id, class_id, k, [{box_of}] AS cl FROM o WHERE k=1
+  UNION ALL SELECT o.image_id, o.class_id, o.k, CASE WHEN list_max(list_transform(r.cl, lambda c: {iou_sql('c.', 'o.')}))>0.55
+   THEN list_transform(r.cl, lambda c, i: CASE WHEN i=list_position(list_transform(r.cl, lambda z: {iou_sql('z.', 'o.')}), list_max(list_transform(r.cl, lambda z: {iou_sql('z.', 'o.')}))) THEN {{{merged}, 'conf': c.conf+o.conf, 'n': c.n+1}} ELSE c END)
+   ELSE list_concat(r.cl, [{box_of}]) END FROM r JOIN o ON o.image_id=r.image_id AND o.class_id=r.class_id AND o.k=r.k+1),
+ fu AS (SELECT image_id, class_id, c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2, c.conf/c.n*least({total}::DOUBLE, c.n)/{total}::DOUBLE AS conf, c.n AS members FROM (SELECT image_id, class_id, unnest(cl) AS c FROM r QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY k DESC)=1))"""
+
+
+@query("e8_fusion", f"{fusion_sql((1.0, 2.0))} SELECT image_id, class_id, round(x1,9) AS x1, round(y1,9) AS y1, round(x2,9) AS x2, round(y2,9) AS y2, round(conf,9) AS conf, members FROM fu")
 def e8_fusion(spark, sf_dir):
     one, two = detections(spark, sf_dir), view(spark, sf_dir, DET_CORNERS_2)
-    return D.fuse([(one, 1.0), (two, 2.0)])
+    return D.fuse([(one, 1.0), (two, 2.0)]).withColumns({c: F.round(c, 9) for c in (*BOX_FIELDS, "conf")})
 
 
-@query("e8b_agreement")
+@query("e8b_agreement", f"{fusion_sql((1.0, 1.0))}, mo AS (SELECT image_id, max(n) AS most FROM (SELECT image_id, count(*) AS n FROM m1 GROUP BY 1 UNION ALL SELECT image_id, count(*) FROM m2 GROUP BY 1) GROUP BY 1) SELECT image_id, most, coalesce(fused,0) AS fused, round(coalesce(fused,0)/most,9) AS ratio FROM mo LEFT JOIN (SELECT image_id, count(*) AS fused FROM fu GROUP BY 1) USING (image_id)")
 def e8b_agreement(spark, sf_dir):
     one, two = detections(spark, sf_dir), view(spark, sf_dir, DET_CORNERS_2)
-    return D.agreement(D.fuse([(one, 1.0), (two, 1.0)]), [one, two])
+    return D.agreement(D.fuse([(one, 1.0), (two, 1.0)]), [one, two]).withColumn("ratio", F.round("ratio", 9))
 
 
 #: The two usual protocols.
@@ -177,18 +192,14 @@ def e6_sweep(spark, sf_dir):
     return best_first(found, [F.desc("map50"), F.col("name")], 5).select("name", F.round("map50", 6).alias("map50"), "place")
 
 
-@query("e6b_staged_sweep")
+_STAGES = [(f"{c}/{i}", c, i) for c in (0.15, 0.25, 0.4, 0.6) for i in (0.5, 0.55, 0.7)]
+
+
+@query("e6b_staged_sweep", f"""{protocol_sql(_STAGES)}, ea AS (SELECT ev.*, pr.min_conf, pr.nms_iou FROM ev JOIN pr USING (name)), s1 AS (SELECT min_conf FROM ea WHERE nms_iou=0.55 QUALIFY row_number() OVER (ORDER BY precision>=0.5 DESC, map50 DESC, min_conf::VARCHAR)<=3)
+ SELECT name, round(map50,6) AS map50, round(precision,6) AS precision, round(recall,6) AS recall, CAST(row_number() OVER (ORDER BY precision>=0.5 DESC, map50 DESC, name) AS INT) AS place FROM ea WHERE nms_iou IN (0.5,0.7) AND min_conf IN (SELECT min_conf FROM s1)""")
 def e6b_staged_sweep(spark, sf_dir):
-    """Stage 1 ranks confidences at one IoU, precision of 0.5 or more first; stage 2 crosses the best three with the IoUs."""
-    from partita.operators.reports import constrained_best
-
-    schema = "name string, min_conf double, nms_iou double"
-    t, d = boxes(spark, sf_dir), detections(spark, sf_dir)
-    first = spark.createDataFrame([(f"{c}", c, 0.55) for c in (0.15, 0.25, 0.4, 0.6)], schema)
-    ranked = constrained_best(D.evaluate(t, D.with_protocol(d, first)), "precision", 0.5, "map50").where("place <= 3").join(first, "name")
-    second = ranked.select("min_conf").crossJoin(spark.createDataFrame([(0.5,), (0.7,)], "nms_iou double")).dropDuplicates(["min_conf", "nms_iou"])
-    second = second.select(F.concat_ws("/", "min_conf", "nms_iou").alias("name"), "min_conf", "nms_iou")
-    return constrained_best(D.evaluate(t, D.with_protocol(d, second)), "precision", 0.5, "map50")
+    found = D.staged_sweep(boxes(spark, sf_dir), detections(spark, sf_dir), (0.15, 0.25, 0.4, 0.6), 0.55, (0.5, 0.7))
+    return found.select("name", *[F.round(c, 6).alias(c) for c in ("map50", "precision", "recall")], "place")
 
 
 @query("e9_error_classes", f"""{PAIRS}, top AS (SELECT image_id, det_id, max(iou) FILTER (WHERE tc=dc) AS si, arg_max(line_no, iou*1e9-line_no*1e-3) FILTER (WHERE tc=dc) AS st, max(iou) FILTER (WHERE tc<>dc) AS oi, arg_max(line_no, iou*1e9-line_no*1e-3) FILTER (WHERE tc<>dc) AS ot FROM p GROUP BY 1,2),

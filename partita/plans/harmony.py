@@ -71,6 +71,11 @@ _ALL = " UNION ALL ".join(f"({sql})" for sql in _RULES.values())
 _COLUMNS = ["score_id", "chord_index", "rule_id", "kind", "severity", "voices", "detail", "from_index"]
 
 
+def violations_sql(chords_table: str) -> str:
+    """CTEs up to vio: every rule over a table of chords."""
+    return f"{_LAGGED[5:].replace(CHORDS, f'SELECT * FROM {chords_table}')}{_TRIAD}, vio AS ({_ALL})"
+
+
 @query("harmony_all", f"{_LAGGED}{_TRIAD} SELECT * FROM ({_ALL})")
 def harmony_all(spark, sf_dir):
     return harmony.violations(chords(spark, sf_dir)).select(*_COLUMNS)
