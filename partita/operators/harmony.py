@@ -145,6 +145,26 @@ def ranges(chords: DataFrame, bounds: DataFrame) -> DataFrame:
     return outside.union(wide.select("score_id", "chord_index", F.lit("spacing").alias("kind"), "voices"))
 
 
+def cases_match(actual: DataFrame, expected: DataFrame) -> DataFrame:
+    """score_id, actual, expected and matches: whether a case's violations are those expected.
+
+    actual: score_id, chord_index, rule_id, severity, message; expected: score_id, pos, rule_id, severity, contains. The counts have to be equal,
+    and each violation, in order, takes the first free expected one of its rule and severity whose `contains` is part of its message.
+    """
+    order = ("chord_index", "rule_id", "severity", "message")
+    a = actual.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("a"))
+    e = expected.groupBy("score_id").agg(F.array_sort(F.collect_list(F.struct("pos", "rule_id", "severity", "contains"))).alias("e"))
+    both = a.join(e, "score_id", "full").select("score_id", *[F.coalesce(c, F.array().cast(df.schema[c].dataType)).alias(c) for c, df in (("a", a), ("e", e))])
+
+    def take(left: Column, x: Column) -> Column:
+        fits = F.transform(left, lambda w: (w["rule_id"] == x["rule_id"]) & (w["severity"] == x["severity"]) & F.contains(x["message"], w["contains"]))
+        at = F.array_position(fits, F.lit(True))
+        return F.filter(left, lambda w, i: i + 1 != at)
+
+    left = F.size(F.aggregate("a", F.col("e"), take))
+    return both.select("score_id", F.size("a").alias("actual"), F.size("e").alias("expected"), ((F.size("a") == F.size("e")) & (left == 0)).alias("matches"))
+
+
 def match_expected(expected: DataFrame, actual: DataFrame, keys: list[str]) -> DataFrame:
     """A multiset match on `keys`: per key group the counts found on both sides, and how many are missing or extra."""
     e, a = (x.groupBy(*keys).agg(F.count("*").alias(n)) for x, n in ((expected, "expected"), (actual, "actual")))

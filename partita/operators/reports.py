@@ -38,6 +38,28 @@ def gate(metrics: DataFrame, limits: dict[str, float]) -> DataFrame:
     return metrics.withColumn("passed", ok)
 
 
+def corpus_totals(files: DataFrame) -> DataFrame:
+    """Of file statistics (path, parts, measures, fermatas, bar_styles; NULL where a file doesn't parse): files, errors, and for fermatas and bar styles the
+    files with any, their share, the total, the mean a file and the mean a file with any."""
+    good = F.col("parts").isNotNull()
+    cells = [F.count_if(good).alias("files"), F.count_if(~good).alias("errors")]
+    for c in ("fermatas", "bar_styles"):
+        some = F.when(F.col(c) > 0, F.col(c))
+        cells += [F.count(some).alias(f"with_{c}"), F.avg(F.when(good, (F.col(c) > 0).cast("int"))).alias(f"share_{c}"), F.coalesce(F.sum(c), F.lit(0)).alias(c), F.avg(c).alias(f"mean_{c}"), F.avg(some).alias(f"mean_{c}_where_any")]
+    return files.agg(*cells)
+
+
+def part_distribution(files: DataFrame) -> DataFrame:
+    """parts, files and their share of the files that parse."""
+    n = files.where("parts IS NOT NULL").groupBy("parts").agg(F.count("*").alias("files"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("files").alias("all")))).select("parts", "files", (F.col("files") / F.col("all")).alias("share"))
+
+
+def top_files(files: DataFrame, column: str = "fermatas", n: int = 10) -> DataFrame:
+    """The n files with most of `column`, numbered as place."""
+    return best_first(files.where(F.col(column) > 0).select("path", column), [F.desc(column), F.col("path")], n)
+
+
 def run_report(epochs: DataFrame, span: int = 20, stagnant: float = 0.001) -> DataFrame:
     """Per run of epochs (run_id, epoch, metric): first, last and best value, best epoch, gain over the last `span` epochs, coefficient of variation, and flags.
 

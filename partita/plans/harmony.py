@@ -117,6 +117,17 @@ def h13_expected_match(spark, sf_dir):
     return harmony.match_expected(found.where("chord_index % 7 <> 3"), found, ["score_id", "rule_id", "severity"])
 
 
+@query("h13_cases_match", f"""{_LAGGED}{_TRIAD}, v AS ({_ALL}), a AS (SELECT score_id, count(*) AS actual FROM v GROUP BY 1), e AS (SELECT score_id, count(*) AS expected FROM v WHERE (chord_index+score_id)%9<>3 GROUP BY 1)
+ SELECT score_id, CAST(actual AS INT) AS actual, CAST(coalesce(expected,0) AS INT) AS expected, actual=coalesce(expected,0) AS matches FROM a LEFT JOIN e USING (score_id)""")
+def h13_cases_match(spark, sf_dir):
+    """What the rules find, held against itself less some chords: scores match where nothing was left out."""
+    message = F.coalesce("detail", F.lit(""))
+    found = harmony.violations(chords(spark, sf_dir))
+    some = found.where((F.col("chord_index") + F.col("score_id")) % 9 != 3)
+    expected = some.select("score_id", F.col("chord_index").alias("pos"), "rule_id", "severity", message.alias("contains"))
+    return harmony.cases_match(found.select("score_id", "chord_index", "rule_id", "severity", message.alias("message")), expected)
+
+
 #: Usual ranges of the four voices.
 RANGES = [("S", 60, 81), ("A", 53, 74), ("T", 47, 69), ("B", 40, 64)]
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def label_rows(texts: DataFrame, key: str = "file", text: str = "value", strict: bool = False) -> DataFrame:
@@ -56,24 +55,75 @@ def recognised_notes(scores: DataFrame, key: str = "score_id", column: str = "js
     return m.withColumn("chord_index", index).select(key, "measure", "chord_index", F.col("c.beat").alias("beat"), F.explode("c.notes").alias("n")).select(key, "measure", "chord_index", "beat", "n.*")
 
 
-COCO_LISTS = ("images array<struct<id:string,file_name:string,width:double,height:double>>, annotations array<struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
-COCO_MAPS = ("images map<string,struct<id:string,file_name:string,width:double,height:double>>, annotations map<string,struct<id:string,img_id:string,cat_id:array<string>,a_bbox:array<double>>>")
+_IMAGE = "struct<id:string,img_id:string,file_name:string,filename:string,width:double,height:double>"
+_ANNOTATION = "struct<id:string,img_id:string,image_id:string,cat_id:string,category_id:string,a_bbox:array<double>,bbox:array<double>>"
 
 
-def coco_boxes(raw: DataFrame, categories: DataFrame) -> DataFrame:
-    """Annotations of parsed COCO-like JSON (lists, or maps by id) with their image and mapped class: one row for each category that the table (cat_id, class_id) has."""
-    value = lambda c: F.col(c) if isinstance(raw.schema[c].dataType, T.ArrayType) else F.map_values(c)
-    images = raw.select(F.explode(value("images")).alias("i")).select(F.col("i.id").alias("img_id"), "i.file_name", "i.width", "i.height")
-    notes = raw.select(F.explode(value("annotations")).alias("a")).select(F.col("a.id").alias("ann_id"), "a.img_id", "a.a_bbox", F.explode("a.cat_id").alias("cat_id"))
-    return notes.join(images, "img_id").join(F.broadcast(categories), "cat_id").select("file_name", "ann_id", "class_id", *[F.get("a_bbox", F.lit(k)).alias(c) for k, c in enumerate(("x1", "y1", "x2", "y2"))], "width", "height")
+def annotation_boxes(files: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
+    """Annotations of COCO-like JSON texts: key, file_name, width, height, ann_id, cat_id, category, x1, y1, x2, y2.
 
-
-def read_symbol_xml(spark: SparkSession, path: str, tag: str = "Node") -> DataFrame:
-    """Symbol nodes of XML files: file, name, x, y, w, h; nodes with a missing or non-positive side are dropped."""
-    schema = "ClassName string, Top int, Left int, Width int, Height int, _class string, _top int, _left int, _width int, _height int"
+    images, annotations and categories may be lists or maps by id; ids may be called id, img_id or image_id, cat_id (a value or a list; a row
+    each) or category_id; a_bbox holds corners, bbox a corner and sides. Annotations without an image are dropped, categories without a
+    name give NULL.
+    """
+    part = lambda name, kind: F.coalesce(F.from_json(text, f"{name} array<{kind}>")[name], F.map_values(F.from_json(text, f"{name} map<string,{kind}>")[name]))
+    keyed = lambda name, kind: files.select(key, F.explode(F.map_entries(F.from_json(text, f"{name} map<string,{kind}>")[name])).alias("e"))
+    listed = lambda name, kind: files.select(key, F.explode(F.from_json(text, f"{name} array<{kind}>")[name]).alias("v"))
+
+    images = listed("images", _IMAGE).select(key, F.coalesce("v.id", "v.img_id").alias("img"), "v")
+    images = images.union(keyed("images", _IMAGE).select(key, F.coalesce("e.value.id", "e.value.img_id", "e.key"), "e.value"))
+    images = images.select(key, "img", F.coalesce("v.file_name", "v.filename").alias("file_name"), "v.width", "v.height")
+    names = listed("categories", "struct<id:string,name:string>").select(key, F.col("v.id").alias("cat_id"), F.col("v.name").alias("category"))
+    named = keyed("categories", "string").select(key, "e.key", F.when(F.col("e.value").startswith("{"), F.get_json_object("e.value", "$.name")).otherwise(F.col("e.value")))
+    categories = names.union(named).where("cat_id IS NOT NULL")
+    notes = listed("annotations", _ANNOTATION).select(key, F.col("v.id").alias("ann_id"), "v")
+    notes = notes.union(keyed("annotations", _ANNOTATION).select(key, F.coalesce("e.value.id", "e.key"), "e.value"))
+    cats = F.coalesce("v.cat_id", "v.category_id")
+    cats = F.when(cats.startswith("["), F.from_json(cats, "array<string>")).otherwise(F.array(cats))
+    side = lambda k, plus=None: F.coalesce(F.get("v.a_bbox", F.lit(k)), F.get("v.bbox", F.lit(k)) if plus is None else F.get("v.bbox", F.lit(plus)) + F.get("v.bbox", F.lit(k)))
+    notes = notes.select(key, "ann_id", F.coalesce("v.img_id", "v.image_id").alias("img"), F.explode(cats).alias("cat_id"), side(0).alias("x1"), side(1).alias("y1"), side(2, 0).alias("x2"), side(3, 1).alias("y2"))
+    both = notes.join(images, [key, "img"]).join(categories, [key, "cat_id"], "left")
+    return both.select(key, "file_name", "width", "height", "ann_id", "cat_id", "category", "x1", "y1", "x2", "y2")
+
+
+def read_annotations(spark: SparkSession, path: str) -> DataFrame:
+    """A folder of COCO-like JSON files."""
+    return annotation_boxes(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def read_symbol_xml(spark: SparkSession, path: str, tag: str = "Node", whole: bool = True) -> DataFrame:
+    """Symbol nodes of XML files, fields as elements or as attributes: file, name, x, y, w, h.
+
+    whole: nodes with a missing field or a side that isn't positive are dropped; otherwise all nodes stay, with NULLs.
+    """
+    schema = "ClassName string, Top double, Left double, Width double, Height double, _class string, _top double, _left double, _width double, _height double"
     raw = spark.read.format("xml").option("rowTag", tag).schema(schema).load(path)
     both = {n: F.coalesce(a, b) for n, a, b in (("name", "ClassName", "_class"), ("x", "Left", "_left"), ("y", "Top", "_top"), ("w", "Width", "_width"), ("h", "Height", "_height"))}
-    return raw.select(*[c.alias(n) for n, c in both.items()]).dropna().where("w > 0 AND h > 0")
+    rows = raw.select(F.col("_metadata.file_path").alias("file"), *[c.alias(n) for n, c in both.items()])
+    return rows.dropna().where("w > 0 AND h > 0") if whole else rows
+
+
+def map_symbols(symbols: DataFrame, classes: DataFrame, seen: Observation | None = None) -> DataFrame:
+    """Symbols with their class by name (classes: name, class_id; a small table); unknown names are dropped.
+
+    seen: an observation that counts mapped and unmapped symbols as the result is written.
+    """
+    both = symbols.join(F.broadcast(classes), "name", "left")
+    if seen is not None:
+        both = both.observe(seen, F.count("class_id").alias("mapped"), F.count_if(F.col("class_id").isNull()).alias("unmapped"))
+    return both.where("class_id IS NOT NULL")
+
+
+def unmapped_names(symbols: DataFrame, classes: DataFrame) -> DataFrame:
+    """name, n: the names that the class table lacks."""
+    return symbols.join(F.broadcast(classes), "name", "left_anti").groupBy("name").agg(F.count("*").alias("n"))
+
+
+def normalised_boxes(symbols: DataFrame, width: float, height: float) -> DataFrame:
+    """Pixel boxes (x, y, w, h) as centre boxes of an image of that size, cut to 0..1: cx, cy, w, h beside the other columns."""
+    cut = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+    new = {"cx": cut((F.col("x") + F.col("w") / 2) / width), "cy": cut((F.col("y") + F.col("h") / 2) / height), "w": cut(F.col("w") / width), "h": cut(F.col("h") / height)}
+    return symbols.withColumns(new).drop("x", "y")
 
 
 def barline_kind(name: Column) -> Column:
@@ -82,10 +132,82 @@ def barline_kind(name: Column) -> Column:
     return F.when(low.contains("final") | low.contains("heavy"), "final").when(low.contains("double"), "double").when(low.contains("repeat"), "repeat").otherwise("plain")
 
 
-def measure_marks(measures: DataFrame) -> DataFrame:
-    """Measures (score, pos, has_fermata, bar) of score XML with their barline kind: the stated one, else final for the last measure, else plain."""
-    last = F.row_number().over(Window.partitionBy("score").orderBy(F.desc("pos"))) == 1
-    return measures.withColumn("last", last).select("score", "pos", "has_fermata", F.when(F.col("bar").isNotNull(), barline_kind(F.col("bar"))).when(F.col("last"), "final").otherwise("plain").alias("kind"))
+#: Parts of symbol names and the barline they stand for, in the order in which they are tried.
+BARLINE_NAMES = [
+    ("barline", "plain"), ("bar_line", "plain"), ("double_barline", "double"), ("final_barline", "final"), ("repeat_barline", "repeat"),
+    ("barline_start_repeat", "repeat"), ("barline_end_repeat", "repeat"),
+]
+
+
+def barline_symbols(symbols: DataFrame, names: list[tuple[str, str]] = BARLINE_NAMES) -> DataFrame:
+    """The symbols whose name speaks of a bar, with their kind: that of the first of `names` that is part of theirs, plain otherwise."""
+    low, kind = F.lower("name"), F.lit("plain")
+    for part, stands_for in reversed(names):
+        kind = F.when(low.contains(part), stands_for).otherwise(kind)
+    return symbols.where(low.contains("bar")).withColumn("kind", kind)
+
+
+_MARKS = "path string, staff int, measure int, mark string, subtype string, time_stretch double, dx double, dy double, visible boolean"
+
+
+def score_marks(files: DataFrame) -> DataFrame:
+    """Marks of score XML files (path, content): fermatas by staff and measure, and the barline of each measure of the file.
+
+    mark is fermata (with subtype, time_stretch, dx, dy, visible) or barline (subtype repeat_start, repeat_end, final for the last measure,
+    else normal; measures count over the whole file, staff is NULL). A file that doesn't parse is one row of mark error.
+    """
+
+    def parse(batches: Iterator) -> Iterator:
+        from xml.etree import ElementTree
+
+        import pandas as pd
+
+        names = [c.split()[0] for c in _MARKS.split(", ")]
+        for pdf in batches:
+            rows = []
+            for path, content in zip(pdf["path"], pdf["content"]):
+                try:
+                    root = ElementTree.fromstring(bytes(content))
+                except ElementTree.ParseError:
+                    rows.append((path, None, None, "error", None, None, None, None, None))
+                    continue
+                for s, staff in enumerate(root.iter("Staff"), 1):
+                    for m, measure in enumerate(staff.iter("Measure"), 1):
+                        for f in measure.iter("Fermata"):
+                            moved, stretch = f.find("offset"), f.findtext("timeStretch")
+                            at = (0.0, 0.0) if moved is None else (float(moved.get("x", 0)), float(moved.get("y", 0)))
+                            rows.append((path, s, m, "fermata", f.findtext("subtype", "fermataAbove"), None if stretch is None else float(stretch), *at, f.findtext("visible") != "0"))
+                every = list(root.iter("Measure"))
+                for m, measure in enumerate(every, 1):
+                    repeat = next((kind for tag, kind in (("startRepeat", "repeat_start"), ("endRepeat", "repeat_end")) if measure.find(f".//{tag}") is not None), None)
+                    rows.append((path, None, m, "barline", repeat or ("final" if m == len(every) else "normal"), None, None, None, None))
+            yield pd.DataFrame(rows, columns=names).astype({"staff": "Int32", "measure": "Int32", "time_stretch": float, "dx": float, "dy": float, "visible": "boolean"})
+
+    return files.select("path", "content").mapInPandas(parse, _MARKS)
+
+
+def measure_boxes(texts: DataFrame, key: str = "file", text: str = "value") -> DataFrame:
+    """Measure boxes of JSON texts ({"measures": [{"bbox": [x, y, w, h]}, ...]}): key, measure_id, x, y, w, h; measures without four numbers are skipped."""
+    rows = texts.select(key, F.explode(F.from_json(text, "measures array<struct<measure_id:int,bbox:array<double>>>")["measures"]).alias("m"))
+    rows = rows.where((F.size("m.bbox") == 4) & ~F.exists("m.bbox", lambda v: v.isNull()))
+    return rows.select(key, "m.measure_id", *[F.get("m.bbox", F.lit(k)).alias(c) for k, c in enumerate("xywh")])
+
+
+def read_measure_boxes(spark: SparkSession, path: str) -> DataFrame:
+    return measure_boxes(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def with_class_names(df: DataFrame, names: DataFrame, column: str = "class_id", prefix: str = "unknown_") -> DataFrame:
+    """`df` with class_name (names: class_id, class_name; a small table): the prefix and the id where the table lacks it, empty for negative ids."""
+    table = names.select(F.col("class_id").alias("__id"), F.col("class_name").alias("__name"))
+    both = df.join(F.broadcast(table), F.col(column) == F.col("__id"), "left")
+    name = F.when(F.col(column) < 0, "").otherwise(F.coalesce("__name", F.concat(F.lit(prefix), F.col(column).cast("string"))))
+    return both.withColumn("class_name", name).drop("__id", "__name")
+
+
+def image_path(label: Column) -> Column:
+    """The image that a label file belongs to: images in place of labels, without .txt."""
+    return F.regexp_replace(F.replace(label, F.lit("/labels/"), F.lit("/images/")), r"\.txt$", "")
 
 
 def corpus_statistics(files: DataFrame) -> DataFrame:

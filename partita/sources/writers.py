@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +18,28 @@ def label_texts(boxes: DataFrame, images: DataFrame) -> DataFrame:
     return images.select("image_id").distinct().join(texts, "image_id", "left").fillna("", ["text"])
 
 
-def write_labels(texts: DataFrame, path: str) -> None:
-    """A folder for each image (image_id=...), with its text in it."""
-    texts.select("image_id", "text").write.partitionBy("image_id").mode("overwrite").text(path)
+def write_labels(texts: DataFrame, path: str) -> DataFrame:
+    """A label file for each image (image_id, text) in the folder `path`, named by its image; gives the index (file, bytes) of what was written.
+
+    Tasks write their own rows through Arrow's file systems; a repeated task writes the same files again. The index is itself a table
+    beside the files, under _index.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            files, sizes = [], []
+            for image, text in zip(batch.column("image_id").to_pylist(), batch.column("text").to_pylist()):
+                data = f"{text}\n".encode() if text else b""
+                with system.open_output_stream(f"{root}/{image}.txt") as out:
+                    out.write(data)
+                files.append(f"{image}.txt")
+                sizes.append(len(data))
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(sizes, pa.int64())], ["file", "bytes"])
+
+    texts.select(F.col("image_id").cast("string").alias("image_id"), "text").mapInArrow(put, "file string, bytes long").write.mode("overwrite").parquet(f"{path}/_index")
+    return texts.sparkSession.read.parquet(f"{path}/_index")
 
 
 def write_findings(findings: DataFrame, path: str) -> None:
