@@ -14,10 +14,13 @@ from partita.llm.vectors import matrix, nodes_and_members, usable
 
 
 def _products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Inner products of integer rows: by floats where those are exact, else in 64-bit integers."""
-    if len(x) and len(y) and float(np.abs(x).max()) * float(np.abs(y).max()) * x.shape[1] < 2**53:
+    """Inner products of integer rows: by floats where those are exact, else in integers; products beyond 64 bits raise."""
+    most = float(np.abs(x.astype(float)).max()) * float(np.abs(y.astype(float)).max()) * x.shape[1] if len(x) and len(y) else 0.0
+    if most < 2**53:
         return (x.astype(np.float64) @ y.astype(np.float64).T).astype(np.int64)
-    return x @ y.T
+    if most < 2**62:
+        return x @ y.T
+    return (x.astype(object) @ y.astype(object).T).astype(np.int64)  # OverflowError where one doesn't fit
 
 
 def _pivots(sample: np.ndarray, n: int, turns: int = 5) -> np.ndarray:
@@ -31,16 +34,16 @@ def _pivots(sample: np.ndarray, n: int, turns: int = 5) -> np.ndarray:
     return centres
 
 
-def top_products(table: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots: int = 64, rings: int = 16, sample: int = 4096, block: int = 512) -> DataFrame:
+def top_products(table: DataFrame, is_query, k: int = 10, scale: int = 1024, pivots: int = 64, most_pivots: int = 2048, rings: int = 16, block: int = 512) -> DataFrame:
     """query_id, rank, vec_id and score of the k rows with the largest inner product, for each query row of `table`.
 
     Components are floor(scale * x). The query's own row is no candidate; ties go to the smaller vec_id; fewer candidates than k
     are all returned. Vectors that are null, empty or hold null or non-finite components take no part, nor do null vec_ids;
-    all others have to be of one length. An empty table gives no rows; other columns are ignored.
+    all others have to be of one length. Products that don't fit 64 bits raise. An empty table gives no rows; other columns are ignored.
 
     A coordinate sqrt(M^2 - |x|^2) more (0 for queries) turns the largest product into the least distance. Vectors are keyed by
-    their nearest pivot (k-means centres of at most `sample` vectors, those of least hash) and by rings of the distance to it: at
-    most pivots x rings cells. By the triangle inequality no vector of a cell can be nearer to q than the difference between
+    their nearest pivot (k-means centres of a sample, those of least hash, sixteen vectors a pivot) and by rings of the distance to it.
+    A pivot stands for 16,384 vectors; there are `pivots` at least and `most_pivots` at most, so the tables of pivots and cells are bounded. By the triangle inequality no vector of a cell can be nearer to q than the difference between
     q's distance to the pivot and the cell's range of distances. Queries visit cells in the order of that bound: a first turn until 8 k vectors
     are seen, a second until 64 k, and a last one over every cell whose bound still allows the k-th score found. All
     vectors stay in the index; equal ones share a node. Cells are cut into blocks by hash, which meet blocks of queries.
@@ -54,7 +57,8 @@ def top_products(table: DataFrame, is_query, k: int = 10, scale: int = 1024, piv
     most = nodes.agg(F.max(squared)).first()[0]
     if most is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    rows = nodes.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(sample).collect()
+    pivots = min(most_pivots, max(pivots, nodes.count() // 16_384))
+    rows = nodes.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(max(4096, 16 * pivots)).collect()
 
     def lifted(x: np.ndarray) -> np.ndarray:
         x = x.astype(np.float64)
@@ -89,7 +93,7 @@ def top_products(table: DataFrame, is_query, k: int = 10, scale: int = 1024, piv
 
     def visits(batches: Iterator[pa.RecordBatch], before: int, upto: int | None) -> Iterator[pa.RecordBatch]:
         """The cells of a turn: after those in which `before` vectors lie; up to `upto` vectors, or to the bound of the k-th score."""
-        for batch in batches:
+        for batch in (b.slice(at, 64) for b in batches for at in range(0, b.num_rows, 64)):  # query x cell tables stay small
             if not batch.num_rows:
                 continue
             x = matrix(batch.column("vec"), np.int64)
@@ -126,9 +130,10 @@ def top_products(table: DataFrame, is_query, k: int = 10, scale: int = 1024, piv
             # a node may be the query's own, so the bound is the score of rank k + 1
             kth = found.groupBy("query_id").agg(F.when(F.count("*") > k, F.min("score")).cast("double").alias("kth"))
             ask = asked.join(kth, "query_id", "left")
-        turn = ask.mapInArrow(lambda b, x=before, y=upto: visits(b, x, y), "query_id long, cell long")
-        part = F.floor(F.row_number().over(Window.partitionBy("cell").orderBy("query_id")) / 256)
-        turn = turn.withColumn("part", part).join(asked, "query_id").groupBy("cell", "part").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vec").alias("query_vecs"))
+        turn = written(ask.mapInArrow(lambda b, x=before, y=upto: visits(b, x, y), "query_id long, cell long"), "visits")
+        # a cell's queries go in parts of about 256, by hash; a row a cell, so the broadcast is bounded
+        parts = turn.groupBy("cell").agg(F.ceil(F.count("*") / 256).alias("parts"))
+        turn = turn.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts"))).join(asked, "query_id").groupBy("cell", "part").agg(F.collect_list("query_id").alias("query_ids"), F.collect_list("vec").alias("query_vecs"))
         new = turn.join(blocks, "cell").select("query_ids", "query_vecs", "ids", "vecs").mapInArrow(match, "query_id long, node long, score long")
         every = (found.union(new) if found is not None else new).withColumn("k", F.row_number().over(by.orderBy(F.desc("score"), "node")))
         found = written(every.where(F.col("k") <= k + 1).drop("k"), "found")
