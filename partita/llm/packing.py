@@ -41,7 +41,7 @@ class Packer:
     the shorter tiers, largest fitting piece first; where none fits, one is cut to measure. Only full windows leave before
     the end; what is over then is joined into windows of the longest tier, and the last of these is cut into full windows of
     power-of-two lengths. Windows of a tier are dealt in order to step groups of `step_tokens` tokens, so that all groups of
-    a tier hold the same number of tokens.
+    a tier hold the same number of tokens; a group's number is its own among all tiers and tasks.
     """
 
     def __init__(self, task: int, tiers: tuple[int, ...], step_tokens: int):
@@ -60,7 +60,7 @@ class Packer:
             self.pool[tier].append((doc_id, full, ids[full:], n))
 
     def _emit(self, window: list[tuple], tier: int) -> None:
-        group = self.base + self.made[tier] // max(1, self.step_tokens // tier)
+        group = self.base + (tier.bit_length() << 30) + self.made[tier] // max(1, self.step_tokens // tier)
         self.made[tier] += 1
         at = 0
         for doc_id, start, ids, n in window:
