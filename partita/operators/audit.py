@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.geometry import aspect
 from partita.operators.detection import box_pairs, greedy_match, nms_truth, self_pairs
+from partita.sources.storage import written
 
 METRICS = ("w", "h", "area", "aspect")
 
@@ -61,14 +62,20 @@ def anomaly_summary(anomalies: DataFrame, boxes: DataFrame) -> DataFrame:
     return out.crossJoin(F.broadcast(n)).select("base", "severity", "n", "images", (F.col("images") / F.col("all_images")).alias("rate"))
 
 
+def _pairs(truth: DataFrame, detections: DataFrame) -> DataFrame:
+    """The overlapping pairs without their corners, joined once and written, for several aggregates read them."""
+    pairs = box_pairs(truth.select("image_id", "line_no", "class_id", "x1", "y1", "x2", "y2"), detections.select("image_id", "det_id", "class_id", "conf", "x1", "y1", "x2", "y2"))
+    return written(pairs.select("image_id", "t_line_no", "t_class_id", "d_det_id", "d_class_id", "d_conf", "iou"), "pairs")
+
+
 def confidence_findings(truth: DataFrame, detections: DataFrame, digits: int | None = 4) -> DataFrame:
     """Findings of four kinds: image_id, kind, gt_class, pred_class, line_no, det_id, conf, iou, severity.
 
     missing: confidence over 0.5 and no truth box at IoU 0.3; phantom: a truth box no detection reaches at 0.3; misaligned: same class,
     0.3 <= IoU < 0.5; mismatch: other class, IoU >= 0.5. Absent fields are NULL. Severities: 0.9 conf, 0.8, 0.4 (1 - IoU), 0.7 IoU,
-    rounded to `digits`, halves to even.
+    rounded to `digits`, halves to even. The pairs feed all four kinds, so they are joined once and written.
     """
-    pairs = box_pairs(truth.select("image_id", "line_no", "class_id", "x1", "y1", "x2", "y2"), detections.select("image_id", "det_id", "class_id", "conf", "x1", "y1", "x2", "y2"))
+    pairs = _pairs(truth, detections)
     null = lambda t: F.lit(None).cast(t)
     by_det = pairs.groupBy("image_id", F.col("d_det_id").alias("det_id")).agg(F.max("iou").alias("best"))
     by_gt = pairs.groupBy("image_id", F.col("t_line_no").alias("line_no")).agg(F.max("iou").alias("best"))
@@ -146,7 +153,7 @@ def label_quality(truth: DataFrame, detections: DataFrame, issue: float = 0.5) -
     Overlooked: 1 - confidence of each confident detection without a truth box near; badly located: best IoU of a truth box with its own class; swapped: 1 - confidence
     of the best overlap of another class. Images without boxes score 1.
     """
-    pairs = box_pairs(truth.select("image_id", "line_no", "class_id", "x1", "y1", "x2", "y2"), detections.select("image_id", "det_id", "class_id", "conf", "x1", "y1", "x2", "y2"))
+    pairs = _pairs(truth, detections)
     same = F.col("t_class_id") == F.col("d_class_id")
     by_gt = pairs.groupBy("image_id", F.col("t_line_no").alias("line_no")).agg(F.coalesce(F.max(F.when(same, F.col("iou"))), F.lit(0.0)).alias("own"), F.coalesce(F.max(F.when(~same, F.col("iou") * F.col("d_conf"))), F.lit(0.0)).alias("other"))
     boxes = truth.select("image_id", "line_no").join(by_gt, ["image_id", "line_no"], "left").fillna(0.0, ["own", "other"])
@@ -243,17 +250,25 @@ def rounded_duplicates(boxes: DataFrame, grid: float = 0.005) -> DataFrame:
     return boxes.select("image_id", "class_id", *key).groupBy("image_id", "k_cx", "k_cy", "k_w", "k_h").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("classes")).where("n > 1")
 
 
-def nearest(boxes: DataFrame, classes: tuple[int, ...]) -> DataFrame:
+def nearest(boxes: DataFrame, classes: tuple[int, ...], cell: float = 0.125) -> DataFrame:
     """For each box of `classes`: distance to the nearest other centre of them in its image, and the largest IoU with one.
 
-    Images are the unit: all pairs of an image's boxes of these classes are compared.
+    Centres are sought in the grid cells around a box's own; only boxes that find none within a cell's width there are compared with all
+    of their image. Overlaps come from the grid join of pairs.
     """
     b = boxes.where(F.col("class_id").isin(*classes)).select("image_id", "line_no", "cx", "cy", "x1", "y1", "x2", "y2")
-    o = b.toDF("image_id", "o_line", "ox", "oy", "o_x1", "o_y1", "o_x2", "o_y2")
-    from partita.functions.geometry import box, iou
-
-    d2 = (F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))
-    return b.join(o, "image_id").where("line_no <> o_line").groupBy("image_id", "line_no").agg(F.sqrt(F.min(d2)).alias("distance"), F.max(iou(box(), box("o_"))).alias("overlap"))
+    o = b.select("image_id", F.col("line_no").alias("o_line"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    d2 = F.min((F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))).alias("d2")
+    at = lambda c: F.floor(F.col(c) / cell)
+    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
+    here = b.select("image_id", "line_no", "cx", "cy").withColumn("gx", around("cx")).withColumn("gy", around("cy"))
+    there = o.withColumn("gx", at("ox")).withColumn("gy", at("oy"))
+    near = here.join(there, ["image_id", "gx", "gy"]).where("line_no <> o_line").groupBy("image_id", "line_no").agg(d2)
+    near = written(near.where(F.col("d2") <= cell * cell), "near")
+    far = b.join(near, ["image_id", "line_no"], "left_anti").join(o, "image_id").where("line_no <> o_line").groupBy("image_id", "line_no").agg(d2)
+    p = self_pairs(b, cell=cell)
+    ends = p.select("image_id", F.col("t_line_no").alias("line_no"), "iou").union(p.select("image_id", "d_line_no", "iou")).groupBy("image_id", "line_no").agg(F.max("iou").alias("overlap"))
+    return near.union(far).join(ends, ["image_id", "line_no"], "left").select("image_id", "line_no", F.sqrt("d2").alias("distance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def distribution(df: DataFrame, column: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), by: tuple[str, ...] = (), exact: bool = True) -> DataFrame:

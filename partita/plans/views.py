@@ -47,10 +47,11 @@ DET_CORNERS_2 = f"SELECT image_id, det_id, class_id, conf, cx, cy, w, h, cx-w/2
 
 
 def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """A derived view over the tables of `sf_dir`; the plan is bound at once, so directories don't mix."""
-    for name in tables or ("lineitem",):
-        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    return spark.sql(sql)
+    """A derived view over the tables of `sf_dir`, which go in as DataFrames: the session's own views stay as they are."""
+    frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in tables or ("lineitem",)}
+    for name in frames:
+        sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
+    return spark.sql(sql, **frames)
 
 
 def chords(spark: SparkSession, sf_dir: str) -> DataFrame:
