@@ -216,11 +216,19 @@ def a19_pitch_accuracy(spark, sf_dir):
     return M.pitch_accuracy(_matched(spark, sf_dir)).withColumns({c: F.round(c, 9) for c in ("exact", "lenient")})
 
 
-@query("f13_f16_pitch", f"""{S}, x AS (SELECT image_id, sym_id, y, substr('CDEFGAB', 1+sym_id%7, 1)||CASE sym_id%3 WHEN 0 THEN '#' WHEN 1 THEN 'b' ELSE '' END||(sym_id%9) AS name, CAST(round_even((y-100)/10,0) AS INT) AS step FROM sy)
+_CLEF_OF = "CASE sym_id%4 WHEN 0 THEN 'treble' WHEN 1 THEN 'bass' WHEN 2 THEN 'alto' ELSE 'tenor' END"
+
+
+@query("f13_f16_pitch", f"""{S}, x AS (SELECT image_id, sym_id, y, substr('CDEFGAB', 1+sym_id%7, 1)||CASE sym_id%3 WHEN 0 THEN '#' WHEN 1 THEN 'b' ELSE '' END||(sym_id%9) AS name, CAST(round_even((y-100)/10,0) AS INT) AS step, {_CLEF_OF} AS clef, (image_id+sym_id)%6 AS a FROM sy),
+ z AS (SELECT *, CASE clef WHEN 'treble' THEN 38 WHEN 'bass' THEN 26 WHEN 'alto' THEN 32 ELSE 30 END-step AS place FROM x)
  SELECT image_id, sym_id, name, (sym_id%9)*12+12+[0,2,4,5,7,9,11][1+sym_id%7]+CASE sym_id%3 WHEN 0 THEN 1 WHEN 1 THEN -1 ELSE 0 END AS midi, step,
-  greatest(21, least(108, CAST(floor((38-step)/7) AS INT)*12+12+[0,2,4,5,7,9,11][1+((38-step)%7+7)%7]+1)) AS staff_midi, greatest(36, least(84, 60+CAST(trunc((500-y)/10) AS INT))) AS coarse FROM x""")
+  greatest(21, least(108, CAST(floor(place/7) AS INT)*12+12+[0,2,4,5,7,9,11][1+(place%7+7)%7]+[0,1,-1,2,-2,0][1+a])) AS staff_midi, greatest(36, least(84, 60+CAST(trunc((500-y)/10) AS INT))) AS coarse FROM z""")
 def f13_pitch(spark, sf_dir):
+    """Every clef with every accidental, and one that no table has."""
     sy = symbols(spark, sf_dir)
     name = F.concat(F.substring(F.lit("CDEFGAB"), 1 + F.col("sym_id") % 7, F.lit(1)), F.when(F.col("sym_id") % 3 == 0, "#").when(F.col("sym_id") % 3 == 1, "b").otherwise(""), (F.col("sym_id") % 9).cast("string"))
     s = pitch.staff_step(F.col("y"), F.lit(100.0), F.lit(20.0))
-    return sy.select("image_id", "sym_id", name.alias("name"), pitch.midi_of_name(name).alias("midi"), s.alias("step"), pitch.staff_pitch(s, F.lit("treble"), F.lit("sharp")).alias("staff_midi"), pitch.coarse_pitch(F.col("y")).alias("coarse"))
+    pick = lambda names, at: F.element_at(F.array(*[F.lit(n) for n in names]), (at + 1).cast("int"))
+    clef = pick(("treble", "bass", "alto", "tenor"), F.col("sym_id") % 4)
+    accidental = pick(("natural", "sharp", "flat", "double_sharp", "double_flat", "quarter_tone"), (F.col("image_id") + F.col("sym_id")) % 6)
+    return sy.select("image_id", "sym_id", name.alias("name"), pitch.midi_of_name(name).alias("midi"), s.alias("step"), pitch.staff_pitch(s, clef, accidental).alias("staff_midi"), pitch.coarse_pitch(F.col("y")).alias("coarse"))

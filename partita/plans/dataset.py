@@ -10,6 +10,8 @@ from partita.operators import reports as R
 from partita.plans.detection import BASE, ap_sql, fold_sql, iou_sql
 from partita.plans.registry import query
 from partita.plans.views import CORNERS, DET_CORNERS_2, EPOCHS, LABEL_LINES, boxes, detections, epochs, label_lines, view
+from partita.sources import writers
+from partita.sources.storage import shared_folder
 
 B = f"WITH t AS ({CORNERS})"
 
@@ -130,6 +132,19 @@ def n7_repeated_report(spark, sf_dir):
     return S.repeated_report(label_lines(spark, sf_dir))
 
 
+_SPLIT_LINES = f"WITH l AS (SELECT *, CASE WHEN file_id%5=0 THEN 'val' ELSE 'train' END AS split FROM ({LABEL_LINES})), k AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY file_id ORDER BY line_no)=line, false) AS same FROM l)"
+
+
+@query("n7_repeated_by_split", f"{_SPLIT_LINES} SELECT prefix, split, count(*) AS n, count(*) FILTER (WHERE same) AS repeated, count(DISTINCT file_id) AS files FROM k GROUP BY CUBE (prefix, split)")
+def n7_repeated_by_split(spark, sf_dir):
+    return S.repeated_report(label_lines(spark, sf_dir).withColumn("split", F.when(F.col("file_id") % 5 == 0, "val").otherwise("train")), ("prefix", "split"))
+
+
+@query("k7_most_repeated", f"{_SPLIT_LINES} SELECT file_id, count(*) FILTER (WHERE same) AS repeated, count(*) AS lines FROM k GROUP BY 1 HAVING count(*) FILTER (WHERE same)>0 ORDER BY 2 DESC, 1 LIMIT 10")
+def k7_most_repeated(spark, sf_dir):
+    return S.most_repeated(label_lines(spark, sf_dir))
+
+
 @query("d4_near_duplicates", f"{B} SELECT image_id, class_id, v.line_no AS line_no FROM ({fold_sql('t', 'image_id, class_id', 'line_no', ['line_no', 'x1', 'y1', 'x2', 'y2'], CENTRE_IOU + '>=0.3')})")
 def d4_near_duplicates(spark, sf_dir):
     return S.near_duplicate_boxes(boxes(spark, sf_dir), 0.3).select("image_id", "class_id", "line_no")
@@ -194,11 +209,12 @@ def d7b_effective_counts(spark, sf_dir):
     return S.effective_counts(b, S.repeat_counts(b, b)).withColumn("boost", F.round("boost", 9))
 
 
-@query("k4_training_list", f"{_REPEAT} SELECT 'images/'||image_id||'.png' AS path, unnest(range(repeat)) AS turn FROM rp")
+@query("k4_training_list", f"{_REPEAT} SELECT 'images/'||image_id||'.png' AS path, CAST(repeat AS BIGINT) AS times FROM rp")
 def k4_training_list(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    r = S.repeat_counts(b, b)
-    return r.withColumn("turn", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("repeat") - 1).cast("long")))).select(F.concat(F.lit("images/"), F.col("image_id").cast("string"), F.lit(".png")).alias("path"), "turn")
+    path = shared_folder(spark, "list")
+    writers.write_training_list(S.repeat_counts(b, b).select(F.concat(F.lit("images/"), F.col("image_id").cast("string"), F.lit(".png")).alias("path"), "repeat"), path)
+    return spark.read.text(path).groupBy(F.col("value").alias("path")).agg(F.count("*").alias("times"))
 
 
 @query("d8_image_weights", f"{B}, n AS (SELECT class_id, count(*) AS n FROM t GROUP BY 1), w AS (SELECT class_id, (1/sqrt(n))/(SELECT min(1/sqrt(n)) FROM n) AS w FROM n) SELECT image_id, round(greatest(1, 1+(max(w.w)-1)*0.5),9) AS weight FROM t JOIN w USING (class_id) GROUP BY 1")

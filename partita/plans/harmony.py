@@ -140,6 +140,7 @@ def h14_h15_ranges(spark, sf_dir):
 
 @query("h11_missing_voices", f"""{_LAGGED.replace(CHORDS, f"SELECT score_id, chord_index, CASE WHEN chord_index%3<>1 THEN s END AS s, CASE WHEN chord_index%4<>2 THEN a END AS a, t, CASE WHEN chord_index%5<>0 THEN b END AS b, tonic_midi, mode, measure, beat FROM ({CHORDS}) x")}{_TRIAD.replace('len(pc)=3', 's IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AND len(pc)=3')} SELECT * FROM ({_ALL}) WHERE detail IS NOT NULL""")
 def h11_missing_voices(spark, sf_dir):
+    """A rule needs all the notes it speaks of; in the SQL, a missing one makes the detail NULL."""
     c = chords(spark, sf_dir)
     some = c.withColumns({v: F.when(F.col("chord_index") % k != r, F.col(v)) for v, k, r in (("s", 3, 1), ("a", 4, 2), ("b", 5, 0))})
     return harmony.violations(some).select(*_COLUMNS)
