@@ -7,6 +7,7 @@ which the cut is not that simple (special-token strings, rare white space, runs
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -29,10 +30,11 @@ class ChunkEncoder:
     encode_many: chunks or whole texts to lists of ids. spaced: chunks carry their leading space (byte-level vocabularies);
     otherwise white space is dropped and texts are lower-cased. limit: cached chunks, after which the cache starts anew.
     special: the special-token strings of the vocabulary; texts that spell one out are encoded whole. size: of the vocabulary.
+    encode_words: chunks of letters only to their ids in one array and the number of each, or None where it can't tell them apart.
     """
 
-    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 250_000, special: Iterable[str] = (), size: int | None = None):
-        self.encode_many, self.spaced, self.limit, self.size = encode_many, spaced, limit, size
+    def __init__(self, encode_many: Callable[[Sequence[str]], Sequence[Sequence[int]]], spaced: bool, limit: int = 250_000, special: Iterable[str] = (), size: int | None = None, encode_words: Callable[[Sequence[str]], tuple[np.ndarray, np.ndarray] | None] | None = None):
+        self.encode_many, self.spaced, self.limit, self.size, self.encode_words = encode_many, spaced, limit, size, encode_words
         self.whole = "|".join([_UNEVEN if spaced else _RARE, *map(re.escape, sorted(special))])
         self._clear()
 
@@ -42,9 +44,14 @@ class ChunkEncoder:
         self.start = np.zeros(1, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
-        found = self.encode_many(chunks)
+        words = [c for c in chunks if c.isalpha()] if self.encode_words else []
+        joined = self.encode_words(words) if words else None
+        rest = [c for c in chunks if not c.isalpha()] if joined else chunks
+        found = self.encode_many(rest)
         n = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for x in found for i in x), np.int32, int(n.sum()))
+        if joined:
+            chunks, flat, n = rest + words, np.concatenate([flat, joined[0]]), np.concatenate([n, joined[1]])
         used, first = int(self.start[-1]), len(self.known)
         if used + len(flat) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty(max(len(self.ids), len(flat)), np.int32)])
@@ -145,7 +152,19 @@ def library_encoder(path: str, spaced: bool, limit: int = 250_000) -> ChunkEncod
     tok.no_truncation()
     tok.no_padding()
     special = [t.content for t in tok.get_added_tokens_decoder().values()]
-    return ChunkEncoder(lambda x: [e.ids for e in tok.encode_batch_fast(list(x), add_special_tokens=False)], spaced, limit, special, tok.get_vocab_size(with_added_tokens=True))
+    size = tok.get_vocab_size(with_added_tokens=True)
+    many = lambda x: [e.ids for e in tok.encode_batch_fast(list(x), add_special_tokens=False)]
+    suffix = json.loads(tok.to_str())["model"].get("end_of_word_suffix")
+    last = np.zeros(size, bool)
+    last[[i for token, i in tok.get_vocab().items() if suffix and token.endswith(suffix)]] = True
+
+    def words(chunks: Sequence[str]) -> tuple[np.ndarray, np.ndarray] | None:
+        """Words go to the library by the line, 500 at a time; the id that carries the word-end suffix is the last of its word."""
+        flat = np.concatenate([np.asarray(ids, np.int32) for ids in many(["\n".join(chunks[at : at + 500]) for at in range(0, len(chunks), 500)])])
+        ends = np.flatnonzero(last[flat])
+        return (flat, np.diff(ends, prepend=-1)) if len(ends) == len(chunks) and ends[-1] == len(flat) - 1 else None
+
+    return ChunkEncoder(many, spaced, limit, special, size, words if suffix and not spaced else None)
 
 
 _kept: dict[tuple, ChunkEncoder] = {}

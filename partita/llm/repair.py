@@ -121,8 +121,8 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
 
     With symbols of two bytes, a rule (16 bytes) for a pair that occurs under nine times saves nothing. A round takes pairs from the
     most frequent down to a bound, so that no symbol is a left side and a right side; their occurrences then can't overlap and
-    are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced left to right. The bound falls to a
-    quarter when no pair reaches it. Pairs are first counted by a short hash, and exactly only where that count reaches the bound.
+    are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced left to right. The bound falls to an
+    eighth when no pair reaches it. Pairs are first counted by a short hash, and exactly only where that count reaches the bound.
     Pairs never reach over the end of a document. It ends early only when `symbols` numbers are used up: 65,536, or for larger vocabularies so many more than `base`. Ids from
     `base` on raise.
     """
@@ -157,7 +157,7 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
         if not len(often):
             if bound == least:
                 break
-            bound = max(least, bound // 4)
+            bound = max(least, bound // 8)
             continue
         taken: dict[int, int] = {}
         side: dict[int, str] = {}
