@@ -20,31 +20,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _packed(vectors: DataFrame) -> DataFrame:
-    """(id, unit, err) with the unit vector as 8-bit integers, and how far it lies from the exact one: a cosine of two is off by the sum of their err at most."""
+    """(id, unit, err) with the unit vector as 32-bit floats; a cosine of two of them, summed in 32 bits, is off by the sum of their err at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                u = _unit(matrix(batch.column("vec")))
-                q = np.rint(u / np.abs(u).max(axis=1, keepdims=True) * 127).astype(np.int8)
-                near = q / np.sqrt((q.astype(float) ** 2).sum(axis=1, keepdims=True))
-                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in q], pa.binary()), pa.array(np.sqrt(((near - u) ** 2).sum(axis=1)))], ["id", "unit", "err"])
+                u = _unit(matrix(batch.column("vec"))).astype(np.float32)
+                err = (u.shape[1] + 2) * 2.0**-24
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in u], pa.binary()), pa.array(np.full(len(u), err))], ["id", "unit", "err"])
 
     return vectors.mapInArrow(run, "id long, unit binary, err double")
 
 
 def _vectors(column: pa.Array) -> np.ndarray:
-    """Unit vectors as floats from packed ones, read from Arrow's buffer as it is."""
+    """The vectors of a packed column, read from Arrow's buffer as it is."""
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1]
-    unit = np.frombuffer(data, np.int8)[at[0] : at[-1]].reshape(len(column), -1).astype(np.float32)
-    return unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]].view(np.float32).reshape(len(column), -1)
 
 
 def _top(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest distinct neighbours of each node; `fresh` marks those not yet joined, `added` those not there before.
 
-    Ties go by hash, so that nodes equal in 8 bits don't all choose the same few.
+    Ties go by hash, so that nodes that 32 bits can't tell apart don't all choose the same few.
     """
     best = edges.groupBy("id", "nbr").agg(F.max("sim").alias("sim"), F.min("fresh").alias("fresh"), F.min("added").alias("added"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.xxhash64("id", "nbr"), "nbr"))
@@ -67,7 +65,7 @@ def _compare(groups: DataFrame, per_member: int) -> DataFrame:
             ids, fresh, floor = (flat.field(n).to_numpy(zero_copy_only=False) for n in range(3))
             unit = _vectors(flat.field(3))
             sizes = np.diff(np.asarray(column.offsets))
-            chance = np.random.default_rng(int(ids[0]) & 0xFFFF).random(2 * int(sizes.max()), np.float32) * np.float32(1e-6)
+            chance = np.random.default_rng(int(ids[0]) & 0xFFFF).random(2 * int(sizes.max()), np.float32) * np.float32(1e-7)
             ends = np.cumsum(sizes)
             for a, b in zip(ends - sizes, ends):
                 if b - a < 2:
@@ -140,7 +138,7 @@ def _cells(packed: DataFrame, n: int, block: int, starts: int, pivots: int = 512
         cells = written(found.select("id", "unit", "start", F.xxhash64("cell", "near", F.lit(level)).alias("cell"), F.col("m").alias("above")), "cells")
 
 
-def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, changes: float = 0.001, block: int = 1024, starts: int = 6) -> DataFrame:
+def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, changes: float = 0.01, block: int = 1024, starts: int = 6) -> DataFrame:
     """The neighbour graph (id, nbr, sim) of `packed` (id, unit): about the k nearest of each.
 
     Start: each of `starts` times, nodes are keyed by their nearest pivot (see _cells) and cut by hash into blocks of about
@@ -168,7 +166,9 @@ def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, changes: float
         joined = graph.where("drawn").select(F.col("id").alias("at"), F.col("nbr").alias("id"), "fresh").union(reverse).groupBy("at", "id").agg(F.max("fresh").alias("fresh"))
         floor = graph.groupBy("id").agg(F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
         lit = packed.join(floor, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0).cast("float")))
-        groups = joined.join(lit, "id").groupBy("at").agg(F.collect_list(F.struct("id", "fresh", "floor", "unit")).alias("members"))
+        # a node without anything fresh beside it has nothing to compare
+        awake = joined.withColumn("awake", F.max("fresh").over(Window.partitionBy("at"))).where("awake").drop("awake")
+        groups = awake.join(lit, "id").groupBy("at").agg(F.collect_list(F.struct("id", "fresh", "floor", "unit")).alias("members"))
         found = _compare(groups, k).select("id", "nbr", "sim", F.lit(True).alias("fresh"), F.lit(True).alias("added"))
         graph = written(_top(graph.select("id", "nbr", "sim", (F.col("fresh") & ~F.col("drawn")).alias("fresh"), F.lit(False).alias("added")).union(found), k), "graph")
         turn += 1
@@ -181,10 +181,12 @@ def nn_descent(packed: DataFrame, k: int = 24, sample: int = 12, changes: float
 def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192, degree: int = 48, entries: int = 1024, block: int = 512, part: int = 4096) -> DataFrame:
     """(query_id, node, sim): the beam of `ef` nodes that greedy search ends with, for `asked` (query_id, unit).
 
-    Each query starts from the best of at most `entries` nodes (those of least hash). A step takes the best half beam of nodes not
+    Each query starts from the best of at most `entries` nodes (those of least hash) and, where its query_id is a node of the graph,
+    from that node, so that a start is near whatever the number of nodes. A step takes the nodes of the beam not
     expanded yet, joins them with their neighbours both ways (the `degree` nearest), measures those and keeps the best ef; it
     ends when no beam has a node left to expand. Queries go in blocks of `block`, so that a node that many
-    queries of a block meet is sent to it once; a block's nodes are cut into parts of about `part`.
+    queries of a block meet is sent to it once; the nodes that a block meets in a step are cut into parts of about `part`, and the
+    block's queries go to those parts only.
     """
     both = graph.select("id", "nbr", "sim").union(graph.select(F.col("nbr").alias("id"), F.col("id").alias("nbr"), "sim")).groupBy("id", "nbr").agg(F.max("sim").alias("sim"))
     rank = F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), F.xxhash64("id", "nbr"), "nbr"))
@@ -192,7 +194,6 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
     n = asked.count()
     blocks = -(-max(1, n) // block)
     asked = written(asked.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "queries")
-    parts = -(-packed.count() // part) or 1
     entry = packed.orderBy(F.xxhash64("id", F.lit("entry")), "id").limit(entries).collect()
     if not entry or not n:
         return packed.select(F.col("id").alias("query_id"), F.col("id").alias("node"), F.lit(0.0).alias("sim")).limit(0)
@@ -243,13 +244,18 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
         return pa.table({"query_id": x, "block": np.full(len(x), of, np.int32), "node": y, "sim": s})
 
     by = Window.partitionBy("query_id").orderBy(F.desc("sim"), "node")
-    beam = written(asked.mapInArrow(enter, "query_id long, block int, node long, sim float").withColumn("done", F.lit(False)), "beam")
+    entered = asked.mapInArrow(enter, "query_id long, block int, node long, sim float")
+    own = asked.join(packed.select("id"), asked["query_id"] == packed["id"], "left_semi").select("query_id", "block", F.col("query_id").alias("node"), F.lit(1.0).cast("float").alias("sim"))
+    first = entered.union(own).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"))
+    beam = written(first.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k").withColumn("done", F.lit(False)), "beam")
     while not beam.where("NOT done").isEmpty():
-        todo = beam.where("NOT done").withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef // 2).select("query_id", "block", "node")
+        todo = beam.where("NOT done").withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).select("query_id", "block", "node")
         met = todo.join(links, todo["node"] == links["id"]).groupBy("block").applyInArrow(meet, "block int, node long, queries array<long>")
-        met = met.join(packed, met["node"] == packed["id"]).select("block", "node", "queries", "unit", F.pmod(F.xxhash64("node"), F.lit(parts)).alias("part"))
+        met = written(met, "met")
+        parts = met.groupBy("block").agg(F.ceil(F.count("*") / part).alias("parts"))
+        met = met.join(parts, "block").join(packed, met["node"] == packed["id"]).select("block", "node", "queries", "unit", F.pmod(F.xxhash64("node"), F.col("parts")).alias("part"))
         floor = beam.groupBy("query_id").agg(F.when(F.count("*") >= ef, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
-        lit = asked.join(floor, "query_id").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        lit = asked.join(floor, "query_id").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
         new = met.groupBy("block", "part").cogroup(lit.groupBy("block", "part")).applyInArrow(measure, "query_id long, block int, node long, sim float")
         now = beam.join(todo.select("query_id", "node", F.lit(True).alias("now")), ["query_id", "node"], "left").select("query_id", "block", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         every = now.union(new.withColumn("done", F.lit(False))).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
@@ -257,8 +263,8 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
     return beam.select("query_id", "node", "sim")
 
 
-def _candidates(packed: DataFrame, graph: DataFrame, asked: DataFrame, k: int, ef: int = 192) -> DataFrame:
-    """(query_id, node): every found node that may be one of the k nearest, as far as 8 bits can tell.
+def _candidates(packed: DataFrame, graph: DataFrame, asked: DataFrame, k: int, ef: int = 192, entries: int = 1024) -> DataFrame:
+    """(query_id, node): every found node that may be one of the k nearest, as far as 32 bits can tell.
 
     A node may be if its similarity is no further below the k-th than the error of both. Queries for which a full beam ends
     before that are searched again with a beam twice as long, so that a large group of near copies is found whole.
@@ -266,10 +272,10 @@ def _candidates(packed: DataFrame, graph: DataFrame, asked: DataFrame, k: int, e
     n, worst = packed.agg(F.count("*"), F.max("err")).first()
     out = None
     while True:
-        beam = search(packed, graph, asked.select("query_id", "unit"), ef)
+        beam = search(packed, graph, asked.select("query_id", "unit"), ef, entries=entries)
         turn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "node"))
         kth = beam.withColumn("turn", turn).groupBy("query_id").agg(F.count("*").alias("found"), F.min("sim").alias("last"), F.max(F.when(F.col("turn") == k, F.col("sim"))).alias("kth"))
-        reach = F.coalesce(F.col("kth") - 2 * (F.col("err") + F.lit(worst or 0.0)) - 1e-5, F.lit(-2.0)).alias("reach")
+        reach = F.coalesce(F.col("kth") - 2 * (F.col("err") + F.lit(worst or 0.0)) , F.lit(-2.0)).alias("reach")
         kth = written(kth.join(asked.select("query_id", "err"), "query_id").select("query_id", reach, ((F.col("found") >= ef) & (F.col("last") >= reach)).alias("cut")), "reach")
         again = kth.where("cut").select("query_id")
         whole = kth if ef >= n else kth.where("NOT cut")
@@ -280,7 +286,7 @@ def _candidates(packed: DataFrame, graph: DataFrame, asked: DataFrame, k: int, e
         asked, ef = written(asked.join(again, "query_id", "left_semi"), "asked"), 2 * ef
 
 
-def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 5, block: int = 1024, entries: int = 1024, ef: int = 192) -> DataFrame:
     """query_id, rank, vec_id and score (cosine in double precision) of about the k nearest rows of each query row of `table`.
 
     The query's own row is no candidate. Ties go to the smaller vec_id; equal vectors share a node of the graph. Vectors that
@@ -290,12 +296,13 @@ def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
     vectors = written(usable(table, nonzero=True), "vectors")
     nodes, members = nodes_and_members(vectors, k + 1)
     nodes, members = written(nodes, "nodes"), written(members, "members")
-    queries = vectors.where(is_query(F.col("vec_id"))).select(F.col("vec_id").alias("query_id"), "vec")
+    # queries of one vector are one search
+    queries = vectors.where(is_query(F.col("vec_id"))).withColumnRenamed("vec_id", "query_id").join(nodes, "vec").select("query_id", F.col("id").alias("own"))
+    queries = written(queries, "queries")
     packed = written(_packed(nodes), "units")
-    asked = _packed(queries.withColumnRenamed("query_id", "id")).withColumnRenamed("id", "query_id")
-    best = _candidates(packed, written(nn_descent(packed), "graph"), written(asked, "asked"), k + 1)
-    by = Window.partitionBy("query_id")
-    both = best.join(nodes, best["node"] == nodes["id"]).select("query_id", "node", F.col("vec").alias("y")).join(queries.withColumnRenamed("vec", "x"), "query_id")
+    asked = packed.join(queries.select(F.col("own").alias("id")).distinct(), "id", "left_semi").withColumnRenamed("id", "query_id")
+    best = _candidates(packed, written(nn_descent(packed, block=block), "graph"), written(asked, "asked"), k + 1, ef, entries)
+    both = best.join(nodes.toDF("node", "y"), "node").join(nodes.toDF("query_id", "x"), "query_id").select("query_id", "node", "x", "y")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -303,9 +310,13 @@ def nearest(table: DataFrame, is_query, k: int = 5) -> DataFrame:
                 x, y = matrix(batch.column("x")), matrix(batch.column("y"))
                 x, y = x / np.abs(x).max(axis=1, keepdims=True), y / np.abs(y).max(axis=1, keepdims=True)
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(cosine)], ["query_id", "node", "score"])
-
-    scored = both.mapInArrow(score, "query_id long, node long, score double")
-    rows = scored.join(members, scored["node"] == members["id"]).where("vec_id <> query_id").select("query_id", "vec_id", "score")
-    ranked = rows.withColumn("rank", F.row_number().over(by.orderBy(F.desc("score"), "vec_id")))
+                yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("node"), pa.array(cosine)], ["own", "node", "score"])
+
+    scored = both.mapInArrow(score, "own long, node long, score double")
+    # the k + 1 best nodes hold the k + 1 best rows, for a node's id is its least vec_id
+    turn = F.row_number().over(Window.partitionBy("own").orderBy(F.desc("score"), "node"))
+    scored = scored.withColumn("turn", turn).where(F.col("turn") <= k + 1)
+    found = scored.join(members, scored["node"] == members["id"]).select("own", "vec_id", "score")
+    rows = queries.join(found, "own").where("vec_id <> query_id").select("query_id", "vec_id", "score")
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

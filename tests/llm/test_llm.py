@@ -373,7 +373,7 @@ def test_op1_recall(spark):
 
 def test_op1_graph_converges_from_a_poor_start(spark):
     x = np.random.default_rng(5).normal(size=(3000, 12))
-    packed = ann._packed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).localCheckpoint()
+    packed = ann._packed(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")).cache()
     cells = ann._cells(packed, 3000, 16, 1, pivots=4)
     assert cells.count() == 3000 and cells.groupBy("cell").count().agg(F.max("count")).first()[0] <= 64
     found = defaultdict(set)
@@ -390,7 +390,7 @@ def test_op1_recall_with_more_nodes_than_entries(spark):
     x = np.random.default_rng(6).normal(size=(3000, 12)).astype(np.float32)
     table = spark.createDataFrame([(i, v.tolist(), "s") for i, v in enumerate(x)], VECTORS).repartition(4)
     got = defaultdict(set)
-    for r in ann.nearest(table, lambda v: v % 50 == 0, 5).collect():
+    for r in ann.nearest(table, lambda v: v % 50 == 0, 5, block=64, entries=16, ef=48).collect():
         got[r.query_id].add(r.vec_id)
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     assert np.mean([len(got[q] & {int(i) for i in np.argsort(-(u @ u[q]))[:6]}) / 5 for q in range(0, 3000, 50)]) >= 0.9
