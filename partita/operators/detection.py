@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.geometry import box, iou
+from partita.sources.storage import written
 
 CORNERS = ("x1", "y1", "x2", "y2")
 
@@ -141,20 +142,61 @@ def keep_apart(xs: Column, clash) -> Column:
     return F.aggregate(xs, F.slice(xs, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def nms(detections: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Non-maximum suppression by confidence, across the classes of an image: a box goes if its IoU with a kept one is over the threshold."""
-    fields = [c for c in detections.columns if c not in keys]
-    groups = ordered(detections, list(keys), [F.desc("conf"), F.col("det_id")], fields)
-    kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > threshold)
-    return groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+def apart_by_rounds(boxes: DataFrame, keys: tuple[str, ...], number: str, turn: Column, clash, cell: float) -> DataFrame:
+    """What keep_apart keeps, without a group in one place: rounds of joins over the clashing pairs, found in grid cells of that width.
+
+    boxes: keys, `number` (their own in a group), corners. turn: the order, smallest first. clash: a predicate on the IoU. A box that no undecided
+    earlier one clashes with stays, those it clashes with go; every round is written, and decides at least the first box of each knot.
+    """
+    b = boxes.select(*keys, F.col(number).alias("n"), turn.alias("turn"), *CORNERS)
+    pairs = box_pairs(b, b, keys, cell).where((F.col("t_turn") < F.col("d_turn")) & clash(F.col("iou")))
+    edges, gone = written(pairs.select(*keys, F.col("t_n").alias("a"), F.col("d_n").alias("b")), "edges"), None
+    while not edges.isEmpty():
+        stays = edges.select(*keys, "a").distinct().join(edges.select(*keys, F.col("b").alias("a")).distinct(), [*keys, "a"], "left_anti")
+        out = written(edges.join(stays, [*keys, "a"]).select(*keys, "b").distinct(), "gone")
+        gone = out if gone is None else gone.union(out)
+        edges = written(edges.join(out, [*keys, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti"), "edges")
+    return boxes if gone is None else boxes.join(gone.withColumnRenamed("b", number), [*keys, number], "left_anti").select(*boxes.columns)
+
 
+def crowded(boxes: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame | None:
+    """The groups of more than `most` boxes, if there are any."""
+    large = written(boxes.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys), "crowded")
+    return None if large.isEmpty() else large
 
-def nms_truth(truth: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Suppression of truth boxes by area, within image and class, at IoU >= threshold: what a detector behind such a filter can find at most."""
-    fields = ["line_no", "w", "h", *CORNERS]
-    groups = ordered(truth, ["image_id", "class_id"], [F.desc(F.col("w") * F.col("h")), F.col("line_no")], fields)
+
+def nms(detections: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",), most: int = 4096, cell: float = 0.125) -> DataFrame:
+    """Non-maximum suppression by confidence, across the classes of an image: a box goes if its IoU with a kept one is over the threshold.
+
+    Groups of up to `most` boxes are folded in one place; larger ones go by rounds over pairs in grid cells of width `cell`.
+    """
+    large, rest = crowded(detections, keys, most), detections
+    if large is not None:
+        rest = detections.join(large, list(keys), "left_anti")
+    fields = [c for c in detections.columns if c not in keys]
+    groups = ordered(rest, list(keys), [F.desc("conf"), F.col("det_id")], fields)
+    kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > threshold)
+    kept = groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+    if large is None:
+        return kept
+    many = detections.join(large, list(keys), "left_semi")
+    return kept.unionByName(apart_by_rounds(many, keys, "det_id", F.struct(-F.col("conf"), "det_id"), lambda v: v > threshold, cell))
+
+
+def nms_truth(truth: DataFrame, threshold: float = 0.7, most: int = 4096, cell: float = 0.125) -> DataFrame:
+    """Suppression of truth boxes by area, within image and class, at IoU >= threshold: what a detector behind such a filter can find at most. Large groups go as in nms."""
+    keys, fields = ("image_id", "class_id"), ["line_no", "w", "h", *CORNERS]
+    truth = truth.select(*keys, *fields)
+    large, rest = crowded(truth, keys, most), truth
+    if large is not None:
+        rest = truth.join(large, list(keys), "left_anti")
+    groups = ordered(rest, list(keys), [F.desc(F.col("w") * F.col("h")), F.col("line_no")], fields)
     kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) >= threshold)
-    return groups.select("image_id", "class_id", F.explode(kept).alias("x")).select("image_id", "class_id", *[f"x.{c}" for c in fields])
+    kept = groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+    if large is None:
+        return kept
+    many = truth.join(large, list(keys), "left_semi")
+    return kept.unionByName(apart_by_rounds(many, keys, "line_no", F.struct(-(F.col("w") * F.col("h")), "line_no"), lambda v: v >= threshold, cell))
 
 
 def recall_ceiling(truth: DataFrame, threshold: float = 0.7, small: float = 0.05) -> DataFrame:

@@ -234,3 +234,13 @@ def test_live_rules_match_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     batch = harmony.violations(chords(spark, rows), ("M1", "V1", "P1", "P2"))
     assert kinds(spark.table("live")) == kinds(batch)
+
+
+def test_suppression_by_rounds_equals_the_fold(spark):
+    rows = [(k % 3, k, k % 2, (k * 37 % 100) / 100, (k * 7 % 40) / 50, (k * 11 % 40) / 50) for k in range(240)]
+    d = spark.createDataFrame(rows, "image_id int, det_id int, class_id int, conf double, x1 double, y1 double").withColumns({"x2": F.col("x1") + 0.2, "y2": F.col("y1") + 0.2})
+    fold, rounds = ({(r.image_id, r.det_id) for r in detection.nms(d, 0.3, most=most).collect()} for most in (4096, 50))
+    assert fold == rounds and 0 < len(fold) < 240
+    t = d.withColumnRenamed("det_id", "line_no").withColumns({"w": F.lit(0.2), "h": F.col("conf")})
+    fold, rounds = ({(r.image_id, r.line_no) for r in detection.nms_truth(t, 0.3, most=most).collect()} for most in (4096, 30))
+    assert fold == rounds and 0 < len(fold) < 240
