@@ -119,12 +119,12 @@ def _beside(right: np.ndarray, left: np.ndarray, n: int) -> np.ndarray:
 def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, least: int = 9, symbols: int | None = None) -> Shard:
     """Re-Pair over one shard: rounds replace the most frequent pairs by new symbols until no pair occurs `least` times.
 
-    With symbols of two bytes, a rule (16 bytes) for a pair that occurs under nine times saves nothing. A round takes pairs from the
-    most frequent down to a bound, so that no symbol is a left side and a right side; their occurrences then can't overlap and
-    are replaced at once. A pair of equal symbols keeps its symbol to itself and is replaced left to right. The bound falls to an
-    eighth when no pair reaches it. Pairs are first counted by a short hash, and exactly only where that count reaches the bound.
-    Pairs never reach over the end of a document. It ends early only when `symbols` numbers are used up: 65,536, or for larger vocabularies so many more than `base`. Ids from
-    `base` on raise.
+    With symbols of two bytes, a rule (16 bytes) for a pair that occurs under nine times saves nothing. A round replaces the
+    pairs that reach a bound; where two of them overlap, the more frequent one goes first, and a pair of which too few are left
+    then waits for another round (the most frequent pair never does). A pair of equal symbols is replaced left to right. The bound falls to an eighth
+    when no pair reaches it or a round replaced little. Pairs are first counted by a short hash, and exactly only where that count
+    reaches the bound. Pairs never reach over the end of a document. It ends early only when `symbols` numbers are used up:
+    65,536, or for larger vocabularies so many more than `base`. Ids from `base` on raise.
     """
     symbols = symbols or (1 << 16 if base < 60_000 else base + (1 << 16))
     seq = ids.astype(np.uint32)
@@ -159,31 +159,32 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
                 break
             bound = max(least, bound // 8)
             continue
-        taken: dict[int, int] = {}
-        side: dict[int, str] = {}
-        for pair in pairs[edge[often[np.argsort(-count[often], kind="stable")]]].tolist():
-            a, b = pair >> shift, pair & ((1 << shift) - 1)
-            if a == b:
-                if a in side:
-                    continue
-                side[a] = "both"
-            elif side.get(a, "left") != "left" or side.get(b, "right") != "right":
-                continue
-            else:
-                side[a], side[b] = "left", "right"
-            taken[pair] = base + len(rules)
-            rules.append((a, b))
-            lengths.append(size(a) + size(b))
-            if len(rules) == symbols - base:
-                break
-        keys = np.array(sorted(taken), kind)
-        made = np.array([taken[k] for k in keys.tolist()], np.uint32)
+        keys, count = pairs[edge[often]], count[often]
         place = np.minimum(np.searchsorted(keys, codes), len(keys) - 1)
-        hit = keys[place] == codes
-        at = at[hit]
+        hit = np.flatnonzero(keys[place] == codes)
+        at, place = at[hit], place[hit]
+        # of pairs that overlap the more frequent one is replaced
+        rank = np.empty(len(keys), np.int64)
+        rank[np.argsort(count, kind="stable")] = np.arange(len(keys))
+        turn, beside = rank[place], np.diff(at) == 1
+        first = np.ones(len(at), bool)
+        first[:-1] &= ~beside | (turn[:-1] > turn[1:])
+        first[1:] &= ~beside | (turn[1:] > turn[:-1])
+        at, place = at[first], place[first]
+        left = np.bincount(place, minlength=len(keys))
+        made = np.flatnonzero(left >= max(least, bound // 2))
+        made = made[np.argsort(-left[made], kind="stable")][: symbols - base - len(rules)]
+        number = np.zeros(len(keys), np.uint32)
+        number[made] = np.arange(base + len(rules), base + len(rules) + len(made))
+        for pair in keys[made].tolist():
+            x, y = pair >> shift, pair & ((1 << shift) - 1)
+            rules.append((x, y))
+            lengths.append(size(x) + size(y))
+        new = number[place]
+        at, new = at[new > 0], new[new > 0]
         # the pairs that go: each replaced one and its neighbours, of which two replaced pairs side by side share one
         n -= np.bincount(np.concatenate([short[at], short[_beside(at + 1, at - 1, len(short))]]), minlength=hashes + 1)
-        seq[at] = made[place[hit]]
+        seq[at] = new
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
         seq, starts = seq[keep], starts - np.searchsorted(at + 1, starts)
@@ -191,10 +192,12 @@ def compress(doc_ids: list, ids: np.ndarray, starts: np.ndarray, base: int, leas
         keep[at] = False
         short = short[keep]
         now = at - np.arange(len(at))
-        new = _beside(now, now - 1, len(short))
-        new = new[short[new] < hashes]
-        short[new] = _short(seq[new], seq[new + 1])
-        n += np.bincount(short[new], minlength=hashes + 1)
+        near = _beside(now, now - 1, len(short))
+        near = near[short[near] < hashes]
+        short[near] = _short(seq[near], seq[near + 1])
+        n += np.bincount(short[near], minlength=hashes + 1)
+        if len(at) < len(seq) // 100:
+            bound = max(least, bound // 8)
     return Shard(doc_ids, starts, np.array(rules, np.uint32).reshape(-1, 2), np.array(lengths, np.int64), seq, base)
 
 
