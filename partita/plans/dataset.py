@@ -272,8 +272,8 @@ _PASTE_KEY = "source_image||'/'||source_line||'/'||try"
 
 @query("d10c_paste_plan", f"""{B}, n AS (SELECT class_id, count(*) AS n FROM t GROUP BY 1), la AS (SELECT class_id, (SELECT max(n) FROM n)-n AS lack FROM n QUALIFY row_number() OVER (ORDER BY n, class_id)<=3),
  im AS (SELECT image_id, row_number() OVER (ORDER BY image_id) AS rank FROM (SELECT DISTINCT image_id FROM t)),
- ofr AS (SELECT class_id, lack, image_id AS source_image, line_no AS source_line, w, h, unnest(range(0, 8)) AS try FROM t JOIN la USING (class_id) WHERE lack>0 AND w>=0.03 AND h>=0.03),
- pl AS (SELECT ofr.*, im.image_id, w/2+{draw_sql(_PASTE_KEY, 43)}*(1-w) AS cx, h/2+{draw_sql(_PASTE_KEY, 44)}*(1-h) AS cy, {hashed_sql(_PASTE_KEY)} AS turn FROM ofr JOIN im ON im.rank=floor({draw_sql(_PASTE_KEY)}*(SELECT count(*) FROM im))+1),
+ ofr AS MATERIALIZED (SELECT class_id, lack, image_id AS source_image, line_no AS source_line, w, h, try FROM t JOIN la USING (class_id) CROSS JOIN (SELECT unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS try) WHERE lack>0 AND w>=0.03 AND h>=0.03),
+ pl AS MATERIALIZED (SELECT ofr.*, im.image_id, w/2+{draw_sql(_PASTE_KEY, 43)}*(1-w) AS cx, h/2+{draw_sql(_PASTE_KEY, 44)}*(1-h) AS cy, {hashed_sql(_PASTE_KEY)} AS turn FROM ofr JOIN im ON im.rank=floor({draw_sql(_PASTE_KEY)}*(SELECT count(*) FROM im))+1),
  bx AS (SELECT *, cx-w/2 AS x1, cy-h/2 AS y1, cx+w/2 AS x2, cy+h/2 AS y2 FROM pl),
  fr AS (SELECT * FROM bx WHERE NOT EXISTS (SELECT 1 FROM t WHERE t.image_id=bx.image_id AND {iou_sql('bx.', 't.')}>0.1)),
  a AS (SELECT * FROM fr QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY turn, class_id, source_image, source_line)<=5)
