@@ -137,10 +137,10 @@ def fusion_sql(weights: tuple[float, float]) -> str:
  fu AS (SELECT image_id, class_id, c.x1 AS x1, c.y1 AS y1, c.x2 AS x2, c.y2 AS y2, c.conf/c.n*least({total}::DOUBLE, c.n)/{total}::DOUBLE AS conf, c.n AS members FROM (SELECT image_id, class_id, unnest(cl) AS c FROM r QUALIFY row_number() OVER (PARTITION BY image_id, class_id ORDER BY k DESC)=1))"""
 
 
-@query("e8_fusion", f"{fusion_sql((1.0, 2.0))} SELECT image_id, class_id, round(x1,9) AS x1, round(y1,9) AS y1, round(x2,9) AS x2, round(y2,9) AS y2, round(conf,9) AS conf, members FROM fu")
+@query("e8_fusion", f"{fusion_sql((1.0, 2.0))} SELECT * FROM fu")
 def e8_fusion(spark, sf_dir):
     one, two = detections(spark, sf_dir), view(spark, sf_dir, DET_CORNERS_2)
-    return D.fuse([(one, 1.0), (two, 2.0)]).withColumns({c: F.round(c, 9) for c in (*BOX_FIELDS, "conf")})
+    return D.fuse([(one, 1.0), (two, 2.0)])
 
 
 @query("e8b_agreement", f"{fusion_sql((1.0, 1.0))}, mo AS (SELECT image_id, max(n) AS most FROM (SELECT image_id, count(*) AS n FROM m1 GROUP BY 1 UNION ALL SELECT image_id, count(*) FROM m2 GROUP BY 1) GROUP BY 1) SELECT image_id, most, coalesce(fused,0) AS fused, round(coalesce(fused,0)/most,9) AS ratio FROM mo LEFT JOIN (SELECT image_id, count(*) AS fused FROM fu GROUP BY 1) USING (image_id)")
