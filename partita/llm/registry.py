@@ -16,6 +16,7 @@ from partita.llm.packing import pack_documents
 from partita.llm.quality import Settings, score_quality
 from partita.llm.repair import token_files
 from partita.llm.sharding import shard_records
+from partita.llm.simhash import simhash_duplicates
 
 
 def _vocabulary(name: str) -> str:
@@ -104,6 +105,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_records(table(spark, sf_dir, "documents"), weights=[1.0] * 8)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, seed=42)
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
@@ -115,5 +120,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
+    "op11_simhash": op11_simhash,
 }
 ORACLES = {"op5_topk": OP5_SQL, "op7_line_dedup": OP7_SQL}
