@@ -25,7 +25,8 @@ def connected_components(edges: DataFrame, most: int = 60) -> DataFrame:
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         stars = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(small.select("a", F.col("m").alias("b")))
         edges = written(stars.distinct(), "stars")
-        now = edges.agg(F.count("*"), F.sum("a"), F.sum("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
+        total = lambda c: F.sum(F.col(c).cast("decimal(20,0)"))  # noqa: E731 - nodes may be any longs
+        now = edges.agg(F.count("*"), total("a"), total("b"), F.bit_xor(F.xxhash64("a", "b"))).first()
         if now == before:
             break
         before = now
