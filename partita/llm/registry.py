@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.llm.ann import nearest
 from partita.llm.bpe import bpe_round_trip
+from partita.llm.collocations import collocations
 from partita.llm.common import table
 from partita.llm.licenses import scan_licenses
 from partita.llm.line_dedup import dedup_lines
@@ -109,6 +110,45 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_duplicates(table(spark, sf_dir, "documents"), words=3, distance=3, seed=42)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"), longest=3, least=10, inside=50, top=2000)
+
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id, list_filter(string_split_regex(piece, '[ \t]+'), lambda w: w <> '') AS w
+  FROM (SELECT lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\n\x0b\f\r]')) AS piece FROM documents)
+), starts AS (
+  SELECT lang, w, unnest(generate_series(1, len(w))) AS i FROM pieces WHERE len(w) > 0
+), grams AS (
+  SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM starts, (SELECT unnest([1, 2, 3]) AS size) WHERE i + size - 1 <= len(w)
+), f AS (
+  SELECT lang, size, phrase, count(*) AS n FROM grams GROUP BY lang, size, phrase
+), totals AS (
+  SELECT lang, CAST(sum(n) AS BIGINT) AS n FROM f WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, n AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1 AND n >= 10
+), inner_ AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase FROM candidates WHERE size = 3
+  ) GROUP BY lang, phrase
+), kept AS (
+  SELECT c.* FROM candidates c LEFT JOIN inner_ i ON c.lang = i.lang AND c.phrase = i.phrase WHERE i.longer IS NULL OR 100 * i.longer < 50 * c.a
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : size], ' ') AS tail
+  FROM (SELECT *, unnest(generate_series(1, size - 1)) AS k FROM kept)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, c.k, x.n AS l, y.n AS r, (1000000::HUGEINT * c.a * c.a) // (x.n::HUGEINT * y.n) AS score
+  FROM cuts c JOIN f x ON c.lang = x.lang AND c.head = x.phrase JOIN f y ON c.lang = y.lang AND c.tail = y.phrase
+), worst AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS turn FROM scored
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst WHERE turn = 1
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS score FROM ranked r JOIN totals t ON r.lang = t.lang WHERE r.rank <= 2000
+"""
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
@@ -121,5 +161,6 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_sharding": op10_sharding,
     "op11_simhash": op11_simhash,
+    "op12_collocations": op12_collocations,
 }
-ORACLES = {"op5_topk": OP5_SQL, "op7_line_dedup": OP7_SQL}
+ORACLES = {"op5_topk": OP5_SQL, "op7_line_dedup": OP7_SQL, "op12_collocations": OP12_SQL}
