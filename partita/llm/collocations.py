@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.llm.common import slices, written
+from partita.llm.common import packed, slices, unpacked, written
 from partita.llm.encoding import _spread
 from partita.llm.shingles import mixed
 
@@ -40,17 +40,6 @@ def plan(size: int, longest: int, least: int, trigger: int = 12, chunk: int = 10
     return Plan(longest, least, trigger, chunk, max(1, size >> 23), max(1, size >> 25), min(63, 12 + max(16, size.bit_length())))
 
 
-def _packed(t: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(t)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(data: list[bytes]) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in data])
-
-
 def _merged(t: pa.Table) -> pa.Table:
     """One row a chunk, its occurrences summed."""
     out = t.group_by(["lang", "own", "chunk"], use_threads=False).aggregate([("n", "sum")])
@@ -119,7 +108,7 @@ def chunk_rows(docs: DataFrame, p: Plan, most: int = 32 << 20) -> DataFrame:
         found, at = np.unique(to[order], return_index=True)
         t = t.take(pa.array(order))
         for k, lo, hi in zip(found.tolist(), at, [*at[1:], t.num_rows]):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([_packed(t.slice(lo, hi - lo))], pa.binary())], ["slice", "data"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(t.slice(lo, hi - lo))], pa.binary())], ["slice", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held = [], 0
@@ -216,11 +205,11 @@ def _squeezed(h: np.ndarray, n: np.ndarray, least: int) -> bytes:
     step = step.astype(np.uint32) if len(step) < 2 or step.max() < 1 << 32 else step
     kind = np.uint8 if least < 256 else np.int64
     t = pa.table({"step": pa.array([np.ascontiguousarray(step.view(np.uint8).reshape(len(step), -1).T).tobytes()], pa.binary()), "width": [step.itemsize], "n": pa.array([n.astype(kind).tobytes()], pa.binary())})
-    return _packed(t)
+    return packed(t)
 
 
 def _expanded(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    t = _unpacked([data]).to_pylist()[0]
+    t = unpacked([data]).to_pylist()[0]
     planes = np.frombuffer(t["step"], np.uint8).reshape(t["width"], -1)
     step = np.ascontiguousarray(planes.T).view(np.uint32 if t["width"] == 4 else np.uint64).ravel()
     return np.cumsum(step.astype(np.uint64)), np.frombuffer(t["n"], np.uint8 if least < 256 else np.int64).astype(np.int64)
@@ -231,12 +220,12 @@ def dictionary(rows: DataFrame, p: Plan) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         k = t.column("slice")[0].as_py()
-        merged = _merged(_unpacked(t.column("data").to_pylist()))
+        merged = _merged(unpacked(t.column("data").to_pylist()))
         h, n = Grams(merged, p).counted(p.least)
         to = h % np.uint64(p.buckets)
         order = np.argsort(to, kind="stable")  # hashes stay sorted inside a bucket
         found, at = np.unique(to[order], return_index=True)
-        out = [(-1, _packed(merged))]
+        out = [(-1, packed(merged))]
         for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(order)]):
             out.append((b, _squeezed(h[order[lo:hi]], n[order[lo:hi]], p.least)))
         return pa.table({"slice": pa.array([k] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
@@ -274,7 +263,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kept = [_expanded(d, 1)[0] for d in right.column("data").to_pylist()]
         often = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        found = list(Grams(_unpacked(left.column("data").to_pylist()), p).phrases(often)) if left.num_rows else []
+        found = list(Grams(unpacked(left.column("data").to_pylist()), p).phrases(often)) if left.num_rows else []
         schema = pa.schema({"lang": pa.string(), "size": pa.int32(), "phrase": pa.string(), "n": pa.int64()})
         return pa.concat_tables(found) if found else schema.empty_table()
 

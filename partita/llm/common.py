@@ -52,3 +52,16 @@ def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[
         end = max(at + 1, int(np.searchsorted(size, base + most, side="right")))
         yield batch.slice(at, end - at)
         at = end
+
+
+def packed(t: pa.Table) -> bytes:
+    """A table as one compressed binary value."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(data: list[bytes]) -> pa.Table:
+    """The rows of packed tables of one schema."""
+    return pa.concat_tables([pa.ipc.open_stream(d).read_all() for d in data])

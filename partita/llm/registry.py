@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from partita.llm.alignment import Vocabularies, align_tokenizers
 from partita.llm.ann import nearest
 from partita.llm.bpe import bpe_round_trip
 from partita.llm.collocations import collocations
@@ -149,6 +150,13 @@ SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, t.n, CAST(r.score AS BIGINT) AS
 """
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = Vocabularies(_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, _vocabulary("byte_bpe_50k.json"), _vocabulary("piece_bpe_32k.model"))
+    return align_tokenizers(table(spark, sf_dir, "documents"), files, b_size=32_000)
+
+
 QUERIES = {
     "op1_ann": op1_ann,
     "op2_bpe": op2_bpe,
@@ -162,5 +170,6 @@ QUERIES = {
     "op10_sharding": op10_sharding,
     "op11_simhash": op11_simhash,
     "op12_collocations": op12_collocations,
+    "op13_alignment": op13_alignment,
 }
 ORACLES = {"op5_topk": OP5_SQL, "op7_line_dedup": OP7_SQL, "op12_collocations": OP12_SQL}
