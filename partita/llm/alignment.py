@@ -83,7 +83,7 @@ class PairEncoder:
         spelled = [bytes([int(p[3:5], 16)]) if model.is_byte(k) else b"" if model.is_control(k) else p.replace(_SPACE, " ").encode() for k, p in enumerate(pieces)]
         self.a_bytes, self.b_bytes = Bytes(tokens), Bytes(spelled)
         plain = [p for k, p in enumerate(pieces) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
-        self.apart = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p or (any(c in _MARKS for c in p) and any(c.isalnum() for c in p)) for p in plain)
+        self.apart = not any(_SPACE in p.lstrip(_SPACE) or "\n" in p or any(x.isalpha() and y in _MARKS for x, y in zip(p, p[1:])) for p in plain)
 
         def pieces_of(chunks: Sequence[str]) -> list[list[int]]:
             """A leading space is what the model adds itself; other chunks go behind a line feed, which nothing merges with."""

@@ -132,7 +132,7 @@ def dense_links(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]
     return fps[rest], fps[label[rest]]
 
 
-def verified_links(lists: DataFrame, shared: int, distance: int, dense: int = 8192, pairs: int = 1 << 20) -> DataFrame:
+def verified_links(lists: DataFrame, shared: int, distance: int, dense: int = 8192, pairs: int = 1 << 18) -> DataFrame:
     """(a, b): links that connect the fingerprints of each list that lie within the distance.
 
     A list's pairs are made and tallied inside a task, `pairs` at a time: those with `shared` equal bytes are verified by their
@@ -226,15 +226,16 @@ def simhash_duplicates(docs: DataFrame, words: int = 5, distance: int = 3, seed:
     rows = written(fingerprints(docs, words, seed), "fingerprints")
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "entries")
 
-    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
-    lists = postings(fps.select("fp"), shared, lead)
-    size = written(lists.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").withColumn("long", F.col("n") > most).select("key", "long"), "lists")
-    size = size.select("key", "long", F.explode(F.when(F.col("long"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(-1)))).alias("salt"))
-    salted = lists.select("key", "fp", salt("fp"))
-    long_lists = salted.join(size.where("long"), ["key", "salt"], "left_semi").select("key", "fp")
-    short = salted.join(size.where("long"), ["key", "salt"], "left_anti").select("key", "fp")
-    links = written(verified_links(short, shared, distance).union(verified_links(longer_postings(long_lists, shared, lead), shared, distance)).distinct(), "links")
+    short = postings(fps.select("fp"), shared, lead)
+    hot = written(short.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > most).select("key"), "long_lists")
+    longer = None
+    if not hot.isEmpty():
+        salted, hot = short.withColumn("salt", F.pmod(F.xxhash64("fp"), F.lit(salts)).cast("int")), hot.select("key", every_salt)
+        longer = longer_postings(salted.join(hot, ["key", "salt"], "left_semi").select("key", "fp"), shared, lead)
+        short = salted.join(hot, ["key", "salt"], "left_anti").select("key", "fp")
+    links = verified_links(short, shared, distance)
+    links = written((links if longer is None else links.union(verified_links(longer, shared, distance))).distinct(), "links")
 
     found = connected_components(links)
     grouped = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "doc_id", "n", F.coalesce("component", "fp").alias("component"))
