@@ -24,24 +24,39 @@ def merge_peaks(peaks: DataFrame, gap: float = 3) -> DataFrame:
     return sessions(peaks, ["image_id"], "y", lambda d: d > gap, "line").groupBy("image_id", "line").agg(F.max("y").alias("y")).select("image_id", "y")
 
 
-def group_staves(lines: DataFrame, factor: float | None = 2.5, fixed: float = 60, whole: int = 5) -> DataFrame:
-    """Lines (image_id, y) to staves: staff_idx, line_ys, spacing (mean gap), top.
+def group_staves(lines: DataFrame, factor: float = 2.5, whole: int = 5) -> DataFrame:
+    """Lines (image_id, y) to staves: staff_idx, line_ys, spacing (mean gap), top, bottom.
 
-    A run ends where the gap is over factor times the image's median gap (or over `fixed`, if factor is None). Runs are cut into fives;
-    what is shorter is dropped.
+    A run ends where the gap is over factor times the image's median gap. Runs are cut into fives; what is shorter is dropped.
     """
     w = Window.partitionBy("image_id").orderBy("y")
     gaps = lines.withColumn("gap", F.col("y") - F.lag("y").over(w))
-    if factor is None:
-        gaps = gaps.withColumn("limit", F.lit(float(fixed)))
-    else:
-        gaps = gaps.join(gaps.groupBy("image_id").agg((F.median("gap") * factor).alias("limit")), "image_id")
+    gaps = gaps.join(gaps.groupBy("image_id").agg((F.median("gap") * factor).alias("limit")), "image_id")
     runs = gaps.withColumn("run", F.sum(F.when(F.col("gap") > F.col("limit"), 1).otherwise(0)).over(w))
     turn = F.row_number().over(Window.partitionBy("image_id", "run").orderBy("y")) - 1
     fives = runs.withColumn("five", F.floor(turn / whole)).groupBy("image_id", "run", "five").agg(F.array_sort(F.collect_list("y")).alias("line_ys")).where(F.size("line_ys") == whole)
     index = F.row_number().over(Window.partitionBy("image_id").orderBy("run", "five")) - 1
-    spacing = (F.element_at("line_ys", -1) - F.element_at("line_ys", 1)) / (whole - 1)
-    return fives.select("image_id", index.alias("staff_idx"), "line_ys", spacing.cast("double").alias("spacing"), F.element_at("line_ys", 1).cast("double").alias("top"))
+    first, last = F.element_at("line_ys", 1).cast("double"), F.element_at("line_ys", -1).cast("double")
+    return fives.select("image_id", index.alias("staff_idx"), "line_ys", ((last - first) / (whole - 1)).alias("spacing"), first.alias("top"), last.alias("bottom"))
+
+
+def staff_bounds(staves: DataFrame, lines: DataFrame) -> DataFrame:
+    """Staves with x_min and x_max: how far their lines (image_id, y, x1, x2) reach; NULL where a line's reach isn't known."""
+    reach = staves.select("image_id", "staff_idx", F.explode("line_ys").alias("y")).join(lines, ["image_id", "y"], "left")
+    return staves.join(reach.groupBy("image_id", "staff_idx").agg(F.min("x1").alias("x_min"), F.max("x2").alias("x_max")), ["image_id", "staff_idx"], "left")
+
+
+def staff_regions(lines: DataFrame, images: DataFrame, gap: float = 60, least: int = 5, default: tuple[float, float] = (0.0, 1000.0)) -> DataFrame:
+    """Lines (image_id, y) to regions by a fixed gap: staff_idx, top, bottom, lines.
+
+    A run of at least `least` lines is one region, however many they are; shorter runs are dropped. An image (of `images`) without a
+    single line gets the default region; one whose runs are all too short gets none.
+    """
+    runs = sessions(lines, ["image_id"], "y", lambda d: d > gap, "run").groupBy("image_id", "run").agg(F.min("y").alias("top"), F.max("y").alias("bottom"), F.count("*").alias("lines")).where(F.col("lines") >= least)
+    index = (F.row_number().over(Window.partitionBy("image_id").orderBy("run")) - 1).alias("staff_idx")
+    found = runs.select("image_id", index, F.col("top").cast("double").alias("top"), F.col("bottom").cast("double").alias("bottom"), "lines")
+    bare = images.select("image_id").distinct().join(lines.select("image_id"), "image_id", "left_anti")
+    return found.union(bare.select("image_id", F.lit(0), F.lit(default[0]), F.lit(default[1]), F.lit(0).cast("long")))
 
 
 def measures(notes: DataFrame, barlines: DataFrame) -> DataFrame:

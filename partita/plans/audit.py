@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partita.operators import audit as A
-from partita.plans.detection import BASE, PAIRS, fold_sql, greedy_sql, iou_sql
+from partita.plans.detection import BASE, MEET, PAIRS, fold_sql, greedy_sql, iou_sql
 from partita.plans.registry import query
-from partita.plans.views import boxes, detections
+from partita.plans.views import CORNERS, DET_CORNERS, boxes, detections
 
 _LONG = f"""{BASE}, m AS (SELECT image_id, line_no, class_id, cx, cy, w, h, w*h AS area, CASE WHEN h=0 THEN 'infinity'::DOUBLE ELSE w/h END AS aspect FROM t),
  l AS (SELECT image_id, line_no, class_id, unnest(['w','h','area','aspect']) AS metric, unnest([w,h,area,aspect]) AS value FROM m),
@@ -83,8 +83,12 @@ def e12c_confusion_examples(spark, sf_dir):
     return A.confusion_examples(boxes(spark, sf_dir), detections(spark, sf_dir))
 
 
-_HARD = f"""WITH t0 AS (SELECT * FROM ({BASE} SELECT * FROM t) WHERE class_id IN (0, 9, 21)), {PAIRS[5:].replace('FROM t JOIN d', 'FROM t0 t JOIN (SELECT * FROM d WHERE class_id IN (0, 9, 21)) d')},
- g AS (SELECT image_id, v.det_id AS det_id, v.line_no AS line_no FROM ({greedy_sql('det_id', False)})),
+_HARD = f"""WITH RECURSIVE t AS ({CORNERS}), d AS ({DET_CORNERS}), t0 AS (SELECT * FROM t WHERE class_id IN (0, 9, 21)),
+ p AS MATERIALIZED (SELECT image_id, det_id, line_no, row_number() OVER (PARTITION BY image_id ORDER BY det_id, iou DESC, line_no) AS turn FROM (SELECT t.image_id, t.line_no, d.det_id, {iou_sql('t.', 'd.')} AS iou FROM t0 t JOIN (SELECT * FROM d WHERE class_id IN (0, 9, 21)) d ON t.image_id=d.image_id AND {MEET}) WHERE iou>=0.5),
+ w AS (SELECT image_id, CAST(0 AS BIGINT) AS turn, CAST([] AS INT[]) AS dets, CAST([] AS INT[]) AS lines, CAST(NULL AS INT) AS det_id, CAST(NULL AS INT) AS line_no FROM (SELECT DISTINCT image_id FROM p)
+  UNION ALL SELECT p.image_id, p.turn, CASE WHEN free THEN list_append(dets, p.det_id) ELSE dets END, CASE WHEN free THEN list_append(lines, p.line_no) ELSE lines END, CASE WHEN free THEN p.det_id END, CASE WHEN free THEN p.line_no END
+  FROM (SELECT p.*, dets, lines, NOT list_contains(dets, p.det_id) AND NOT list_contains(lines, p.line_no) AS free FROM w JOIN p ON p.image_id=w.image_id AND p.turn=w.turn+1) p),
+ g AS (SELECT image_id, det_id, line_no FROM w WHERE det_id IS NOT NULL),
  r AS (SELECT g.image_id, g.line_no, t0.class_id, d.class_id AS pred, d.conf FROM g JOIN t0 ON t0.image_id=g.image_id AND t0.line_no=g.line_no JOIN d ON d.image_id=g.image_id AND d.det_id=g.det_id),
  hx AS (SELECT image_id, CASE WHEN pred<>class_id THEN 'misclass' ELSE 'low_conf' END AS kind, class_id, line_no, CASE WHEN pred<>class_id THEN 1.5 ELSE 1+(CAST(0.3 AS DOUBLE)-conf) END AS difficulty FROM r WHERE pred<>class_id OR conf<0.3
   UNION ALL SELECT image_id, 'FN', class_id, line_no, 2.0 FROM t0 WHERE NOT EXISTS (SELECT 1 FROM g WHERE g.image_id=t0.image_id AND g.line_no=t0.line_no))"""
