@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from partita.functions.draws import draw, hashed
 from partita.functions.geometry import Box, box, iou, to_corners
 from partita.operators.detection import keep_apart, ordered
+from partita.operators.pairs import MOST, by_size
+from partita.operators.rounds import apart_by_rounds, centres_apart_by_rounds
 from partita.sources.storage import written
 
 CENTRE = ("cx", "cy", "w", "h")
@@ -97,14 +99,25 @@ def most_repeated(lines: DataFrame, n: int = 10) -> DataFrame:
     return _marked(lines).groupBy("file_id").agg(F.count_if("same").alias("repeated"), F.count("*").alias("lines")).where("repeated > 0").orderBy(F.desc("repeated"), "file_id").limit(n)
 
 
-def near_duplicate_boxes(boxes: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Boxes that no kept earlier box of their image and class overlaps by the threshold; dropped boxes suppress nothing."""
-    groups = ordered(boxes, ["image_id", "class_id"], [F.col("line_no")], ["line_no", *CENTRE])
+def near_duplicate_boxes(boxes: DataFrame, threshold: float = 0.7, most: int = MOST) -> DataFrame:
+    """Boxes that no kept earlier box of their image and class overlaps by the threshold; dropped boxes suppress nothing.
+
+    An image and class of up to `most` boxes is folded in one place, larger ones go by rounds over the pairs of a grid.
+    """
+    keys, fields = ("image_id", "class_id"), ("line_no", *CENTRE)
 
     def clash(k: Column, x: Column) -> Column:
         return iou(to_corners(Box(*(k[c] for c in CENTRE))), to_corners(Box(*(x[c] for c in CENTRE)))) >= threshold
 
-    return groups.select("image_id", "class_id", F.explode(keep_apart(F.col("xs"), clash)).alias("x")).select("image_id", "class_id", *[f"x.{c}" for c in ("line_no", *CENTRE)])
+    def folded(rows: DataFrame) -> DataFrame:
+        groups = ordered(rows, list(keys), [F.col("line_no")], list(fields))
+        return groups.select(*keys, F.explode(keep_apart(F.col("xs"), clash)).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+
+    def rounds(rows: DataFrame) -> DataFrame:
+        cornered = rows.select("*", *to_corners(box(names=CENTRE)).named("x1", "y1", "x2", "y2"))
+        return apart_by_rounds(cornered, keys, "line_no", F.col("line_no"), lambda v: v >= threshold).select(*keys, *fields)
+
+    return by_size(boxes.select(*keys, *fields), keys, folded, rounds, most)
 
 
 def merge_overlapping(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -128,11 +141,16 @@ def merge_overlapping(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
     return groups.select("image_id", "class_id", F.explode(merged).alias("m")).select("image_id", "class_id", "m.*")
 
 
-def keep_largest(boxes: DataFrame, near: float = 0.05) -> DataFrame:
-    """Boxes by area, largest first; one goes if its centre is within `near` in x and y of a kept one of its image and class."""
-    groups = ordered(boxes, ["image_id", "class_id"], [F.desc(F.col("w") * F.col("h")), F.col("line_no")], ["line_no", *CENTRE])
+def keep_largest(boxes: DataFrame, near: float = 0.05, most: int = MOST) -> DataFrame:
+    """Boxes by area, largest first; one goes if its centre is within `near` in x and y of a kept one of its image and class. Large groups go by rounds."""
+    keys, fields, area = ("image_id", "class_id"), ("line_no", *CENTRE), F.col("w") * F.col("h")
     clash = lambda k, x: (F.abs(k["cx"] - x["cx"]) < near) & (F.abs(k["cy"] - x["cy"]) < near)
-    return groups.select("image_id", "class_id", F.explode(keep_apart(F.col("xs"), clash)).alias("x")).select("image_id", "class_id", *[f"x.{c}" for c in ("line_no", *CENTRE)])
+
+    def folded(rows: DataFrame) -> DataFrame:
+        groups = ordered(rows, list(keys), [F.desc(area), F.col("line_no")], list(fields))
+        return groups.select(*keys, F.explode(keep_apart(F.col("xs"), clash)).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+
+    return by_size(boxes.select(*keys, *fields), keys, folded, lambda rows: centres_apart_by_rounds(rows, keys, "line_no", F.struct(-area, "line_no"), near), most)
 
 
 def size_split(images: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

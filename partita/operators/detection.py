@@ -9,44 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.functions.geometry import box, iou
+from partita.functions.geometry import iou
+from partita.operators.pairs import CORNERS, MOST, box_pairs, by_size, self_pairs, with_cells  # noqa: F401 - pairs of boxes are part of this module's face
+from partita.operators.rounds import apart_by_rounds, hull_knots, matched_by_rounds
 from partita.sources.storage import written
 
-CORNERS = ("x1", "y1", "x2", "y2")
-
-
-def with_cells(boxes: DataFrame, cell: float) -> DataFrame:
-    """A row for each grid cell that a box touches: columns gx, gy."""
-    span = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    return boxes.withColumn("gx", span("x1", "x2")).withColumn("gy", span("y1", "y2"))
-
-
-def box_pairs(truth: DataFrame, detections: DataFrame, keys: tuple[str, ...] = ("image_id",), cell: float | None = None) -> DataFrame:
-    """Overlapping (truth, detection) pairs of an image with their IoU: columns of both, prefixed t_ and d_, and iou.
-
-    cell: a grid of that width joins on (keys, cell), so dense images don't pair all with all; a pair stays only in the cell of its
-    intersection's upper left corner. Without it the join is on the keys alone.
-    """
-    t = truth.select(*[F.col(c).alias(c if c in keys else f"t_{c}") for c in truth.columns])
-    d = detections.select(*[F.col(c).alias(c if c in keys else f"d_{c}") for c in detections.columns])
-    on = list(keys)
-    if cell is not None:
-        t = with_cells(truth, cell).select(*[F.col(c).alias(c if c in (*keys, "gx", "gy") else f"t_{c}") for c in (*truth.columns, "gx", "gy")])
-        d = with_cells(detections, cell).select(*[F.col(c).alias(c if c in (*keys, "gx", "gy") else f"d_{c}") for c in (*detections.columns, "gx", "gy")])
-        on += ["gx", "gy"]
-    meet = (F.col("t_x1") < F.col("d_x2")) & (F.col("d_x1") < F.col("t_x2")) & (F.col("t_y1") < F.col("d_y2")) & (F.col("d_y1") < F.col("t_y2"))
-    both = t.join(d, on).where(meet)
-    if cell is not None:
-        own = (F.floor(F.greatest("t_x1", "d_x1") / cell) == F.col("gx")) & (F.floor(F.greatest("t_y1", "d_y1") / cell) == F.col("gy"))
-        both = both.where(own).drop("gx", "gy")
-    return both.withColumn("iou", iou(box("t_"), box("d_")))
-
-
-def self_pairs(boxes: DataFrame, cell: float | None = None) -> DataFrame:
-    """Overlapping pairs of boxes of one image, the one of the smaller line_no first: prefixes t_ and d_."""
-    return box_pairs(boxes, boxes, cell=cell).where("t_line_no < d_line_no")
-
-
 def assign(truth: DataFrame, detections: DataFrame, thresholds: tuple[float, ...] = (0.5,)) -> DataFrame:
     """Every detection at every threshold as a true (tp = 1) or false positive: threshold, image_id, det_id, class_id, conf, tp.
 
@@ -142,61 +109,31 @@ def keep_apart(xs: Column, clash) -> Column:
     return F.aggregate(xs, F.slice(xs, 1, 0), lambda kept, x: F.when(F.exists(kept, lambda k: clash(k, x)), kept).otherwise(F.concat(kept, F.array(x))))
 
 
-def apart_by_rounds(boxes: DataFrame, keys: tuple[str, ...], number: str, turn: Column, clash, cell: float) -> DataFrame:
-    """What keep_apart keeps, without a group in one place: rounds of joins over the clashing pairs, found in grid cells of that width.
-
-    boxes: keys, `number` (their own in a group), corners. turn: the order, smallest first. clash: a predicate on the IoU. A box that no undecided
-    earlier one clashes with stays, those it clashes with go; every round is written, and decides at least the first box of each knot.
-    """
-    b = boxes.select(*keys, F.col(number).alias("n"), turn.alias("turn"), *CORNERS)
-    pairs = box_pairs(b, b, keys, cell).where((F.col("t_turn") < F.col("d_turn")) & clash(F.col("iou")))
-    edges, gone = written(pairs.select(*keys, F.col("t_n").alias("a"), F.col("d_n").alias("b")), "edges"), None
-    while not edges.isEmpty():
-        stays = edges.select(*keys, "a").distinct().join(edges.select(*keys, F.col("b").alias("a")).distinct(), [*keys, "a"], "left_anti")
-        out = written(edges.join(stays, [*keys, "a"]).select(*keys, "b").distinct(), "gone")
-        gone = out if gone is None else gone.union(out)
-        edges = written(edges.join(out, [*keys, "b"], "left_anti").join(out.withColumnRenamed("b", "a"), [*keys, "a"], "left_anti"), "edges")
-    return boxes if gone is None else boxes.join(gone.withColumnRenamed("b", number), [*keys, number], "left_anti").select(*boxes.columns)
-
-
-def crowded(boxes: DataFrame, keys: tuple[str, ...], most: int) -> DataFrame | None:
-    """The groups of more than `most` boxes, if there are any."""
-    large = written(boxes.groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") > most).select(*keys), "crowded")
-    return None if large.isEmpty() else large
-
-
-def nms(detections: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",), most: int = 4096, cell: float = 0.125) -> DataFrame:
+def nms(detections: DataFrame, threshold: float = 0.5, keys: tuple[str, ...] = ("image_id",), most: int = MOST) -> DataFrame:
     """Non-maximum suppression by confidence, across the classes of an image: a box goes if its IoU with a kept one is over the threshold.
 
-    Groups of up to `most` boxes are folded in one place; larger ones go by rounds over pairs in grid cells of width `cell`.
+    Groups of up to `most` boxes are folded in one place; larger ones go by rounds over the pairs of a grid.
     """
-    large, rest = crowded(detections, keys, most), detections
-    if large is not None:
-        rest = detections.join(large, list(keys), "left_anti")
     fields = [c for c in detections.columns if c not in keys]
-    groups = ordered(rest, list(keys), [F.desc("conf"), F.col("det_id")], fields)
-    kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > threshold)
-    kept = groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
-    if large is None:
-        return kept
-    many = detections.join(large, list(keys), "left_semi")
-    return kept.unionByName(apart_by_rounds(many, keys, "det_id", F.struct(-F.col("conf"), "det_id"), lambda v: v > threshold, cell))
 
+    def folded(rows: DataFrame) -> DataFrame:
+        kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > threshold)
+        groups = ordered(rows, list(keys), [F.desc("conf"), F.col("det_id")], fields)
+        return groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
 
-def nms_truth(truth: DataFrame, threshold: float = 0.7, most: int = 4096, cell: float = 0.125) -> DataFrame:
+    return by_size(detections, keys, folded, lambda rows: apart_by_rounds(rows.select(*keys, *fields), keys, "det_id", F.struct(-F.col("conf"), "det_id"), lambda v: v > threshold), most)
+
+
+def nms_truth(truth: DataFrame, threshold: float = 0.7, most: int = MOST) -> DataFrame:
     """Suppression of truth boxes by area, within image and class, at IoU >= threshold: what a detector behind such a filter can find at most. Large groups go as in nms."""
     keys, fields = ("image_id", "class_id"), ["line_no", "w", "h", *CORNERS]
-    truth = truth.select(*keys, *fields)
-    large, rest = crowded(truth, keys, most), truth
-    if large is not None:
-        rest = truth.join(large, list(keys), "left_anti")
-    groups = ordered(rest, list(keys), [F.desc(F.col("w") * F.col("h")), F.col("line_no")], fields)
-    kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) >= threshold)
-    kept = groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
-    if large is None:
-        return kept
-    many = truth.join(large, list(keys), "left_semi")
-    return kept.unionByName(apart_by_rounds(many, keys, "line_no", F.struct(-(F.col("w") * F.col("h")), "line_no"), lambda v: v >= threshold, cell))
+
+    def folded(rows: DataFrame) -> DataFrame:
+        kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) >= threshold)
+        groups = ordered(rows, list(keys), [F.desc(F.col("w") * F.col("h")), F.col("line_no")], fields)
+        return groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+
+    return by_size(truth.select(*keys, *fields), keys, folded, lambda rows: apart_by_rounds(rows, keys, "line_no", F.struct(-(F.col("w") * F.col("h")), "line_no"), lambda v: v >= threshold), most)
 
 
 def recall_ceiling(truth: DataFrame, threshold: float = 0.7, small: float = 0.05) -> DataFrame:
@@ -209,34 +146,43 @@ def recall_ceiling(truth: DataFrame, threshold: float = 0.7, small: float = 0.05
     return both.unionByName(every).withColumn("ceiling", F.col("kept") / F.col("n"))
 
 
-def greedy_match(truth: DataFrame, detections: DataFrame, threshold: float = 0.5, by_conf: bool = True, keys: tuple[str, ...] = ("image_id", "class_id")) -> DataFrame:
+def greedy_match(truth: DataFrame, detections: DataFrame, threshold: float = 0.5, by_conf: bool = True, keys: tuple[str, ...] = ("image_id", "class_id"), most: int = MOST) -> DataFrame:
     """Sequential matching: detections in order (confidence, or det_id) each take the free truth box of the largest IoU >= threshold.
 
-    Gives keys, det_id, line_no and iou of the matches. A taken box no longer competes. The fold runs over the overlapping pairs of a group.
+    Gives keys, det_id, line_no and iou of the matches. A taken box no longer competes. The pairs are written once; groups of up to `most`
+    pairs are folded, larger ones go by rounds of locally dominant pairs, which take the same.
     """
     t_cols, d_cols = ["image_id", "line_no", *CORNERS], ["image_id", "det_id", "conf", *CORNERS]
     if "class_id" in keys:
         t_cols, d_cols = [*t_cols, "class_id"], [*d_cols, "class_id"]
     pairs = box_pairs(truth.select(*t_cols), detections.select(*d_cols), keys).where(F.col("iou") >= threshold)
-    order = [F.desc("d_conf"), F.col("d_det_id")] if by_conf else [F.col("d_det_id")]
-    groups = ordered(pairs, list(keys), [*order, F.desc("iou"), F.col("t_line_no")], ["d_det_id", "t_line_no", "iou"])
-    free = keep_apart(F.col("xs"), lambda k, x: (k["d_det_id"] == x["d_det_id"]) | (k["t_line_no"] == x["t_line_no"]))
-    return groups.select(*keys, F.explode(free).alias("x")).select(*keys, F.col("x.d_det_id").alias("det_id"), F.col("x.t_line_no").alias("line_no"), F.col("x.iou").alias("iou"))
+    pairs = written(pairs.select(*keys, F.col("d_det_id").alias("det_id"), F.col("t_line_no").alias("line_no"), "iou", F.col("d_conf").alias("conf")), "pairs")
+    order = [*([F.coalesce(-F.col("conf"), F.lit(float("inf")))] if by_conf else []), F.col("det_id"), -F.col("iou"), F.col("line_no")]
 
+    def folded(rows: DataFrame) -> DataFrame:
+        groups = ordered(rows, list(keys), order, ["det_id", "line_no", "iou"])
+        free = keep_apart(F.col("xs"), lambda k, x: (k["det_id"] == x["det_id"]) | (k["line_no"] == x["line_no"]))
+        return groups.select(*keys, F.explode(free).alias("x")).select(*keys, "x.det_id", "x.line_no", "x.iou")
 
-def fuse(models: list[tuple[DataFrame, float]], threshold: float = 0.55, skip: float = 0.01) -> DataFrame:
+    turn = [v.alias(f"o{k}") for k, v in enumerate(order)]
+    return by_size(pairs, keys, folded, lambda rows: matched_by_rounds(rows, keys, "det_id", "line_no", turn).select(*keys, "det_id", "line_no", "iou"), most)
+
+
+def fuse(models: list[tuple[DataFrame, float]], threshold: float = 0.55, skip: float = 0.01, most: int = MOST) -> DataFrame:
     """Weighted box fusion of several models (detections, weight): image_id, class_id, fused box, conf and members.
 
     Boxes of all models go through by weighted confidence; each joins the cluster (of its image and class) whose fused box overlaps
     it most, over the threshold, or opens one. A fused box is the average by confidence; its confidence is the mean, scaled by the
     number of members over the sum of weights where fewer models than weights agree.
+
+    An image and class of more than `most` boxes is cut into knots whose hulls don't overlap; each knot is folded for itself.
     """
     total = sum(w for _, w in models)
     every = None
     for k, (df, weight) in enumerate(models):
         part = df.where(F.col("conf") >= skip).select("image_id", "class_id", F.lit(k).alias("model"), "det_id", (F.col("conf") * weight).alias("conf"), *CORNERS)
         every = part if every is None else every.unionByName(part)
-    groups = ordered(every, ["image_id", "class_id"], [F.desc("conf"), F.col("model"), F.col("det_id")], ["conf", *CORNERS])
+    keys = ("image_id", "class_id")
     cluster = "array<struct<x1:double,y1:double,x2:double,y2:double,conf:double,n:int>>"
 
     def add(found: Column, x: Column) -> Column:
@@ -252,8 +198,15 @@ def fuse(models: list[tuple[DataFrame, float]], threshold: float = 0.55, skip: f
         joined = F.transform(found, lambda c, i: F.when(i + 1 == at, merged(c)).otherwise(c))
         return F.when(best > threshold, joined).otherwise(F.concat(found, F.array(new)))
 
-    fused = F.aggregate("xs", F.array().cast(cluster), add)
-    out = groups.select("image_id", "class_id", F.explode(fused).alias("c"))
+    def folded(rows: DataFrame, by: tuple[str, ...] = keys) -> DataFrame:
+        groups = ordered(rows, list(by), [F.desc("conf"), F.col("model"), F.col("det_id")], ["conf", *CORNERS])
+        return groups.select(*keys, F.explode(F.aggregate("xs", F.array().cast(cluster), add)).alias("c"))
+
+    def by_knots(rows: DataFrame) -> DataFrame:
+        numbered = written(rows.withColumn("id", F.monotonically_increasing_id()), "boxes")
+        return folded(hull_knots(numbered, keys), (*keys, "knot"))
+
+    out = by_size(every, keys, folded, by_knots, most)
     conf = F.col("c.conf") / F.col("c.n") * F.least(F.lit(float(total)), F.col("c.n")) / total
     return out.select("image_id", "class_id", *[F.col(f"c.{p}").alias(p) for p in CORNERS], conf.alias("conf"), F.col("c.n").alias("members"))
 
@@ -268,13 +221,23 @@ def agreement(fused: DataFrame, models: list[DataFrame]) -> DataFrame:
     return most.join(fused.groupBy("image_id").agg(F.count("*").alias("fused")), "image_id", "left").fillna(0, ["fused"]).withColumn("ratio", F.col("fused") / F.col("most"))
 
 
-def with_protocol(detections: DataFrame, protocols: DataFrame) -> DataFrame:
-    """Detections under every protocol (name, min_conf, nms_iou): filtered by confidence, then suppressed within (protocol, image)."""
-    both = detections.crossJoin(F.broadcast(protocols)).where("conf >= min_conf")
-    fields = ["det_id", "class_id", "conf", *CORNERS, "nms_iou"]
-    groups = ordered(both, ["name", "image_id"], [F.desc("conf"), F.col("det_id")], fields)
-    kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > x["nms_iou"])
-    return groups.select("name", "image_id", F.explode(kept).alias("x")).select("name", "image_id", *[f"x.{c}" for c in fields[:-1]])
+def with_protocol(detections: DataFrame, protocols: DataFrame, most: int = MOST) -> DataFrame:
+    """Detections under every protocol (name, min_conf, nms_iou): filtered by confidence, then suppressed within (protocol, image).
+
+    The result is written, for evaluations read it several times. Images of more than `most` boxes under a protocol go by rounds.
+    """
+    keys, fields = ("name", "image_id"), ["det_id", "class_id", "conf", *CORNERS]
+    both = detections.select("image_id", *fields).crossJoin(F.broadcast(protocols)).where("conf >= min_conf").select(*keys, *fields, "nms_iou")
+
+    def folded(rows: DataFrame) -> DataFrame:
+        groups = ordered(rows, list(keys), [F.desc("conf"), F.col("det_id")], [*fields, "nms_iou"])
+        kept = keep_apart(F.col("xs"), lambda k, x: _overlap(k, x) > x["nms_iou"])
+        return groups.select(*keys, F.explode(kept).alias("x")).select(*keys, *[f"x.{c}" for c in fields])
+
+    def rounds(rows: DataFrame) -> DataFrame:
+        return apart_by_rounds(rows, keys, "det_id", F.struct(-F.col("conf"), "det_id"), lambda v: v > F.col("t_nms_iou")).select(*keys, *fields)
+
+    return written(by_size(both, keys, folded, rounds, most), "suppressed")
 
 
 def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> DataFrame:
