@@ -36,8 +36,8 @@ class Plan(NamedTuple):
 
 
 def plan(size: int, longest: int, least: int, trigger: int = 12, chunk: int = 1024) -> Plan:
-    """For a corpus of `size` bytes: 8 MB a slice, 32 MB a bucket, twelve bits of hash more than there can be n-grams."""
-    return Plan(longest, least, trigger, chunk, max(1, size >> 23), max(1, size >> 25), min(63, 12 + max(16, size.bit_length())))
+    """For a corpus of `size` bytes: 4 MB a slice, 32 MB a bucket, twelve bits of hash more than there can be n-grams."""
+    return Plan(longest, least, trigger, chunk, max(1, size >> 22), max(1, size >> 25), min(63, 12 + max(16, size.bit_length())))
 
 
 def _merged(t: pa.Table) -> pa.Table:
@@ -71,9 +71,9 @@ def _parsed(langs: list[str], texts: list[str], p: Plan) -> pa.Table:
     cut = pc.ascii_split_whitespace(pc.replace_substring_regex(low, _BREAKS, f" {_MARK} "))
     coded = pc.dictionary_encode(cut.values)
     words = coded.dictionary.to_pylist()
-    mark, empty = (np.array([w == s for w in words], bool) for s in (_MARK, ""))
-    code = np.asarray(coded.indices, dtype=np.int64)
-    doc = np.repeat(np.arange(len(texts)), np.diff(np.asarray(cut.offsets, dtype=np.int64)))
+    mark, empty = (np.fromiter((w == s for w in words), bool, len(words)) for s in (_MARK, ""))
+    code = np.asarray(coded.indices, dtype=np.int32)
+    doc = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(np.asarray(cut.offsets, dtype=np.int64)))
     # a break after a break or at the start of a text says nothing
     fresh = np.concatenate([[True], doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, bool)
     after = np.concatenate([[True], mark[code[:-1]]]) if len(doc) else fresh
@@ -128,75 +128,126 @@ def chunk_rows(docs: DataFrame, p: Plan, most: int = 32 << 20) -> DataFrame:
 
 
 class Grams:
-    """The n-grams of a slice of the dictionary: starts, hashes and weights by size."""
+    """A slice of the dictionary in codes: what its n-grams are, where they start, and how often."""
 
-    def __init__(self, t: pa.Table, p: Plan):
-        chunks = t.column("chunk").combine_chunks()
-        cut = pc.ascii_split_whitespace(chunks.chunk(0) if isinstance(chunks, pa.ChunkedArray) else chunks)
+    FIELDS = ("words", "langs", "code", "size", "own", "n", "lang")
+
+    def __init__(self, row: dict[str, pa.Array], p: Plan):
+        self.p, self.row = p, row
+        self.words, self.langs = row["words"], row["langs"]
+        self.code, size, own, n, lang = (row[c].to_numpy(zero_copy_only=False) for c in self.FIELDS[2:])
+        chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)
+        at = np.arange(len(chunk), dtype=np.int32) - np.repeat((np.cumsum(size) - size).astype(np.int32), size)
+        self.own, self.left = at < own[chunk], size[chunk] - at  # whether an n-gram may start here, and words up to the end of the chunk
+        self.weight, self.lang = n[chunk], lang[chunk]
+
+    @classmethod
+    def of(cls, t: pa.Table, p: Plan) -> Grams:
+        cut = pc.ascii_split_whitespace(t.column("chunk").combine_chunks())
+        cut = cut.combine_chunks() if isinstance(cut, pa.ChunkedArray) else cut
         coded = pc.dictionary_encode(cut.values)
-        self.words = coded.dictionary
-        self.code = np.asarray(coded.indices, dtype=np.int32)
-        words = self.words.to_pylist()
-        mark = np.array([w == _MARK for w in words], bool)
-        offsets = np.asarray(cut.offsets, dtype=np.int64)
-        size = np.diff(offsets)
         langs = pc.dictionary_encode(t.column("lang").combine_chunks())
         langs = langs.combine_chunks() if isinstance(langs, pa.ChunkedArray) else langs
-        self.langs = langs.dictionary.to_pylist()
-        chunk = np.repeat(np.arange(len(size), dtype=np.int32), size)
-        at = np.arange(len(chunk)) - offsets[chunk]
-        own = at < t.column("own").to_numpy()[chunk]
-        left = size[chunk] - at  # words up to the end of the chunk
-        plain = ~mark[self.code]
-        weight = t.column("n").to_numpy()
-        lang_of = np.asarray(langs.indices, dtype=np.int32)
-        seed, word = _hashes(self.langs), _hashes(words)
-        self.sizes = []
-        whole = own.copy()
-        h = seed[lang_of[chunk]]
+        size = pa.array(np.diff(np.asarray(cut.offsets)).astype(np.int32))
+        own, n = (t.column(c).combine_chunks() for c in ("own", "n"))
+        return cls(dict(zip(cls.FIELDS, (coded.dictionary, langs.dictionary, coded.indices.cast(pa.int32()), size, own, n, langs.indices.cast(pa.int32())))), p)
+
+    def packed(self) -> bytes:
+        return packed(pa.table({c: pa.ListArray.from_arrays([0, len(v)], v) for c, v in ((c, self.row[c]) for c in self.FIELDS)}))
+
+    @classmethod
+    def unpacked(cls, data: bytes, p: Plan) -> Grams:
+        t = unpacked([data])
+        return cls({c: t.column(c).chunk(0).values for c in cls.FIELDS}, p)
+
+    def starts(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """m, starts and hashes of the n-grams of m words, from one word on."""
+        names = self.words.to_pylist()
+        mark, word = np.fromiter((w == _MARK for w in names), bool, len(names)), _hashes(names)
+        start = np.flatnonzero(self.own & ~mark[self.code])
+        h = _hashes(self.langs.to_pylist())[self.lang[start]]
         with np.errstate(over="ignore"):
-            for m in range(1, p.longest + 1):
-                ahead = np.arange(len(chunk)) + m - 1
-                inside = left >= m
-                ahead[~inside] = 0
-                whole &= inside & plain[ahead]
-                h = mixed(h * np.uint64(3) ^ word[self.code[ahead]])
-                start = np.flatnonzero(whole)
-                self.sizes.append((start, h[start] >> np.uint64(64 - p.bits), weight[chunk[start]], lang_of[chunk[start]]))
-
-    def counted(self, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """The different hashes, sorted, and their occurrences, of which `least` are told from no more."""
-        h = np.concatenate([s[1] for s in self.sizes])
-        w = np.concatenate([s[2] for s in self.sizes])
-        order = np.argsort(h)
-        h, w = h[order], np.minimum(w[order], least)
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-        return h[first], np.minimum(np.add.reduceat(w, first), least) if len(h) else w
+            for m in range(1, self.p.longest + 1):
+                if m > 1:
+                    ok = self.left[start] >= m
+                    start, h = start[ok], h[ok]
+                    ok = ~mark[self.code[start + (m - 1)]]
+                    start, h = start[ok], h[ok]
+                h = mixed(h * np.uint64(3) ^ word[self.code[start + (m - 1)]])
+                yield m, start, h >> np.uint64(64 - self.p.bits)
+
+    def _distinct(self, m: int, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One start of each different n-gram, and its occurrences."""
+        if m == 1:  # words are told apart by their codes: no sort
+            key = self.lang[start].astype(np.int64) * len(self.words) + self.code[start]
+            total = np.bincount(key, self.weight[start])
+            one = np.empty(len(total), np.int64)
+            one[key] = start
+            have = np.flatnonzero(total)
+            return one[have], total[have].astype(np.int64)
+        codes = [self.lang[start], *(self.code[start + k] for k in range(m))]
+        widths = [len(self.langs).bit_length(), *[len(self.words).bit_length()] * m]
+        if sum(widths) <= 63:
+            key = np.zeros(len(start), np.int64)
+            for c, w in zip(codes, widths):
+                key = key << w | c
+            order = np.argsort(key)
+            key = key[order]
+            differ = key[1:] != key[:-1]
+        else:
+            order = np.lexsort(codes)
+            differ = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in codes])
+        first = np.flatnonzero(np.concatenate([[True], differ]))
+        return start[order[first]], np.add.reduceat(self.weight[start][order], first)
+
+    def counted(self) -> tuple[np.ndarray, np.ndarray]:
+        """The different hashes by size, sorted, and their occurrences, of which `least` are told from no more."""
+        hashes, counts = [], []
+        for m, start, h in self.starts():
+            if not len(start):
+                continue
+            if m == 1:
+                place = np.zeros(len(self.code), h.dtype)
+                place[start] = h
+                start, n = self._distinct(m, start)
+                h = place[start]
+                order = np.argsort(h)
+                h, n = h[order], n[order]
+            else:
+                order = np.argsort(h)
+                h, n = h[order], self.weight[start][order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            hashes.append(h[first])
+            counts.append(np.minimum(np.add.reduceat(n, first), self.p.least))
+        if not hashes:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        h, n = np.concatenate(hashes), np.concatenate(counts)
+        order = np.argsort(h, kind="stable")
+        return h[order], n[order]
 
     def phrases(self, frequent: np.ndarray) -> Iterator[pa.Table]:
         """lang, size, phrase and n of the n-grams whose hash is frequent, and of all words of a language together (size 0)."""
-        start, _, weight, lang = self.sizes[0]
-        if len(start):
-            total = np.bincount(lang, weight, len(self.langs)).astype(np.int64)
-            have = np.flatnonzero(total)
-            yield pa.table({"lang": pa.array([self.langs[k] for k in have], pa.string()), "size": pa.array(np.zeros(len(have), np.int32)), "phrase": pa.array([""] * len(have), pa.string()), "n": pa.array(total[have])})
-        for m, (start, h, weight, lang) in enumerate(self.sizes, 1):
-            place = np.minimum(np.searchsorted(frequent, h), max(0, len(frequent) - 1))
-            ok = frequent[place] == h if len(frequent) else np.zeros(len(h), bool)
-            start, weight, lang = start[ok], weight[ok], lang[ok]
+        for m, start, h in self.starts():
+            if m == 1 and len(start):
+                total = np.bincount(self.lang[start], self.weight[start], len(self.langs)).astype(np.int64)
+                have = np.flatnonzero(total)
+                yield pa.table({"lang": self.langs.take(pa.array(have)), "size": pa.array(np.zeros(len(have), np.int32)), "phrase": pa.array([""] * len(have), pa.string()), "n": pa.array(total[have])})
+            if not len(start) or not len(frequent):
+                continue
+            place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1) if m > 1 else None
+            start = start[frequent[place] == h] if m > 1 else start
             if not len(start):
                 continue
-            codes = [self.code[start + k] for k in range(m)]
-            order = np.lexsort([*reversed(codes), lang])
-            differ = np.zeros(len(order) - 1, bool)
-            for c in (lang, *codes):
-                differ |= c[order][1:] != c[order][:-1]
-            first = np.flatnonzero(np.concatenate([[True], differ]))
-            n = np.add.reduceat(weight[order], first)
-            one = order[first]
-            parts = [self.words.take(pa.array(c[one])) for c in codes]
+            if m == 1:
+                own = np.zeros(len(self.code), h.dtype)
+                own[start] = h
+            one, n = self._distinct(m, start)
+            if m == 1:
+                ok = frequent[np.minimum(np.searchsorted(frequent, own[one]), len(frequent) - 1)] == own[one]
+                one, n = one[ok], n[ok]
+            parts = [self.words.take(pa.array(self.code[one + k])) for k in range(m)]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type))
-            yield pa.table({"lang": pa.array(self.langs, pa.string()).take(pa.array(lang[one])), "size": pa.array(np.full(len(one), m, np.int32)), "phrase": phrase.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
+            yield pa.table({"lang": self.langs.take(pa.array(self.lang[one])), "size": pa.array(np.full(len(one), m, np.int32)), "phrase": phrase.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
 
 
 def _squeezed(h: np.ndarray, n: np.ndarray, least: int) -> bytes:
@@ -220,12 +271,12 @@ def dictionary(rows: DataFrame, p: Plan) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         k = t.column("slice")[0].as_py()
-        merged = _merged(unpacked(t.column("data").to_pylist()))
-        h, n = Grams(merged, p).counted(p.least)
+        grams = Grams.of(_merged(unpacked(t.column("data").to_pylist())), p)
+        h, n = grams.counted()
         to = h % np.uint64(p.buckets)
         order = np.argsort(to, kind="stable")  # hashes stay sorted inside a bucket
         found, at = np.unique(to[order], return_index=True)
-        out = [(-1, packed(merged))]
+        out = [(-1, grams.packed())]
         for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(order)]):
             out.append((b, _squeezed(h[order[lo:hi]], n[order[lo:hi]], p.least)))
         return pa.table({"slice": pa.array([k] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
@@ -244,7 +295,7 @@ def frequent_hashes(rows: DataFrame, p: Plan) -> DataFrame:
         h, n = h[order], n[order]
         first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
         often = h[first[np.add.reduceat(n, first) >= p.least]]
-        out = [(k, own) for k, (x, _) in zip(of, parts) if len(own := x[np.isin(x, often, assume_unique=True)])]
+        out = [(k, own) for k, (x, _) in zip(of, parts) if len(own := x[np.isin(x, often)])]
         return pa.table({"slice": pa.array([k for k, _ in out], pa.int64()), "data": pa.array([_squeezed(x, np.zeros(0), 1) for _, x in out], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(run, "slice long, data binary")
@@ -263,7 +314,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         kept = [_expanded(d, 1)[0] for d in right.column("data").to_pylist()]
         often = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
-        found = list(Grams(unpacked(left.column("data").to_pylist()), p).phrases(often)) if left.num_rows else []
+        found = [t for data in left.column("data").to_pylist() for t in Grams.unpacked(data, p).phrases(often)]
         schema = pa.schema({"lang": pa.string(), "size": pa.int32(), "phrase": pa.string(), "n": pa.int64()})
         return pa.concat_tables(found) if found else schema.empty_table()
 
