@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -36,8 +37,8 @@ class Plan(NamedTuple):
 
 
 def plan(size: int, longest: int, least: int, trigger: int = 12, chunk: int = 1024) -> Plan:
-    """For a corpus of `size` bytes: 4 MB a slice, 32 MB a bucket, twelve bits of hash more than there can be n-grams."""
-    return Plan(longest, least, trigger, chunk, max(1, size >> 22), max(1, size >> 25), min(63, 12 + max(16, size.bit_length())))
+    """For a corpus of `size` bytes: 4 MB a slice, 32 MB a bucket, and hash bits so that n-grams fill less than a hundredth of the hashes."""
+    return Plan(longest, least, trigger, chunk, max(1, size >> 22), max(1, size >> 25), min(63, 6 + max(16, size.bit_length())))
 
 
 def _merged(t: pa.Table) -> pa.Table:
@@ -234,8 +235,7 @@ class Grams:
                 yield pa.table({"lang": self.langs.take(pa.array(have)), "size": pa.array(np.zeros(len(have), np.int32)), "phrase": pa.array([""] * len(have), pa.string()), "n": pa.array(total[have])})
             if not len(start) or not len(frequent):
                 continue
-            place = np.minimum(np.searchsorted(frequent, h), len(frequent) - 1) if m > 1 else None
-            start = start[frequent[place] == h] if m > 1 else start
+            start = start[_found(frequent, h)] if m > 1 else start
             if not len(start):
                 continue
             if m == 1:
@@ -243,27 +243,32 @@ class Grams:
                 own[start] = h
             one, n = self._distinct(m, start)
             if m == 1:
-                ok = frequent[np.minimum(np.searchsorted(frequent, own[one]), len(frequent) - 1)] == own[one]
+                ok = _found(frequent, own[one])
                 one, n = one[ok], n[ok]
             parts = [self.words.take(pa.array(self.code[one + k])) for k in range(m)]
             phrase = pc.binary_join_element_wise(*parts, pa.scalar(" ", self.words.type))
             yield pa.table({"lang": self.langs.take(pa.array(self.lang[one])), "size": pa.array(np.full(len(one), m, np.int32)), "phrase": phrase.cast(pa.string()), "n": pa.array(n.astype(np.int64))})
 
 
-def _squeezed(h: np.ndarray, n: np.ndarray, least: int) -> bytes:
-    """Sorted hashes as differences, byte by byte, and counts."""
-    step = np.diff(h, prepend=np.uint64(0))
-    step = step.astype(np.uint32) if len(step) < 2 or step.max() < 1 << 32 else step
-    kind = np.uint8 if least < 256 else np.int64
-    t = pa.table({"step": pa.array([np.ascontiguousarray(step.view(np.uint8).reshape(len(step), -1).T).tobytes()], pa.binary()), "width": [step.itemsize], "n": pa.array([n.astype(kind).tobytes()], pa.binary())})
-    return packed(t)
+def _squeezed(h: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted hashes as differences, byte by byte in as many bytes as they need, and counts; compressed, with few bytes besides."""
+    step = np.diff(h, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(step.max()).bit_length() + 7) // 8) if len(step) else 1
+    raw = np.ascontiguousarray(step.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes() + n.tobytes()
+    return struct.pack("<BBI", width, n.itemsize if len(n) else 0, len(h)) + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _expanded(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
-    t = unpacked([data]).to_pylist()[0]
-    planes = np.frombuffer(t["step"], np.uint8).reshape(t["width"], -1)
-    step = np.ascontiguousarray(planes.T).view(np.uint32 if t["width"] == 4 else np.uint64).ravel()
-    return np.cumsum(step.astype(np.uint64)), np.frombuffer(t["n"], np.uint8 if least < 256 else np.int64).astype(np.int64)
+def _expanded(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width, item, size = struct.unpack_from("<BBI", data)
+    raw = np.frombuffer(pa.decompress(data[6:], size * (width + item), "zstd", asbytes=True), np.uint8)
+    step = np.zeros((size, 8), np.uint8)
+    step[:, :width] = raw[: size * width].reshape(width, size).T
+    return np.cumsum(step.view("<u8").ravel(), dtype=np.uint64), raw[size * width :].view(f"<u{item or 1}")
+
+
+def _found(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Which of x are among the sorted values."""
+    return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
 def dictionary(rows: DataFrame, p: Plan) -> DataFrame:
@@ -273,12 +278,11 @@ def dictionary(rows: DataFrame, p: Plan) -> DataFrame:
         k = t.column("slice")[0].as_py()
         grams = Grams.of(_merged(unpacked(t.column("data").to_pylist())), p)
         h, n = grams.counted()
-        to = h % np.uint64(p.buckets)
-        order = np.argsort(to, kind="stable")  # hashes stay sorted inside a bucket
-        found, at = np.unique(to[order], return_index=True)
+        n = n.astype("u1" if p.least < 256 else "<u8")
+        found, at = np.unique((h >> np.uint64(max(0, p.bits - 32))) * np.uint64(p.buckets) >> np.uint64(min(32, p.bits)), return_index=True)
         out = [(-1, grams.packed())]
-        for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(order)]):
-            out.append((b, _squeezed(h[order[lo:hi]], n[order[lo:hi]], p.least)))
+        for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(h)]):
+            out.append((b, _squeezed(h[lo:hi], n[lo:hi])))
         return pa.table({"slice": pa.array([k] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return rows.groupBy("slice").applyInArrow(run, "slice long, bucket long, data binary")
@@ -289,14 +293,20 @@ def frequent_hashes(rows: DataFrame, p: Plan) -> DataFrame:
 
     def run(t: pa.Table) -> pa.Table:
         of = t.column("slice").to_pylist()
-        parts = [_expanded(d, p.least) for d in t.column("data").to_pylist()]
-        h, n = (np.concatenate(x) for x in zip(*parts))
-        order = np.argsort(h)
-        h, n = h[order], n[order]
-        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        often = h[first[np.add.reduceat(n, first) >= p.least]]
-        out = [(k, own) for k, (x, _) in zip(of, parts) if len(own := x[np.isin(x, often)])]
-        return pa.table({"slice": pa.array([k for k, _ in out], pa.int64()), "data": pa.array([_squeezed(x, np.zeros(0), 1) for _, x in out], pa.binary())})
+        parts = [_expanded(d) for d in t.column("data").to_pylist()]
+        low, high = min(int(h[0]) for h, _ in parts), max(int(h[-1]) for h, _ in parts)
+        often, edges = [], np.linspace(low, high + 1, 17).astype(np.uint64)
+        places = [[0, *np.searchsorted(h, edges[1:16]), len(h)] for h, _ in parts]
+        for k in range(16):  # a sixteenth of the bucket's range at a time
+            h, n = (np.concatenate([x[side][at[k] : at[k + 1]] for x, at in zip(parts, places)]) for side in (0, 1))
+            if len(h):
+                order = np.argsort(h)
+                h, n = h[order], n[order].astype(np.int64)
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+                often.append(h[first[np.add.reduceat(n, first) >= p.least]])
+        often = np.concatenate(often)
+        out = [(k, own) for k, (x, _) in zip(of, parts) if len(own := x[_found(often, x)])]
+        return pa.table({"slice": pa.array([k for k, _ in out], pa.int64()), "data": pa.array([_squeezed(x, np.zeros(0, np.uint8)) for _, x in out], pa.binary())})
 
     return rows.groupBy("bucket").applyInArrow(run, "slice long, data binary")
 
@@ -312,7 +322,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
     often = frequent_hashes(rows.where("bucket >= 0"), p)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        kept = [_expanded(d, 1)[0] for d in right.column("data").to_pylist()]
+        kept = [_expanded(d)[0] for d in right.column("data").to_pylist()]
         often = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
         found = [t for data in left.column("data").to_pylist() for t in Grams.unpacked(data, p).phrases(often)]
         schema = pa.schema({"lang": pa.string(), "size": pa.int32(), "phrase": pa.string(), "n": pa.int64()})
