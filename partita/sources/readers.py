@@ -7,6 +7,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
+from partita.sources.json_stream import json_members
+
 
 def label_rows(texts: DataFrame, key: str = "file", text: str = "value", strict: bool = False) -> DataFrame:
     """Label lines `class cx cy w h` of whole texts: key, line_no (from 1), class_id, cx, cy, w, h.
@@ -66,7 +68,6 @@ def annotation_boxes(files: DataFrame, key: str = "file", text: str = "value") -
     each) or category_id; a_bbox holds corners, bbox a corner and sides. Annotations without an image are dropped, categories without a
     name give NULL.
     """
-    part = lambda name, kind: F.coalesce(F.from_json(text, f"{name} array<{kind}>")[name], F.map_values(F.from_json(text, f"{name} map<string,{kind}>")[name]))
     keyed = lambda name, kind: files.select(key, F.explode(F.map_entries(F.from_json(text, f"{name} map<string,{kind}>")[name])).alias("e"))
     listed = lambda name, kind: files.select(key, F.explode(F.from_json(text, f"{name} array<{kind}>")[name]).alias("v"))
 
@@ -78,6 +79,11 @@ def annotation_boxes(files: DataFrame, key: str = "file", text: str = "value") -
     categories = names.union(named).where("cat_id IS NOT NULL")
     notes = listed("annotations", _ANNOTATION).select(key, F.col("v.id").alias("ann_id"), "v")
     notes = notes.union(keyed("annotations", _ANNOTATION).select(key, F.coalesce("e.value.id", "e.key"), "e.value"))
+    return _joined(images, notes, categories, key)
+
+
+def _joined(images: DataFrame, notes: DataFrame, categories: DataFrame, key: str) -> DataFrame:
+    """Annotations (key, ann_id, v) with their image and the name of each of their categories."""
     cats = F.coalesce("v.cat_id", "v.category_id")
     cats = F.when(cats.startswith("["), F.from_json(cats, "array<string>")).otherwise(F.array(cats))
     side = lambda k, plus=None: F.coalesce(F.get("v.a_bbox", F.lit(k)), F.get("v.bbox", F.lit(k)) if plus is None else F.get("v.bbox", F.lit(plus)) + F.get("v.bbox", F.lit(k)))
@@ -86,9 +92,19 @@ def annotation_boxes(files: DataFrame, key: str = "file", text: str = "value") -
     return both.select(key, "file_name", "width", "height", "ann_id", "cat_id", "category", "x1", "y1", "x2", "y2")
 
 
+def member_boxes(members: DataFrame) -> DataFrame:
+    """Annotations from the members of COCO-like JSON files (json_members): the columns of annotation_boxes."""
+    of = lambda section, kind: members.where(F.col("section") == section).select("file", "key", "scalars", "value", F.from_json("value", kind).alias("v"))
+    images = of("images", _IMAGE).where("NOT scalars").select("file", F.coalesce("v.id", "v.img_id", "key").alias("img"), F.coalesce("v.file_name", "v.filename").alias("file_name"), "v.width", "v.height")
+    listed = of("categories", "struct<id:string,name:string>").where("NOT scalars").select("file", F.coalesce("key", "v.id").alias("cat_id"), F.col("v.name").alias("category"))
+    named = of("categories", "map<string,string>").where("scalars").select("file", F.explode("v")).select("file", "key", "value")
+    notes = of("annotations", _ANNOTATION).where("NOT scalars").select("file", F.coalesce("v.id", "key").alias("ann_id"), "v")
+    return _joined(images, notes, listed.union(named).where("cat_id IS NOT NULL"), "file")
+
+
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of COCO-like JSON files."""
-    return annotation_boxes(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+    """COCO-like JSON files of any size, each read by many tasks; the rows of annotation_boxes."""
+    return member_boxes(json_members(spark, path))
 
 
 def read_symbol_xml(spark: SparkSession, path: str, tag: str = "Node", whole: bool = True) -> DataFrame:
@@ -126,12 +142,6 @@ def normalised_boxes(symbols: DataFrame, width: float, height: float) -> DataFra
     return symbols.withColumns(new).drop("x", "y")
 
 
-def barline_kind(name: Column) -> Column:
-    """The kind of a barline by its class name: the first substring that fits, plain otherwise."""
-    low = F.lower(name)
-    return F.when(low.contains("final") | low.contains("heavy"), "final").when(low.contains("double"), "double").when(low.contains("repeat"), "repeat").otherwise("plain")
-
-
 #: Parts of symbol names and the barline they stand for, in the order in which they are tried.
 BARLINE_NAMES = [
     ("barline", "plain"), ("bar_line", "plain"), ("double_barline", "double"), ("final_barline", "final"), ("repeat_barline", "repeat"),
