@@ -37,8 +37,8 @@ class Plan(NamedTuple):
 
 
 def plan(size: int, longest: int, least: int, trigger: int = 12, chunk: int = 1024) -> Plan:
-    """For a corpus of `size` bytes: 4 MB a slice, 32 MB a bucket, and hash bits so that n-grams fill less than a hundredth of the hashes."""
-    return Plan(longest, least, trigger, chunk, max(1, size >> 22), max(1, size >> 25), min(63, 6 + max(16, size.bit_length())))
+    """For a corpus of `size` bytes: 16 MB a slice and a bucket, and hash bits so that n-grams fill less than a hundredth of the hashes."""
+    return Plan(longest, least, trigger, chunk, max(1, size >> 24), max(1, size >> 24), min(63, 6 + max(16, size.bit_length())))
 
 
 def _merged(t: pa.Table) -> pa.Table:
@@ -97,7 +97,7 @@ def _parsed(langs: list[str], texts: list[str], p: Plan) -> pa.Table:
     return pa.table({"lang": lang, "own": pa.array((end - first).astype(np.int32)), "chunk": chunk.cast(pa.large_string()), "n": pa.array(np.ones(len(first), np.int64))})
 
 
-def chunk_rows(docs: DataFrame, p: Plan, most: int = 32 << 20) -> DataFrame:
+def chunk_rows(docs: DataFrame, p: Plan, most: int = 16 << 20) -> DataFrame:
     """(slice, data): the chunks of `docs` (lang, text), those of a task's next `most` bytes together and split by slice."""
 
     def flushed(parts: list[pa.Table]) -> Iterator[pa.RecordBatch]:
@@ -271,18 +271,27 @@ def _found(sorted_: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, x), len(sorted_) - 1)] == x if len(sorted_) else np.zeros(len(x), bool)
 
 
-def dictionary(rows: DataFrame, p: Plan) -> DataFrame:
-    """(slice, bucket, data): each slice of the dictionary with its parse frequencies (bucket -1), and its n-gram hashes by bucket."""
+def dictionary(rows: DataFrame, p: Plan, part: int = 4 << 20) -> DataFrame:
+    """(slice, bucket, data): each slice of the dictionary with its parse frequencies (bucket -1, a row for each `part` bytes), and its n-gram hashes by bucket."""
 
     def run(t: pa.Table) -> pa.Table:
         k = t.column("slice")[0].as_py()
-        grams = Grams.of(_merged(unpacked(t.column("data").to_pylist())), p)
-        h, n = grams.counted()
+        merged, out, found = _merged(unpacked(t.column("data").to_pylist())), [], []
+        cut = np.flatnonzero(np.diff(np.cumsum(pc.binary_length(merged.column("chunk")).to_numpy()) // part, prepend=-1))
+        for lo, hi in zip(cut, [*cut[1:], merged.num_rows]):  # a part of a slice at a time
+            grams = Grams.of(merged.slice(lo, hi - lo).combine_chunks(), p)
+            found.append(grams.counted())
+            out.append((-1, grams.packed()))
+        h, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        order = np.argsort(h, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else order
+        h, n = h[order[first]], np.minimum(np.add.reduceat(n[order], first), p.least) if len(h) else n
+        del merged, found, order
         n = n.astype("u1" if p.least < 256 else "<u8")
         found, at = np.unique((h >> np.uint64(max(0, p.bits - 32))) * np.uint64(p.buckets) >> np.uint64(min(32, p.bits)), return_index=True)
-        out = [(-1, grams.packed())]
         for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(h)]):
             out.append((b, _squeezed(h[lo:hi], n[lo:hi])))
+        pa.default_memory_pool().release_unused()
         return pa.table({"slice": pa.array([k] * len(out), pa.int64()), "bucket": pa.array([b for b, _ in out], pa.int64()), "data": pa.array([d for _, d in out], pa.binary())})
 
     return rows.groupBy("slice").applyInArrow(run, "slice long, bucket long, data binary")

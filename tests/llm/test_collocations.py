@@ -60,7 +60,9 @@ def test_equals_plain_counting(spark, longest, least, top):
 def test_many_slices_and_buckets(spark, monkeypatch):
     rows = corpus(9)
     small = lambda size, longest, least: co.Plan(longest, least, 3, 5, 7, 5, 14)  # noqa: E731 - hashes of 14 bits clash all the time
+    own = co.dictionary
     monkeypatch.setattr(co, "plan", small)
+    monkeypatch.setattr(co, "dictionary", lambda rows, p: own(rows, p, 300))
     df = spark.createDataFrame(rows, "lang string, text string").repartition(4)
     assert rows_of(co.collocations(df)) == plain(rows, 3, 10, 50, 2000)
 
