@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from partita.functions.pitch import lookup, staff_pitch, staff_step
 from partita.operators.detection import keep_apart, ordered
+from partita.operators.pairs import by_size
+from partita.operators.ranges import LONG, lagged, running
 
 
 def sessions(df: DataFrame, keys: list[str], order: str, cut, name: str) -> DataFrame:
@@ -80,18 +82,39 @@ def measures(notes: DataFrame, barlines: DataFrame) -> DataFrame:
     return placed.withColumn("rank", rank).join(first, "image_id").select("image_id", "sym_id", (F.col("rank") + (F.col("least") > 1).cast("int")).alias("measure"))
 
 
-def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Notes (keys, sym_id, x) with the cluster they join from left to right: the current one, if x is within `tolerance` of its running mean."""
-    groups = ordered(notes, list(keys), [F.col("x"), F.col("sym_id")], ["sym_id", "x"])
-    sym = notes.schema["sym_id"].dataType.simpleString()
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(-1).alias("c"), F.array().cast(f"array<struct<sym_id:{sym},cluster:int>>").alias("out"))
+def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("image_id",), most: int = LONG) -> DataFrame:
+    """Notes (keys, sym_id, x) with the cluster they join from left to right: the current one, if x is within `tolerance` of its running mean.
+
+    The mean never lies right of the last note, so a gap of more than `tolerance` opens a cluster whatever it is: there the order is cut, and each
+    stretch is folded for itself. The cuts of groups of more than `most` notes, and the numbers of their clusters, come from sums over ranges.
+    """
+    order = ["x", "sym_id"]
+    kinds = f"array<struct<sym_id:{notes.schema['sym_id'].dataType.simpleString()},c:int>>"
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast(kinds).alias("out"))
 
     def add(s, x):
-        near = (s["n"] > 0) & (F.abs(x["x"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= tolerance)
+        near = (s["n"] == 0) | (F.abs(x["x"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= tolerance)
         c = F.when(near, s["c"]).otherwise(s["c"] + 1)
-        return F.struct(F.when(near, s["sum"] + x["x"]).otherwise(x["x"]).cast("double").alias("sum"), F.when(near, s["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(s["out"], F.array(F.struct(x["sym_id"].alias("sym_id"), c.alias("cluster")))).alias("out"))
+        return F.struct(F.when(near, s["sum"] + x["x"]).otherwise(x["x"]).cast("double").alias("sum"), F.when(near, s["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(s["out"], F.array(F.struct(x["sym_id"].alias("sym_id"), c.alias("c")))).alias("out"))
+
+    def folded(placed: DataFrame) -> DataFrame:
+        groups = ordered(placed, [*keys, "__stretch"], [F.col(c) for c in order], ["sym_id", "x"])
+        return groups.select(*keys, "__stretch", F.aggregate("xs", start, add, lambda s: F.struct(s["out"].alias("out"), (s["c"] + 1).alias("n"))).alias("f")).select(*keys, "__stretch", "f.*")
+
+    def numbered(stretches: DataFrame) -> DataFrame:
+        rows = stretches.select(*keys, (F.col("upto") - F.col("n")).alias("first"), F.explode("out").alias("o"))
+        return rows.select(*keys, "o.sym_id", (F.col("first") + F.col("o.c")).cast("int").alias("cluster"))
+
+    def windows(rows: DataFrame) -> DataFrame:
+        found = folded(sessions(rows, list(keys), "x", lambda gap: gap > tolerance, "__stretch"))
+        return numbered(found.withColumn("upto", F.sum("n").over(Window.partitionBy(*keys).orderBy("__stretch"))))
+
+    def ranges(rows: DataFrame) -> DataFrame:
+        marked = lagged(rows, keys, order, {"__before": "x"}).withColumn("__cut", F.coalesce(F.col("x") - F.col("__before") > tolerance, F.lit(False)).cast("int"))
+        found = folded(running(marked, keys, order, "__stretch", "__cut"))
+        return numbered(running(found, keys, ["__stretch"], "upto", "n"))
 
-    return groups.select(*keys, F.explode(F.aggregate("xs", start, add, lambda s: s["out"])).alias("o")).select(*keys, "o.sym_id", "o.cluster")
+    return by_size(notes.select(*keys, "sym_id", "x"), keys, windows, ranges, most)
 
 
 def nearest_staff(notes: DataFrame, staves: DataFrame) -> DataFrame:

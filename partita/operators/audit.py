@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.geometry import aspect
 from partita.operators.detection import box_pairs, greedy_match, nms_truth, self_pairs
+from partita.operators.ranges import quantiles
 from partita.sources.storage import written
 
 METRICS = ("w", "h", "area", "aspect")
@@ -204,7 +205,8 @@ def nearest_shares(near: DataFrame, coincide: float = 0.9, close: float = 0.05)
 
 def sizes_by_source(boxes: DataFrame, small: float = 0.05) -> DataFrame:
     """Per source and class: n, boxes narrower than `small`, and the median area."""
-    return boxes.groupBy("source", "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("w") < small).alias("small"), F.percentile(F.col("w") * F.col("h"), F.lit(0.5)).alias("median_area"))
+    counts = boxes.groupBy("source", "class_id").agg(F.count("*").alias("n"), F.count_if(F.col("w") < small).alias("small"))
+    return counts.join(quantiles(boxes, ("source", "class_id"), F.col("w") * F.col("h"), {"median_area": 0.5}), ["source", "class_id"], "left")
 
 
 def oversampling(boxes: DataFrame, copied: Column) -> DataFrame:
@@ -224,7 +226,8 @@ def suppressed_images(boxes: DataFrame, threshold: float = 0.7, levels: tuple[in
 
 def quality_summary(scores: DataFrame) -> DataFrame:
     """Of the rows of label_quality: images, issues, and the mean, median and least score."""
-    return scores.agg(F.count("*").alias("images"), F.count_if("issue").alias("issues"), F.avg("score").alias("mean"), F.median("score").alias("median"), F.min("score").alias("least"))
+    out = scores.agg(F.count("*").alias("images"), F.count_if("issue").alias("issues"), F.avg("score").alias("mean"), F.min("score").alias("least"))
+    return out.join(quantiles(scores, (), F.col("score"), {"median": 0.5}), how="left")  # a row each
 
 
 def worst_images(scores: DataFrame, n: int = 100) -> DataFrame:
@@ -273,14 +276,21 @@ def nearest(boxes: DataFrame, classes: tuple[int, ...], cell: float = 0.125) ->
 
 def distribution(df: DataFrame, column: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), by: tuple[str, ...] = (), exact: bool = True) -> DataFrame:
     """Percentiles (linear between neighbours) of a column, one row a share; exact=False takes Spark's sketch."""
+    if exact:
+        found = quantiles(df, by, F.col(column), {f"q{k}": s for k, s in enumerate(shares)})
+        return found.select(*by, F.explode(F.array(*[F.struct(F.lit(s).alias("share"), F.col(f"q{k}").alias("value")) for k, s in enumerate(shares)])).alias("q")).select(*by, "q.share", "q.value")
     at = F.array(*[F.lit(s) for s in shares])
-    value = F.percentile(column, at) if exact else F.percentile_approx(column, at)
+    value = F.percentile_approx(column, at)
     return df.groupBy(*by).agg(value.alias("v")).select(*by, F.posexplode(F.arrays_zip(at.alias("share"), F.col("v").alias("value")))).select(*by, "col.share", "col.value")
 
 
 def oversize(boxes: DataFrame, source: Column) -> DataFrame:
     """Median sizes of source 'a' over those of 'b' per class, with a verdict."""
-    m = boxes.withColumn("src", source).groupBy("class_id").agg(*[F.median(F.when(F.col("src") == s, F.col(c))).alias(f"{c}_{s}") for s in "ab" for c in "wh"])
+    sides = F.explode(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("size")) for c in "wh"])).alias("v")
+    rows = boxes.withColumn("src", source).where(F.col("src").isin("a", "b")).select("class_id", "src", sides).select("class_id", "src", "v.*")
+    medians = quantiles(rows, ("class_id", "src", "side"), F.col("size"), {"median": 0.5})
+    m = medians.groupBy("class_id").agg(*[F.max(F.when((F.col("src") == s) & (F.col("side") == c), F.col("median"))).alias(f"{c}_{s}") for s in "ab" for c in "wh"])
+    m = boxes.select("class_id").distinct().join(m, "class_id", "left")
     ratio = F.greatest(F.col("w_a") / F.col("w_b"), F.col("h_a") / F.col("h_b"))
     return m.select("class_id", (F.col("w_a") / F.col("w_b")).alias("w_ratio"), (F.col("h_a") / F.col("h_b")).alias("h_ratio"), F.when(ratio.isNull(), "no_reference").when(ratio > 2, "oversized").when(ratio > 1.5, "slightly_oversized").otherwise("ok").alias("verdict"))
 

@@ -15,6 +15,7 @@ from partita.functions.draws import draw, hashed
 from partita.functions.geometry import Box, box, iou, to_corners
 from partita.operators.detection import keep_apart, ordered
 from partita.operators.pairs import MOST, by_size
+from partita.operators.ranges import LONG, in_ranges, lagged, previous, quantiles, running
 from partita.operators.rounds import apart_by_rounds, centres_apart_by_rounds
 from partita.sources.storage import written
 
@@ -85,8 +86,9 @@ def drop_repeated_lines(lines: DataFrame) -> DataFrame:
 
 
 def _marked(lines: DataFrame) -> DataFrame:
-    before = F.lag("line").over(Window.partitionBy("file_id").orderBy("line_no"))
-    return lines.withColumn("same", F.coalesce(F.col("line") == before, F.lit(False)))
+    """Whether a line repeats the one before in its file; files of very many lines spread over ranges of lines."""
+    rows = previous(lines, ("file_id",), ["line_no"], {"__before": "line"})
+    return rows.withColumn("same", F.coalesce(F.col("line") == F.col("__before"), F.lit(False))).drop("__before")
 
 
 def repeated_report(lines: DataFrame, by: tuple[str, ...] = ("prefix",)) -> DataFrame:
@@ -120,25 +122,45 @@ def near_duplicate_boxes(boxes: DataFrame, threshold: float = 0.7, most: int = M
     return by_size(boxes.select(*keys, *fields), keys, folded, rounds, most)
 
 
-def merge_overlapping(boxes: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Boxes of an image and class merged from left to right while their spans in x overlap by the threshold (1-D IoU): average centre, largest size, members."""
-    state = "array<struct<cx:double,cy:double,w:double,h:double,n:int>>"
-    groups = ordered(boxes, ["image_id", "class_id"], [F.col("cx"), F.col("line_no")], ["line_no", *CENTRE])
+def merge_overlapping(boxes: DataFrame, threshold: float = 0.5, most: int = LONG) -> DataFrame:
+    """Boxes of an image and class merged from left to right while their spans in x overlap by the threshold (1-D IoU): average centre, largest size, members.
+
+    Where the distance to the centre before is more than half of the largest width so far and half of its own, a box can't overlap what lies left
+    of it: there the order is cut, and each stretch is folded for itself. The cuts of groups of more than `most` boxes are found over ranges.
+    """
+    keys, order = ("image_id", "class_id"), ["cx", "line_no"]
+    rows = boxes.select(*keys, "line_no", *CENTRE)
+    state = "struct<done:array<struct<cx:double,cy:double,w:double,h:double,n:int>>,open:struct<cx:double,cy:double,w:double,h:double,n:int>>"
 
-    def add(found: Column, x: Column) -> Column:
-        c = F.element_at(found, -1)
+    def add(s: Column, x: Column) -> Column:
+        c = s["open"]
         common = F.greatest(F.lit(0.0), F.least(c["cx"] + c["w"] / 2, x["cx"] + x["w"] / 2) - F.greatest(c["cx"] - c["w"] / 2, x["cx"] - x["w"] / 2))
         union = c["w"] + x["w"] - common
-        joins = F.when(F.size(found) > 0, F.when(union > 0, common / F.when(union > 0, union)).otherwise(0.0) > threshold).otherwise(F.lit(False))
+        joins = F.coalesce(F.when(union > 0, common / F.when(union > 0, union)).otherwise(0.0) > threshold, F.lit(False))
         n = c["n"]
         merged = F.struct(((c["cx"] * n + x["cx"]) / (n + 1)).alias("cx"), ((c["cy"] * n + x["cy"]) / (n + 1)).alias("cy"), F.greatest(c["w"], x["w"]).alias("w"), F.greatest(c["h"], x["h"]).alias("h"), (n + 1).alias("n"))
         new = F.struct(*[x[f].alias(f) for f in CENTRE], F.lit(1).alias("n"))
-        return F.when(joins, F.concat(F.slice(found, 1, F.greatest(F.size(found) - 1, F.lit(0))), F.array(merged))).otherwise(F.concat(found, F.array(new)))
+        closed = F.when(c.isNull() | joins, s["done"]).otherwise(F.concat(s["done"], F.array(c)))
+        return F.struct(closed.alias("done"), F.when(joins, merged).otherwise(new).alias("open")).cast(state)
+
+    def cut(rows: DataFrame, widest: Column, before: Column) -> Column:
+        return F.coalesce(F.col("cx") - before > (widest + F.col("w")) / 2, F.lit(False)).cast("int")
+
+    def windows(rows: DataFrame) -> DataFrame:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        marked = rows.withColumn("__cut", cut(rows, F.max("w").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lag("cx").over(w)))
+        return marked.withColumn("__stretch", F.sum("__cut").over(w))
+
+    def ranges(rows: DataFrame) -> DataFrame:
+        wide = running(rows, keys, order, "__wide", "w", "max")
+        marked = lagged(wide, keys, order, {"__before": "cx", "__widest": "__wide"}).withColumn("__cut", cut(rows, F.col("__widest"), F.col("__before")))
+        return running(marked, keys, order, "__stretch", "__cut").select(*rows.columns, "__cut", "__stretch")
 
-    # element_at of an empty array is guarded by a dummy, cut off at the end
-    dummy = F.array(F.struct(*[F.lit(-9.0).alias(f) for f in CENTRE[:2]], F.lit(0.0).alias("w"), F.lit(0.0).alias("h"), F.lit(1).alias("n"))).cast(state)
-    merged = F.aggregate("xs", dummy, add, lambda s: F.slice(s, 2, F.greatest(F.size(s) - 1, F.lit(1))))
-    return groups.select("image_id", "class_id", F.explode(merged).alias("m")).select("image_id", "class_id", "m.*")
+    placed = by_size(rows, keys, windows, ranges, most)
+    groups = ordered(placed, [*keys, "__stretch"], [F.col(c) for c in order], list(CENTRE))
+    start = F.struct(F.array().alias("done"), F.lit(None).alias("open")).cast(state)
+    merged = F.aggregate("xs", start, add, lambda s: F.concat(s["done"], F.array(s["open"])))
+    return groups.select(*keys, F.explode(merged).alias("m")).select(*keys, "m.*")
 
 
 def keep_largest(boxes: DataFrame, near: float = 0.05, most: int = MOST) -> DataFrame:
@@ -170,15 +192,14 @@ def every_nth(images: DataFrame, key: str, n: int = 10) -> DataFrame:
     return ranked.withColumn("split", F.when(F.col("rank") % n == 0, "val").otherwise("train")).drop("rank")
 
 
-def global_rank(df: DataFrame, order: list[Column], parts: int = 64) -> DataFrame:
+def global_rank(df: DataFrame, order: list[Column]) -> DataFrame:
     """rank from 1 over a total order, in two passes: ranks inside range partitions, and the counts of the partitions before.
 
-    The ranges come from a sample, so the ranked rows are written: counting them again would draw other ranges.
+    The ranges come from a sample, so the ranked rows are written: counting them again would draw other ranges. There are as many as the data need.
     """
-    placed = df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id())
-    local = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
-    placed = written(placed.withColumn("__local", local), "ranks")
-    sizes = placed.groupBy("__part").agg(F.max("__local").alias("__n"))  # one row a partition
+    placed = in_ranges(df, order)
+    placed = placed.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))  # one row a partition
     before = sizes.select("__part", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     return placed.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__local") + F.col("__before")).cast("long")).drop("__part", "__local", "__before")
 
@@ -350,7 +371,8 @@ def range_errors(boxes: DataFrame) -> DataFrame:
 def image_statistics(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """Boxes per image (0 counts): images, mean, median, population deviation, coefficient of variation."""
     n = images.select("image_id").distinct().join(boxes.groupBy("image_id").agg(F.count("*").alias("n")), "image_id", "left").fillna(0, ["n"])
-    out = n.agg(F.count("*").alias("images"), F.avg("n").alias("mean"), F.median("n").alias("median"), F.stddev_pop("n").alias("sd"))
+    out = n.agg(F.count("*").alias("images"), F.avg("n").alias("mean"), F.stddev_pop("n").alias("sd"))
+    out = out.join(quantiles(n, (), F.col("n"), {"median": 0.5}), how="left")  # a row each
     return out.withColumn("cv", F.when(F.col("mean") > 0, F.col("sd") / F.when(F.col("mean") > 0, F.col("mean"))))
 
 
@@ -371,4 +393,6 @@ def size_variety(boxes: DataFrame, digits: int = 3) -> DataFrame:
 def repair_statistics(stages: dict[str, DataFrame], thin: float = 0.04) -> DataFrame:
     """Before and after a repair, by stage and class: boxes, least, most, mean and median width, share of thin ones."""
     parts = [df.select(F.lit(n).alias("stage"), "class_id", "w") for n, df in stages.items()]
-    return reduce(DataFrame.unionByName, parts).groupBy("stage", "class_id").agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"), F.median("w").alias("median"), F.avg((F.col("w") < thin).cast("int")).alias("thin_share"))
+    rows, keys = reduce(DataFrame.unionByName, parts), ["stage", "class_id"]
+    out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"), F.avg((F.col("w") < thin).cast("int")).alias("thin_share"))
+    return out.join(quantiles(rows, ("stage", "class_id"), F.col("w"), {"median": 0.5}), keys, "left")

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from partita.functions.pitch import perfect, pitch_class, scale_degree, step, triad
+from partita.operators.ranges import LONG, previous
 
 #: The messages of the rules, by kind.
 MESSAGES = {
@@ -96,16 +97,15 @@ def candidates(extended: bool = False) -> dict[str, list[Column]]:
     return out
 
 
-def violations(chords: DataFrame, rules: tuple[str, ...] = tuple(ORDER), extended: bool = False) -> DataFrame:
+def violations(chords: DataFrame, rules: tuple[str, ...] = tuple(ORDER), extended: bool = False, most: int = LONG) -> DataFrame:
     """All violations: score_id, chord_index (the later chord), measure, beat, rule_order, and the fields of ROW.
 
     Rules: M1 leaps, V1 crossing and overlap, P1 parallels, P2 hidden intervals of the outer voices, D1 doubled leading tone, L1
     leading tones that don't rise to the tonic. extended: D1 also on chords that are no full triad, read on their bass as root.
-    One shuffle by score_id; a score is one window group.
+    One shuffle by score_id; a score of more than `most` chords spreads over ranges of chords, each with the last chord before it.
     """
-    w = Window.partitionBy("score_id").orderBy("chord_index")
-    lagged = [F.lag(c).over(w).alias("p_" + n) for c, n in [*((v, v) for v in VOICES), ("measure", "measure"), ("beat", "beat"), ("chord_index", "index")]]
-    both = chords.select("score_id", "chord_index", "measure", "beat", *VOICES, "tonic_midi", "mode", *lagged)
+    before = {"p_" + n: c for c, n in [*((v, v) for v in VOICES), ("measure", "measure"), ("beat", "beat"), ("chord_index", "index")]}
+    both = previous(chords.select("score_id", "chord_index", "measure", "beat", *VOICES, "tonic_midi", "mode"), ("score_id",), ["chord_index"], before, most)
     if "D1" in rules:
         both = both.withColumn("triad", triad(*[F.col(v) for v in VOICES])).withColumn("bare_root", pitch_class(F.col("b")))
     table = candidates(extended)
