@@ -37,14 +37,23 @@ class Plan(NamedTuple):
 
 
 def plan(size: int, longest: int, least: int, trigger: int = 12, chunk: int = 1024) -> Plan:
-    """For a corpus of `size` bytes: 16 MB a slice and a bucket, and hash bits so that n-grams fill less than a hundredth of the hashes."""
-    return Plan(longest, least, trigger, chunk, max(1, size >> 24), max(1, size >> 24), min(63, 6 + max(16, size.bit_length())))
+    """For a corpus of `size` bytes: 8 MB a slice, 16 MB a bucket, and hash bits so that n-grams fill less than a hundredth of the hashes."""
+    return Plan(longest, least, trigger, chunk, max(1, size >> 23), max(1, size >> 24), min(48, 6 + max(16, size.bit_length())))
 
 
 def _merged(t: pa.Table) -> pa.Table:
-    """One row a chunk, its occurrences summed."""
-    out = t.group_by(["lang", "own", "chunk"], use_threads=False).aggregate([("n", "sum")])
-    return out.rename_columns(["lang", "own", "chunk", "n"]).combine_chunks()
+    """One row a chunk, its occurrences summed. Chunks are told apart by codes, which takes less memory than a hash aggregate of their texts."""
+    if not t.num_rows:
+        return t
+    t = t.combine_chunks()
+    chunk, lang = (pc.dictionary_encode(t.column(c).chunk(0)) for c in ("chunk", "lang"))
+    own = t.column("own").to_numpy().astype(np.int64)
+    key = np.asarray(chunk.indices, dtype=np.int64) * len(lang.dictionary) + np.asarray(lang.indices)
+    if len(chunk.dictionary) * len(lang.dictionary) * (int(own.max()) + 1) >= 1 << 62:
+        raise ValueError("too many chunks in one slice")
+    _, first, at = np.unique(key * (int(own.max()) + 1) + own, return_index=True, return_inverse=True)
+    n = np.bincount(at, t.column("n").to_numpy()).astype(np.int64)
+    return t.take(pa.array(first)).set_column(3, "n", pa.array(n)).combine_chunks()
 
 
 def _segments(text: str | None, most: int = 1 << 22) -> list[str]:
@@ -282,12 +291,13 @@ def dictionary(rows: DataFrame, p: Plan, part: int = 4 << 20) -> DataFrame:
             grams = Grams.of(merged.slice(lo, hi - lo).combine_chunks(), p)
             found.append(grams.counted())
             out.append((-1, grams.packed()))
-        h, n = (np.concatenate(x) for x in zip(*found)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        order = np.argsort(h, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]])) if len(h) else order
-        h, n = h[order[first]], np.minimum(np.add.reduceat(n[order], first), p.least) if len(h) else n
-        del merged, found, order
-        n = n.astype("u1" if p.least < 256 else "<u8")
+        both = np.concatenate([h << np.uint64(16) | n.astype(np.uint64) for h, n in found]) if found else np.zeros(0, np.uint64)
+        del merged, found
+        both.sort()
+        h, n = both >> np.uint64(16), (both & np.uint64(0xFFFF)).astype(np.uint32)
+        first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
+        h, n = h[first], np.minimum(np.add.reduceat(n, first), p.least) if len(h) else n
+        n = n.astype("u1" if p.least < 256 else "<u2")
         found, at = np.unique((h >> np.uint64(max(0, p.bits - 32))) * np.uint64(p.buckets) >> np.uint64(min(32, p.bits)), return_index=True)
         for b, lo, hi in zip(found.tolist(), at, [*at[1:], len(h)]):
             out.append((b, _squeezed(h[lo:hi], n[lo:hi])))
@@ -366,6 +376,8 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     A null or empty text has no words; a null language is `und`. Repeated rows count as often as they stand there. Other columns are
     ignored; an empty table gives no rows. Counts are longs, products decimals of 38 digits (a beyond about 10^15 raises).
     """
+    if not 0 < least < 1 << 16:
+        raise ValueError("least has to be between 1 and 65535")
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     counts = written(phrase_counts(docs, longest, least), "counts")
     known = counts.where("size > 0").select("lang", "phrase", "n")
