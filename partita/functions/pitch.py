@@ -41,26 +41,28 @@ def scale_degree(pc: Column, tonic: Column, mode: Column) -> Column:
     return F.when(mode == "major", lookup(MAJOR, d)).otherwise(lookup(MINOR, d))
 
 
-def triad(*voices: Column) -> Column:
+def triad(*voices: Column, roles: bool = True) -> Column:
     """struct(root_pc, quality, roles) of a chord whose pitch classes are the three of one triad; NULL for all others.
 
-    Roots are tried upwards, so an augmented chord is named after its lowest class. roles is a map from S, A, T, B.
+    Roots are tried upwards, so an augmented chord is named after its lowest class. roles is a map from S, A, T, B. The classes of a chord are the
+    bits of a number, and the numbers of all triads a table: no lambdas and no arrays a chord.
     """
-    pcs = F.array_sort(F.array_distinct(F.array(*[pitch_class(v) for v in voices])))
-    def quality(root: Column) -> Column:
-        out = F.lit(None).cast("string")
-        for (third, fifth), name in TRIADS.items():
-            out = F.when(F.array_contains(pcs, F.pmod(root + third, F.lit(12))) & F.array_contains(pcs, F.pmod(root + fifth, F.lit(12))), F.lit(name)).otherwise(out)
-        return out
-
-    named = F.transform(pcs, lambda r: F.struct(r.alias("root_pc"), quality(r).alias("quality")))
-    first = F.get(F.filter(named, lambda x: x["quality"].isNotNull()), F.lit(0))
-    role = lambda v: lookup({0: "root", 3: "third", 4: "third", 6: "fifth", 7: "fifth", 8: "fifth"}, F.pmod(pitch_class(v) - first["root_pc"], F.lit(12)))
-    roles = F.create_map(*chain(*[(F.lit(n), role(v)) for n, v in zip("SATB", voices)]))
-    whole = F.size(pcs) == 3
-    for v in voices:
-        whole &= v.isNotNull()
-    return F.when(whole & first.isNotNull(), F.struct(first["root_pc"].alias("root_pc"), first["quality"].alias("quality"), roles.alias("roles")))
+    qualities, found = list(TRIADS.items()), {}
+    for root in range(12):
+        for k, ((third, fifth), _) in enumerate(qualities):
+            found.setdefault(sum(1 << (root + step) % 12 for step in (0, third, fifth)), root * 8 + k)
+    bits = [F.expr("1") for _ in voices]
+    bits = [F.call_function("shiftleft", one, pitch_class(v).cast("int")) for one, v in zip(bits, voices)]
+    classes = bits[0]
+    for b in bits[1:]:
+        classes = classes.bitwiseOR(b)
+    code = F.create_map(*[F.lit(x) for pair in found.items() for x in pair])[classes]
+    root, quality = (code / F.lit(8)).cast("int"), F.element_at(F.array(*[F.lit(name) for _, name in qualities]), code % 8 + 1)
+    fields = [root.alias("root_pc"), quality.alias("quality")]
+    if roles:
+        role = lambda v: lookup({0: "root", 3: "third", 4: "third", 6: "fifth", 7: "fifth", 8: "fifth"}, F.pmod(pitch_class(v) - root, F.lit(12)))
+        fields.append(F.create_map(*chain(*[(F.lit(n), role(v)) for n, v in zip("SATB", voices)])).alias("roles"))
+    return F.when(code.isNotNull(), F.struct(*fields))
 
 
 def midi_of_name(name: Column) -> Column:

@@ -1,12 +1,13 @@
 """Voice-leading rules over chords (score_id, chord_index, measure, beat, s, a, t, b, tonic_midi, mode).
 
-Violations come out of one pass: a window per score brings the chord before, every rule is an array of candidate rows, and a
-single explode hands out those that apply. A rule that meets a NULL voice gives no row.
+Violations come out of one pass: a window per score brings the chord before, an array tells which rules apply, and a
+single explode hands those out. A rule that meets a NULL voice gives no row.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,22 +39,47 @@ VOICES = "satb"
 ORDER = {"M1": 1, "V1": 2, "P1": 3, "P2": 4, "D1": 5, "L1": 6}
 
 
-def _row(when: Column, rule: str, kind: Column | str, severity: Column | str, voices: str, detail: Column, back: bool = True) -> Column:
+class Candidate(NamedTuple):
+    """What a rule may say of a chord: when it says it, and what. back: whether it names the chord before."""
+
+    when: Column
+    rule: str
+    kind: Column | str
+    severity: Column | str
+    voices: str
+    detail: Column
+    back: bool
+
+
+def _row(when: Column, rule: str, kind: Column | str, severity: Column | str, voices: str, detail: Column, back: bool = True) -> Candidate:
+    return Candidate(when, rule, kind, severity, voices, detail, back)
+
+
+def applied(chords: DataFrame, rules: list[Candidate], keep: list[str]) -> DataFrame:
+    """The candidates that apply to chords (with the voices before as p_s to p_b): keep, and the fields of ROW, in the order of the rules.
+
+    First only which apply, and their kind, which is short; texts are made for those, after the chords are taken apart.
+    """
     lit = lambda x: F.lit(x) if isinstance(x, str) else x
-    kinds = [kind] if isinstance(kind, str) else ["leap_octave", "leap_seventh", "leap_tritone"] if rule == "M1" else ["hidden_excused", "hidden"]
-    message = F.lit(None).cast("string")
-    for k in kinds:
-        message = F.when(lit(kind) == k, F.lit(MESSAGES[k] % voices if "%s" in MESSAGES[k] else MESSAGES[k])).otherwise(message)
-    place = [F.col("p_measure"), F.col("p_beat"), F.col("p_index")] if back else [F.lit(None).cast(t) for t in ("int", "double", "int")]
-    fields = [F.lit(rule), lit(kind), lit(severity), F.lit(voices), message, detail, *place]
-    names = [c.split()[0] for c in ROW.split(", ")]
-    return F.when(when, F.struct(*[f.alias(n) for f, n in zip(fields, names)]))
-
-
-def candidates(extended: bool = False) -> dict[str, list[Column]]:
-    """Rows a chord may give, by rule, from its voices s, a, t, b and those before, p_s to p_b; NULL where a rule doesn't apply."""
+    hits = [F.when(c.when, F.struct(F.lit(k).alias("k"), lit(c.kind).alias("kind"), lit(c.severity).alias("severity"))) for k, c in enumerate(rules)]
+    rows = chords.select("*", F.explode(F.array_compact(F.array(*hits))).alias("__hit"))
+    k, kind = F.col("__hit.k"), F.col("__hit.kind")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), k + 1)
+    detail = F.lit(None).cast("string")
+    for at, c in reversed(list(enumerate(rules))):
+        detail = F.when(k == at, c.detail).otherwise(detail)
+    voices = of([c.voices for c in rules])
+    texts = F.create_map(*[F.lit(x) for pair in MESSAGES.items() for x in pair])
+    back = of([c.back for c in rules])
+    before = [F.when(back, F.col(c)) for c in ("p_measure", "p_beat", "p_index")]
+    fields = [of([c.rule for c in rules]), kind, F.col("__hit.severity"), voices, F.replace(texts[kind], F.lit("%s"), voices), detail, *before]
+    return rows.select(*keep, *[f.alias(c.split()[0]) for f, c in zip(fields, ROW.split(", "))])
+
+
+def candidates(extended: bool = False) -> dict[str, list[Candidate]]:
+    """What a chord may give, by rule, from its voices s, a, t, b and those before, p_s to p_b."""
     now, before = {v: F.col(v) for v in VOICES}, {v: F.col("p_" + v) for v in VOICES}
-    out: dict[str, list[Column]] = {r: [] for r in ORDER}
+    out: dict[str, list[Candidate]] = {r: [] for r in ORDER}
     for v in VOICES:
         d = F.abs(now[v] - before[v])
         detail = F.format_string("from %d to %d, diff=%d semitones.", before[v], now[v], d)
@@ -107,12 +133,9 @@ def violations(chords: DataFrame, rules: tuple[str, ...] = tuple(ORDER), extende
     before = {"p_" + n: c for c, n in [*((v, v) for v in VOICES), ("measure", "measure"), ("beat", "beat"), ("chord_index", "index")]}
     both = previous(chords.select("score_id", "chord_index", "measure", "beat", *VOICES, "tonic_midi", "mode"), ("score_id",), ["chord_index"], before, most)
     if "D1" in rules:
-        both = both.withColumn("triad", triad(*[F.col(v) for v in VOICES])).withColumn("bare_root", pitch_class(F.col("b")))
+        both = both.withColumn("triad", triad(*[F.col(v) for v in VOICES], roles=False)).withColumn("bare_root", pitch_class(F.col("b")))
     table = candidates(extended)
-    rows = [c for r in ORDER if r in rules for c in table[r]]
-    found = F.explode(F.array_compact(F.array(*rows)))
-    out = both.select("score_id", "chord_index", "measure", "beat", found.alias("v")).select("score_id", "chord_index", "measure", "beat", "v.*")
-    return out
+    return applied(both, [c for r in ORDER if r in rules for c in table[r]], ["score_id", "chord_index", "measure", "beat"])
 
 
 def cadences(chords: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from partita.operators.audit import confidence_findings
-from partita.operators.harmony import candidates
+from partita.operators.harmony import applied, candidates
 
 
 def follow_metrics(epochs: DataFrame) -> DataFrame:
@@ -145,6 +145,4 @@ def live_violations(chords: DataFrame, delay: str | None = None) -> DataFrame:
         both = timed.groupBy("score_id").transformWithStateInPandas(_InOrder(), f"score_id long, {now}, at timestamp, {before}", "Append", "EventTime", eventTimeColumnName="at")
     both = both.withColumns({"tonic_midi": F.lit(None).cast("int"), "triad": F.lit(None).cast("struct<root_pc:int,quality:string>")})
     table = candidates()
-    rows = [c for r in ("M1", "V1", "P1", "P2") for c in table[r]]
-    keep = ["score_id", "chord_index", *(["at"] if delay else [])]
-    return both.select(*keep, F.explode(F.array_compact(F.array(*rows))).alias("v")).select(*keep, "v.*")
+    return applied(both, [c for r in ("M1", "V1", "P1", "P2") for c in table[r]], ["score_id", "chord_index", *(["at"] if delay else [])])
