@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.functions.pitch import lookup, staff_pitch, staff_step
+from partita.functions.pitch import beat_in_measure, lookup, staff_pitch, staff_step
 from partita.operators.detection import keep_apart, ordered
 from partita.operators.pairs import by_size
 from partita.operators.ranges import LONG, lagged, running
@@ -274,8 +274,31 @@ def match_pitches(truth: DataFrame, predicted: DataFrame, reach: float = 30) ->
     return truth.join(best, ["image_id", "idx"], "left").select("image_id", "idx", "midi", F.col("b.pm").alias("pred_midi"), F.col("b.d").alias("distance"))
 
 
-def pitch_accuracy(matched: DataFrame) -> DataFrame:
-    """Per image: notes, exact and lenient (within an octave multiple) accuracy; notes without a prediction count as wrong."""
-    exact = F.coalesce(F.col("midi") == F.col("pred_midi"), F.lit(False))
-    lenient = F.coalesce((F.col("midi") - F.col("pred_midi")) % 12 == 0, F.lit(False))
+def pitch_accuracy(matched: DataFrame, tolerance: int | None = None) -> DataFrame:
+    """Per image: notes, exact and lenient accuracy; notes without a prediction count as wrong. Lenient: off by at most `tolerance` semitones, or, without it, by whole octaves."""
+    off = F.col("midi") - F.col("pred_midi")
+    exact = F.coalesce(off == 0, F.lit(False))
+    lenient = F.coalesce(off % 12 == 0 if tolerance is None else F.abs(off) <= tolerance, F.lit(False))
     return matched.groupBy("image_id").agg(F.count("*").alias("notes"), F.count_if(exact).alias("matched"), F.avg(exact.cast("int")).alias("exact"), F.avg(lenient.cast("int")).alias("lenient"))
+
+
+def pitch_errors(matched: DataFrame) -> DataFrame:
+    """image_id, idx, midi, pred_midi, delta of every note that isn't met exactly; NULLs where nothing is near it."""
+    return matched.where(~F.coalesce(F.col("midi") == F.col("pred_midi"), F.lit(False))).select("image_id", "idx", "midi", "pred_midi", (F.col("pred_midi") - F.col("midi")).alias("delta"))
+
+
+def beats_by_barlines(notes: DataFrame, barlines: DataFrame, width: float = 800.0, grid: float = 200.0) -> DataFrame:
+    """Notes (image_id, sym_id, x) with measure (1 and the barlines left of them) and beat (a quarter of the way between barlines, from 1).
+
+    The first measure starts at 0, the last is `width` wide. On an image without barlines the measure is 1 and the beat counts steps of `grid`, up to 4.
+    """
+    sym = notes.schema["sym_id"].dataType
+    both = notes.select("image_id", "x", "sym_id", F.lit(0).alias("bar")).union(barlines.select("image_id", "x", F.lit(None).cast(sym), F.lit(1)))
+    # at one x the notes come first: a barline there is not left of them
+    order, bar = Window.partitionBy("image_id").orderBy("x", "bar"), F.when(F.col("bar") == 1, F.col("x"))
+    upto, after = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    rows = both.withColumns({"n": F.count(bar).over(upto), "left": F.last(bar, ignorenulls=True).over(upto), "right": F.first(bar, ignorenulls=True).over(after)}).where("sym_id IS NOT NULL")
+    left = F.coalesce("left", F.lit(0.0))
+    beat = beat_in_measure(F.col("x"), left, F.coalesce("right", left + width))
+    bare = (1 + F.greatest(F.lit(0), F.least(F.lit(3), (F.col("x") / grid).cast("int")))).cast("double")
+    return rows.select("image_id", "sym_id", (F.col("n") + 1).cast("int").alias("measure"), F.when(F.col("left").isNull() & F.col("right").isNull(), bare).otherwise(beat).alias("beat"))

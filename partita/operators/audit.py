@@ -314,3 +314,22 @@ def size_kinds(boxes: DataFrame, tiny: float = 0.03, large: float = 0.15) -> Dat
     low, high = F.least("w", "h"), F.greatest("w", "h")
     kind = F.when(low <= 0, "degenerate").when(low < tiny, "tiny").when(high > large, "large").otherwise("ordinary")
     return boxes.groupBy("class_id", kind.alias("kind")).agg(F.count("*").alias("n"))
+
+
+def top_relative_positions(boxes: DataFrame, ratios: DataFrame, anchors: tuple[int, ...], n: int = 10, threshold: float = 0.85) -> DataFrame:
+    """Of the n classes with the largest size ratio (ratios of `oversize`, those without a reference left out): where their boxes stand on the first anchor box that they share.
+
+    class_id, ratio, n, and quantiles p5, p25, p50, p75, p95 of rel_x and rel_y (0: the anchor's left or top edge, 1: the other) and of size_w and size_h (in sides of the
+    anchor). Classes that share no box have n = 0 and NULLs.
+    """
+    top = ratios.where("w_ratio IS NOT NULL").withColumn("ratio", F.greatest(F.coalesce("w_ratio", F.lit(0.0)), F.coalesce("h_ratio", F.lit(0.0)))).orderBy(F.desc("ratio"), "class_id").limit(n).select("class_id", "ratio")
+    some = boxes.where(~F.col("class_id").isin(*anchors)).join(F.broadcast(top.select("class_id")), "class_id", "left_semi")
+    pairs = box_pairs(boxes.where(F.col("class_id").isin(*anchors)), some).where(F.col("iou") >= threshold)
+    per = lambda v, side: v / F.when(F.col(side) > 0, F.col(side))
+    place = F.struct(per(F.col("d_cx") - F.col("t_cx") + F.col("t_w") / 2, "t_w").alias("rel_x"), per(F.col("d_cy") - F.col("t_cy") + F.col("t_h") / 2, "t_h").alias("rel_y"), per(F.col("d_w"), "t_w").alias("size_w"), per(F.col("d_h"), "t_h").alias("size_h"))
+    rows = pairs.groupBy("image_id", F.col("d_line_no").alias("line_no"), F.col("d_class_id").alias("class_id")).agg(F.min_by(place, "t_line_no").alias("v"))
+    rows = written(rows.select("class_id", "v.*"), "places")
+    out = top.join(rows.groupBy("class_id").agg(F.count("*").alias("n")), "class_id", "left").fillna(0, ["n"])
+    for c in ("rel_x", "rel_y", "size_w", "size_h"):
+        out = out.join(quantiles(rows, ("class_id",), F.col(c), {f"{c}_p{int(100 * s)}": s for s in (0.05, 0.25, 0.5, 0.75, 0.95)}), "class_id", "left")
+    return out

@@ -258,9 +258,11 @@ def class_weights(counts: DataFrame, how: str = "inverse", beta: float = 0.9999)
     return out.crossJoin(F.broadcast(out.agg(F.min("raw").alias("least")))).select("class_id", (F.col("raw") / F.col("least")).alias("weight"))
 
 
-def quality_weights(counts: DataFrame, ap: DataFrame) -> DataFrame:
-    """Mean of 1 / sqrt(n / 1000) and 1 / (ap + 0.1), brought to 1..10 over the classes."""
-    raw = counts.join(ap, "class_id").where("n > 0").select("class_id", ((1 / F.sqrt(F.col("n") / 1000) + 1 / (F.col("ap") + 0.1)) / 2).alias("raw"))
+def quality_weights(counts: DataFrame, ap: DataFrame, how: str = "both") -> DataFrame:
+    """1 / sqrt(n / 1000) (how: count), 1 / (ap + 0.1) (quality) or their mean (both), brought to 1..10 over the classes; all 1 if they are equal. A class without an ap counts as 1.0."""
+    by_count, by_quality = 1 / F.sqrt(F.col("n") / 1000), 1 / (F.coalesce("ap", F.lit(1.0)) + 0.1)
+    value = {"count": by_count, "quality": by_quality, "both": (by_count + by_quality) / 2}[how]
+    raw = counts.join(ap, "class_id", "left").where("n > 0").select("class_id", value.alias("raw"))
     ends = raw.agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"))
     span = F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo"))
     return raw.crossJoin(F.broadcast(ends)).select("class_id", F.coalesce(1 + 9 * (F.col("raw") - F.col("lo")) / span, F.lit(1.0)).alias("weight"))
@@ -396,3 +398,24 @@ def repair_statistics(stages: dict[str, DataFrame], thin: float = 0.04) -> DataF
     rows, keys = reduce(DataFrame.unionByName, parts), ["stage", "class_id"]
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("w").alias("least"), F.max("w").alias("most"), F.avg("w").alias("mean"), F.avg((F.col("w") < thin).cast("int")).alias("thin_share"))
     return out.join(quantiles(rows, ("stage", "class_id"), F.col("w"), {"median": 0.5}), keys, "left")
+
+
+def prefix_counts(images: DataFrame, source: Column) -> DataFrame:
+    """split, source, n: images of each split by the source that their name tells, and of each split in all (source NULL)."""
+    return images.withColumn("source", source).groupingSets([("split", "source"), ("split",)], "split", "source").agg(F.count("*").alias("n"), F.grouping("source").alias("all")).select("split", F.when(F.col("all") == 0, F.col("source")).alias("source"), "n")
+
+
+def renumbered(pairs: DataFrame, prefix: str, digits: int = 4) -> DataFrame:
+    """Image and label of each pair (stem, suffix) under one new name: stem, image, label, numbered from 0 by stem, so that they can't come apart."""
+    number = F.lpad((F.col("rank") - 1).cast("string"), digits, "0")
+    name = F.concat(F.lit(f"{prefix}_"), F.when(F.length((F.col("rank") - 1).cast("string")) > digits, (F.col("rank") - 1).cast("string")).otherwise(number))
+    return global_rank(pairs, [F.col("stem")]).select("stem", F.concat(name, "suffix").alias("image"), F.concat(name, F.lit(".txt")).alias("label"))
+
+
+def repairs_by_kind(before: DataFrame, after: DataFrame) -> DataFrame:
+    """kind, class_id, n, and the mean area before and after: boxes (image_id, line_no) that a repair widened, shrank, moved, dropped or left alone."""
+    a, b = (df.select("image_id", "line_no", *[F.col(c).alias(f"{p}{c}") for c in ("class_id", *CENTRE)]) for df, p in ((before, "a_"), (after, "b_")))
+    both = a.join(b, ["image_id", "line_no"], "left")
+    one, two = F.col("a_w") * F.col("a_h"), F.col("b_w") * F.col("b_h")
+    kind = F.when(F.col("b_class_id").isNull(), "dropped").when(two < one, "shrunk").when(two > one, "widened").when((F.col("a_cx") != F.col("b_cx")) | (F.col("a_cy") != F.col("b_cy")), "moved").otherwise("same")
+    return both.select(kind.alias("kind"), F.col("a_class_id").alias("class_id"), one.alias("one"), two.alias("two")).groupBy("kind", "class_id").agg(F.count("*").alias("n"), F.avg("one").alias("area_before"), F.avg("two").alias("area_after"))

@@ -73,3 +73,22 @@ def run_report(epochs: DataFrame, span: int = 20, stagnant: float = 0.001) -> Da
     cv = F.when(F.col("mean") != 0, F.col("sd") / F.when(F.col("mean") != 0, F.col("mean")))
     severity = F.when(cv > 1, "high").when(cv > 0.5, "medium").otherwise("low")
     return out.select("run_id", "epochs", "first", "last", "best", "best_epoch", "gain", "reduction", cv.alias("cv"), severity.alias("spread"), (F.col("best") > F.col("last") * 1.1).alias("falling"), F.coalesce(F.col("gain") < stagnant, F.lit(False)).alias("stagnant"))
+
+
+def style_totals(files: DataFrame) -> DataFrame:
+    """style, n, files: how often each bar style stands in the files of corpus_statistics, and in how many."""
+    return files.select("path", F.explode("styles").alias("style", "k")).groupBy("style").agg(F.sum("k").alias("n"), F.count("*").alias("files"))
+
+
+def spread_ratio(one: DataFrame, two: DataFrame) -> DataFrame:
+    """cv_one, cv_two, ratio, severity: the variation of boxes per image (image_statistics) of a second set over that of a first; severe over 3, moderate over 2, else mild."""
+    both = one.select(F.col("cv").alias("cv_one")).join(two.select(F.col("cv").alias("cv_two")), how="full")  # a row each
+    ratio = F.col("cv_two") / F.when(F.col("cv_one") > 0, F.col("cv_one"))
+    return both.withColumn("ratio", ratio).withColumn("severity", F.when(F.col("ratio") > 3, "severe").when(F.col("ratio") > 2, "moderate").when(F.col("ratio").isNotNull(), "mild").otherwise("unknown"))
+
+
+def transfer(before: DataFrame, after: DataFrame, keep: float = 0.95) -> DataFrame:
+    """run_id, before, after, loss (percent), negative: the last values of runs in two trainings (run_report); negative where `keep` of the first isn't reached."""
+    both = before.select("run_id", F.col("last").alias("before")).join(after.select("run_id", F.col("last").alias("after")), "run_id")
+    negative = F.col("after") < keep * F.col("before")
+    return both.withColumn("loss", F.when(negative, (1 - F.col("after") / F.when(F.col("before") != 0, F.col("before"))) * 100)).withColumn("negative", negative)

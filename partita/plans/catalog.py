@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from partita.plans import assembly, audit, dataset, detection, harmony, inputs  # noqa: F401
+from partita.plans import assembly, audit, dataset, details, detection, harmony, inputs  # noqa: F401
 from partita.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

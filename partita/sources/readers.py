@@ -221,11 +221,12 @@ def image_path(label: Column) -> Column:
 
 
 def corpus_statistics(files: DataFrame) -> DataFrame:
-    """MusicXML files (path, content; zipped or not): path, title, parts, measures, fermatas, bar_styles. One file at a time in a task; files that don't parse give NULLs."""
+    """MusicXML files (path, content; zipped or not): path, title, parts, measures, fermatas, bar_styles, styles (how often each bar style). One file at a time in a task; files that don't parse give NULLs."""
 
     def parse(batches: Iterator) -> Iterator:
         import io
         import zipfile
+        from collections import Counter
         from xml.etree import ElementTree
 
         import pandas as pd
@@ -239,13 +240,14 @@ def corpus_statistics(files: DataFrame) -> DataFrame:
                         with zipfile.ZipFile(io.BytesIO(data)) as z:
                             data = z.read(next(n for n in z.namelist() if n.endswith((".xml", ".musicxml")) and not n.startswith("META-INF")))
                     root = ElementTree.fromstring(data)
+                    styles = [(e.text or "").strip() for e in root.findall(".//bar-style")]
                     title = root.findtext(".//work-title") or root.findtext(".//movement-title")
-                    rows.append((path, title, len(root.findall(".//score-part")), len(root.findall(".//measure")), len(root.findall(".//fermata")), len(root.findall(".//bar-style"))))
+                    rows.append((path, title, len(root.findall(".//score-part")), len(root.findall(".//measure")), len(root.findall(".//fermata")), len(styles), Counter(styles)))
                 except Exception:  # a broken file is a row of its own, not a broken corpus
-                    rows.append((path, None, None, None, None, None))
-            yield pd.DataFrame(rows, columns=["path", "title", "parts", "measures", "fermatas", "bar_styles"]).astype({c: "Int64" for c in ("parts", "measures", "fermatas", "bar_styles")})
+                    rows.append((path, None, None, None, None, None, None))
+            yield pd.DataFrame(rows, columns=["path", "title", "parts", "measures", "fermatas", "bar_styles", "styles"]).astype({c: "Int64" for c in ("parts", "measures", "fermatas", "bar_styles")})
 
-    return files.select("path", "content").mapInPandas(parse, "path string, title string, parts long, measures long, fermatas long, bar_styles long")
+    return files.select("path", "content").mapInPandas(parse, "path string, title string, parts long, measures long, fermatas long, bar_styles long, styles map<string,long>")
 
 
 def read_epochs(spark: SparkSession, path: str, names: dict[str, str]) -> DataFrame:
@@ -265,3 +267,47 @@ def name_metadata(name: Column) -> Column:
 def paired(images: DataFrame, labels: DataFrame) -> DataFrame:
     """Images and label files (stem, length) by stem; empty label files don't count."""
     return images.join(labels.where("length > 0").select("stem").distinct(), "stem")
+
+
+#: Parts of file names and the source they stand for, in the order in which they are tried, by the report that uses them.
+SOURCES = {
+    "sizes": [("lg-", "openscore_lg"), ("lieder_openscore", "openscore_lieder"), ("muscima", "muscima"), ("cvc", "muscima"), ("_ds2_", "ds2"), ("ds2_train", "ds2"), ("ds2_val", "ds2"), ("doremi", "doremi"), ("rebelo", "rebelo"), ("fornes", "fornes")],
+    "classes": [("lg-", "openscore"), ("doremi", "doremi"), ("muscima", "muscima")],
+    "heads": [("muscima", "muscima"), ("doremi", "doremi"), ("beethoven", "beethoven"), ("emmentaler", "emmentaler"), ("lilyjazz", "lilyjazz"), ("gutenberg", "gutenberg")],
+    "splits": [("^p4_", "Phase 4"), ("^ds2_", "DeepScoresV2"), ("^synth_f_", "Synthetic Fermata"), ("^synth_b_", "Synthetic Barline")],
+}
+
+
+def source_of(name: Column, rules: str = "sizes", other: str | None = None) -> Column:
+    """The source of a file by the first of the SOURCES of `rules` that its name holds (^: starts with), else `other`.
+
+    "classes" and "splits" heed case, the others don't.
+    """
+    plain = name if rules in ("classes", "splits") else F.lower(name)
+    out = F.lit(other or ("Unknown" if rules == "splits" else "other"))
+    for part, source in reversed(SOURCES[rules]):
+        out = F.when(plain.startswith(part[1:]) if part[0] == "^" else plain.contains(part), source).otherwise(out)
+    return F.when(name.isNotNull(), out)
+
+
+def symbol_name(name: Column) -> Column:
+    """struct(source, label, crop, left, right) of `source_label_box_box_box.jpg`, boxes as arrays of four ints; NULL with fewer parts, a NULL box where there aren't four numbers."""
+    parts = F.split(F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.(?:jpg|png)", ""), "_")
+    numbers = lambda k: F.transform(F.split(F.get(parts, F.lit(k)), "x"), lambda v: v.try_cast("int"))
+    box = lambda k: F.when((F.size(numbers(k)) == 4) & ~F.exists(numbers(k), lambda v: v.isNull()), numbers(k))
+    return F.when(F.size(parts) >= 5, F.struct(F.get(parts, F.lit(0)).alias("source"), F.get(parts, F.lit(1)).alias("label"), box(2).alias("crop"), box(3).alias("left"), box(4).alias("right")))
+
+
+def page_name(name: Column) -> Column:
+    """struct(piece, page) of `Parsed_<piece>-layout-0-muscima_Page_<n>.xml` and of `<piece>-<n>.png`; NULL for other names. Pages pair by both."""
+    file = F.element_at(F.split(name, "/"), -1)
+    found = lambda regex: F.when(F.regexp_extract(file, regex, 2) != "", F.struct(F.regexp_extract(file, regex, 1).alias("piece"), F.regexp_extract(file, regex, 2).try_cast("int").alias("page")))
+    return F.coalesce(found(r"^Parsed_(.+)-layout-0-muscima_Page_(\d+)\.xml$"), found(r"^(.+)-(\d+)\.png$"))
+
+
+def pitched(notes: DataFrame, column: str = "pitch") -> tuple[DataFrame, DataFrame]:
+    """Notes with the midi number of their pitch name, and those whose name can't be read, with the reason (missing, or unreadable)."""
+    from partita.functions.pitch import midi_of_name
+
+    both = notes.withColumn("midi", midi_of_name(F.col(column)))
+    return both.where("midi IS NOT NULL"), both.where("midi IS NULL").drop("midi").withColumn("reason", F.when(F.col(column).isNull(), "missing").otherwise("unreadable"))
