@@ -36,13 +36,15 @@ def dedup_lines(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, salts:
     frequent = each.groupBy(key).agg(F.count_distinct(F.struct(f"{row}.id")).alias(drop)).where(F.col(drop) >= min_docs).select(key)
     frequent = frequent.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     salted = each.withColumn(salt, F.pmod(F.xxhash64(row), F.lit(salts)).cast("int"))
-    dropped = salted.join(frequent, [key, salt], "left_semi").groupBy(row).agg(F.collect_set(pos).alias(drop))
+    dropped = salted.join(frequent, [key, salt], "left_semi").groupBy(row).agg(F.array_sort(F.collect_set(pos)).alias(drop))
 
-    right = dropped.select(F.col(row).alias(row + "r"), drop)
+    # a flag for each line up to the last dropped one: looked up by position as the lines are gone through once
+    flags = F.flatten(F.transform(drop, lambda p, j: F.concat(F.array_repeat(F.lit(False), p - F.coalesce(F.get(drop, j - 1), F.lit(-1)) - 1), F.array(F.lit(True)))))
+    right = dropped.select(F.col(row).alias(row + "r"), F.size(drop).alias(pos), flags.alias(key))
     out = base.join(right, F.col(row).eqNullSafe(F.col(row + "r")), "left")
     cut = F.split("text", "\n", -1)
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(cut) - 1), F.col(drop)), lambda i: F.get(cut, i))
-    out = out.withColumn(counts[0], F.size(cut).cast("long")).withColumn(counts[1], F.coalesce(F.size(drop), F.lit(0)).cast("long"))
-    out = out.withColumn("text", F.when(F.col(drop).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
+    kept = F.filter(cut, lambda line, i: ~F.coalesce(F.get(key, i), F.lit(False)))
+    out = out.withColumn(counts[0], F.size(cut).cast("long")).withColumn(counts[1], F.coalesce(F.col(pos), F.lit(0)).cast("long"))
+    out = out.withColumn("text", F.when(F.col(pos).isNull(), F.col("text")).otherwise(F.concat_ws("\n", kept)))
     names = list(docs.columns) + [c for c in counts if c.lower() not in {x.lower() for x in docs.columns}]
     return out.select(*names)
