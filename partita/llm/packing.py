@@ -38,8 +38,8 @@ class Packer:
 
     A document longer than the longest tier is cut into full windows first. The rest goes to the smallest tier that holds it.
     Tiers are packed from the longest down: each document opens a window, and the gap behind it is filled from the pools of
-    the shorter tiers, largest fitting piece first; where none fits, one is cut to measure. Only full windows leave before
-    the end; what is over then is joined into windows of the longest tier, and the last of these is cut into full windows of
+    the shorter tiers, largest fitting piece first; where none fits, one is cut to measure, and where there are none, a piece of the
+    tier itself. So a pool holds one unfilled window at most after each packing. Only full windows leave before the end; what is over then is joined into windows of the longest tier, and the last of these is cut into full windows of
     power-of-two lengths. Windows of a tier are dealt in order to step groups of `step_tokens` tokens, so that all groups of
     a tier hold the same number of tokens; a group's number is its own among all tiers and tasks.
     """
@@ -68,12 +68,12 @@ class Packer:
             at += len(ids)
         self.windows += 1
 
-    def _fill(self, window: list[tuple], gap: int, shorter: list[int]) -> int:
-        """Fills a gap from the pools of `shorter` tiers; gives what stays open."""
+    def _fill(self, window: list[tuple], gap: int, tier: int, shorter: list[int]) -> int:
+        """Fills a gap from the pools of `shorter` tiers, and where they are empty by cutting pieces of the tier itself; gives what stays open."""
         while gap:
             source = next((t for t in shorter if self.pool[t] and len(self.pool[t][0][2]) <= gap), None)
             if source is None:
-                source = next((t for t in reversed(shorter) if self.pool[t]), None)
+                source = next((t for t in (*reversed(shorter), tier) if self.pool[t]), None)
                 if source is None:
                     return gap
             doc_id, start, ids, n = self.pool[source].popleft()
@@ -88,11 +88,11 @@ class Packer:
     def pack(self) -> None:
         """Turns the pools into full windows; pieces of windows that can't be filled yet go back to their pools."""
         for k, tier in enumerate(self.tiers):
-            shorter = self.tiers[k + 1 :] or self.tiers[k:]
+            shorter = self.tiers[k + 1 :]
             while self.pool[tier]:
                 first = self.pool[tier].popleft()
                 window = [first]
-                if self._fill(window, tier - len(first[2]), shorter):
+                if self._fill(window, tier - len(first[2]), tier, shorter):
                     for piece in window:
                         self.pool[min(t for t in self.tiers if t >= len(piece[2]))].appendleft(piece)
                     break
