@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.geometry import aspect
 from partita.operators.detection import box_pairs, greedy_match, nms_truth, self_pairs
+from partita.operators.pairs import MOST, by_size
 from partita.operators.ranges import quantiles
 from partita.sources.storage import written
 
@@ -253,25 +254,36 @@ def rounded_duplicates(boxes: DataFrame, grid: float = 0.005) -> DataFrame:
     return boxes.select("image_id", "class_id", *key).groupBy("image_id", "k_cx", "k_cy", "k_w", "k_h").agg(F.count("*").alias("n"), F.count_distinct("class_id").alias("classes")).where("n > 1")
 
 
-def nearest(boxes: DataFrame, classes: tuple[int, ...], cell: float = 0.125) -> DataFrame:
+def nearest(boxes: DataFrame, classes: tuple[int, ...], cell: float = 0.125, most: int = MOST) -> DataFrame:
     """For each box of `classes`: distance to the nearest other centre of them in its image, and the largest IoU with one.
 
-    Centres are sought in the grid cells around a box's own; only boxes that find none within a cell's width there are compared with all
-    of their image. Overlaps come from the grid join of pairs.
+    Centres are sought in the grid cells around a box's own, in images of more than `most` boxes in cells an eighth as wide; a box that finds none within a
+    cell's width goes on with cells four times as wide, and so on. Boxes that are alone in their image, or have no centre, give no row.
     """
-    b = boxes.where(F.col("class_id").isin(*classes)).select("image_id", "line_no", "cx", "cy", "x1", "y1", "x2", "y2")
-    o = b.select("image_id", F.col("line_no").alias("o_line"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+    b = boxes.where(F.col("class_id").isin(*classes)).select("image_id", "line_no", "cx", "cy", "x1", "y1", "x2", "y2").dropna(subset=["cx", "cy"])
     d2 = F.min((F.col("cx") - F.col("ox")) * (F.col("cx") - F.col("ox")) + (F.col("cy") - F.col("oy")) * (F.col("cy") - F.col("oy"))).alias("d2")
-    at = lambda c: F.floor(F.col(c) / cell)
-    around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
-    here = b.select("image_id", "line_no", "cx", "cy").withColumn("gx", around("cx")).withColumn("gy", around("cy"))
-    there = o.withColumn("gx", at("ox")).withColumn("gy", at("oy"))
-    near = here.join(there, ["image_id", "gx", "gy"]).where("line_no <> o_line").groupBy("image_id", "line_no").agg(d2)
-    near = written(near.where(F.col("d2") <= cell * cell), "near")
-    far = b.join(near, ["image_id", "line_no"], "left_anti").join(o, "image_id").where("line_no <> o_line").groupBy("image_id", "line_no").agg(d2)
-    p = self_pairs(b, cell=cell)
+
+    def rings(rows: DataFrame, reach: float) -> DataFrame:
+        o = rows.select("image_id", F.col("line_no").alias("o_line"), F.col("cx").alias("ox"), F.col("cy").alias("oy"))
+        some = rows.groupBy("image_id").agg(F.count("*").alias("n")).where("n > 1").select("image_id")
+        left, found = rows.join(some, "image_id", "left_semi").select("image_id", "line_no", "cx", "cy"), None
+        while True:
+            at = lambda c: F.floor(F.col(c) / reach)
+            around = lambda c: F.explode(F.sequence(at(c) - 1, at(c) + 1))
+            here = left.withColumn("gx", around("cx")).withColumn("gy", around("cy"))
+            there = o.withColumn("gx", at("ox")).withColumn("gy", at("oy"))
+            near = here.join(there, ["image_id", "gx", "gy"]).where("line_no <> o_line").groupBy("image_id", "line_no").agg(d2)
+            near = written(near.where(F.col("d2") <= reach * reach), "near")
+            found = near if found is None else found.union(near)
+            left = written(left.join(near, ["image_id", "line_no"], "left_anti"), "far")
+            if left.isEmpty():
+                return found
+            reach *= 4
+
+    near = by_size(b, ("image_id",), lambda rows: rings(rows, cell), lambda rows: rings(rows, cell / 8), most)
+    p = self_pairs(b, most=most)
     ends = p.select("image_id", F.col("t_line_no").alias("line_no"), "iou").union(p.select("image_id", "d_line_no", "iou")).groupBy("image_id", "line_no").agg(F.max("iou").alias("overlap"))
-    return near.union(far).join(ends, ["image_id", "line_no"], "left").select("image_id", "line_no", F.sqrt("d2").alias("distance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    return near.join(ends, ["image_id", "line_no"], "left").select("image_id", "line_no", F.sqrt("d2").alias("distance"), F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
 def distribution(df: DataFrame, column: str, shares: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95), by: tuple[str, ...] = (), exact: bool = True) -> DataFrame:

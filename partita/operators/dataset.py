@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from partita.functions.draws import draw, hashed
 from partita.functions.geometry import Box, box, iou, to_corners
 from partita.operators.detection import keep_apart, ordered
-from partita.operators.pairs import MOST, by_size
+from partita.operators.pairs import MOST, box_pairs, by_size
 from partita.operators.ranges import LONG, in_ranges, lagged, previous, quantiles, running
 from partita.operators.rounds import apart_by_rounds, centres_apart_by_rounds
 from partita.sources.storage import written
@@ -327,9 +327,10 @@ def paste_plan(boxes: DataFrame, tails: DataFrame, target: int, per_image: int =
     key = F.concat_ws("/", "source_image", "source_line", "try")
     offers = offers.withColumn("rank", F.floor(draw(key, seed) * n) + 1).join(images, "rank")
     offers = offers.withColumn("cx", F.col("w") / 2 + draw(key, seed + 1) * (1 - F.col("w"))).withColumn("cy", F.col("h") / 2 + draw(key, seed + 2) * (1 - F.col("h")))
-    there = boxes.select(F.col("image_id").alias("ti"), *[F.col(c).alias(f"t{c}") for c in CENTRE])
-    hit = (F.col("image_id") == F.col("ti")) & (iou(to_corners(box("", CENTRE)), to_corners(box("t", CENTRE))) > 0.1)
-    free = offers.join(there, hit, "left_anti")
+    cornered = lambda df: df.select("*", *to_corners(box("", CENTRE)).named("x1", "y1", "x2", "y2"))
+    offer = ["image_id", "class_id", "source_image", "source_line", "try"]
+    meets = box_pairs(cornered(boxes.select("image_id", *CENTRE)), cornered(offers.select(*offer, *CENTRE))).where(F.col("iou") > 0.1)
+    free = offers.join(meets.select("image_id", *[F.col(f"d_{c}").alias(c) for c in offer[1:]]), offer, "left_anti")
     free = free.withColumn("turn", hashed(key))
     a = F.row_number().over(Window.partitionBy("image_id").orderBy("turn", "class_id", "source_image", "source_line"))
     ranked = global_rank(free.withColumn("a", a).where(F.col("a") <= per_image), [F.col("class_id"), F.col("turn"), F.col("source_image"), F.col("source_line")])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partita.functions.geometry import box, to_centre
-from partita.operators import dataset, detection, pairs, rounds
+from partita.operators import audit, dataset, detection, pairs, rounds
 
 BOX = "image_id int, line_no int, class_id int, conf double, x1 double, y1 double, x2 double, y2 double"
 
@@ -100,3 +100,16 @@ def test_components(spark):
             label[a] = label[b] = min(label[a], label[b])
     got = {r.node: r.knot for r in rounds.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {n: k for n, k in label.items() if any(n in e and e[0] != e[1] for e in edges)}
+
+
+def test_nearest_by_growing_rings(spark):
+    rng = random.Random(8)
+    data = [(1, k, 0, rng.uniform(0, 0.05), rng.uniform(0, 0.05)) for k in range(60)] + [(1, 100, 0, 0.97, 0.9), (1, 101, 0, 0.4, 0.02)] + [(2, 1, 0, 0.1, 0.1), (2, 2, 0, 30.0, 40.1)] + [(3, 1, 0, 0.5, 0.5), (4, 1, 0, None, 0.5), (4, 2, 0, 0.1, 0.1), (4, 3, 0, 0.1, 0.1)]
+    df = spark.createDataFrame(data, "image_id int, line_no int, class_id int, cx double, cy double").withColumns({"x1": F.col("cx") - 0.01, "y1": F.col("cy") - 0.01, "x2": F.col("cx") + 0.01, "y2": F.col("cy") + 0.01})
+    want = {}
+    for i, k, _, x, y in data:
+        others = [((x - u) ** 2 + (y - v) ** 2) ** 0.5 for j, m, _, u, v in data if (j, m) != (i, k) and j == i and None not in (u, x)]
+        if others:
+            want[i, k] = round(min(others), 9)
+    for most in (4096, 0, 10):
+        assert {(r.image_id, r.line_no): round(r.distance, 9) for r in audit.nearest(df, (0,), most=most).collect()} == want
