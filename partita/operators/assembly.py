@@ -252,12 +252,13 @@ def edge_barlines(boxes: DataFrame, classes: tuple[int, ...] = (3, 4), width: fl
     return both.select("image_id", "line_no", "e.side", F.col("e.x").alias("cx"), "cy", F.lit(width).alias("w"), "h")
 
 
-def measures_by_count(notes: DataFrame, barlines: DataFrame) -> DataFrame:
-    """Notes (image_id, sym_id, x) with measure: 1 and the barlines (image_id, x) left of them, from one running sum over both."""
+def measures_by_count(notes: DataFrame, barlines: DataFrame, most: int = LONG) -> DataFrame:
+    """Notes (image_id, sym_id, x) with measure: 1 and the barlines (image_id, x) left of them, from one running sum over both; images of more than `most` of them spread over ranges."""
     sym = notes.schema["sym_id"].dataType
     both = notes.select("image_id", "x", "sym_id", F.lit(0).alias("bar")).union(barlines.select("image_id", "x", F.lit(None).cast(sym), F.lit(1)))
     upto = Window.partitionBy("image_id").orderBy("x", "bar").rowsBetween(Window.unboundedPreceding, 0)  # at one x the notes come first
-    return both.withColumn("measure", (F.sum("bar").over(upto) + 1).cast("int")).where("sym_id IS NOT NULL").select("image_id", "sym_id", "measure")
+    rows = by_size(both, ("image_id",), lambda r: r.withColumn("n", F.sum("bar").over(upto)), lambda r: running(r, ("image_id",), ["x", "bar", "sym_id"], "n", "bar"), most)
+    return rows.where("sym_id IS NOT NULL").select("image_id", "sym_id", (F.col("n") + 1).cast("int").alias("measure"))
 
 
 def piece_recall(expected: DataFrame, detected: DataFrame) -> DataFrame:

@@ -75,6 +75,21 @@ def f13_unreadable_pitches(spark, sf_dir):
     return readers.pitched(symbols(spark, sf_dir).select("image_id", "sym_id", name.alias("pitch")))[1]
 
 
+@query("s13_listed_pairs", """WITH d AS (SELECT doc_id, CAST(doc_id AS VARCHAR) AS stem, 's'||(doc_id%4) AS source, ['train/images','images/train','images','images/train'][1+doc_id%4] AS i, ['train/labels','labels/train','labels','labels'][1+doc_id%4] AS l, CASE doc_id%5 WHEN 0 THEN '.gif' WHEN 1 THEN '.JPG' ELSE '.png' END AS ext FROM documents)
+ SELECT source, stem, i||'/'||stem||ext AS image, l||'/'||stem||'.txt' AS label FROM d JOIN labels USING (doc_id) WHERE quality=1 AND doc_id%5<>0 AND (doc_id%4<>3 OR doc_id%3=0)""")
+def s13_listed_pairs(spark, sf_dir):
+    """Four sources with a layout each; the last has images in two folders, of which one counts."""
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    k = F.col("doc_id")
+    pick = lambda names: F.element_at(F.array(*map(F.lit, names)), (1 + k % 4).cast("int"))
+    folder = F.when((k % 4 == 3) & (k % 3 != 0), "images").otherwise(pick(("train/images", "images/train", "images", "images/train")))
+    ext = F.when(k % 5 == 0, ".gif").when(k % 5 == 1, ".JPG").otherwise(".png")
+    source, stem = F.concat(F.lit("s"), (k % 4).cast("string")).alias("source"), k.cast("string")
+    images = docs.select(source, F.concat(folder, F.lit("/"), stem, ext).alias("path"), F.lit(9).alias("length"))
+    texts = labels.select(source, F.concat(pick(("train/labels", "labels/train", "labels", "labels")), F.lit("/"), stem, F.lit(".txt")).alias("path"), F.col("quality").cast("int").alias("length"))
+    return readers.listed_pairs(images.union(texts))
+
+
 # Geometry of odd inputs
 
 

@@ -311,3 +311,26 @@ def pitched(notes: DataFrame, column: str = "pitch") -> tuple[DataFrame, DataFra
 
     both = notes.withColumn("midi", midi_of_name(F.col(column)))
     return both.where("midi IS NOT NULL"), both.where("midi IS NULL").drop("midi").withColumn("reason", F.when(F.col(column).isNull(), "missing").otherwise("unreadable"))
+
+
+#: Where a source may keep its images and its labels, in the order in which they are looked for.
+LAYOUTS = {"image": ("train/images", "images/train", "images"), "label": ("train/labels", "labels/train", "labels")}
+
+
+def listed_pairs(files: DataFrame) -> DataFrame:
+    """Images (png, jpg, jpeg) and label files that aren't empty, by source and stem, from a listing (source, path below the source, length): source, stem, image, label.
+
+    Of each source the first folder of LAYOUTS that there is counts, for images and labels each; what lies in its other folders, or deeper, is left out.
+    """
+    name = F.element_at(F.split("path", "/"), -1)
+    parts = files.select("source", "path", "length", F.regexp_extract("path", r"^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract(name, r"^(.*?)(?:\.[^.]*)?$", 1).alias("stem"), F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1)).alias("ext"))
+    sides = {}
+    for kind, folders in LAYOUTS.items():
+        place = F.lit(None).cast("int")
+        for k, folder in reversed(list(enumerate(folders))):
+            place = F.when(F.col("path").startswith(folder + "/"), k).otherwise(place)
+        first = parts.groupBy("source").agg(F.min(place).alias("place"))
+        wanted = F.element_at(F.array(*map(F.lit, folders)), F.col("place") + 1)
+        fits = F.col("ext").isin("png", "jpg", "jpeg") if kind == "image" else (F.col("ext") == "txt") & (F.col("length") > 0)
+        sides[kind] = parts.where(fits).join(first.where("place IS NOT NULL"), "source").where(F.col("folder") == wanted).select("source", "stem", F.col("path").alias(kind))
+    return sides["image"].join(sides["label"], ["source", "stem"])

@@ -111,3 +111,13 @@ def test_repeated_lines_over_ranges(spark, monkeypatch):
     own = ranges.previous
     monkeypatch.setattr(dataset, "previous", lambda *a: own(*a, most=0))
     assert lines(dataset.repeated_report(df)) == want
+
+
+def test_measures_over_ranges(spark):
+    rng = random.Random(9)
+    notes = [(1 if k % 3 else 2, k, float(rng.randint(0, 60))) for k in range(150)]
+    bars = [(1, float(rng.randint(0, 60))) for _ in range(25)] + [(3, 1.0)]
+    want = sorted((i, k, 1 + sum(j == i and y < x for j, y in bars)) for i, k, x in notes)
+    n, b = spark.createDataFrame(notes, "image_id int, sym_id int, x double"), spark.createDataFrame(bars, "image_id int, x double")
+    for most in (10**6, 0):
+        assert sorted(map(tuple, assembly.measures_by_count(n, b, most).collect())) == want
