@@ -60,7 +60,7 @@ def plain(rows):
 
 @pytest.mark.parametrize("most", [2_000_000, 10])
 def test_equals_plain_loops(spark, data, most, monkeypatch):
-    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").limit(60).collect()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
     rows = ODD + [tuple(r) for r in docs]
     own = alignment.aligned_slices
     monkeypatch.setattr(alignment, "aligned_slices", lambda docs, v: own(docs, v, most))
