@@ -133,7 +133,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, t
     A null text counts as empty; every document has at least its end id. Repeated rows are packed as documents of their own;
     a null doc_id stays null; other columns are ignored; an empty table gives no rows. Tiers have to be powers of two. Each
     input partition packs its own documents (no shuffle, no state between tasks), so a retried task gives the same rows;
-    memory is bounded by a slice of 8 MB of text and one unfilled window a tier.
+    memory is bounded by a slice of 4 MB of text and one unfilled window a tier.
     """
     if any(t & (t - 1) for t in tiers):
         raise ValueError("tiers have to be powers of two")
@@ -142,7 +142,7 @@ def pack_documents(docs: DataFrame, ranks: str, pattern: str, end_id: int = 0, t
         encoder = _kept.get((ranks, pattern)) or _kept.setdefault((ranks, pattern), ranks_encoder(ranks, pattern))
         packer = Packer(TaskContext.get().partitionId(), tiers, step_tokens)
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", 4 << 20):
                 flat, bounds = encoder.encode(batch.column("text").to_pylist())
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), bounds[:-1], bounds[1:]):
                     packer.add(doc_id, np.append(flat[a:b], np.int32(end_id)))
