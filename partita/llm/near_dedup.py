@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partita.llm.common import slices, written
+from partita.llm.common import fresh, slices, written
 from partita.llm.components import connected_components
 from partita.llm.shingles import MinHash, shingle_sets
 
@@ -212,6 +212,21 @@ def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -
     return rows.join(reps.select("id", "n", "signature", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
+def _perhaps(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of `docs` that have one of the `n` doc_ids of `ids`, and one in sixteen of the others or more, up to all of them.
+
+    A bit for a hash of each doc_id, in bitmaps of 4 KB that Spark aggregates: 8 MB at most whatever n is, so that they can be broadcast.
+    """
+    bits = min(1 << 26, max(1 << 15, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    spot, maps = fresh(docs, "bitmap"), fresh(docs, "bucket")
+    made = ids.groupBy(F.bitmap_bucket_number(place).alias(maps)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(spot))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring(F.col(spot), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = docs.withColumn(maps, F.bitmap_bucket_number(place)).join(F.broadcast(made), maps)
+    return held.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64(doc_id), {bits}L)) % 8 as int))")) != 0).select(*docs.columns)
+
+
 def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     """(id, shingles) of the sets `ids`, made again from the texts of their documents."""
 
@@ -223,8 +238,10 @@ def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataF
                 found = list(shingle_sets(batch.column("text"), words))
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    wanted = reps.join(ids, "id", "left_semi")
-    texts = docs.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    wanted = written(reps.join(ids, "id", "left_semi").select("set_id", "id", "doc_id"), "wanted")
+    # texts that aren't wanted are left out where they are read, not after they have been dealt out by doc_id
+    # (a semi-join would be pushed below the join with the bitmaps)
+    texts = _perhaps(docs, wanted, wanted.count()).join(wanted.select("doc_id").distinct(), "doc_id").select("text")
     made = texts.mapInArrow(run, "set_id binary, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
     return written(made.join(wanted.select("set_id", "id"), "set_id").select("id", "shingles"), "shingles")
 
