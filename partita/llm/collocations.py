@@ -359,6 +359,20 @@ def _ranked(df: DataFrame, keys: list[str], order: list, top: int, parts: int =
     return some.withColumn("rank", place(*keys)).where(F.col("rank") <= top)
 
 
+def _with_counts(cuts: DataFrame, known: DataFrame, total: int, side: str, name: str, salts: int, share: int = 4096) -> DataFrame:
+    """`cuts` with the occurrences of the phrase in column `side`, as column `name`; that phrase is always among the known ones.
+
+    A phrase that is over a `share`-th of all `total` words may be part of many others. There are at most `share` such phrases of one
+    length, so they are broadcast, and their cuts are spread over `salts` keys that match nothing; all other phrases have one row.
+    """
+    count = F.col("n") * share > total
+    often = known.where(count).select("lang", F.col("phrase").alias(side), F.col("n").alias("often"))
+    rest = known.where(~count).select("lang", F.col("phrase").alias(side), F.lit(0).alias("salt"), "n")
+    cuts = cuts.join(F.broadcast(often), ["lang", side], "left")
+    cuts = cuts.withColumn("salt", F.when(F.col("often").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int")))
+    return cuts.join(rest, ["lang", side, "salt"], "left").withColumn(name, F.coalesce("often", "n")).drop("often", "salt", "n")
+
+
 def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int = 50, top: int = 2000, salts: int = 16) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of the strongest phrases of each language.
 
@@ -381,6 +395,7 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     docs = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
     counts = written(phrase_counts(docs, longest, least), "counts")
     known = counts.where("size > 0").select("lang", "phrase", "n")
+    total = counts.where("size = 0").agg(F.sum("n")).first()[0] or 0
     found = counts.where("size > 1").select("lang", "size", "phrase", F.col("n").alias("a"), F.split("phrase", " ").alias("words"))
 
     join = lambda at, n: F.array_join(F.slice("words", at, n), " ")
@@ -389,10 +404,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, inside: int
     kept = found.join(inner, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < inside * F.col("a"), F.lit(True)))
 
     cuts = kept.select("lang", "phrase", "a", "size", "words", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
-    cuts = cuts.select("lang", "phrase", "a", "k", join(F.lit(1), F.col("k")).alias("head"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"), F.pmod(F.xxhash64("phrase"), F.lit(salts)).cast("int").alias("salt"))
-    every = known.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))  # a common word is part of many phrases
+    cuts = cuts.select("lang", "phrase", "a", "k", join(F.lit(1), F.col("k")).alias("head"), join(F.col("k") + 1, F.col("size") - F.col("k")).alias("tail"))
     for side, name in (("head", "l"), ("tail", "r")):
-        cuts = cuts.join(every.select("lang", "salt", F.col("phrase").alias(side), F.col("n").alias(name)), ["lang", "salt", side])
+        cuts = _with_counts(cuts, known, total, side, name, salts)
     wide = {c: F.col(c).cast("decimal(16,0)") for c in ("a", "l", "r")}
     score = cuts.select("lang", "phrase", "k", F.col("a").alias("count"), F.col("l").alias("left"), F.col("r").alias("right"), *[v.alias(c) for c, v in wide.items()])
     score = score.withColumn("score", F.expr("(a * a * 1000000BD) div (l * r)"))
