@@ -184,7 +184,8 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
     Each query starts from the best of at most `entries` nodes (those of least hash) and, where its query_id is a node of the graph,
     from that node, so that a start is near whatever the number of nodes. A step takes the nodes of the beam not
     expanded yet, joins them with their neighbours both ways (the `degree` nearest), measures those and keeps the best ef; it
-    ends when no beam has a node left to expand. Queries go in blocks of `block`, so that a node that many
+    ends when no beam has a node left to expand. A query whose beam has none is put aside at once, so that the last steps, which
+    few queries need, carry only their beams. Queries go in blocks of `block`, so that a node that many
     queries of a block meet is sent to it once; the nodes that a block meets in a step are cut into parts of about `part`, and the
     block's queries go to those parts only.
     """
@@ -248,8 +249,9 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
     own = asked.join(packed.select("id"), asked["query_id"] == packed["id"], "left_semi").select("query_id", "block", F.col("query_id").alias("node"), F.lit(1.0).cast("float").alias("sim"))
     first = entered.union(own).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"))
     beam = written(first.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k").withColumn("done", F.lit(False)), "beam")
-    while not beam.where("NOT done").isEmpty():
-        todo = beam.where("NOT done").withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).select("query_id", "block", "node")
+    ended = beam.select("query_id", "node", "sim").limit(0)
+    while not beam.isEmpty():
+        todo = beam.where("NOT done").select("query_id", "block", "node")
         met = todo.join(links, todo["node"] == links["id"]).groupBy("block").applyInArrow(meet, "block int, node long, queries array<long>")
         met = written(met, "met")
         parts = met.groupBy("block").agg(F.ceil(F.count("*") / part).alias("parts"))
@@ -257,10 +259,13 @@ def search(packed: DataFrame, graph: DataFrame, asked: DataFrame, ef: int = 192,
         floor = beam.groupBy("query_id").agg(F.when(F.count("*") >= ef, F.min("sim")).otherwise(F.lit(-2.0)).cast("float").alias("floor"))
         lit = asked.join(floor, "query_id").join(parts, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
         new = met.groupBy("block", "part").cogroup(lit.groupBy("block", "part")).applyInArrow(measure, "query_id long, block int, node long, sim float")
-        now = beam.join(todo.select("query_id", "node", F.lit(True).alias("now")), ["query_id", "node"], "left").select("query_id", "block", "node", "sim", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
-        every = now.union(new.withColumn("done", F.lit(False))).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
-        beam = written(every.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k"), "beam")
-    return beam.select("query_id", "node", "sim")
+        # a beam holds ef nodes at most, so a step expands all that were left
+        every = beam.withColumn("done", F.lit(True)).union(new.withColumn("done", F.lit(False))).groupBy("query_id", "block", "node").agg(F.max("sim").alias("sim"), F.max("done").alias("done"))
+        kept = every.withColumn("k", F.row_number().over(by)).where(F.col("k") <= ef).drop("k")
+        step = written(kept.withColumn("live", F.max(~F.col("done")).over(Window.partitionBy("query_id"))), "beam")
+        ended = ended.union(step.where("NOT live").select("query_id", "node", "sim"))
+        beam = step.where("live").drop("live")
+    return ended
 
 
 def _candidates(packed: DataFrame, graph: DataFrame, asked: DataFrame, k: int, ef: int = 192, entries: int = 1024) -> DataFrame:
