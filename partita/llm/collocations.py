@@ -121,6 +121,7 @@ def chunk_rows(docs: DataFrame, p: Plan, most: int = 16 << 20) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([packed(t.slice(lo, hi - lo))], pa.binary())], ["slice", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what an earlier stage has left in this worker
         parts, held = [], 0
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
@@ -131,6 +132,7 @@ def chunk_rows(docs: DataFrame, p: Plan, most: int = 16 << 20) -> DataFrame:
                 if held > most:
                     yield from flushed(parts)
                     parts, held = [], 0
+                    pa.default_memory_pool().release_unused()
         if parts:
             yield from flushed(parts)
 
@@ -341,6 +343,7 @@ def phrase_counts(docs: DataFrame, longest: int, least: int) -> DataFrame:
     often = frequent_hashes(rows.where("bucket >= 0"), p)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         kept = [_expanded(d)[0] for d in right.column("data").to_pylist()]
         often = np.sort(np.concatenate(kept)) if kept else np.zeros(0, np.uint64)
         found = [t for data in left.column("data").to_pylist() for t in Grams.unpacked(data, p).phrases(often)]
