@@ -191,13 +191,15 @@ def _cross_pairs(rows: DataFrame, chunks: Chunks, distance: int, similarity: int
     return rows.mapInArrow(run, "a long, b long, d int, ca long, cb long, more boolean")
 
 
-def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -> DataFrame:
-    """The rows of _cross_pairs for the buckets that hold more than one component.
+def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int, only: DataFrame | None = None) -> DataFrame:
+    """The rows of _cross_pairs for the buckets that hold more than one component (`only`: of these components).
 
     Inside a bucket's largest component nothing has to be compared, so it stands on one side only; either side is cut into
     blocks of about `block` rows.
     """
     placed = buckets.join(found, buckets["id"] == found["node"], "left").select("key", "id", F.coalesce("component", "id").alias("component"))
+    if only is not None:
+        placed = placed.join(only, "component", "left_semi")
     sizes = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     sizes = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum("m").alias("m"), F.max(F.struct("m", "component")).alias("main")).where("components > 1")
     sizes = sizes.select("key", F.col("main.component").alias("chief"), F.ceil((F.col("m") - F.col("main.m")) / block).alias("nx"), F.ceil(F.col("m") / block).alias("ny"))
@@ -212,25 +214,32 @@ def _blocks(buckets: DataFrame, found: DataFrame, reps: DataFrame, block: int) -
     return rows.join(reps.select("id", "n", "signature", "sketch"), "id").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
 
-def _perhaps(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
-    """The rows of `docs` that have one of the `n` doc_ids of `ids`, and one in sixteen of the others or more, up to all of them.
+def _perhaps(rows: DataFrame, ids: DataFrame, n: int, column: str = "doc_id") -> DataFrame:
+    """The rows whose `column` is one of the `n` values of `ids`, and one in sixteen of the others or more, up to all of them.
 
-    A bit for a hash of each doc_id, in bitmaps of 4 KB that Spark aggregates: 8 MB at most whatever n is, so that they can be broadcast.
+    A bit for a hash of each value, in bitmaps of 4 KB that Spark aggregates: 8 MB at most whatever n is, so that they can be broadcast.
     """
     bits = min(1 << 26, max(1 << 15, 1 << (16 * n).bit_length()))
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
-    spot, maps = fresh(docs, "bitmap"), fresh(docs, "bucket")
+    place = F.pmod(F.xxhash64(column), F.lit(bits))
+    spot, maps = fresh(rows, "bitmap"), fresh(rows, "bucket")
     made = ids.groupBy(F.bitmap_bucket_number(place).alias(maps)).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias(spot))
     at = F.bitmap_bit_position(place)
     byte = F.conv(F.hex(F.substring(F.col(spot), (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = docs.withColumn(maps, F.bitmap_bucket_number(place)).join(F.broadcast(made), maps)
-    return held.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64(doc_id), {bits}L)) % 8 as int))")) != 0).select(*docs.columns)
+    held = rows.withColumn(maps, F.bitmap_bucket_number(place)).join(F.broadcast(made), maps)
+    return held.where(byte.bitwiseAND(F.expr(f"shiftleft(1, cast(bitmap_bit_position(pmod(xxhash64({column}), {bits}L)) % 8 as int))")) != 0).select(*rows.columns)
 
 
-def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """(id, shingles) of the sets `ids`, made again from the texts of their documents."""
+def _sets(docs: DataFrame, reps: DataFrame, again: DataFrame | None, words: int) -> DataFrame:
+    """(id, shingles) of the sets `reps`, made again from the texts of their documents; again: the doc_ids of several rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = list(shingle_sets(batch.column("text"), words))
+                full = [k for k, s in enumerate(found) if len(s)]  # a row without words may share the doc_id
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(full, pa.int64())), pa.array([found[k].view(np.int64) for k in full], pa.list_(pa.int64()))], ["id", "shingles"])
+
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         for whole in batches:
@@ -238,21 +247,36 @@ def _sets(docs: DataFrame, reps: DataFrame, ids: DataFrame, words: int) -> DataF
                 found = list(shingle_sets(batch.column("text"), words))
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["set_id", "shingles"])
 
-    wanted = written(reps.join(ids, "id", "left_semi").select("set_id", "id", "doc_id"), "wanted")
+    wanted = written(reps.select("set_id", "id", "doc_id"), "wanted")
     # texts that aren't wanted are left out where they are read, not after they have been dealt out by doc_id
     # (a semi-join would be pushed below the join with the bitmaps)
-    texts = _perhaps(docs, wanted, wanted.count()).join(wanted.select("doc_id").distinct(), "doc_id").select("text")
-    made = texts.mapInArrow(run, "set_id binary, shingles array<long>").groupBy("set_id").agg(F.first("shingles").alias("shingles"))
-    return written(made.join(wanted.select("set_id", "id"), "set_id").select("id", "shingles"), "shingles")
-
-
-def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
+    texts = _perhaps(docs, wanted, wanted.count())
+    alone = wanted if again is None else wanted.join(again, "doc_id", "left_anti")
+    sets = texts.join(alone.select("doc_id", "id"), "doc_id").select("id", "text").mapInArrow(run, "id long, shingles array<long>")
+    if again is not None:  # which of the texts made a set is told by its digest
+        several = wanted.join(again, "doc_id", "left_semi")
+        made = texts.join(several.select("doc_id").distinct(), "doc_id").select("text").mapInArrow(digests, "set_id binary, shingles array<long>")
+        made = made.groupBy("set_id").agg(F.first("shingles").alias("shingles"))
+        sets = sets.union(made.join(several.select("set_id", "id"), "set_id").select("id", "shingles"))
+    return written(sets, "shingles")
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, again: DataFrame | None, words: int, similarity: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. Sets are made for the ends of these pairs only."""
+    sets = _sets(docs, reps.join(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id", "left_semi"), again, words)
     x, y = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", (F.size("x") + F.size("y")).alias("sum"), F.size(F.array_intersect("x", "y")).alias("common"))
     return written(both.where(100 * F.col("common") >= similarity * (F.col("sum") - F.col("common"))).select("a", "b"), "links")
 
 
+def _still_apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the components `found` (node, component) don't join, with their components ca < cb."""
+    here = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    pairs = pairs.select("a", "b").distinct().join(here("a"), "a", "left").join(here("b"), "b", "left")
+    pairs = pairs.select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+    return pairs.select("a", "b", F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+
+
 def _merged(found: DataFrame, links: DataFrame) -> DataFrame:
     """Components `found` (node, component), joined by further links."""
     return connected_components(links.union(found.select("node", "component")))
@@ -270,8 +294,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
        similarity 0.8, sets differ in more than 19 of 40 positions once in 30,000.
     3. Members meet their buckets' least ones; for each member the `leaders` nearest are confirmed on full sets. Thousands of
        copies thus cost a few links each, not all pairs. Components follow.
-    4. Pairs of a bucket within `distance` that lie in different components are compared too, first the `few` nearest pairs of
-       each two components; if two that have more pairs are still apart then, every pair of what is still apart: no link is
+    4. Pairs of a bucket within `distance` that lie in different components are compared too, first the 4 and then the `few` nearest
+       pairs of each two components; if two that have more pairs are still apart then, every pair of those two: no link is
        lost, for pairs inside a component can't change it. Sizes and sketches (bits that one set has and the other lacks) rule out pairs that can't reach the
        similarity; the rest is confirmed on full sets.
 
@@ -289,29 +313,37 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: int = 80, lengt
     reps = written(one.withColumn("id", F.monotonically_increasing_id()), "sets")
 
     keys = bucket_rows(reps, chunks)
-    shared = keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader")
-    buckets = written(keys.join(shared, "key"), "buckets")
-    near = _near_leaders(buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), reps, distance, similarity)
+    shared = written(keys.groupBy("key").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last").select("key", "leader"), "shared")
+    buckets = written(_perhaps(keys, shared, shared.count(), "key").join(shared, "key"), "buckets")
+    # only sets that share a bucket go on
+    ids = written(buckets.select("id").distinct(), "members")
+    members = written(_perhaps(reps, ids, ids.count(), "id").join(ids, "id"), "members")
+    near = _near_leaders(buckets.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), members, distance, similarity)
     turn = F.row_number().over(Window.partitionBy("b").orderBy("d", "a"))
     near = written(near.withColumn("turn", turn).where(F.col("turn") <= leaders).select("a", "b"), "near")
-    sets = _sets(docs, reps, buckets.select("id").distinct(), words)
+    again = written(known.groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select("doc_id"), "again")
+    again = None if again.isEmpty() else again
 
-    links = _confirmed(near, sets, similarity)
-    again = written(known.groupBy("doc_id").agg(F.min("set_id").alias("lo"), F.max("set_id").alias("hi")).where("lo <> hi").select("doc_id"), "again")
-    if not again.isEmpty():
+    confirmed = lambda pairs: _confirmed(pairs, docs, members, again, words, similarity)
+    links = confirmed(near)
+    if again is not None:
         several = known.join(again, "doc_id", "left_semi").select("doc_id", "set_id").distinct().join(reps.select("set_id", "id"), "set_id")
         links = links.union(several.join(several.groupBy("doc_id").agg(F.min("id").alias("b")), "doc_id").select(F.col("id").alias("a"), "b"))
     found = connected_components(links)
     turn = F.row_number().over(Window.partitionBy("ca", "cb").orderBy("d", "a", "b"))
-    apart = written(_cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, few).withColumn("turn", turn).where(F.col("turn") <= few + 1), "apart")
-    found = _merged(found, _confirmed(apart.where(F.col("turn") <= few), sets, similarity))
+    apart = written(_cross_pairs(_blocks(buckets, found, members, block), chunks, distance, similarity, few).withColumn("turn", turn).where(F.col("turn") <= few + 1), "apart")
+    # the nearest pairs of two components mostly link; the others are looked at where those didn't
+    for low, high in ((0, min(4, few)), (min(4, few), few)):
+        turn = written(_still_apart(apart.where((F.col("turn") > low) & (F.col("turn") <= high)), found), "turn")
+        if not turn.isEmpty():
+            found = _merged(found, confirmed(turn))
     # two components of which pairs were left out: are they one by now?
-    doubtful = apart.where((F.col("turn") > few) | F.col("more")).select("a", "b").distinct()
-    here = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
-    doubtful = doubtful.join(here("a"), "a", "left").join(here("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    if not doubtful.isEmpty():
-        apart = written(_cross_pairs(_blocks(buckets, found, reps, block), chunks, distance, similarity, None), "apart")
-        found = _merged(found, _confirmed(apart, sets, similarity))
+    doubtful = written(_still_apart(apart.where((F.col("turn") > few) | F.col("more")), found).select("ca", "cb").distinct(), "doubtful")
+    if not doubtful.isEmpty():  # of all other components, every pair has been confirmed or ruled out
+        only = doubtful.select(F.explode(F.array("ca", "cb")).alias("component")).distinct()
+        rest = _cross_pairs(_blocks(buckets, found, members, block, only), chunks, distance, similarity, None).join(doubtful, ["ca", "cb"], "left_semi")
+        rest = written(rest.select("a", "b").join(apart.where(F.col("turn") <= few), ["a", "b"], "left_anti"), "rest")
+        found = _merged(found, confirmed(rest))
 
     whole = reps.join(found, F.col("id") == F.col("node"), "left").select("set_id", "doc_id", F.coalesce("component", "id").alias("component"))
     least = whole.groupBy("component").agg(F.min("doc_id").alias("component_id"))
