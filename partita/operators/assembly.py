@@ -67,19 +67,18 @@ def measures(notes: DataFrame, barlines: DataFrame) -> DataFrame:
     Boundaries are the least x - 10, the different barlines (image_id, x), and the largest x + 10; intervals are half open. An empty interval is
     dropped unless it is the first; measures count from 1.
     """
-    ends = notes.groupBy("image_id").agg((F.min("x") - 10).alias("lo"), (F.max("x") + 10).alias("hi"))
-    inner = barlines.join(ends, "image_id").where("x > lo AND x < hi").select("image_id", "x")
-    edges = inner.union(ends.select("image_id", "lo")).union(ends.select("image_id", "hi")).distinct()
-    w = Window.partitionBy("image_id").orderBy("x")
-    spans = edges.select("image_id", F.col("x").alias("x_start"), F.lead("x").over(w).alias("x_end"), F.row_number().over(w).alias("k")).where("x_end IS NOT NULL")
-    # as-of: the last boundary at or before a note
-    both = notes.select("image_id", "x", "sym_id", F.lit(None).cast("int").alias("k")).union(spans.select("image_id", "x_start", F.lit(None).cast(notes.schema["sym_id"].dataType), "k"))
-    order = Window.partitionBy("image_id").orderBy("x", F.col("k").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    placed = both.withColumn("k", F.last("k", ignorenulls=True).over(order)).where("sym_id IS NOT NULL")
-    # an empty first interval keeps its number
-    first = placed.groupBy("image_id").agg(F.min("k").alias("least"))
-    rank = F.dense_rank().over(Window.partitionBy("image_id").orderBy("k"))
-    return placed.withColumn("rank", rank).join(first, "image_id").select("image_id", "sym_id", (F.col("rank") + (F.col("least") > 1).cast("int")).alias("measure"))
+    sym = notes.schema["sym_id"].dataType
+    both = notes.select("image_id", "x", "sym_id", F.lit(False).alias("bar")).union(barlines.select("image_id", "x", F.lit(None).cast(sym), F.lit(True)))
+    # dealt out anew: Spark 4.1 takes a union of parts dealt by image as dealt by image, though adaptive execution may have joined the partitions of each in its own way
+    both = both.repartition("image_id")
+    image, order = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("x", ~F.col("bar"))  # at one x the barlines come first
+    note = F.when(~F.col("bar"), F.col("x"))
+    both = both.withColumns({"lo": F.min(note).over(image) - 10, "hi": F.max(note).over(image) + 10, "left": F.lag("x").over(order)})
+    # a boundary opens an interval once, however many barlines stand there
+    opens = F.col("bar") & (F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")) & (F.col("left").isNull() | (F.col("left") < F.col("x")))
+    placed = both.withColumn("k", F.count_if(opens).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("bar"))
+    rank = F.dense_rank().over(image.orderBy("k"))
+    return placed.select("image_id", "sym_id", (rank + (F.min("k").over(image) > 0).cast("int")).alias("measure"))  # an empty first interval keeps its number
 
 
 def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("image_id",), most: int = LONG) -> DataFrame:
