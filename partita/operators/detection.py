@@ -240,8 +240,8 @@ def with_protocol(detections: DataFrame, protocols: DataFrame, most: int = MOST)
     return written(by_size(both, keys, folded, rounds, most), "suppressed")
 
 
-def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """name, map50, precision and recall of detections that carry a protocol's name."""
+def assigned(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """`assign` at one threshold for detections that carry a protocol's name, each protocol for itself."""
     pairs = named.select("image_id", "class_id", "name", "det_id", "conf", *CORNERS)
     t = truth.select("image_id", "class_id", "line_no", *CORNERS)
     found = box_pairs(t, pairs, ("image_id", "class_id"))
@@ -250,8 +250,12 @@ def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> Data
     all_ = pairs.select("name", "image_id", "class_id", "det_id", "conf").join(best, ["name", "image_id", "class_id", "det_id"], "left")
     all_ = all_.withColumn("hit", F.coalesce(F.col("iou") >= threshold, F.lit(False)))
     turn = F.row_number().over(Window.partitionBy("name", "image_id", "class_id", "line_no", "hit").orderBy(F.desc("conf"), "det_id"))
-    assigned = all_.withColumn("tp", F.when(F.col("hit") & (turn == 1), 1).otherwise(0))
-    report = class_report(assigned, truth, ("name",), named.select("name").distinct())
+    return all_.withColumn("tp", F.when(F.col("hit") & (turn == 1), 1).otherwise(0))
+
+
+def evaluate(truth: DataFrame, named: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """name, map50, precision and recall of detections that carry a protocol's name."""
+    report = class_report(assigned(truth, named, threshold), truth, ("name",), named.select("name").distinct())
     return summarised(report, ("name",)).select("name", F.col("map").alias("map50"), "precision", "recall")
 
 
@@ -259,16 +263,19 @@ def staged_sweep(truth: DataFrame, detections: DataFrame, confidences: tuple[flo
     """name, map50, precision, recall and place of the second stage of a sweep.
 
     Stage 1 ranks the confidences at the suppression IoU `first`, those of a precision of `least` or more before others; stage 2 crosses
-    the best `keep` with `ious`.
+    the best `keep` with `ious`. All crossings are scored in the one pass over the boxes that stage 1 needs, and written: a row each.
     """
     from partita.operators.reports import constrained_best
+    from partita.operators.sweeps import evaluate as scored
 
     spark, schema = truth.sparkSession, "name string, min_conf double, nms_iou double"
-    one = spark.createDataFrame([(f"{c}", c, first) for c in confidences], schema)
-    ranked = constrained_best(evaluate(truth, with_protocol(detections, one)), "precision", least, "map50").where(F.col("place") <= keep).join(one, "name")
-    two = ranked.select("min_conf").crossJoin(spark.createDataFrame([(i,) for i in ious], "nms_iou double")).dropDuplicates(["min_conf", "nms_iou"])
-    two = two.select(F.concat_ws("/", "min_conf", "nms_iou").alias("name"), "min_conf", "nms_iou")
-    return constrained_best(evaluate(truth, with_protocol(detections, two)), "precision", least, "map50")
+    grid = [(str(k), float(c), float(i)) for k, (c, i) in enumerate((c, i) for c in dict.fromkeys(confidences) for i in dict.fromkeys((first, *ious)))]
+    found = written(scored(truth, detections, grid).join(F.broadcast(spark.createDataFrame(grid, schema)), "name"), "scored")
+    values = ["min_conf", "nms_iou", "map50", "precision", "recall"]
+    one = found.where(F.col("nms_iou") == float(first)).select(F.col("min_conf").cast("string").alias("name"), *values)
+    best = constrained_best(one, "precision", least, "map50").where(F.col("place") <= keep).select("min_conf")
+    two = found.where(F.col("nms_iou").isin(*map(float, ious))).join(F.broadcast(best), "min_conf").select(F.concat_ws("/", "min_conf", "nms_iou").alias("name"), "map50", "precision", "recall")
+    return constrained_best(two, "precision", least, "map50")
 
 
 def error_classes(truth: DataFrame, detections: DataFrame, foreground: float = 0.5, background: float = 0.1) -> DataFrame:

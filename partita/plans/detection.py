@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from partita.operators import detection as D
+from partita.operators import sweeps
 from partita.plans.registry import query
-from partita.plans.views import CORNERS, DET_CORNERS, DET_CORNERS_2, boxes, detections, view
+from partita.plans.views import CORNERS, DET_CORNERS, DET_CORNERS_2, boxes, by_image, detections, view
 
 
 def iou_sql(a: str, b: str) -> str:
@@ -79,9 +80,9 @@ LEVELS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
 
 @query("e4b_map_coco", f"{ap_sql(str(list(LEVELS)))} SELECT CAST(threshold AS DOUBLE) AS threshold, round(avg(ap),6) AS map FROM ap GROUP BY 1")
 def e4b_map_coco(spark, sf_dir):
-    t = boxes(spark, sf_dir)
-    m = D.mean_average_precision(D.average_precision(D.assign(t, detections(spark, sf_dir), LEVELS), t))
-    return m.select("threshold", F.round("map", 6).alias("map"))
+    t, d = by_image(spark, sf_dir)
+    m = sweeps.report(sweeps.by_thresholds(t, d, LEVELS), boxes(spark, sf_dir), len(LEVELS)).groupBy("setting").agg(F.avg("ap").alias("map"))
+    return m.select(F.element_at(F.array(*map(F.lit, LEVELS)), F.col("setting") + 1).alias("threshold"), F.round("map", 6).alias("map"))
 
 
 def fold_sql(rows: str, keys: str, order: str, fields: list[str], clash: str) -> str:
@@ -176,8 +177,7 @@ def _rounded(df):
 
 @query("e5_protocols", f"{protocol_sql(PROTOCOLS)} SELECT name, round(map50,6) AS map50, round(precision,6) AS precision, round(recall,6) AS recall FROM ev")
 def e5_protocols(spark, sf_dir):
-    named = D.with_protocol(detections(spark, sf_dir), spark.createDataFrame(PROTOCOLS, "name string, min_conf double, nms_iou double"))
-    return _rounded(D.evaluate(boxes(spark, sf_dir), named))
+    return _rounded(sweeps.evaluate(*by_image(spark, sf_dir), PROTOCOLS))
 
 
 GRID = [(f"{c}/{i}", c, i) for c in (0.15, 0.3, 0.5) for i in (0.5, 0.6)]
@@ -187,8 +187,7 @@ GRID = [(f"{c}/{i}", c, i) for c in (0.15, 0.3, 0.5) for i in (0.5, 0.6)]
 def e6_sweep(spark, sf_dir):
     from partita.operators.reports import best_first
 
-    named = D.with_protocol(detections(spark, sf_dir), spark.createDataFrame(GRID, "name string, min_conf double, nms_iou double"))
-    found = D.evaluate(boxes(spark, sf_dir), named)
+    found = sweeps.evaluate(*by_image(spark, sf_dir), GRID)
     return best_first(found, [F.desc("map50"), F.col("name")], 5).select("name", F.round("map50", 6).alias("map50"), "place")
 
 
@@ -198,7 +197,7 @@ _STAGES = [(f"{c}/{i}", c, i) for c in (0.15, 0.25, 0.4, 0.6) for i in (0.5, 0.5
 @query("e6b_staged_sweep", f"""{protocol_sql(_STAGES)}, ea AS (SELECT ev.*, pr.min_conf, pr.nms_iou FROM ev JOIN pr USING (name)), s1 AS (SELECT min_conf FROM ea WHERE nms_iou=0.55 QUALIFY row_number() OVER (ORDER BY precision>=0.5 DESC, map50 DESC, min_conf::VARCHAR)<=3)
  SELECT name, round(map50,6) AS map50, round(precision,6) AS precision, round(recall,6) AS recall, CAST(row_number() OVER (ORDER BY precision>=0.5 DESC, map50 DESC, name) AS INT) AS place FROM ea WHERE nms_iou IN (0.5,0.7) AND min_conf IN (SELECT min_conf FROM s1)""")
 def e6b_staged_sweep(spark, sf_dir):
-    found = D.staged_sweep(boxes(spark, sf_dir), detections(spark, sf_dir), (0.15, 0.25, 0.4, 0.6), 0.55, (0.5, 0.7))
+    found = D.staged_sweep(*by_image(spark, sf_dir), (0.15, 0.25, 0.4, 0.6), 0.55, (0.5, 0.7))
     return found.select("name", *[F.round(c, 6).alias(c) for c in ("map50", "precision", "recall")], "place")
 
 

@@ -66,6 +66,13 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, DET_CORNERS)
 
 
+def by_image(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """boxes and detections from one shuffle: the line items are dealt by image before anything is computed from them, so the rows of an image stand in one partition of either."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_partkey")
+    one, two = (spark.sql(sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items) for sql in (CORNERS, DET_CORNERS))
+    return one, two
+
+
 def label_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
