@@ -75,8 +75,8 @@ def s1_label_folder(spark, sf_dir):
     from partita.sources.storage import shared_folder
 
     b, path = boxes(spark, sf_dir), shared_folder(spark, "labels")
-    writers.write_labels(writers.label_texts(b, b), path)
-    rows = readers.read_labels(spark, f"{path}/*.txt").withColumn("name", F.element_at(F.split("file", "/"), -1))
+    index = writers.write_labels(writers.label_texts(b, b), path)
+    rows = readers.read_label_files(index, path).withColumn("name", F.element_at(F.split("file", "/"), -1))
     return rows.select("name", "line_no", "class_id", F.round("cx", 6).alias("cx"), F.round("cy", 6).alias("cy"), "w", "h")
 
 

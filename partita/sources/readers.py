@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +31,32 @@ def read_labels(spark: SparkSession, path: str, strict: bool = False) -> DataFra
     return label_rows(texts, strict=strict)
 
 
+def read_label_files(index: DataFrame, path: str, strict: bool = False, share: int = 4096) -> DataFrame:
+    """The label files in the folder `path` that an index (file: their names) tells of, as write_labels gives it: the columns of read_labels.
+
+    Tasks open the files of their rows themselves, about `share` each: nothing lists the folder, and the number of tasks doesn't follow from sizes
+    that millions of small files don't have.
+    """
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        for batch in batches:
+            files, texts, size = [], [], 0
+            for name in batch.column("file").to_pylist():
+                with system.open_input_file(f"{root}/{name}") as f:
+                    texts.append(f.read())
+                files.append(f"{path}/{name}")
+                size += len(texts[-1])
+                if size > 1 << 24:
+                    yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(texts, pa.binary())], ["file", "value"])
+                    files, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(files, pa.string()), pa.array(texts, pa.binary())], ["file", "value"])
+
+    tasks = max(1, -(-index.count() // share))
+    texts = index.select("file").repartition(tasks).mapInArrow(get, "file string, value binary")
+    return label_rows(texts.select("file", F.col("value").cast("string").alias("value")), strict=strict)
+
+
 NOTE = "struct<voice:string,midi:int,measure:int,beat:double>"
 CASE = f"test_id string, input struct<key_signature:struct<tonic_midi:int,mode:string>,chords:array<struct<index:int,measure:int,beat:double,notes:map<string,{NOTE}>>>>, expected_output struct<violation_count:int,violations:array<struct<rule_id:string,severity:string,message_zh_contains:string>>,cadence:string>"
 

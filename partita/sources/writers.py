@@ -15,6 +15,8 @@ def label_texts(boxes: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, text: an image's label lines in order, six decimals; an empty text for an image without boxes."""
     line = F.format_string("%d %.6f %.6f %.6f %.6f", "class_id", "cx", "cy", "w", "h")
     texts = boxes.groupBy("image_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", line.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
+    if images is boxes:  # every image has a box
+        return texts
     return images.select("image_id").distinct().join(texts, "image_id", "left").fillna("", ["text"])
 
 
