@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from partita.functions.pitch import beat_in_measure, lookup, staff_pitch, staff_step
 from partita.operators.detection import keep_apart, ordered
-from partita.operators.pairs import by_size
+from partita.operators.pairs import by_size, crowded
 from partita.operators.ranges import LONG, lagged, running
 
 
@@ -67,8 +67,13 @@ def measures(notes: DataFrame, barlines: DataFrame) -> DataFrame:
     Boundaries are the least x - 10, the different barlines (image_id, x), and the largest x + 10; intervals are half open. An empty interval is
     dropped unless it is the first; measures count from 1.
     """
-    sym = notes.schema["sym_id"].dataType
-    both = notes.select("image_id", "x", "sym_id", F.lit(False).alias("bar")).union(barlines.select("image_id", "x", F.lit(None).cast(sym), F.lit(True)))
+    return with_measure(notes.select("image_id", "sym_id", "x"), barlines).select("image_id", "sym_id", "measure")
+
+
+def with_measure(notes: DataFrame, barlines: DataFrame) -> DataFrame:
+    """`notes` (image_id, x and any others) with the measure that `measures` gives them: one shuffle, no join."""
+    rest = [f for f in notes.schema if f.name not in ("image_id", "x")]
+    both = notes.select("image_id", "x", *[f.name for f in rest], F.lit(False).alias("bar")).union(barlines.select("image_id", "x", *[F.lit(None).cast(f.dataType) for f in rest], F.lit(True)))
     # dealt out anew: Spark 4.1 takes a union of parts dealt by image as dealt by image, though adaptive execution may have joined the partitions of each in its own way
     both = both.repartition("image_id")
     image, order = Window.partitionBy("image_id"), Window.partitionBy("image_id").orderBy("x", ~F.col("bar"))  # at one x the barlines come first
@@ -78,31 +83,32 @@ def measures(notes: DataFrame, barlines: DataFrame) -> DataFrame:
     opens = F.col("bar") & (F.col("x") > F.col("lo")) & (F.col("x") < F.col("hi")) & (F.col("left").isNull() | (F.col("left") < F.col("x")))
     placed = both.withColumn("k", F.count_if(opens).over(order.rowsBetween(Window.unboundedPreceding, 0))).where(~F.col("bar"))
     rank = F.dense_rank().over(image.orderBy("k"))
-    return placed.select("image_id", "sym_id", (rank + (F.min("k").over(image) > 0).cast("int")).alias("measure"))  # an empty first interval keeps its number
+    return placed.select(*notes.columns, (rank + (F.min("k").over(image) > 0).cast("int")).alias("measure"))  # an empty first interval keeps its number
 
 
-def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("image_id",), most: int = LONG) -> DataFrame:
+def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("image_id",), most: int | None = LONG, carry: tuple[str, ...] = ()) -> DataFrame:
     """Notes (keys, sym_id, x) with the cluster they join from left to right: the current one, if x is within `tolerance` of its running mean.
 
     The mean never lies right of the last note, so a gap of more than `tolerance` opens a cluster whatever it is: there the order is cut, and each
-    stretch is folded for itself. The cuts of groups of more than `most` notes, and the numbers of their clusters, come from sums over ranges.
+    stretch is folded for itself. The cuts of groups of more than `most` notes (None: there are none, which saves the count), and the numbers of their
+    clusters, come from sums over ranges. carry: columns that go along.
     """
     order = ["x", "sym_id"]
-    kinds = f"array<struct<sym_id:{notes.schema['sym_id'].dataType.simpleString()},c:int>>"
-    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast(kinds).alias("out"))
+    fields = ["sym_id", "x", *carry]
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("n"), F.lit(0).alias("c"), F.array().cast("array<int>").alias("out"))
 
     def add(s, x):
         near = (s["n"] == 0) | (F.abs(x["x"] - s["sum"] / F.greatest(s["n"], F.lit(1))) <= tolerance)
         c = F.when(near, s["c"]).otherwise(s["c"] + 1)
-        return F.struct(F.when(near, s["sum"] + x["x"]).otherwise(x["x"]).cast("double").alias("sum"), F.when(near, s["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(s["out"], F.array(F.struct(x["sym_id"].alias("sym_id"), c.alias("c")))).alias("out"))
+        return F.struct(F.when(near, s["sum"] + x["x"]).otherwise(x["x"]).cast("double").alias("sum"), F.when(near, s["n"] + 1).otherwise(1).alias("n"), c.alias("c"), F.concat(s["out"], F.array(c)).alias("out"))
 
     def folded(placed: DataFrame) -> DataFrame:
-        groups = ordered(placed, [*keys, "__stretch"], [F.col(c) for c in order], ["sym_id", "x"])
-        return groups.select(*keys, "__stretch", F.aggregate("xs", start, add, lambda s: F.struct(s["out"].alias("out"), (s["c"] + 1).alias("n"))).alias("f")).select(*keys, "__stretch", "f.*")
+        groups = ordered(placed, [*keys, "__stretch"], [F.col(c) for c in order], fields)
+        return groups.select(*keys, "__stretch", "xs", F.aggregate("xs", start, add, lambda s: F.struct(s["out"].alias("out"), (s["c"] + 1).alias("n"))).alias("f")).select(*keys, "__stretch", "xs", "f.*")
 
     def numbered(stretches: DataFrame) -> DataFrame:
-        rows = stretches.select(*keys, (F.col("upto") - F.col("n")).alias("first"), F.explode("out").alias("o"))
-        return rows.select(*keys, "o.sym_id", (F.col("first") + F.col("o.c")).cast("int").alias("cluster"))
+        rows = stretches.select(*keys, (F.col("upto") - F.col("n")).alias("first"), F.explode(F.arrays_zip("xs", "out")).alias("o"))
+        return rows.select(*keys, "o.xs.sym_id", *[f"o.xs.{c}" for c in (("x", *carry) if carry else ())], (F.col("first") + F.col("o.out")).cast("int").alias("cluster"))
 
     def windows(rows: DataFrame) -> DataFrame:
         found = folded(sessions(rows, list(keys), "x", lambda gap: gap > tolerance, "__stretch"))
@@ -113,16 +119,22 @@ def clusters(notes: DataFrame, tolerance: float = 20, keys: tuple[str, ...] = ("
         found = folded(running(marked, keys, order, "__stretch", "__cut"))
         return numbered(running(found, keys, ["__stretch"], "upto", "n"))
 
-    return by_size(notes.select(*keys, "sym_id", "x"), keys, windows, ranges, most)
+    rows = notes.select(*keys, *fields)
+    return windows(rows) if most is None else by_size(rows, keys, windows, ranges, most)
 
 
 def nearest_staff(notes: DataFrame, staves: DataFrame) -> DataFrame:
     """Notes (image_id, sym_id, y) with the staff whose middle is nearest (the first of equals), their step and distance."""
+    return with_staff(notes.select("image_id", "sym_id", "y").distinct(), staves)
+
+
+def with_staff(notes: DataFrame, staves: DataFrame) -> DataFrame:
+    """`notes` (image_id, y and any others) with staff_idx and step of the nearest staff; the staves of an image, which are few, go to its notes as one array."""
     mid = F.col("top") + 2 * F.col("spacing")
-    both = notes.join(staves.select("image_id", "staff_idx", "top", "spacing", mid.alias("mid")), "image_id")
-    best = F.min_by(F.struct("staff_idx", "top", "spacing"), F.struct(F.abs(F.col("y") - F.col("mid")), "staff_idx"))
-    out = both.groupBy("image_id", "sym_id", "y").agg(best.alias("b"))
-    return out.select("image_id", "sym_id", "y", F.col("b.staff_idx").alias("staff_idx"), staff_step(F.col("y"), F.col("b.top"), F.col("b.spacing")).alias("step"))
+    table = staves.groupBy("image_id").agg(F.collect_list(F.struct("staff_idx", "top", "spacing", mid.alias("mid"))).alias("__staves"))
+    near = F.array_min(F.transform("__staves", lambda s: F.struct(F.abs(F.col("y") - s["mid"]).alias("d"), s["staff_idx"].alias("staff_idx"), s["top"].alias("top"), s["spacing"].alias("spacing"))))
+    both = notes.join(table, "image_id").withColumn("b", near)
+    return both.select(*notes.columns, F.col("b.staff_idx").alias("staff_idx"), staff_step(F.col("y"), F.col("b.top"), F.col("b.spacing")).alias("step"))
 
 
 def bind_voices(notes: DataFrame, staves: DataFrame) -> DataFrame:
@@ -157,8 +169,9 @@ def accidentals_left(notes: DataFrame, symbols: DataFrame, dx: float = 40, dy: f
     """Notes (image_id, sym_id, x, y) with the nearest accidental (image_id, class_id, x, y) to the left: 0 < dx < 40, |dy| < 15; NULL without one."""
     a = symbols.withColumn("accidental", lookup(ACCIDENTAL_CLASSES, F.col("class_id"))).where("accidental IS NOT NULL").select("image_id", F.col("x").alias("ax"), F.col("y").alias("ay"), "accidental")
     near = (F.col("x") - F.col("ax") > 0) & (F.col("x") - F.col("ax") < dx) & (F.abs(F.col("y") - F.col("ay")) < dy)
-    best = notes.join(a, "image_id").where(near).groupBy("image_id", "sym_id").agg(F.min_by("accidental", F.struct(F.col("x") - F.col("ax"), "ay", "accidental")).alias("accidental"))
-    return notes.join(best, ["image_id", "sym_id"], "left")
+    both = notes.join(a.withColumnRenamed("image_id", "a_image_id"), (F.col("image_id") == F.col("a_image_id")) & near, "left")
+    found = F.min(F.when(F.col("accidental").isNotNull(), F.struct((F.col("x") - F.col("ax")).alias("d"), "ay", "accidental")))
+    return both.groupBy(*notes.columns).agg(found.alias("b")).select(*notes.columns, F.col("b.accidental").alias("accidental"))
 
 
 def resolve_accidentals(notes: DataFrame) -> DataFrame:
@@ -173,13 +186,18 @@ def assign_clefs(clefs: DataFrame, staves: DataFrame, zone: float = 0.15, reach:
 
     A clef may go to a staff within `reach` spacings of its lines.
     """
+    both = staves.select("image_id", "staff_idx").join(_clefs_by_image(clefs, staves, zone, reach), "image_id", "left")
+    return both.select("image_id", "staff_idx", F.coalesce(F.try_element_at("won", F.col("staff_idx")), F.lit("treble")).alias("clef"))
+
+
+def _clefs_by_image(clefs: DataFrame, staves: DataFrame, zone: float = 0.15, reach: float = 5) -> DataFrame:
+    """image_id, won (staff_idx to clef), for images in which a clef goes to a staff."""
     s = staves.select("image_id", "staff_idx", "top", "spacing", "x_min", "x_max")
     c = clefs.join(s, "image_id").where((F.col("x") <= F.col("x_min") + zone * (F.col("x_max") - F.col("x_min"))) & (F.col("y") >= F.col("top") - reach * F.col("spacing")) & (F.col("y") <= F.col("top") + (4 + reach) * F.col("spacing")))
     c = c.withColumn("d", F.abs(F.col("y") - F.col("top") - 2 * F.col("spacing")))
     groups = ordered(c, ["image_id"], [F.col("d"), F.col("clef_id"), F.col("staff_idx")], ["clef_id", "staff_idx", "kind"])
     free = keep_apart(F.col("xs"), lambda k, x: (k["clef_id"] == x["clef_id"]) | (k["staff_idx"] == x["staff_idx"]))
-    won = groups.select("image_id", F.explode(free).alias("k")).select("image_id", "k.staff_idx", F.col("k.kind").alias("clef"))
-    return staves.select("image_id", "staff_idx").join(won, ["image_id", "staff_idx"], "left").fillna("treble", ["clef"])
+    return groups.select("image_id", F.map_from_entries(F.transform(free, lambda k: F.struct(k["staff_idx"], k["kind"]))).alias("won"))
 
 
 def assemble(symbols: DataFrame, staves: DataFrame, heads: tuple[int, ...], bars: tuple[int, ...], clef_kinds: dict[int, str]) -> DataFrame:
@@ -189,13 +207,13 @@ def assemble(symbols: DataFrame, staves: DataFrame, heads: tuple[int, ...], bars
     """
     notes = symbols.where(F.col("class_id").isin(*heads)).select("image_id", "sym_id", "x", "y")
     kinds = symbols.where(F.col("class_id").isin(*clef_kinds)).select("image_id", F.col("sym_id").alias("clef_id"), lookup(clef_kinds, F.col("class_id")).alias("kind"), "x", "y")
-    clef = assign_clefs(kinds, staves)
-    n = accidentals_left(notes, symbols).join(nearest_staff(notes, staves).drop("y"), ["image_id", "sym_id"])
-    n = n.join(measures(notes, symbols.where(F.col("class_id").isin(*bars)).select("image_id", "x")), ["image_id", "sym_id"])
-    n = resolve_accidentals(n).join(clef, ["image_id", "staff_idx"], "left")
+    # everything is keyed by image alone, so symbols dealt by image are not dealt out again but for their measures
+    n = with_measure(with_staff(accidentals_left(notes, symbols), staves), symbols.where(F.col("class_id").isin(*bars)).select("image_id", "x"))
+    n = resolve_accidentals(n).join(_clefs_by_image(kinds, staves), "image_id", "left").withColumn("clef", F.try_element_at("won", F.col("staff_idx")))
     n = n.withColumn("midi", staff_pitch(F.col("step"), F.coalesce("clef", F.lit("treble")), F.coalesce("resolved", F.lit("natural"))))
-    c = clusters(n.select("image_id", "measure", "sym_id", "x"), keys=("image_id", "measure"))
-    n = n.join(c.select("image_id", "sym_id", (F.col("measure") * 100000 + F.col("cluster")).alias("cluster"), F.col("cluster").alias("beat")), ["image_id", "sym_id"])
+    most = None if crowded(notes.select("image_id"), ("image_id",), LONG) is None else LONG  # notes of an image are counted, which is cheap, not those of a measure
+    n = clusters(n, keys=("image_id", "measure"), most=most, carry=("y", "staff_idx", "midi"))
+    n = n.withColumn("beat", F.col("cluster")).withColumn("cluster", F.col("measure") * 100000 + F.col("cluster"))
     chords = bind_voices(n, staves)
     index = F.row_number().over(Window.partitionBy("image_id").orderBy("cluster")) - 1
     return chords.select(F.col("image_id").alias("score_id"), index.alias("chord_index"), F.floor(F.col("cluster") / 100000).cast("int").alias("measure"), (F.col("cluster") % 100000).cast("double").alias("beat"), "s", "a", "t", "b", F.lit(None).cast("int").alias("tonic_midi"), F.lit(None).cast("string").alias("mode"))

@@ -10,7 +10,8 @@ from partita.operators import harmony
 from partita.plans.detection import fold_sql
 from partita.plans.harmony import violations_sql
 from partita.plans.registry import query
-from partita.plans.views import CORNERS, DET_CORNERS, boxes, detections
+from partita.plans.views import CORNERS, DET_CORNERS, boxes, by_image, detections
+from partita.sources.storage import written
 
 #: Symbols in pixels; four staves a page at fixed heights.
 S = f"WITH sy AS (SELECT image_id, line_no AS sym_id, class_id, cx*1280 AS x, cy*1280 AS y FROM ({CORNERS}) t), st AS (SELECT image_id, k AS staff_idx, CAST(100+300*k AS DOUBLE) AS top, CAST(20 AS DOUBLE) AS spacing FROM (SELECT DISTINCT image_id FROM sy), (SELECT unnest([0,1,2,3]) AS k))"
@@ -35,8 +36,8 @@ def clefs_sql(staves_: str, symbols_: str) -> str:
     return f"won AS (SELECT image_id, v.staff_idx AS staff_idx, v.kind AS clef FROM ({won})), clefs AS (SELECT st.image_id, st.staff_idx, coalesce(clef, 'treble') AS clef FROM {staves_} st LEFT JOIN won USING (image_id, staff_idx))"
 
 
-def symbols(spark, sf_dir):
-    return boxes(spark, sf_dir).select("image_id", F.col("line_no").alias("sym_id"), "class_id", (F.col("cx") * 1280).alias("x"), (F.col("cy") * 1280).alias("y"))
+def symbols(spark, sf_dir, rows=None):
+    return (boxes(spark, sf_dir) if rows is None else rows).select("image_id", F.col("line_no").alias("sym_id"), "class_id", (F.col("cx") * 1280).alias("x"), (F.col("cy") * 1280).alias("y"))
 
 
 def staves(sy, n: int = 4):
@@ -129,7 +130,7 @@ def a12_clefs(spark, sf_dir):
 
 
 def _chords(spark, sf_dir, lines: int):
-    sy = symbols(spark, sf_dir)
+    sy = symbols(spark, sf_dir, by_image(spark, sf_dir)[0])
     # clusters are per page: a quarter of the page is one column of notes here
     wide = sy.withColumn("x", F.when(F.col("class_id").isin(*HEADS), F.floor(F.col("x") / 160) * 160 + F.col("sym_id") % 7).otherwise(F.col("x")))
     return sy, M.assemble(wide, staves(sy, lines), HEADS, (24,), CLEFS)
@@ -168,6 +169,7 @@ def a13_assembly_four(spark, sf_dir):
  LEFT JOIN (SELECT score_id AS image_id, count(*) AS chords FROM ch GROUP BY 1) USING (image_id) LEFT JOIN (SELECT score_id AS image_id, count(*) AS violations FROM vio GROUP BY 1) USING (image_id) GROUP BY 1""")
 def a14_counters(spark, sf_dir):
     sy, chords = _chords(spark, sf_dir, 2)
+    chords = written(chords, "chords")  # they are few, and read twice
     return M.counters(sy, chords, harmony.violations(chords), HEADS)
 
 

@@ -46,9 +46,11 @@ DET_CORNERS = f"SELECT image_id, det_id, class_id, conf, cx, cy, w, h, cx-w/2 AS
 DET_CORNERS_2 = f"SELECT image_id, det_id, class_id, conf, cx, cy, w, h, cx-w/2 AS x1, cy-h/2 AS y1, cx+w/2 AS x2, cy+h/2 AS y2 FROM ({DETECTIONS_2}) d"
 
 
-def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """A derived view over the tables of `sf_dir`, which go in as DataFrames: the session's own views stay as they are."""
+def view(spark: SparkSession, sf_dir: str, sql: str, *tables: str, deal: str | None = None) -> DataFrame:
+    """A derived view over the tables of `sf_dir`, which go in as DataFrames: the session's own views stay as they are. deal: a column by which rows are dealt before anything is computed."""
     frames = {name: spark.read.parquet(f"{sf_dir}/{name}.parquet") for name in tables or ("lineitem",)}
+    if deal:
+        frames = {name: df.repartition(deal) for name, df in frames.items()}
     for name in frames:
         sql = sql.replace(f"FROM {name}", f"FROM {{{name}}}")
     return spark.sql(sql, **frames)
@@ -68,8 +70,7 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def by_image(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """boxes and detections from one shuffle: the line items are dealt by image before anything is computed from them, so the rows of an image stand in one partition of either."""
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").repartition("l_partkey")
-    one, two = (spark.sql(sql.replace("FROM lineitem", "FROM {lineitem}"), lineitem=items) for sql in (CORNERS, DET_CORNERS))
+    one, two = (view(spark, sf_dir, sql, deal="l_partkey") for sql in (CORNERS, DET_CORNERS))
     return one, two
 
 

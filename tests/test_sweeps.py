@@ -63,9 +63,9 @@ def shuffled(spark) -> int:
     return total
 
 
-@pytest.mark.parametrize("name", ["e4b_map_coco", "e5_protocols", "e6_sweep", "e6b_staged_sweep"])
+@pytest.mark.parametrize("name", ["e4b_map_coco", "e5_protocols", "e6_sweep", "e6b_staged_sweep", "a13_assembly_four", "a14_counters"])
 def test_items_are_shuffled_twice_at_most(spark, data, name):
-    """Once by image and once by class, however many settings there are, beside counts of images and of slices of classes."""
+    """Once by image and once by class (or by measure), however many settings there are, beside counts of images and of slices of classes."""
     items = spark.read.parquet(f"{data}/lineitem.parquet").count()
     before = shuffled(spark)
     QUERIES[name](spark, data).collect()
