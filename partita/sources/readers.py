@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import io
 import re
 from collections.abc import Iterator
 
@@ -286,6 +288,40 @@ def read_epochs(spark: SparkSession, path: str, names: dict[str, str]) -> DataFr
     return clean.select("run_id", *[F.btrim(F.col(f"`{old}`")).try_cast("double").alias(new) for old, new in names.items() if old in clean.columns])
 
 
+def read_run_epochs(runs: DataFrame, path: str, names: dict[str, str], share: int = 1024) -> DataFrame:
+    """read_epochs for the folders of `path` that runs (run_id: a folder's name) tells of: each folder is listed, and its CSV files are read, by the task that has its row.
+
+    The driver holds no listing, and a file's own header tells its columns.
+    """
+    wanted = list(names.items())
+
+    def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
+        found = [[] for _ in range(1 + len(wanted))]
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in found], ["run_id", *[new for _, new in wanted]])
+        for batch in batches:
+            for run in batch.column("run_id").to_pylist():
+                for info in sorted(system.get_file_info(fs.FileSelector(f"{root}/{run}")), key=lambda i: i.path):
+                    if not info.is_file or info.base_name.startswith(("_", ".")):
+                        continue
+                    with system.open_input_stream(info.path) as raw, io.TextIOWrapper(raw, encoding="utf-8", newline="") as text:
+                        rows = csv.reader(text)
+                        header = [c.strip() for c in next(rows, [])]
+                        at = [header.index(old) if old in header else None for old, _ in wanted]
+                        for row in rows:
+                            if row:
+                                for cells, value in zip(found, [run, *[row[k] if k is not None and k < len(row) else None for k in at]]):
+                                    cells.append(value)
+                        if len(found[0]) >= 1 << 16:
+                            yield pack()
+                            found = [[] for _ in found]
+        yield pack()
+
+    tasks = max(1, -(-runs.count() // share))
+    rows = runs.select("run_id").repartition(tasks).mapInArrow(get, ", ".join(f"`{c}` string" for c in ("run_id", *names.values())))
+    return rows.select("run_id", *[F.btrim(F.col(f"`{new}`")).try_cast("double").alias(new) for new in names.values()])
+
+
 def name_metadata(name: Column) -> Column:
     """struct(source, stem, page) from a path: the first fitting source, the file's stem, the trailing page number."""
     stem = F.regexp_replace(F.element_at(F.split(name, "/"), -1), r"\.[^.]*$", "")
