@@ -313,9 +313,9 @@ def read_run_epochs(runs: DataFrame, path: str, names: dict[str, str], share: in
                             if row:
                                 for cells, value in zip(found, [run, *[row[k] if k is not None and k < len(row) else None for k in at]]):
                                     cells.append(value)
-                        if len(found[0]) >= 1 << 16:
-                            yield pack()
-                            found = [[] for _ in found]
+                            if len(found[0]) >= 1 << 16:
+                                yield pack()
+                                found = [[] for _ in found]
         yield pack()
 
     tasks = max(1, -(-runs.count() // share))
